@@ -284,6 +284,9 @@ def duckdb_with(views, body: str) -> str:
         ctes.append(f"{name} AS ({text}\n)")
     if not ctes:
         return body
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
