@@ -251,3 +251,84 @@ def block_kinds(v):
     """Block counts per section and kind (first matching rule)."""
     return (v.blocks_v.withColumn("kind", S.block_kind())
              .groupBy("section", "kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- normalisation and quarantine -------------------------------------------
+
+from ..functions.normalize import normalize_count, normalize_time  # noqa: E402
+from ..operators import quarantine  # noqa: E402
+
+_NUM_ORACLE = """
+CASE WHEN number_text IS NULL THEN NULL
+     WHEN trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')) = '' THEN 0
+     WHEN regexp_extract(trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')),
+          '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 1) = '' THEN NULL
+     ELSE (SELECT CASE WHEN strpos(num, '.') > 0 AND mul = '' THEN NULL
+                       ELSE CAST(floor(TRY_CAST(replace(num, ',', '') AS DECIMAL(24, 6))
+                            * CASE mul WHEN '万' THEN 10000 WHEN '千' THEN 1000 ELSE 1 END) AS BIGINT) END
+           FROM (SELECT regexp_extract(tt, '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 1) AS num,
+                        regexp_extract(tt, '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 3) AS mul
+                 FROM (SELECT trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')) AS tt) s1) s2)
+END"""
+
+
+@register("normalized_counts", views=("number_text_v",), oracle=f"""
+SELECT id, number_text, {_NUM_ORACLE} AS value FROM number_text_v""")
+def normalized_counts(v):
+    """Count texts to integers."""
+    t = v.number_text_v
+    return t.select("id", "number_text", normalize_count("number_text").alias("value"))
+
+
+_ABS = r"'^(?:([0-9][0-9][0-9][0-9])/)?([0-9][0-9]?)/([0-9][0-9]?)[(].[)]\s([0-9][0-9]?):([0-9][0-9]?)'"
+
+_TIME_ORACLE = f"""
+WITH p AS (
+  SELECT id, time_text, base_time,
+         TRY_CAST(regexp_extract(time_text, '^([0-9]+)(分|時間|日)前', 1) AS INTEGER) AS n,
+         regexp_extract(time_text, '^([0-9]+)(分|時間|日)前', 2) AS unit,
+         regexp_extract(time_text, {_ABS}, 1) AS y_txt,
+         TRY_CAST(regexp_extract(time_text, {_ABS}, 2) AS INTEGER) AS mo,
+         TRY_CAST(regexp_extract(time_text, {_ABS}, 3) AS INTEGER) AS dd,
+         TRY_CAST(regexp_extract(time_text, {_ABS}, 4) AS INTEGER) AS hh,
+         TRY_CAST(regexp_extract(time_text, {_ABS}, 5) AS INTEGER) AS mi,
+         regexp_extract(time_text, {_ABS}, 2) = '' AS no_abs
+  FROM time_text_v),
+q AS (
+  SELECT *, CASE WHEN y_txt = '' THEN year(base_time) ELSE CAST(y_txt AS INTEGER) END AS yy FROM p),
+r AS (
+  SELECT *, TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:00', yy, mo, dd, hh, mi) AS TIMESTAMP) AS same_year,
+            TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:00', yy - 1, mo, dd, hh, mi) AS TIMESTAMP) AS prev_year
+  FROM q)
+SELECT id, time_text,
+  CASE WHEN time_text = 'たった今' THEN date_trunc('minute', base_time)
+       WHEN strpos(time_text, '前') > 0 THEN date_trunc('minute',
+            CASE unit WHEN '分' THEN base_time - to_minutes(n)
+                      WHEN '時間' THEN base_time - to_hours(n)
+                      WHEN '日' THEN base_time - to_days(n) END)
+       WHEN no_abs THEN NULL
+       WHEN y_txt = '' AND same_year > base_time THEN prev_year
+       ELSE same_year END AS normalized_time
+FROM r"""
+
+
+@register("normalized_times", views=("time_text_v",), oracle=_TIME_ORACLE)
+def normalized_times(v):
+    """Posted-time texts to timestamps against each row's base time."""
+    t = v.time_text_v
+    return t.select("id", "time_text", normalize_time("time_text", "base_time").alias("normalized_time"))
+
+
+@register("quarantine_report", views=("number_text_v", "time_text_v", "comments_v", "articles_v"),
+          oracle=f"""
+WITH nums AS (SELECT id, number_text, {_NUM_ORACLE} AS value FROM number_text_v),
+times AS ({_TIME_ORACLE.replace('FROM time_text_v', 'FROM time_text_v')})
+SELECT 'number_text' AS source, id, 'bad_number' AS reason FROM nums WHERE number_text IS NOT NULL AND value IS NULL
+UNION ALL
+SELECT 'time_text' AS source, id, 'bad_time' AS reason FROM times WHERE time_text IS NOT NULL AND normalized_time IS NULL
+UNION ALL
+SELECT 'comments' AS source, comment_id AS id, 'missing_article' AS reason FROM comments_v c
+WHERE NOT EXISTS (SELECT 1 FROM articles_v a WHERE a.article_id = c.article_id)""")
+def quarantine_report(v):
+    """Unusable numbers, times and foreign keys with their reasons."""
+    return quarantine.report(v.number_text_v, v.time_text_v, v.comments_v, v.articles_v)
