@@ -40,3 +40,92 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
     return rows.select("user_id", "article_id", "article_content", "parent_comment_id",
                        "parent_comment_content", "comment_id", "comment_content",
                        "normalized_posted_time", "step")
+
+
+# --- sequences of state vectors ---------------------------------------------
+
+def state_chunk(chunk_seconds: int = 86400):
+    return sequence.time_chunk("normalized_posted_time", chunk_seconds)
+
+
+def next_state_pairs(vectors: DataFrame, missing_parent=None, chunk_seconds: int = 86400) -> DataFrame:
+    """Inputs at t (article, parent, own state) with the target state at t+1; the
+    last row of each user has no target and is dropped (W02). A missing parent
+    becomes ``missing_parent`` (zeros by default, H05/K6)."""
+    from ..functions import arrays as A
+
+    missing = A.zeros(3) if missing_parent is None else missing_parent
+    nxt = sequence.with_neighbours(vectors, "user_id", comment_order(), state_chunk(chunk_seconds),
+                                   ["comment_vec"], direction=+1, prefix="next_")
+    return (nxt.where(F.col("next_comment_vec").isNotNull())
+               .select("user_id", "comment_id", "normalized_posted_time",
+                       F.col("article_vec").alias("p"),
+                       F.coalesce(F.col("parent_vec"), missing).alias("q"),
+                       F.col("comment_vec").alias("s"),
+                       F.col("next_comment_vec").alias("y")))
+
+
+def split_order() -> list:
+    return [F.md5(F.col("comment_id").cast("string")).asc(), F.col("comment_id").asc()]
+
+
+def split_chunk():
+    # first two hex digits of the md5: monotone in the md5 order
+    return F.conv(F.substring(F.md5(F.col("comment_id").cast("string")), 1, 2), 16, 10).cast("int")
+
+
+def train_val_split(rows: DataFrame, ratio_tenths: int = 8) -> DataFrame:
+    """Exact, repeatable split per user: the first floor(n * ratio) rows in md5 order
+    are ``train``, the rest ``val`` (W08)."""
+    counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = sequence.with_index(rows, "user_id", split_order(), split_chunk(), "_r")
+    return (ranked.join(counts, "user_id")
+                  .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * ratio_tenths / 10), "train")
+                              .otherwise("val"))
+                  .drop("_r", "_n"))
+
+
+def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None,
+                        chunk_seconds: int = 86400) -> DataFrame:
+    """Place the prediction made at t on row t+1; the first row of each user gets
+    ``sentinel`` ([2, 2, 2] by default) (W04)."""
+    from ..functions import arrays as A
+
+    sentinel = A.const(3, 2.0) if sentinel is None else sentinel
+    shifted = sequence.with_neighbours(rows, "user_id", comment_order(), state_chunk(chunk_seconds),
+                                       [pred_col], direction=-1, prefix="prev_")
+    return shifted.withColumn("aligned_pred", F.coalesce(F.col("prev_" + pred_col), sentinel)) \
+                  .drop("prev_" + pred_col)
+
+
+# --- user-page blocks ----------------------------------------------------------
+
+BLOCK_CHUNK = 64   # blocks per chunk of a page section
+
+
+def block_order() -> list:
+    return [F.col("seq").asc()]
+
+
+def block_chunk():
+    return F.floor(F.col("seq") / BLOCK_CHUNK)
+
+
+def carry_article_forward(blocks: DataFrame) -> DataFrame:
+    """Each block gets the article of the nearest header at or above it."""
+    return sequence.with_carry_forward(blocks, "section", block_order(), block_chunk(),
+                                       "article_id", "current_article_id")
+
+
+def reply_parent_pairs(blocks: DataFrame, kind_col: str = "kind") -> DataFrame:
+    """Replies paired with the parent link directly above them (W10). A deleted
+    parent has no link, so its reply stays unpaired (K10)."""
+    prev = sequence.with_neighbours(blocks, "section", block_order(), block_chunk(),
+                                    [kind_col, "reply_link"], direction=-1, prefix="prev_")
+    return (prev.where((F.col(kind_col) == "reply") & (F.col("prev_" + kind_col) == "parent_link"))
+                .select("section", F.col("block_id").alias("reply_block_id"),
+                        F.col("prev_reply_link").alias("parent_link")))
+
+
+def link_to_comment_id(link) -> F.Column:
+    return F.regexp_extract(link, "/comments/([0-9]+)$", 1).try_cast("bigint")

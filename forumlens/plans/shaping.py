@@ -1,7 +1,12 @@
 """Training-set queries (joins and per-user sequences)."""
 from __future__ import annotations
 
-from ..operators import training
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..operators import dynamics, maintain, training
+from ..operators import select as S
+from ..session import scratch_path
 from .catalog import register
 
 
@@ -19,3 +24,238 @@ WHERE c.user_id IN (SELECT user_id FROM users_v)
 def training_raw(v):
     """Per-user training table (flagship)."""
     return training.build_training_raw(v.users_v, v.comments_v, v.articles_v)
+KEY = ["article_id", "user_link", "comment_content"]
+_HALF = "comment_id * 2 < (SELECT MAX(comment_id) FROM comments_v)"
+_NK = "article_id IS NULL OR user_link IS NULL OR comment_content IS NULL"
+
+
+def _halves(c):
+    top = c.select(F.max("comment_id")).scalar()
+    return c.where(F.col("comment_id") * 2 < top), c.where(F.col("comment_id") * 2 >= top)
+
+
+@register("insert_first_wins", views=("comments_v",), oracle=f"""
+WITH tgt AS (SELECT * FROM comments_v WHERE {_HALF}),
+bat AS (SELECT * FROM comments_v WHERE NOT ({_HALF})),
+kd AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id, user_link, comment_content
+                                                   ORDER BY comment_id) AS rn
+                      FROM bat WHERE NOT ({_NK})) t WHERE rn = 1),
+fresh AS (SELECT * FROM kd WHERE NOT EXISTS (
+            SELECT 1 FROM tgt WHERE tgt.article_id = kd.article_id AND tgt.user_link = kd.user_link
+                              AND tgt.comment_content = kd.comment_content)
+          UNION ALL SELECT *, 0 AS rn FROM bat WHERE {_NK})
+SELECT comment_id, article_id, user_link, comment_content FROM tgt
+UNION ALL SELECT comment_id, article_id, user_link, comment_content FROM fresh""")
+def insert_first_wins(v):
+    """Target after inserting the second half of comments, first write wins."""
+    c = v.comments_v.select("comment_id", *KEY)
+    target, batch = _halves(c)
+    return maintain.apply_insert(target, batch, KEY, ["comment_id"])
+
+
+@register("update_matched", views=("articles_v",), oracle="""
+SELECT a.article_id, a.article_link, a.article_title,
+       COALESCE(d.text, a.article_content) AS article_content,
+       COALESCE(d.source, a.article_genre) AS article_genre
+FROM articles_v a LEFT JOIN (
+  SELECT 'https://news.example/articles/' || CAST(doc_id AS STRING) AS article_link, text, source
+  FROM documents WHERE doc_id < 400) d ON d.article_link = a.article_link""")
+def update_matched(v):
+    """Fill articles from later-fetched documents; only present attributes overwrite."""
+    batch = v.documents.where(F.col("doc_id") < 400).select(
+        F.concat(F.lit("https://news.example/articles/"), F.col("doc_id").cast("string")).alias("article_link"),
+        F.col("text").alias("article_content"), F.col("source").alias("article_genre"),
+        F.lit(None).cast("string").alias("article_title"))
+    target = v.articles_v.select("article_id", "article_link", "article_title", "article_content", "article_genre")
+    return maintain.update_matched(target, batch, "article_link",
+                                   ["article_title", "article_content", "article_genre"])
+
+
+@register("latest_run", views=(), oracle="""
+SELECT event_type, event_id, ts FROM (
+  SELECT event_type, event_id, ts,
+         ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t
+WHERE rn = 1""")
+def latest_run(v):
+    """Newest row per group (here: per event type)."""
+    return maintain.latest_per_group(v.events, "event_type", ["ts", "event_id"], ["event_id", "ts"])
+
+
+@register("merged_comment_sources", views=("comments_v",), oracle=f"""
+WITH src AS (
+  SELECT 0 AS prio, 'article_page' AS origin, comment_id, article_id, user_link, comment_content
+  FROM comments_v WHERE comment_id % 3 <> 0
+  UNION ALL
+  SELECT 1 AS prio, 'user_page' AS origin, comment_id, article_id, user_link, comment_content
+  FROM comments_v WHERE comment_id % 3 <> 1)
+SELECT origin, comment_id, article_id, user_link, comment_content FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id, user_link, comment_content
+                               ORDER BY prio, comment_id) AS rn FROM src WHERE NOT ({_NK})) t WHERE rn = 1
+UNION ALL SELECT origin, comment_id, article_id, user_link, comment_content FROM src WHERE {_NK}""")
+def merged_comment_sources(v):
+    """Comments from article pages and user pages in one deduplicated table."""
+    c = v.comments_v.select("comment_id", *KEY)
+    art = c.where(F.col("comment_id") % 3 != 0)
+    usr = c.where(F.col("comment_id") % 3 != 1)
+    return maintain.merge_sources([("article_page", art), ("user_page", usr)], KEY, ["comment_id"])
+
+
+_KIND_SQL = """CASE WHEN has_anchor THEN 'article_header' WHEN has_reply_count THEN 'comment'
+                    WHEN has_text THEN 'reply' WHEN has_reply_link THEN 'parent_link'
+                    WHEN has_reply_text THEN 'deleted_parent' ELSE 'other' END"""
+
+_PAIRS_SQL = f"""
+SELECT section, block_id AS reply_block_id, prev_link AS parent_link FROM (
+  SELECT section, block_id, kind,
+         LAG(kind) OVER (PARTITION BY section ORDER BY seq) AS prev_kind,
+         LAG(reply_link) OVER (PARTITION BY section ORDER BY seq) AS prev_link
+  FROM (SELECT *, {_KIND_SQL} AS kind FROM blocks_v) b) t
+WHERE kind = 'reply' AND prev_kind = 'parent_link'"""
+
+
+@register("reply_parent_pairs", views=("blocks_v",), oracle=_PAIRS_SQL)
+def reply_parent_pairs(v):
+    """Each reply paired with the parent link directly above it."""
+    return training.reply_parent_pairs(v.blocks_v.withColumn("kind", S.block_kind()))
+
+
+@register("resolve_parent_ids", views=("blocks_v", "comments_v"), oracle=f"""
+WITH pairs AS ({_PAIRS_SQL}),
+found AS (SELECT p.reply_block_id AS comment_id, c.comment_id AS new_parent
+          FROM pairs p JOIN comments_v c
+            ON c.comment_id = TRY_CAST(regexp_extract(p.parent_link, '/comments/([0-9]+)$', 1) AS BIGINT))
+SELECT c.comment_id, COALESCE(f.new_parent, c.parent_comment_id) AS parent_comment_id
+FROM comments_v c LEFT JOIN found f ON f.comment_id = c.comment_id""")
+def resolve_parent_ids(v):
+    """Parent comment ids found later on user pages, set by comment id."""
+    pairs = training.reply_parent_pairs(v.blocks_v.withColumn("kind", S.block_kind()))
+    linked = pairs.select(F.col("reply_block_id").alias("comment_id"),
+                          training.link_to_comment_id("parent_link").alias("parent_comment_id"))
+    known = v.comments_v.select(F.col("comment_id").alias("parent_comment_id"))
+    found = linked.join(known, "parent_comment_id", "left_semi")
+    target = v.comments_v.select("comment_id", "parent_comment_id")
+    return maintain.update_matched(target, found, "comment_id", ["parent_comment_id"])
+
+
+@register("carry_article_forward", views=("blocks_v",), oracle="""
+SELECT block_id, section, seq,
+       LAST_VALUE(article_id IGNORE NULLS) OVER (PARTITION BY section ORDER BY seq
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_article_id
+FROM blocks_v""")
+def carry_article_forward(v):
+    """The latest article header carried down to the blocks below it."""
+    b = v.blocks_v.select("block_id", "section", "seq", "article_id")
+    return training.carry_article_forward(b).select("block_id", "section", "seq", "current_article_id")
+
+
+_ORDER = "ORDER BY normalized_posted_time, comment_id DESC"
+
+
+def _r6_all(names):
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+@register("next_state_pairs", views=("vectors_v",), oracle=f"""
+SELECT user_id, comment_id, {_r6_all(['p0', 'p1', 'p2', 'q0', 'q1', 'q2', 's0', 's1', 's2', 'y0', 'y1', 'y2'])}
+FROM (SELECT user_id, comment_id, a0 AS p0, a1 AS p1, a2 AS p2,
+             COALESCE(p0, 0.0) AS q0, COALESCE(p1, 0.0) AS q1, COALESCE(p2, 0.0) AS q2, s0, s1, s2,
+             LEAD(s0) OVER (PARTITION BY user_id {_ORDER}) AS y0,
+             LEAD(s1) OVER (PARTITION BY user_id {_ORDER}) AS y1,
+             LEAD(s2) OVER (PARTITION BY user_id {_ORDER}) AS y2
+      FROM vectors_v) t
+WHERE y0 IS NOT NULL""")
+def next_state_pairs(v):
+    """W02 (+H05): (article, parent, state) at t with the state at t+1."""
+    pairs = training.next_state_pairs(v.vectors())
+    return _flat(pairs.select("user_id", "comment_id", "p", "q", "s", "y"), ["p", "q", "s", "y"])
+
+
+def _flat(df, vec_cols, places=6):
+    """Vectors as rounded scalar columns (x0, x1, x2) for comparison."""
+    keep = [c for c in df.columns if c not in vec_cols]
+    out = [F.col(c) for c in keep]
+    for c in vec_cols:
+        out += [F.round(F.col(c)[i], places).alias(f"{c}{i}") for i in range(3)]
+    return df.select(*out)
+
+
+@register("user_step_index", views=("vectors_v",), oracle=f"""
+SELECT user_id, comment_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id {_ORDER}) - 1 AS BIGINT) AS step
+FROM vectors_v""")
+def user_step_index(v):
+    """Step index per user, oldest first, ties by the larger id first."""
+    rows = v.vectors_v.select("user_id", "comment_id", "normalized_posted_time")
+    return training.sequence.with_index(rows, "user_id", training.comment_order(),
+                                        training.state_chunk(), "step").select("user_id", "comment_id", "step")
+
+
+@register("train_val_split", views=("vectors_v",), oracle="""
+SELECT user_id, comment_id,
+       CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY md5(CAST(comment_id AS STRING)), comment_id) - 1
+                 < floor(COUNT(*) OVER (PARTITION BY user_id) * 8 / 10) THEN 'train' ELSE 'val' END AS split
+FROM vectors_v""")
+def train_val_split(v):
+    """Exact 80/20 split per user in md5 order."""
+    return training.train_val_split(v.vectors_v.select("user_id", "comment_id"))
+
+
+def _pred_sql(a="a", q="q", s="s"):
+    from .sqlgen import matvec
+    rows = []
+    for i in range(3):
+        wp = matvec("wp", [f"{a}{j}" for j in range(3)])[i]
+        wq = matvec("wq", [f"{q}{j}" for j in range(3)])[i]
+        ws = matvec("ws", [f"{s}{j}" for j in range(3)])[i]
+        rows.append(f"tanh({wp} + {wq} + {ws} + b_{i})")
+    return rows
+
+
+_LIN = _pred_sql()
+
+
+@register("aligned_predictions", views=("vectors_v", "weights_v"), oracle=f"""
+WITH pr AS (
+  SELECT v.user_id, v.comment_id, v.normalized_posted_time,
+         {_LIN[0]} AS e0, {_LIN[1]} AS e1, {_LIN[2]} AS e2
+  FROM (SELECT user_id, comment_id, normalized_posted_time, a0, a1, a2,
+               COALESCE(p0, 0.0) AS q0, COALESCE(p1, 0.0) AS q1, COALESCE(p2, 0.0) AS q2, s0, s1, s2
+        FROM vectors_v) v JOIN weights_v w ON w.user_id = v.user_id)
+SELECT user_id, comment_id,
+       round(COALESCE(LAG(e0) OVER (PARTITION BY user_id {_ORDER}), 2.0), 6) AS aligned_pred0,
+       round(COALESCE(LAG(e1) OVER (PARTITION BY user_id {_ORDER}), 2.0), 6) AS aligned_pred1,
+       round(COALESCE(LAG(e2) OVER (PARTITION BY user_id {_ORDER}), 2.0), 6) AS aligned_pred2
+FROM pr""")
+def aligned_predictions(v):
+    """The linear prediction made at t shown on row t+1; first row [2, 2, 2]."""
+    rows = v.vectors().join(v.weights(), "user_id")
+    rows = rows.withColumn("pred", dynamics.linear_step(
+        "article_vec", F.coalesce(F.col("parent_vec"), A.zeros(3)), "comment_vec"))
+    out = training.aligned_predictions(rows.select("user_id", "comment_id", "normalized_posted_time", "pred"),
+                                       "pred")
+    return _flat(out.select("user_id", "comment_id", "aligned_pred"), ["aligned_pred"])
+
+
+@register("sentiment_series", views=("vectors_v",), oracle="""
+SELECT comment_id, user_id, normalized_posted_time, round(s0 - s2, 6) AS sentiment FROM vectors_v""")
+def sentiment_series(v):
+    """Sentiment scalar v[0] - v[2]."""
+    x = v.vectors()
+    return x.select("comment_id", "user_id", "normalized_posted_time",
+                    F.round(F.col("comment_vec")[0] - F.col("comment_vec")[2], 6).alias("sentiment"))
+
+
+@register("vector_table_roundtrip", views=("vectors_v",), oracle="""
+SELECT comment_id, user_id, parent_comment_id, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2,
+       round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2,
+       p0 IS NULL AS parent_missing FROM vectors_v""")
+def vector_table_roundtrip(v):
+    """Vector rows written to Parquet (typed NULL array for a missing parent) and read back."""
+    spark = v.spark
+    rows = v.vectors().select("comment_id", "user_id", "parent_comment_id",
+                              F.col("comment_vec").alias("s"),
+                              F.when(F.col("parent_vec").isNotNull(), F.col("parent_vec"))
+                              .cast("array<double>").alias("p"))
+    path = scratch_path(spark, "vectors")
+    rows.write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    return _flat(back, ["s", "p"]).withColumn("parent_missing", F.col("p0").isNull())
