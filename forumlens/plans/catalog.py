@@ -28,5 +28,5 @@ def register(name: str, views=(), oracle: str | None = None):
 
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
-    from . import crawl, graph, modelling, shaping, text  # noqa: F401
+    from . import crawl, graph, modelling, shaping, text, web  # noqa: F401
     return REGISTRY
