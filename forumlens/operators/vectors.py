@@ -22,3 +22,98 @@ def in_label_order(labels_col: str, scores_col: str, order) -> Column:
     """Scores re-ordered into the fixed label order."""
     m = F.map_from_arrays(F.col(labels_col), F.col(scores_col))
     return F.transform(F.array(*[F.lit(x) for x in order]), lambda lab: m[lab])
+
+
+# --- text scoring ------------------------------------------------------------------
+#
+# Built-in scorer: multinomial naive Bayes with add-one smoothing, trained and
+# applied with SQL aggregates. For a document d and class c
+#   score(d, c) = log(n_c / n) - N_d * log(T_c + V) + sum_{w in d, cnt(c,w) > 0} tf(d, w) * log(cnt(c, w) + 1)
+# where N_d counts the tokens of d that occur in training, T_c the training tokens of
+# class c and V the vocabulary size; only non-zero (class, token) counts are stored
+# and joined, so there is no vocabulary x class product. Probabilities are the
+# softmax of the scores, in the given label order.
+
+TOKEN_SPLIT = "[^0-9a-zà-ɏ]+"
+
+
+def tokens(text) -> Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != "")
+
+
+def fit_naive_bayes(train: DataFrame, text: str, label: str) -> dict[str, DataFrame]:
+    """Token counts per class, class totals and priors (all DataFrames)."""
+    toks = train.select(F.col(label).alias("label"), F.explode(tokens(text)).alias("w"))
+    counts = toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt"))
+    vocab_size = counts.select(F.count_distinct("w")).scalar()
+    docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
+    n_docs = train.select(F.count(F.lit(1))).scalar()
+    totals = counts.groupBy("label").agg(F.sum("cnt").alias("t_c"))
+    classes = (docs.join(totals, "label", "left")
+                   .select("label", (F.log(F.col("n_c")) - F.log(n_docs)).alias("prior"),
+                           F.log(F.coalesce("t_c", F.lit(0)) + vocab_size).alias("log_norm")))
+    return {"counts": counts, "classes": classes, "vocab": counts.select("w").distinct()}
+
+
+def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, DataFrame],
+                      labels, out: str = "vec") -> DataFrame:
+    """Probability vector over ``labels`` per row of ``docs``; NULL text -> NULL vector."""
+    tf = (docs.select(key, F.explode(tokens(text)).alias("w"))
+              .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
+    known = tf.join(model["vocab"], "w", "left_semi")
+    n_in_vocab = known.groupBy(key).agg(F.sum("tf").alias("n_d"))
+    partial = (known.join(model["counts"], "w")
+                    .groupBy(key, "label").agg(F.sum(F.col("tf") * F.log(F.col("cnt") + 1)).alias("part")))
+    # one row per (document, class): a fixed fan-out over the label list
+    per_class = (docs.where(F.col(text).isNotNull()).select(key)
+                     .join(n_in_vocab, key, "left")
+                     .select(key, F.coalesce("n_d", F.lit(0)).alias("n_d"),
+                             F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")))
+    # the class table has one row per label: bounded, broadcast
+    scored = (per_class.join(F.broadcast(model["classes"]), "label")
+                       .join(partial, [key, "label"], "left")
+                       .select(key, "label", (F.col("prior") - F.col("n_d") * F.col("log_norm")
+                                              + F.coalesce("part", F.lit(0.0))).alias("score")))
+    vec = scored.groupBy(key).agg(
+        F.array(*[F.max(F.when(F.col("label") == x, F.col("score"))) for x in labels]).alias("_scores"))
+    from ..functions.arrays import softmax
+    probs = vec.select(key, softmax("_scores").alias(out))
+    return docs.select(key).join(probs, key, "left")
+
+
+def score_with_model(df: DataFrame, text: str, predict, labels, out: str = "vec") -> DataFrame:
+    """Plug-in slot for a user model: ``predict(list[str | None]) -> list[dict label->score | None]``
+    is called on Arrow batches (iterator pandas UDF) and its scores are put in
+    label order; a NULL text keeps its row and gets NULL."""
+    import pandas as pd
+
+    from pyspark.sql.functions import pandas_udf
+
+    order = list(labels)
+
+    @pandas_udf("array<double>")
+    def _score(batches):
+        for s in batches:
+            texts = [None if pd.isna(x) else x for x in s.tolist()]
+            res = predict(texts)
+            yield pd.Series([None if r is None else [float(r[lab]) for lab in order] for r in res])
+
+    return df.withColumn(out, _score(F.col(text)))
+
+
+def vectorize_columns(rows: DataFrame, text_cols: list[str], model: dict[str, DataFrame], labels) -> DataFrame:
+    """Replace-by-vector for several text columns (T03): the distinct texts of all
+    columns are scored once (keyed by SHA-256) and joined back per column."""
+    texts = None
+    for c in text_cols:
+        part = rows.select(F.col(c).alias("text")).where(F.col("text").isNotNull())
+        texts = part if texts is None else texts.unionByName(part)
+    distinct = texts.distinct().select(F.sha2("text", 256).alias("tkey"), "text")
+    scored = score_naive_bayes(distinct, "tkey", "text", model, labels, "vec")
+    out = rows
+    for c in text_cols:
+        out = (out.withColumn("_k", F.sha2(F.col(c), 256))
+                  .join(scored.select(F.col("tkey").alias("_k"), F.col("vec").alias(c + "_vec")), "_k", "left")
+                  .drop("_k"))
+    return out
