@@ -228,3 +228,56 @@ def training_export(v):
     R.export_nested(n, path, metadata={"state_dim": 3, "k_max": None})
     back = R.read_export(spark, path)
     return _flat(R.summarise_export(back), ["first", "last"])
+
+
+# --- fits (grouped-map, rows-only checks) ----------------------------------------
+
+from ..operators import fit as Fit  # noqa: E402
+
+FIT_EPOCHS = 500   # reference setting for the real-data fits
+FIT_BATCH = 8
+FIT_LR = 0.001
+
+
+def _fit_input(v):
+    pairs = training.next_state_pairs(v.vectors())
+    return training.train_val_split(pairs)
+
+
+def _fit_summary(fits):
+    return fits.select("user_id", "setting", "n_train", "n_val", "n_shards",
+                       F.round(F.col("train_loss")[0], 6).alias("first_train_loss"),
+                       F.round(F.element_at("train_loss", -1), 6).alias("last_train_loss"),
+                       F.round(F.element_at("val_loss", -1), 6).alias("last_val_loss"),
+                       F.size("params").alias("n_params"))
+
+
+@register("fit_linear_users")
+def fit_linear_users(v):
+    """M01 (+B07): one linear model per user; weights and per-epoch losses are kept
+    as run artefacts under the checkpoint folder."""
+    fits = Fit.fit_pairs(_fit_input(v), "linear", FIT_EPOCHS, FIT_BATCH, FIT_LR)
+    Fit.save_run(fits, scratch_path(v.spark, "runs"), "linear")
+    return _fit_summary(fits)
+
+
+@register("fit_diff_users")
+def fit_diff_users(v):
+    """The difference model per user."""
+    return _fit_summary(Fit.fit_pairs(_fit_input(v), "diff", FIT_EPOCHS, FIT_BATCH, FIT_LR))
+
+
+@register("fit_network_users")
+def fit_network_users(v):
+    """The feed-forward model per user (one hidden layer of 8)."""
+    return _fit_summary(Fit.fit_pairs(_fit_input(v), "network", FIT_EPOCHS, FIT_BATCH, FIT_LR, hidden=8))
+
+
+GRID = [{"setting": i, "kind": k, "lr": lr}
+        for i, (k, lr) in enumerate((k, lr) for k in ("linear", "diff") for lr in (0.001, 0.01))]
+
+
+@register("fit_grid")
+def fit_grid(v):
+    """Settings grid (kind x learning rate) x users, fitted in parallel."""
+    return _fit_summary(Fit.fit_pairs(_fit_input(v), epochs=100, batch=FIT_BATCH, settings=GRID))
