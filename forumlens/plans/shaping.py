@@ -259,3 +259,28 @@ def vector_table_roundtrip(v):
     rows.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
     return _flat(back, ["s", "p"]).withColumn("parent_missing", F.col("p0").isNull())
+
+
+@register("stream_ingest_comments", views=("comments_v",), oracle=f"""
+SELECT comment_id, article_id, user_link, comment_content FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id, user_link, comment_content ORDER BY comment_id) AS rn
+  FROM comments_v WHERE NOT ({_NK})) t WHERE rn = 1
+UNION ALL
+SELECT comment_id, article_id, user_link, comment_content FROM comments_v WHERE {_NK}""")
+def stream_ingest_comments(v):
+    """Comment batches arrive in two waves; the stream runs after each wave
+    and once more with nothing new. The sink must equal one first-write-wins load."""
+    from ..streaming.ingest import run_ingest
+
+    spark = v.spark
+    c = v.comments_v.select("comment_id", *KEY)
+    top = c.select(F.max("comment_id")).scalar()
+    base = scratch_path(spark, "ingest")
+    source, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+    first, second = c.where(F.col("comment_id") * 2 < top), c.where(F.col("comment_id") * 2 >= top)
+    first.write.mode("append").parquet(source)
+    run_ingest(spark, source, sink, ckpt, c.schema)
+    second.write.mode("append").parquet(source)
+    run_ingest(spark, source, sink, ckpt, c.schema)
+    run_ingest(spark, source, sink, ckpt, c.schema)   # nothing new: adds nothing
+    return spark.read.parquet(sink)
