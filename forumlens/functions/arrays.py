@@ -15,6 +15,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(expr, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` as a lambda variable.
+
+    Column expressions are trees, so a sub-expression used twice is computed
+    twice; inside nested higher-order functions that grows quickly. Binding it
+    through a one-element ``transform`` computes it once per row.
+    """
+    return F.element_at(F.transform(F.array(_c(expr)), fn), 1)
+
+
 def total(v) -> Column:
     return F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -25,7 +35,7 @@ def dot(a, b) -> Column:
 
 def matvec(w, x) -> Column:
     """W x for a row-major matrix W."""
-    return F.transform(_c(w), lambda row: dot(row, _c(x)))
+    return let(x, lambda xx: F.transform(_c(w), lambda row: dot(row, xx)))
 
 
 def add(*vs) -> Column:
@@ -59,9 +69,8 @@ def relu(v) -> Column:
 
 def softmax(v) -> Column:
     """exp(x - max) / sum, a stable softmax."""
-    v = _c(v)
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    return let(v, lambda vv: let(F.transform(vv, lambda x: F.exp(x - F.array_max(vv))),
+                                 lambda e: F.transform(e, lambda x: x / total(e))))
 
 
 def discretize(v, threshold: float = 0.5) -> Column:
@@ -72,9 +81,8 @@ def discretize(v, threshold: float = 0.5) -> Column:
 
 def one_hot_argmax(v) -> Column:
     """One-hot of the largest component, first one on ties."""
-    v = _c(v)
-    pos = F.array_position(v, F.array_max(v))
-    return F.transform(v, lambda x, i: F.when(i + 1 == pos, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return let(v, lambda vv: F.transform(
+        vv, lambda x, i: F.when(i + 1 == F.array_position(vv, F.array_max(vv)), F.lit(1.0)).otherwise(F.lit(0.0))))
 
 
 def concat(*vs) -> Column:

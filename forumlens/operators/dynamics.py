@@ -31,7 +31,7 @@ def network_step(x, layers: list[tuple], out: tuple) -> Column:
     """Feed-forward step: ReLU layers then a softmax output layer."""
     h = x if isinstance(x, Column) else F.col(x)
     for w, bias in layers:
-        h = A.relu(A.add(A.matvec(w, h), bias))
+        h = A.let(A.add(A.matvec(w, h), bias), A.relu)
     w_o, b_o = out
     return A.softmax(A.add(A.matvec(w_o, h), b_o))
 
