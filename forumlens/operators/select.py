@@ -183,3 +183,13 @@ def block_kind() -> Column:
              .when(F.col("has_reply_link"), "parent_link")
              .when(F.col("has_reply_text"), "deleted_parent")
              .otherwise("other"))
+
+
+# --- scans ---------------------------------------------------------------------
+
+def slice_by(df: DataFrame, col: str, value, order: list[Column] | None = None) -> DataFrame:
+    """Rows with ``col == value`` (A01); with a literal value the filter is pushed
+    into the Parquet scan (row-group statistics skip the rest)."""
+    v = value if isinstance(value, Column) else F.lit(value)
+    out = df.where(F.col(col) == v)
+    return out.orderBy(*order) if order else out

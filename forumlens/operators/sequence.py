@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 
 
-def time_chunk(ts_col: str, seconds: int = 86400) -> Column:
+DEFAULT_CHUNK_SECONDS = 3600
+
+
+def time_chunk(ts_col: str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
     """Chunk id for ascending time order: whole ``seconds``-wide buckets."""
     return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (seconds * 1_000_000))
 
@@ -103,17 +106,21 @@ def with_carry_forward(df: DataFrame, keys, order: Sequence[Column], chunk: Colu
 
 
 def first_n_per_key(df: DataFrame, keys, order: Sequence[Column], chunk: Column, n: int,
-                    name: str = "rank") -> DataFrame:
+                    name: str = "rank", salts: int = 64) -> DataFrame:
     """Rows whose 1-based rank in their key's order is <= n (rank in ``name``).
 
-    A row's rank is at least its rank inside its chunk, so each chunk is cut to
-    its first n rows before the exact ranks are computed on what is left.
+    A row's rank is at least its rank inside any subset of its key's rows, so the
+    rows are first cut to the top n of each (key, chunk, salt) group, where the
+    salt is a hash of the row's order values; a hot key is thus pre-filtered by
+    many tasks. Exact ranks are computed on what is left (at most
+    n x chunks x salts rows per key).
     """
     keys = _keys(keys)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    pre = (df.withColumn(CHUNK, chunk)
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(salts))
+    inner = Window.partitionBy(*keys, CHUNK, "_salt").orderBy(*order)
+    pre = (df.withColumn(CHUNK, chunk).withColumn("_salt", salt)
              .withColumn("_p", F.row_number().over(inner))
              .filter(F.col("_p") <= n)
-             .drop("_p", CHUNK))
+             .drop("_p", "_salt", CHUNK))
     ranked = with_index(pre, keys, order, chunk, "_idx")
     return ranked.filter(F.col("_idx") < n).withColumn(name, F.col("_idx") + 1).drop("_idx")

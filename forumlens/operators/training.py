@@ -20,7 +20,7 @@ def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFrame,
-                       chunk_seconds: int = 86400) -> DataFrame:
+                       chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """One row per comment of a known user, with its article text, parent comment
     text (NULL for top-level comments) and step index in the user's sequence.
 
@@ -44,11 +44,11 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
 
 # --- sequences of state vectors ---------------------------------------------
 
-def state_chunk(chunk_seconds: int = 86400):
+def state_chunk(chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS):
     return sequence.time_chunk("normalized_posted_time", chunk_seconds)
 
 
-def next_state_pairs(vectors: DataFrame, missing_parent=None, chunk_seconds: int = 86400) -> DataFrame:
+def next_state_pairs(vectors: DataFrame, missing_parent=None, chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Inputs at t (article, parent, own state) with the target state at t+1; the
     last row of each user has no target and is dropped (W02). A missing parent
     becomes ``missing_parent`` (zeros by default, H05/K6)."""
@@ -70,8 +70,8 @@ def split_order() -> list:
 
 
 def split_chunk():
-    # first two hex digits of the md5: monotone in the md5 order
-    return F.conv(F.substring(F.md5(F.col("comment_id").cast("string")), 1, 2), 16, 10).cast("int")
+    # first four hex digits of the md5: monotone in the md5 order, 65536 chunks per user
+    return F.conv(F.substring(F.md5(F.col("comment_id").cast("string")), 1, 4), 16, 10).cast("int")
 
 
 def train_val_split(rows: DataFrame, ratio_tenths: int = 8) -> DataFrame:
@@ -86,7 +86,7 @@ def train_val_split(rows: DataFrame, ratio_tenths: int = 8) -> DataFrame:
 
 
 def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None,
-                        chunk_seconds: int = 86400) -> DataFrame:
+                        chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Place the prediction made at t on row t+1; the first row of each user gets
     ``sentinel`` ([2, 2, 2] by default) (W04)."""
     from ..functions import arrays as A

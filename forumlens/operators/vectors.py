@@ -1,6 +1,9 @@
 """Label-probability vectors: classifier output handling and text scoring."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +89,12 @@ def score_with_model(df: DataFrame, text: str, predict, labels, out: str = "vec"
     """Plug-in slot for a user model: ``predict(list[str | None]) -> list[dict label->score | None]``
     is called on Arrow batches (iterator pandas UDF) and its scores are put in
     label order; a NULL text keeps its row and gets NULL."""
-    import pandas as pd
-
     from pyspark.sql.functions import pandas_udf
 
     order = list(labels)
 
     @pandas_udf("array<double>")
-    def _score(batches):
+    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = [None if pd.isna(x) else x for x in s.tolist()]
             res = predict(texts)

@@ -208,7 +208,7 @@ def comment_page(v):
                            -sequence.time_chunk("normalized_posted_time"), PAGE)
     recommended = S.listing_page(c, "article_id",
                                  [F.col("agreements_count").desc(), F.col("comment_id").asc()],
-                                 -F.floor(F.col("agreements_count") / 50), PAGE)
+                                 -F.col("agreements_count"), PAGE)
     cols = ["article_id", "comment_id", F.col("position").cast("bigint").alias("position")]
     return (newer.select(F.lit("newer").alias("listing"), *cols)
                  .unionByName(recommended.select(F.lit("recommended").alias("listing"), *cols)))

@@ -175,3 +175,19 @@ def param_error(v):
     diff = F.zip_with(est_cells, true_cells, lambda x, y: F.abs(x - y))
     return j.select("user_id", F.round(F.array_max(diff), 6).alias("max_abs_error"),
                     F.round(A.total(diff) / len(_CELLS), 6).alias("mean_abs_error"))
+
+
+_TUPLES_LEAD_SQL = f"""
+SELECT t.*, t.st0 AS s0, t.st1 AS s1, t.st2 AS s2, nx.x0 AS y0, nx.x1 AS y1, nx.x2 AS y2
+FROM ({_PARENTS_SQL}) t
+JOIN nodes_v nx ON nx.node_id = t.node_id AND nx.k = t.k + 1 AND nx.metadata_id = t.metadata_id"""
+
+
+@register("graph_training_tuples_lead", views=("nodes_v",), oracle=f"""
+SELECT node_id, k, {_r(['p0', 'p1', 'p2', 'a', 'q0', 'q1', 'q2', 'b', 's0', 's1', 's2', 'y0', 'y1', 'y2'])}
+FROM ({_TUPLES_LEAD_SQL}) u""")
+def graph_training_tuples_lead(v):
+    """W09 with target_lead=1 (K11): parents and state at k -> target at k+1."""
+    t = Dy.graph_tuples(v.nodes(), target_lead=1)
+    return _flat(t.select("node_id", "k", "p", F.round("a", 6).alias("a"), "q", F.round("b", 6).alias("b"),
+                          "s", "y"), ["p", "q", "s", "y"])

@@ -284,3 +284,18 @@ def stream_ingest_comments(v):
     run_ingest(spark, source, sink, ckpt, c.schema)
     run_ingest(spark, source, sink, ckpt, c.schema)   # nothing new: adds nothing
     return spark.read.parquet(sink)
+
+
+@register("scan_user_slice", views=("vectors_v",), oracle=f"""
+SELECT comment_id, user_id, normalized_posted_time, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2
+FROM vectors_v
+WHERE user_id = (SELECT user_id FROM vectors_v GROUP BY user_id ORDER BY COUNT(*) DESC, user_id LIMIT 1)
+{_ORDER}""")
+def scan_user_slice(v):
+    """One user's vector rows in sequence order (the user with the most rows)."""
+    x = v.vectors_v
+    busiest = (x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.col("n").desc(), "user_id").limit(1).select("user_id").scalar())
+    out = S.slice_by(x, "user_id", busiest, training.comment_order())
+    return out.select("comment_id", "user_id", "normalized_posted_time",
+                      *[F.round(c, 6).alias(c) for c in ("s0", "s1", "s2")])

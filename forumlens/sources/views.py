@@ -45,6 +45,14 @@ def _parent_id() -> str:
             "THEN event_id - 1 - event_id % 13 END")
 
 
+def _user_rank(d: str) -> str:
+    """1-based rank of an event in its user's time order. In Spark the events come
+    pre-ranked (``_rk``) by the skew-safe sequence index instead of a per-user window."""
+    if d == SPARK:
+        return "(_rk + 1)"
+    return "ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
 def _user_link(uid: str = "user_id") -> str:
     return f"'https://news.example/users/' || CAST({uid} AS STRING)"
 
@@ -105,10 +113,10 @@ def blocks_v(d: str) -> str:
     # Page blocks of user pages: one section per user, blocks in time order.
     # Marker flags overlap on purpose (comments and replies both carry text),
     # so the kind is decided by the first matching rule.
-    return """
+    return f"""
 SELECT event_id AS block_id,
        user_id AS section,
-       CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
+       CAST({_user_rank(d)} AS BIGINT) AS seq,
        event_type = 'signup' AS has_anchor,
        event_type = 'click' AS has_reply_count,
        event_type IN ('click', 'view') AS has_text,
@@ -117,7 +125,7 @@ SELECT event_id AS block_id,
        CASE WHEN event_type = 'signup' THEN event_id % 200 END AS article_id,
        CASE WHEN event_type = 'purchase'
             THEN 'https://news.example/comments/' || CAST(event_id % 5000 AS STRING) END AS reply_link
-FROM {events}"""
+FROM {{events}}"""
 
 
 def number_text_v(d: str) -> str:
@@ -217,7 +225,7 @@ SELECT CAST(200 + user_id AS BIGINT) AS node_id,
        CASE WHEN k > 0 THEN CAST(k % 41 AS INT) END AS p1_k,
        CASE WHEN {second} THEN CAST(200 + user_id - 1 AS BIGINT) END AS p2_id,
        CASE WHEN {second} THEN CAST(k * 3 % 40 AS INT) END AS p2_k
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k
+FROM (SELECT *, {_user_rank(d)} - 1 AS k
       FROM {{events}}) e
 UNION ALL
 SELECT CAST(doc_id AS BIGINT) AS node_id,
@@ -243,6 +251,9 @@ SELECT dd.doc_id, dd.text,
 FROM {documents} dd JOIN {labels} l ON dd.doc_id = l.doc_id"""
 
 
+# views whose Spark form reads events with a precomputed per-user rank
+RANKED = {"blocks_v", "nodes_v"}
+
 # view name -> (sql builder, dependencies)
 VIEWS = {
     "comments_v": (comments_v, ("events",)),
@@ -308,11 +319,21 @@ class Views:
             if name in VIEWS:
                 builder, deps = VIEWS[name]
                 bound = {dep: self.get(dep) for dep in deps}
+                if name in RANKED:
+                    bound["events"] = self.ranked_events()
                 self._cache[name] = self.spark.sql(builder(SPARK), **bound)
             else:
                 self._cache[name] = read_table(self.spark, self.sf_dir, name)
         return self._cache[name]
 
+    def ranked_events(self) -> DataFrame:
+        if "_ranked_events" not in self._cache:
+            from ..operators import sequence
+            ev = self.get("events")
+            self._cache["_ranked_events"] = sequence.with_index(
+                ev, "user_id", [F.col("ts").asc(), F.col("event_id").asc()], sequence.time_chunk("ts"), "_rk")
+        return self._cache["_ranked_events"]
+
     # Array-shaped forms used by the library (the reference's data model).
     def vectors(self) -> DataFrame:
         v = self.get("vectors_v")

@@ -59,3 +59,14 @@ def test_archive_name(spark):
     df = spark.createDataFrame([('a\\b/c*d?e:f"g<h>i|j',), (None,)], "t string")
     assert [r.n for r in df.select(archive_name(F.col("t")).alias("n")).collect()] == \
         ["abcdefghij.html", "default_title.html"]
+
+
+def test_model_slot_keeps_positions_and_nulls(spark):
+    from forumlens.operators.vectors import score_with_model
+
+    def predict(texts):
+        return [None if t is None else {"positive": 0.5, "neutral": 0.3, "negative": len(t) / 10} for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcd")], "id long, text string")
+    got = {r.id: r.vec for r in score_with_model(df, "text", predict, ("negative", "positive", "neutral")).collect()}
+    assert got == {1: [0.2, 0.5, 0.3], 2: None, 3: [0.4, 0.5, 0.3]}
