@@ -51,7 +51,11 @@ def with_index(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
     c = df.withColumn(CHUNK, chunk)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     c = c.withColumn("_pos", F.row_number().over(inner) - 1)
-    counts = c.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    # Chunk sizes come from a partial aggregation of the input: Catalyst prunes this
+    # branch to the key and chunk columns, and only (key, chunk, count) rows are
+    # shuffled. The offsets table has one row per (key, chunk) and is joined back
+    # on the window's own partitioning (or broadcast when AQE measures it small).
+    counts = df.withColumn(CHUNK, chunk).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (c.join(offsets, [*keys, CHUNK])
