@@ -1,7 +1,10 @@
-"""Per-user model fitting as a grouped-map job.
+"""Per-user model fitting as a partition-wise map job.
 
-Each (user, shard) group is fitted with NumPy mini-batch Adam inside one task
-(``applyInPandas``). A user's training pairs are cut into shards of at most
+Each (user, shard) group is fitted with NumPy mini-batch Adam. Rows are
+hash-partitioned by group and sorted inside each partition; ``mapInPandas`` walks
+a partition in memory-bounded buffers and fits the complete groups of a buffer
+together (``fit_packed``: the same per-group algorithm, with one step's arithmetic
+shared by up to ``PACK_GROUPS`` groups). A user's training pairs are cut into shards of at most
 ``shard_rows`` rows (by sequence index), so a user holding a large share of the
 data is spread over many tasks; every shard starts from the same seeded
 initialisation and the shard weights are then averaged (one round of parameter
@@ -25,6 +28,8 @@ from ..session import checkpoint_dir
 from . import sequence
 from .training import comment_order, state_chunk
 
+PACK_ROWS = 100_000      # rows buffered per task before a pack is fitted
+PACK_GROUPS = 256        # groups fitted together in one vectorised pass
 FIT_SCHEMA = ("user_id long, setting long, shard long, n_train long, n_val long, "
               "params array<double>, train_loss array<double>, val_loss array<double>")
 
@@ -93,7 +98,7 @@ def fit_arrays(kind, P, Q, S, Y, train_mask, epochs, batch, lr, seed, hidden=8):
     va = np.flatnonzero(~train_mask)
     train_hist, val_hist, t = [], [], 0
     for _ in range(epochs):
-        order = rng.permutation(tr)
+        order = tr[np.argsort(rng.random(len(tr)), kind="stable")]
         losses = []
         for start in range(0, len(order), batch):
             idx = order[start:start + batch]
@@ -112,6 +117,111 @@ def fit_arrays(kind, P, Q, S, Y, train_mask, epochs, batch, lr, seed, hidden=8):
     return views, train_hist, val_hist
 
 
+
+def _packed_forward_backward(kind, params, P, Q, S, Y, M, want_grad=True):
+    """Forward / backward for G groups at once. Arrays are (G, b, d); M (G, b) marks
+    real rows. Returns per-group losses (G,) and gradients with a leading G axis."""
+    d = Y.shape[2]
+    cnt = M.sum(1)
+    denom = np.where(cnt > 0, cnt * d, 1.0)
+    if kind in ("linear", "diff"):
+        Wp, Wq, Ws, b = params
+        A, B = (P - S, Q - S) if kind == "diff" else (P, Q)
+        z = (A @ Wp.transpose(0, 2, 1) + B @ Wq.transpose(0, 2, 1)
+             + S @ Ws.transpose(0, 2, 1) + b[:, None, :])
+        yhat = np.tanh(z)
+        err = (yhat - Y) * M[:, :, None]
+        loss = (err ** 2).sum((1, 2)) / denom
+        if not want_grad:
+            return loss, None
+        dz = (2.0 / denom)[:, None, None] * err * (1 - yhat ** 2)
+        dzT = dz.transpose(0, 2, 1)
+        return loss, [dzT @ A, dzT @ B,
+                      dzT @ S, dz.sum(1)]
+    W1, b1, W2, b2 = params
+    X = np.concatenate([P, Q, S], axis=2)
+    hpre = X @ W1.transpose(0, 2, 1) + b1[:, None, :]
+    h = np.maximum(hpre, 0.0)
+    o = h @ W2.transpose(0, 2, 1) + b2[:, None, :]
+    o = o - o.max(axis=2, keepdims=True)
+    e = np.exp(o)
+    yhat = e / e.sum(axis=2, keepdims=True)
+    err = (yhat - Y) * M[:, :, None]
+    loss = (err ** 2).sum((1, 2)) / denom
+    if not want_grad:
+        return loss, None
+    dy = (2.0 / denom)[:, None, None] * err
+    do = yhat * (dy - (dy * yhat).sum(axis=2, keepdims=True))
+    dh = (do @ W2) * (hpre > 0)
+    return loss, [dh.transpose(0, 2, 1) @ X, dh.sum(1), do.transpose(0, 2, 1) @ h, do.sum(1)]
+
+
+def fit_packed(kind, groups, epochs, batch, lrs, seeds, hidden=8):
+    """Fit G independent models at once (same algorithm and seeds as ``fit_arrays``).
+
+    ``groups`` is a list of (P, Q, S, Y, train_mask) per group. Every group keeps its
+    own data, initialisation, shuffling and Adam state; the arithmetic of one step
+    runs for all groups together, so the Python cost of a step is shared. Groups
+    that have no batch left in an epoch simply do not step.
+    """
+    G = len(groups)
+    d = groups[0][3].shape[1]
+    n_tr = np.array([int(g[4].sum()) for g in groups])
+    n_va = np.array([int((~g[4]).sum()) for g in groups])
+    n_max = int((n_tr + n_va).max())
+    data = np.zeros((4, G, n_max, d))
+    for i, (P, Q, S, Y, mask) in enumerate(groups):
+        order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])   # train rows first
+        for a, arr in enumerate((P, Q, S, Y)):
+            data[a, i, :len(order)] = arr[order]
+    inits = [_init(kind, d, hidden, s) for s in seeds]
+    params = [np.stack([init[j] for init in inits]) for j in range(len(inits[0]))]
+    m = [np.zeros_like(p) for p in params]
+    v = [np.zeros_like(p) for p in params]
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    lrs = np.asarray(lrs, dtype=np.float64)
+    rngs = [np.random.default_rng(s + 1) for s in seeds]
+    t = np.zeros(G)
+    gi = np.arange(G)[:, None]
+    rows = np.arange(n_max)[None, :]
+    val_mask = ((rows >= n_tr[:, None]) & (rows < (n_tr + n_va)[:, None])).astype(np.float64)
+    max_tr = int(n_tr.max())
+    steps = -(-max_tr // batch) if max_tr else 0
+    train_hist = np.full((G, epochs), np.nan)
+    val_hist = np.full((G, epochs), np.nan)
+    for ep in range(epochs):
+        keys = np.full((G, max(max_tr, 1)), np.inf)
+        for i in range(G):
+            keys[i, :n_tr[i]] = rngs[i].random(n_tr[i])
+        perm = np.argsort(keys, axis=1, kind="stable")
+        loss_sum = np.zeros(G)
+        n_steps = np.zeros(G)
+        for j in range(steps):
+            pos = j * batch + np.arange(batch)
+            valid = (pos[None, :] < n_tr[:, None])
+            active = valid[:, 0]
+            idx = perm[:, np.minimum(pos, perm.shape[1] - 1)]
+            Mb = valid.astype(np.float64)
+            Pb, Qb, Sb, Yb = data[:, gi, idx]
+            loss, grads = _packed_forward_backward(kind, params, Pb, Qb, Sb, Yb, Mb)
+            loss_sum += np.where(active, loss, 0.0)
+            n_steps += active
+            t += active
+            tt = np.maximum(t, 1)
+            for k, g in enumerate(grads):
+                shape = (G,) + (1,) * (g.ndim - 1)
+                act = active.reshape(shape)
+                m[k] = np.where(act, b1 * m[k] + (1 - b1) * g, m[k])
+                v[k] = np.where(act, b2 * v[k] + (1 - b2) * g * g, v[k])
+                mhat = m[k] / (1 - b1 ** tt).reshape(shape)
+                vhat = v[k] / (1 - b2 ** tt).reshape(shape)
+                params[k] = params[k] - np.where(act, lrs.reshape(shape) * mhat / (np.sqrt(vhat) + eps), 0.0)
+        train_hist[:, ep] = np.where(n_steps > 0, loss_sum / np.maximum(n_steps, 1), np.nan)
+        vl, _ = _packed_forward_backward(kind, params, data[0], data[1], data[2], data[3], val_mask, False)
+        val_hist[:, ep] = np.where(n_va > 0, vl, np.nan)
+    return [[p[i] for p in params] for i in range(G)], train_hist.tolist(), val_hist.tolist()
+
+
 def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in col])
 
@@ -136,27 +246,62 @@ def fit_pairs(pairs: DataFrame, kind: str = "linear", epochs: int = 500, batch:
                                    F.lit(str(r["kind"])).alias("kind"), F.lit(float(r["lr"])).alias("lr"))
                          for r in settings])
         rows = rows.select("*", F.inline(grid))
-    rows = rows.select("user_id", "setting", "shard", "kind", "lr", "p", "q", "s", "y",
+    rows = rows.select("user_id", "setting", "shard", "_idx", "kind", "lr", "p", "q", "s", "y",
                        (F.col("split") == "train").alias("is_train"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uid, setting, shard = int(pdf.user_id.iloc[0]), int(pdf.setting.iloc[0]), int(pdf.shard.iloc[0])
-        k, rate = str(pdf.kind.iloc[0]), float(pdf.lr.iloc[0])
-        mask = pdf.is_train.to_numpy(dtype=bool)
-        params, tr, va = fit_arrays(k, _stack(pdf.p), _stack(pdf.q), _stack(pdf.s), _stack(pdf.y), mask,
-                                    epochs, batch, rate, seed=uid * 1000 + setting, hidden=hidden)
-        flat = np.concatenate([p.ravel() for p in params]).tolist()
-        return pd.DataFrame({"user_id": [uid], "setting": [setting], "shard": [shard],
-                             "n_train": [int(mask.sum())], "n_val": [int((~mask).sum())],
-                             "params": [flat], "train_loss": [tr], "val_loss": [va]})
+    keys = ["user_id", "setting", "shard"]
+
+    def fit_groups(pdf: pd.DataFrame):
+        """Fit every complete (user, setting, shard) group of a buffer, packed by kind
+        and by similar size so that a pack's steps are shared evenly."""
+        groups = []
+        for (uid, setting, shard), g in pdf.groupby(keys, sort=False):
+            mask = g.is_train.to_numpy(dtype=bool)
+            groups.append((int(uid), int(setting), int(shard), str(g.kind.iloc[0]), float(g.lr.iloc[0]),
+                           (_stack(g.p), _stack(g.q), _stack(g.s), _stack(g.y), mask)))
+        groups.sort(key=lambda x: (x[3], int(x[5][4].sum())))
+        out = []
+        for start in range(0, len(groups), PACK_GROUPS):
+            pack = groups[start:start + PACK_GROUPS]
+            for kind_name in sorted({x[3] for x in pack}):
+                sub = [x for x in pack if x[3] == kind_name]
+                params, tr, va = fit_packed(kind_name, [x[5] for x in sub], epochs, batch,
+                                            [x[4] for x in sub], [x[0] * 1000 + x[1] for x in sub], hidden)
+                for i, x in enumerate(sub):
+                    mask = x[5][4]
+                    out.append({"user_id": x[0], "setting": x[1], "shard": x[2],
+                                "n_train": int(mask.sum()), "n_val": int((~mask).sum()),
+                                "params": np.concatenate([a.ravel() for a in params[i]]).tolist(),
+                                "train_loss": tr[i], "val_loss": va[i]})
+        return pd.DataFrame(out, columns=["user_id", "setting", "shard", "n_train", "n_val",
+                                          "params", "train_loss", "val_loss"])
+
+    def fit_partition(batches):
+        """Rows arrive sorted by group; a group may span Arrow batches, so complete
+        groups are fitted once ``PACK_ROWS`` rows are buffered and the last (possibly
+        incomplete) group is carried into the next buffer."""
+        buf, n_buf = [], 0
+        for pdf in batches:
+            buf.append(pdf)
+            n_buf += len(pdf)
+            if n_buf >= PACK_ROWS:
+                allrows = pd.concat(buf, ignore_index=True)
+                last = tuple(allrows.iloc[-1][keys])
+                tail = (allrows.user_id == last[0]) & (allrows.setting == last[1]) & (allrows.shard == last[2])
+                if (~tail).any():
+                    yield fit_groups(allrows[~tail])
+                buf, n_buf = [allrows[tail]], int(tail.sum())
+        if n_buf:
+            yield fit_groups(pd.concat(buf, ignore_index=True))
 
     # The fits are CPU-bound and their input is small, so AQE would coalesce the
     # shuffle into a few tasks; an explicit repartition to the cluster's
-    # parallelism keeps one wave of tasks busy (and groupBy reuses it).
+    # parallelism keeps one wave of tasks busy. Rows are sorted by group inside
+    # each partition and fitted in memory-bounded packs.
     spark = pairs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartition(n, "user_id", "setting", "shard")
-    fitted = rows.groupBy("user_id", "setting", "shard").applyInPandas(run, FIT_SCHEMA)
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "_idx")
+    fitted = rows.drop("_idx").mapInPandas(fit_partition, FIT_SCHEMA)
     # one row per (user, setting, shard): written once to the shared checkpoint
     # folder, so the fit is neither repeated by the averaging below nor lost with an executor
     checkpoint_dir(pairs.sparkSession)

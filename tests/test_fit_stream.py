@@ -41,3 +41,35 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
     run_ingest(spark, src, sink, ck, df.schema)
     twice = sorted(r.comment_id for r in spark.read.parquet(sink).collect())
     assert once == twice == [1, 3, 4]
+
+
+def test_packed_fit_equals_single_fits():
+    from forumlens.operators.fit import fit_packed
+
+    rng = np.random.default_rng(0)
+    groups = []
+    for n in (55, 40, 61, 3, 12):
+        P, Q, S, Y = (rng.random((n, 3)) for _ in range(4))
+        groups.append((P, Q, S, Y, rng.random(n) < 0.8))
+    seeds = [11, 12, 13, 14, 15]
+    for kind in ("linear", "diff", "network"):
+        packed, tr, va = fit_packed(kind, groups, 20, 8, [0.01] * 5, seeds)
+        for i, g in enumerate(groups):
+            single, tr1, va1 = fit_arrays(kind, *g, 20, 8, 0.01, seeds[i])
+            assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(single, packed[i]))
+            assert np.allclose(tr1, tr[i], equal_nan=True) and np.allclose(va1, va[i], equal_nan=True)
+
+
+def test_spark_fit_rows(spark):
+    """The distributed fit gives one row per user with falling training loss."""
+    from pyspark.sql import functions as F
+
+    from forumlens.operators import fit, training
+    from forumlens.sources.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    pairs = training.train_val_split(training.next_state_pairs(v.vectors()))
+    out = fit.fit_pairs(pairs, "linear", epochs=30, batch=8, lr=0.01).collect()
+    assert len(out) == pairs.select(F.count_distinct("user_id")).first()[0]
+    assert all(r.train_loss[-1] < r.train_loss[0] for r in out)
+    assert all(len(r.params) == 30 for r in out)
