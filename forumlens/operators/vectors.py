@@ -42,46 +42,79 @@ TOKEN_SPLIT = "[^0-9a-zà-ɏ]+"
 
 def tokens(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
 
 
-def fit_naive_bayes(train: DataFrame, text: str, label: str) -> dict[str, DataFrame]:
-    """Token counts per class, class totals and priors (all DataFrames)."""
+def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w, tf): token counts per document (whole texts)."""
+    return (docs.select(key, F.explode(tokens(text)).alias("w"))
+                .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def fit_naive_bayes(train: DataFrame, text: str, label: str, labels=None) -> dict[str, DataFrame]:
+    """Fit the scorer: token counts per class, class priors and normalisers.
+
+    Fitting is eager, like any model fit: the (class, token) counts are computed
+    once and checkpointed to the shared checkpoint folder, so every later use reads
+    the model instead of re-tokenising the training texts. ``words`` has one row
+    per vocabulary token with log(cnt + 1) per label (0 for a class that never saw
+    the token), so scoring is a single equi-join on the token.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(train.sparkSession)
     toks = train.select(F.col(label).alias("label"), F.explode(tokens(text)).alias("w"))
-    counts = toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt"))
-    vocab_size = counts.select(F.count_distinct("w")).scalar()
+    counts = toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
-    n_docs = train.select(F.count(F.lit(1))).scalar()
     totals = counts.groupBy("label").agg(F.sum("cnt").alias("t_c"))
-    classes = (docs.join(totals, "label", "left")
-                   .select("label", (F.log(F.col("n_c")) - F.log(n_docs)).alias("prior"),
-                           F.log(F.coalesce("t_c", F.lit(0)) + vocab_size).alias("log_norm")))
-    return {"counts": counts, "classes": classes, "vocab": counts.select("w").distinct()}
+    vocab = counts.agg(F.count_distinct("w").alias("v"))
+    per_class = docs.join(totals, "label", "left")
+    # one-row tables joined on a constant: bounded, broadcast
+    n_all = per_class.agg(F.sum("n_c").alias("n"))
+    consts = vocab.withColumn("_one", F.lit(1)).join(n_all.withColumn("_one", F.lit(1)), "_one")
+    classes = (per_class.withColumn("_one", F.lit(1)).join(F.broadcast(consts), "_one")
+                        .select("label", (F.log(F.col("n_c")) - F.log(F.col("n"))).alias("prior"),
+                                F.log(F.coalesce("t_c", F.lit(0)) + F.col("v")).alias("log_norm")))
+    model = {"counts": counts, "classes": classes}
+    if labels is not None:
+        model["words"] = word_table(counts, labels)
+    return model
+
+
+def word_table(counts: DataFrame, labels) -> DataFrame:
+    return counts.groupBy("w").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("label") == x, F.log(F.col("cnt") + 1))), F.lit(0.0))
+        for x in labels]).alias("lw"))
 
 
 def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, DataFrame],
                       labels, out: str = "vec") -> DataFrame:
-    """Probability vector over ``labels`` per row of ``docs``; NULL text -> NULL vector."""
-    tf = (docs.select(key, F.explode(tokens(text)).alias("w"))
-              .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
-    known = tf.join(model["vocab"], "w", "left_semi")
-    n_in_vocab = known.groupBy(key).agg(F.sum("tf").alias("n_d"))
-    partial = (known.join(model["counts"], "w")
-                    .groupBy(key, "label").agg(F.sum(F.col("tf") * F.log(F.col("cnt") + 1)).alias("part")))
-    # one row per (document, class): a fixed fan-out over the label list
-    per_class = (docs.where(F.col(text).isNotNull()).select(key)
-                     .join(n_in_vocab, key, "left")
-                     .select(key, F.coalesce("n_d", F.lit(0)).alias("n_d"),
-                             F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")))
-    # the class table has one row per label: bounded, broadcast
-    scored = (per_class.join(F.broadcast(model["classes"]), "label")
-                       .join(partial, [key, "label"], "left")
-                       .select(key, "label", (F.col("prior") - F.col("n_d") * F.col("log_norm")
-                                              + F.coalesce("part", F.lit(0.0))).alias("score")))
-    vec = scored.groupBy(key).agg(
-        F.array(*[F.max(F.when(F.col("label") == x, F.col("score"))) for x in labels]).alias("_scores"))
+    """Probability vector over ``labels`` per row of ``docs``; NULL text -> NULL vector.
+
+    One join of the documents' token counts with the per-token table and one
+    aggregation per document; the per-class constants come as one broadcast row.
+    """
+    labels = list(labels)
+    words = model.get("words")
+    if words is None:
+        words = word_table(model["counts"], labels)
+    tf = term_frequencies(docs, key, text)
+    sums = (tf.join(words, "w")
+              .groupBy(key)
+              .agg(F.sum("tf").alias("n_d"),
+                   *[F.sum(F.col("tf") * F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
+    cls = model["classes"]
+    row = cls.agg(*[F.max(F.when(F.col("label") == x, F.col("prior"))).alias(f"_prior{i}")
+                    for i, x in enumerate(labels)],
+                  *[F.max(F.when(F.col("label") == x, F.col("log_norm"))).alias(f"_norm{i}")
+                    for i, x in enumerate(labels)]).withColumn("_one", F.lit(1))
+    present = (docs.where(F.col(text).isNotNull()).select(key).join(sums, key, "left")
+                   .withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one"))
+    n_d = F.coalesce(F.col("n_d"), F.lit(0))
+    scores = F.array(*[F.col(f"_prior{i}") - n_d * F.col(f"_norm{i}") + F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
+                       for i in range(len(labels))])
     from ..functions.arrays import softmax
-    probs = vec.select(key, softmax("_scores").alias(out))
+    probs = present.select(key, scores.alias("_scores")).select(key, softmax("_scores").alias(out))
     return docs.select(key).join(probs, key, "left")
 
 
