@@ -20,7 +20,7 @@ def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFrame,
-                       chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                       chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS, with_step: bool = True) -> DataFrame:
     """One row per comment of a known user, with its article text, parent comment
     text (NULL for top-level comments) and step index in the user's sequence.
 
@@ -35,6 +35,10 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
                               F.col("comment_content").alias("parent_comment_content"))
     rows = (c.join(a, "article_id", "inner")
              .join(parents, "parent_comment_id", "left"))
+    cols = ["user_id", "article_id", "article_content", "parent_comment_id",
+            "parent_comment_content", "comment_id", "comment_content", "normalized_posted_time"]
+    if not with_step:
+        return rows.select(*cols)
     rows = sequence.with_index(rows, "user_id", comment_order(),
                                sequence.time_chunk("normalized_posted_time", chunk_seconds), "step")
     return rows.select("user_id", "article_id", "article_content", "parent_comment_id",

@@ -136,18 +136,22 @@ def score_with_model(df: DataFrame, text: str, predict, labels, out: str = "vec"
     return df.withColumn(out, _score(F.col(text)))
 
 
-def vectorize_columns(rows: DataFrame, text_cols: list[str], model: dict[str, DataFrame], labels) -> DataFrame:
-    """Replace-by-vector for several text columns (T03): the distinct texts of all
-    columns are scored once (keyed by SHA-256) and joined back per column."""
-    texts = None
-    for c in text_cols:
-        part = rows.select(F.col(c).alias("text")).where(F.col("text").isNotNull())
-        texts = part if texts is None else texts.unionByName(part)
-    distinct = texts.distinct().select(F.sha2("text", 256).alias("tkey"), "text")
+def vectorize_columns(rows: DataFrame, keys: list[str], text_cols: list[str], model: dict[str, DataFrame],
+                      labels) -> DataFrame:
+    """Replace several text columns by vectors.
+
+    The texts are unpivoted into (keys, column, text) rows, the distinct texts are
+    scored once (keyed by SHA-256), and one join plus one aggregation per row key
+    puts the vectors back; a NULL text gives a NULL vector.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in text_cols]))
+    long = (rows.select(*keys, cells.alias("x"))
+                .select(*keys, "x.col", "x.text")
+                .where(F.col("text").isNotNull())
+                .withColumn("tkey", F.sha2("text", 256)))
+    distinct = long.select("tkey", "text").dropDuplicates(["tkey"])
     scored = score_naive_bayes(distinct, "tkey", "text", model, labels, "vec")
-    out = rows
-    for c in text_cols:
-        out = (out.withColumn("_k", F.sha2(F.col(c), 256))
-                  .join(scored.select(F.col("tkey").alias("_k"), F.col("vec").alias(c + "_vec")), "_k", "left")
-                  .drop("_k"))
-    return out
+    wide = (long.select(*keys, "col", "tkey").join(scored, "tkey")
+                .groupBy(*keys)
+                .agg(*[F.max(F.when(F.col("col") == c, F.col("vec"))).alias(c + "_vec") for c in text_cols]))
+    return rows.select(*keys).join(wide, keys, "left")

@@ -114,8 +114,9 @@ LEFT JOIN nb_out c ON c.key = sha256(r.comment_content)""")
 def training_vectorized(v):
     """The training table with article, parent and comment texts as sentiment
     vectors; each distinct text is scored once and joined back by its hash."""
-    raw = training.build_training_raw(v.users_v, v.comments_v, v.articles_v)
-    return V.vectorize_columns(raw, ["article_content", "parent_comment_content", "comment_content"],
+    raw = training.build_training_raw(v.users_v, v.comments_v, v.articles_v, with_step=False)
+    return V.vectorize_columns(raw, ["comment_id", "user_id"],
+                               ["article_content", "parent_comment_content", "comment_content"],
                                sentiment_model(v), V.SENTIMENT_LABELS) \
         .transform(lambda d: _flat(_flat(_flat(
             d.select("comment_id", "user_id", F.col("article_content_vec").alias("a"),
