@@ -1,0 +1,16 @@
+"""Parallelism helpers."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the input has fewer
+    partitions than cores (a few large files with one row group each), before
+    CPU-heavy per-row work such as tokenising whole texts. Large inputs already
+    have more splits than cores and are left alone (no extra shuffle)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

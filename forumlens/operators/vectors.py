@@ -47,7 +47,9 @@ def tokens(text) -> Column:
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, w, tf): token counts per document (whole texts)."""
-    return (docs.select(key, F.explode(tokens(text)).alias("w"))
+    from .partitioning import spread
+
+    return (spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("w"))
                 .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -63,7 +65,10 @@ def fit_naive_bayes(train: DataFrame, text: str, label: str, labels=None) -> dic
     from ..session import checkpoint_dir
 
     checkpoint_dir(train.sparkSession)
-    toks = train.select(F.col(label).alias("label"), F.explode(tokens(text)).alias("w"))
+    from .partitioning import spread
+
+    toks = spread(train.select(label, text)).select(F.col(label).alias("label"),
+                                                    F.explode(tokens(text)).alias("w"))
     counts = toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
     totals = counts.groupBy("label").agg(F.sum("cnt").alias("t_c"))
@@ -98,11 +103,16 @@ def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, Dat
     words = model.get("words")
     if words is None:
         words = word_table(model["counts"], labels)
-    tf = term_frequencies(docs, key, text)
-    sums = (tf.join(words, "w")
-              .groupBy(key)
-              .agg(F.sum("tf").alias("n_d"),
-                   *[F.sum(F.col("tf") * F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
+    from .partitioning import spread
+
+    # tokens are joined to the per-token table as they are (no per-document
+    # pre-count): with a broadcast token table this is map-side, and the sums per
+    # document are combined map-side before their shuffle
+    toks = spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("w"))
+    sums = (toks.join(words, "w")
+                .groupBy(key)
+                .agg(F.count(F.lit(1)).alias("n_d"),
+                     *[F.sum(F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
     cls = model["classes"]
     row = cls.agg(*[F.max(F.when(F.col("label") == x, F.col("prior"))).alias(f"_prior{i}")
                     for i, x in enumerate(labels)],
