@@ -295,11 +295,12 @@ def fit_pairs(pairs: DataFrame, kind: str = "linear", epochs: int = 500, batch:
             yield fit_groups(pd.concat(buf, ignore_index=True))
 
     # The fits are CPU-bound and their input is small, so AQE would coalesce the
-    # shuffle into a few tasks; an explicit repartition to the cluster's
-    # parallelism keeps one wave of tasks busy. Rows are sorted by group inside
-    # each partition and fitted in memory-bounded packs.
+    # shuffle into a few tasks; an explicit repartition to twice the cluster's cores
+    # keeps every core busy with many groups per task (good packing) while a lost
+    # task redoes only a small share. Rows are sorted by group inside each
+    # partition and fitted in memory-bounded packs.
     spark = pairs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = 2 * spark.sparkContext.defaultParallelism
     rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "_idx")
     fitted = rows.drop("_idx").mapInPandas(fit_partition, FIT_SCHEMA)
     # one row per (user, setting, shard): written once to the shared checkpoint

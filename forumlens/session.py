@@ -32,9 +32,30 @@ def configure(spark: SparkSession) -> SparkSession:
             conf.set(key, value)  # results are defined in UTC wall time
         elif conf.get(key, None) is None:
             conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (as ``--py-files`` would):
+    the grouped-map and pandas UDF functions are pickled by reference."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="forumlens-pyfiles-")) / "forumlens"
+    archive = shutil.make_archive(str(out), "zip", root_dir=str(pkg.parent), base_dir=pkg.name)
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (local mode, no UI)."""
     spark = (
