@@ -208,14 +208,22 @@ def fit_packed(kind, groups, epochs, batch, lrs, seeds, hidden=8):
             n_steps += active
             t += active
             tt = np.maximum(t, 1)
+            c1, c2 = lrs / (1 - b1 ** tt), 1.0 / (1 - b2 ** tt)
+            every = bool(active.all())
             for k, g in enumerate(grads):
                 shape = (G,) + (1,) * (g.ndim - 1)
+                if every:   # usual case inside an epoch: plain in-place Adam
+                    m[k] *= b1
+                    m[k] += (1 - b1) * g
+                    v[k] *= b2
+                    v[k] += (1 - b2) * (g * g)
+                    params[k] -= c1.reshape(shape) * m[k] / (np.sqrt(v[k] * c2.reshape(shape)) + eps)
+                    continue
                 act = active.reshape(shape)
                 m[k] = np.where(act, b1 * m[k] + (1 - b1) * g, m[k])
                 v[k] = np.where(act, b2 * v[k] + (1 - b2) * g * g, v[k])
-                mhat = m[k] / (1 - b1 ** tt).reshape(shape)
-                vhat = v[k] / (1 - b2 ** tt).reshape(shape)
-                params[k] = params[k] - np.where(act, lrs.reshape(shape) * mhat / (np.sqrt(vhat) + eps), 0.0)
+                step = c1.reshape(shape) * m[k] / (np.sqrt(v[k] * c2.reshape(shape)) + eps)
+                params[k] = params[k] - np.where(act, step, 0.0)
         train_hist[:, ep] = np.where(n_steps > 0, loss_sum / np.maximum(n_steps, 1), np.nan)
         vl, _ = _packed_forward_backward(kind, params, data[0], data[1], data[2], data[3], val_mask, False)
         val_hist[:, ep] = np.where(n_va > 0, vl, np.nan)
