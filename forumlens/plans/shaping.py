@@ -270,7 +270,7 @@ SELECT comment_id, article_id, user_link, comment_content FROM comments_v WHERE
 def stream_ingest_comments(v):
     """Comment batches arrive in two waves; the stream runs after each wave
     and once more with nothing new. The sink must equal one first-write-wins load."""
-    from ..streaming.ingest import run_ingest
+    from ..streaming.ingest import read_sink, run_ingest
 
     spark = v.spark
     c = v.comments_v.select("comment_id", *KEY)
@@ -283,7 +283,7 @@ def stream_ingest_comments(v):
     second.write.mode("append").parquet(source)
     run_ingest(spark, source, sink, ckpt, c.schema)
     run_ingest(spark, source, sink, ckpt, c.schema)   # nothing new: adds nothing
-    return spark.read.parquet(sink)
+    return read_sink(spark, sink)
 
 
 @register("scan_user_slice", views=("vectors_v",), oracle=f"""

@@ -29,7 +29,7 @@ def test_network_fit_loss_falls():
 
 
 def test_stream_rerun_adds_nothing(spark, tmp_path):
-    from forumlens.streaming.ingest import run_ingest
+    from forumlens.streaming.ingest import read_sink, run_ingest
 
     schema = "comment_id long, article_id long, user_link string, comment_content string"
     rows = [(1, 1, "u", "a"), (2, 1, "u", "a"), (3, None, "u", "a"), (4, 2, "v", "b")]
@@ -37,9 +37,9 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     df.write.parquet(src)
     run_ingest(spark, src, sink, ck, df.schema)
-    once = sorted(r.comment_id for r in spark.read.parquet(sink).collect())
+    once = sorted(r.comment_id for r in read_sink(spark, sink).collect())
     run_ingest(spark, src, sink, ck, df.schema)
-    twice = sorted(r.comment_id for r in spark.read.parquet(sink).collect())
+    twice = sorted(r.comment_id for r in read_sink(spark, sink).collect())
     assert once == twice == [1, 3, 4]
 
 
