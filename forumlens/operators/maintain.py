@@ -69,3 +69,19 @@ def merge_sources(sources: list[tuple[str, DataFrame]], keys: list[str], order:
               for i, (name, df) in enumerate(sources)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     return first_per_key(union, keys, ["_prio", *order]).drop("_prio")
+
+
+def record_runs(runs: DataFrame, new: DataFrame, settings: list[str], order: str = "created",
+                id_col: str = "run_id") -> DataFrame:
+    """Run registry (B08): settings identical to a recorded run (or to an earlier new
+    row) are rejected; accepted rows get ids after the largest recorded one, in
+    ``order``. The registry holds one row per run, so numbering the few new rows
+    in one ordered window is fine."""
+    from pyspark.sql import Window
+
+    fresh = insert_first_wins(runs, new, settings, [order])
+    top = runs.select(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    added = (fresh.withColumn("_n", F.row_number().over(Window.orderBy(order, *settings)))
+                  .withColumn(id_col, (top + F.col("_n")).cast("long"))
+                  .drop("_n"))
+    return runs.unionByName(added.select(*runs.columns))

@@ -208,6 +208,14 @@ def weights_v(d: str) -> str:
         "\nFROM (SELECT DISTINCT user_id FROM {events}) u"
 
 
+def _article_steps(d: str) -> str:
+    """Article node rows: doc_id < 200, steps 0-40 (a generator per row, no join)."""
+    if d == SPARK:
+        return ("(SELECT doc_id, kk FROM {documents} LATERAL VIEW explode(sequence(0, 40)) s AS kk "
+                "WHERE doc_id < 200) dd")
+    return "(SELECT doc_id, unnest(range(0, 41)) AS kk FROM {documents} WHERE doc_id < 200) dd"
+
+
 def nodes_v(d: str) -> str:
     a = "(1 + CAST(floor(value) AS INT) % 17)"
     b = f"(1 + {_k(d)} % 13)"
@@ -238,8 +246,7 @@ SELECT CAST(doc_id AS BIGINT) AS node_id,
        CAST((doc_id * 3 + kk) % 10 AS DOUBLE) / 10 AS strength,
        CAST(NULL AS BIGINT) AS p1_id, CAST(NULL AS INT) AS p1_k,
        CAST(NULL AS BIGINT) AS p2_id, CAST(NULL AS INT) AS p2_k
-FROM (SELECT doc_id FROM {{documents}} WHERE doc_id < 200) dd
-CROSS JOIN (SELECT DISTINCT event_id AS kk FROM {{events}} WHERE event_id <= 40) ks"""
+FROM {_article_steps(d)}"""
 
 
 def labelled_docs_v(d: str) -> str:
@@ -265,7 +272,7 @@ VIEWS = {
     "time_text_v": (time_text_v, ("events",)),
     "vectors_v": (vectors_v, ("events",)),
     "weights_v": (weights_v, ("events",)),
-    "nodes_v": (nodes_v, ("events", "documents")),
+    "nodes_v": (nodes_v, ("events", "documents")),  # article steps come from documents
     "labelled_docs_v": (labelled_docs_v, ("documents", "labels")),
 }
 

@@ -1,4 +1,6 @@
 """Insert / update / NOT IN semantics on small hand-made frames."""
+from pyspark.sql import functions as F
+
 from forumlens.operators import maintain
 from forumlens.operators import select as S
 
@@ -39,3 +41,21 @@ def test_empty_link_set_gives_empty_result(spark):
                                      "scraped_time timestamp_ntz")
     links = spark.createDataFrame([], "article_link string")
     assert S.unprocessed_in(articles, links).count() == 0
+
+
+def test_record_runs_rejects_identical_settings(spark):
+    import datetime as dt
+
+    schema = "run_id long, state_dim int, k_max int, created timestamp_ntz"
+    t = dt.datetime(2024, 1, 1)
+    runs = spark.createDataFrame([(1, 3, 10, t)], schema)
+    new = spark.createDataFrame([(None, 3, 10, t.replace(hour=1)),    # same settings: rejected
+                                 (None, 3, 30, t.replace(hour=3)),
+                                 (None, 2, 10, t.replace(hour=2)),
+                                 (None, 2, 10, t.replace(hour=4))],   # repeats a new row: rejected
+                                schema)
+    out = maintain.record_runs(runs, new, ["state_dim", "k_max"])
+    got = sorted((r.run_id, r.state_dim, r.k_max) for r in out.collect())
+    assert got == [(1, 3, 10), (2, 2, 10), (3, 3, 30)]
+    newest = maintain.latest_per_group(out.withColumn("g", F.lit(1)), "g", ["created"], ["run_id"]).first()
+    assert newest.run_id == 3
