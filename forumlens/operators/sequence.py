@@ -41,8 +41,9 @@ def _keys(keys) -> list[str]:
 
 
 def with_index(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
-               name: str = "idx") -> DataFrame:
-    """Add the 0-based position of each row in its key's sequence.
+               name: str = "idx", total: str | None = None) -> DataFrame:
+    """Add the 0-based position of each row in its key's sequence (and, with
+    ``total``, the number of rows of the key, from the same per-chunk counts).
 
     ``order`` must be a total order within a key; ``chunk`` must not decrease
     along it.
@@ -57,7 +58,8 @@ def with_index(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
     # on the window's own partitioning (or broadcast when AQE measures it small).
     counts = df.withColumn(CHUNK, chunk).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
     return (c.join(offsets, [*keys, CHUNK])
              .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
              .drop("_off", "_pos", CHUNK))

@@ -81,9 +81,8 @@ def split_chunk():
 def train_val_split(rows: DataFrame, ratio_tenths: int = 8) -> DataFrame:
     """Exact, repeatable split per user: the first floor(n * ratio) rows in md5 order
     are ``train``, the rest ``val`` (W08)."""
-    counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = sequence.with_index(rows, "user_id", split_order(), split_chunk(), "_r")
-    return (ranked.join(counts, "user_id")
+    ranked = sequence.with_index(rows, "user_id", split_order(), split_chunk(), "_r", total="_n")
+    return (ranked
                   .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * ratio_tenths / 10), "train")
                               .otherwise("val"))
                   .drop("_r", "_n"))

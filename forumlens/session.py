@@ -96,3 +96,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    Used where a DataFrame with shuffles upstream feeds several branches that
+    cannot share an exchange (column pruning makes their plans differ): the work
+    is done once, and a lost executor does not recompute the lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

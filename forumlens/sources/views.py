@@ -362,6 +362,14 @@ class Views:
                         mat("ws").alias("w_s"), F.array(*[F.col(f"b_{i}") for i in range(n)]).alias("b"))
 
     def nodes(self) -> DataFrame:
+        """The step graph, materialised once: every graph query looks nodes up
+        several times (parents, previous state, targets)."""
+        if "_nodes" not in self._cache:
+            from ..session import materialize
+            self._cache["_nodes"] = materialize(self._nodes())
+        return self._cache["_nodes"]
+
+    def _nodes(self) -> DataFrame:
         v = self.get("nodes_v")
         return v.select(
             "node_id", "k", "node_type", "metadata_id",
