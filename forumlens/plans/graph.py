@@ -100,9 +100,9 @@ def step_weighted(v):
 
 @register("graph_predictions", views=("nodes_v", "weights_v"), oracle=f"""
 SELECT node_id, k, {_r(['y0', 'y1', 'y2', 'e0', 'e1', 'e2'])},
-       CASE WHEN e0 > 0.5 THEN 1.0 WHEN e0 < -0.5 THEN -1.0 ELSE 0.0 END AS d0,
-       CASE WHEN e1 > 0.5 THEN 1.0 WHEN e1 < -0.5 THEN -1.0 ELSE 0.0 END AS d1,
-       CASE WHEN e2 > 0.5 THEN 1.0 WHEN e2 < -0.5 THEN -1.0 ELSE 0.0 END AS d2
+       CASE WHEN e0 > 0.5 THEN CAST(1.0 AS DOUBLE) WHEN e0 < -0.5 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS d0,
+       CASE WHEN e1 > 0.5 THEN CAST(1.0 AS DOUBLE) WHEN e1 < -0.5 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS d1,
+       CASE WHEN e2 > 0.5 THEN CAST(1.0 AS DOUBLE) WHEN e2 < -0.5 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS d2
 FROM ({_STEP_SQL}) z""")
 def graph_predictions(v):
     """J07 (K8): one-step-ahead prediction from the state at k-1, continuous and discrete."""

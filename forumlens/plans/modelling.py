@@ -65,7 +65,7 @@ def step_linear(v):
 
 @register("step_discrete", views=("vectors_v", "weights_v"), oracle=f"""
 SELECT comment_id,
-  {', '.join(f"CASE WHEN {e} > 0.5 THEN 1.0 WHEN {e} < -0.5 THEN -1.0 ELSE 0.0 END AS d{i}" for i, e in enumerate(_LIN))}
+  {', '.join(f"CASE WHEN {e} > 0.5 THEN CAST(1.0 AS DOUBLE) WHEN {e} < -0.5 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS d{i}" for i, e in enumerate(_LIN))}
 FROM {_INPUTS} v JOIN weights_v w ON w.user_id = v.user_id""")
 def step_discrete(v):
     """Linear step discretised to -1, 0, 1 at +-0.5."""
@@ -111,9 +111,9 @@ def step_network(v):
 
 @register("one_hot_state", views=("vectors_v",), oracle="""
 SELECT comment_id,
-       CASE WHEN s0 >= s1 AND s0 >= s2 THEN 1.0 ELSE 0.0 END AS o0,
-       CASE WHEN NOT (s0 >= s1 AND s0 >= s2) AND s1 >= s2 THEN 1.0 ELSE 0.0 END AS o1,
-       CASE WHEN NOT (s0 >= s1 AND s0 >= s2) AND NOT (s1 >= s2) THEN 1.0 ELSE 0.0 END AS o2
+       CASE WHEN s0 >= s1 AND s0 >= s2 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS o0,
+       CASE WHEN NOT (s0 >= s1 AND s0 >= s2) AND s1 >= s2 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS o1,
+       CASE WHEN NOT (s0 >= s1 AND s0 >= s2) AND NOT (s1 >= s2) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS o2
 FROM vectors_v""")
 def one_hot_state(v):
     """One-hot of the largest component (first on ties)."""

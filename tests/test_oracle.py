@@ -4,7 +4,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as E
-from oracle_check import compare, duck_connection
+from oracle_check import compare, duck_connection, duck_types, spark_types
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
@@ -23,7 +23,9 @@ def test_every_query_has_an_oracle_or_is_a_fit():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    got = QUERIES[name](spark, SMALL).toPandas()
+    df = QUERIES[name](spark, SMALL)
+    assert spark_types(df) == duck_types(duck, ORACLE[name])
+    got = df.toPandas()
     want = duck.execute(ORACLE[name]).df()
     ok, msg = compare(got, want)
     assert ok, msg
