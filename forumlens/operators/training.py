@@ -24,26 +24,25 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
     """One row per comment of a known user, with its article text, parent comment
     text (NULL for top-level comments) and step index in the user's sequence.
 
-    Comments whose article is unknown are left out (see ``quarantine``).
+    Comments whose article is unknown are left out (see ``quarantine``). The step
+    index is computed on the narrow comment rows; the article and parent texts are
+    joined last, so no shuffle carries an article text once per comment.
     """
     chosen = commenting_users(users, comments).select("user_id")
-    c = comments.select("user_id", "article_id", "parent_comment_id", "comment_id",
-                        "comment_content", "normalized_posted_time") \
-        .join(chosen, "user_id", "left_semi")
+    c = (comments.select("user_id", "article_id", "parent_comment_id", "comment_id",
+                         "comment_content", "normalized_posted_time")
+                 .join(chosen, "user_id", "left_semi")
+                 .join(articles.select("article_id"), "article_id", "left_semi"))
+    if with_step:
+        c = sequence.with_index(c, "user_id", comment_order(),
+                                sequence.time_chunk("normalized_posted_time", chunk_seconds), "step")
     a = articles.select("article_id", "article_content")
     parents = comments.select(F.col("comment_id").alias("parent_comment_id"),
                               F.col("comment_content").alias("parent_comment_content"))
-    rows = (c.join(a, "article_id", "inner")
-             .join(parents, "parent_comment_id", "left"))
+    rows = c.join(a, "article_id").join(parents, "parent_comment_id", "left")
     cols = ["user_id", "article_id", "article_content", "parent_comment_id",
             "parent_comment_content", "comment_id", "comment_content", "normalized_posted_time"]
-    if not with_step:
-        return rows.select(*cols)
-    rows = sequence.with_index(rows, "user_id", comment_order(),
-                               sequence.time_chunk("normalized_posted_time", chunk_seconds), "step")
-    return rows.select("user_id", "article_id", "article_content", "parent_comment_id",
-                       "parent_comment_content", "comment_id", "comment_content",
-                       "normalized_posted_time", "step")
+    return rows.select(*cols, *(["step"] if with_step else []))
 
 
 # --- sequences of state vectors ---------------------------------------------

@@ -56,10 +56,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the bench (local mode, no UI)."""
+    builder = SparkSession.builder
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("forumlens")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
