@@ -326,6 +326,12 @@ def average_shards(fitted: DataFrame) -> DataFrame:
     """
     w = F.col("n_train").cast("double")
     keys = ["user_id", "setting"]
+    shards = fitted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shards"))
+    tagged = fitted.join(shards, keys)
+    # almost every user is one shard: passed through without exploding its arrays
+    single = tagged.where(F.col("n_shards") == 1).select(
+        *keys, "n_train", "n_val", "n_shards", "params", "train_loss", "val_loss")
+    fitted = tagged.where(F.col("n_shards") > 1).drop("n_shards")
     sizes = fitted.groupBy(*keys).agg(F.sum("n_train").alias("n_train"), F.sum("n_val").alias("n_val"),
                                       F.count(F.lit(1)).alias("n_shards"))
 
@@ -337,9 +343,10 @@ def average_shards(fitted: DataFrame) -> DataFrame:
                      .agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_c"))
                      .select(*keys, F.transform("_c", lambda c: c["_m"]).alias(name)))
 
-    return (sizes.join(mean_array("params", "params"), keys)
-                 .join(mean_array("train_loss", "train_loss"), keys)
-                 .join(mean_array("val_loss", "val_loss"), keys))
+    multi = (sizes.join(mean_array("params", "params"), keys)
+                  .join(mean_array("train_loss", "train_loss"), keys)
+                  .join(mean_array("val_loss", "val_loss"), keys))
+    return single.unionByName(multi)
 
 
 def save_run(fits: DataFrame, path: str, run_id: str) -> None:

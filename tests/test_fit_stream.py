@@ -73,3 +73,17 @@ def test_spark_fit_rows(spark):
     assert len(out) == pairs.select(F.count_distinct("user_id")).first()[0]
     assert all(r.train_loss[-1] < r.train_loss[0] for r in out)
     assert all(len(r.params) == 30 for r in out)
+
+
+def test_shard_averaging(spark):
+    from forumlens.operators.fit import average_shards
+
+    schema = ("user_id long, setting long, shard long, n_train long, n_val long, "
+              "params array<double>, train_loss array<double>, val_loss array<double>")
+    rows = [(1, 0, 0, 3, 1, [1.0, 2.0], [4.0], [1.0]),
+            (1, 0, 1, 1, 1, [5.0, 6.0], [8.0], [3.0]),
+            (2, 0, 0, 2, 0, [7.0, 7.0], [1.0], [2.0])]
+    out = {r.user_id: r for r in average_shards(spark.createDataFrame(rows, schema)).collect()}
+    assert out[1].n_shards == 2 and out[1].n_train == 4
+    assert out[1].params == [2.0, 3.0] and out[1].train_loss == [5.0] and out[1].val_loss == [1.5]
+    assert out[2].params == [7.0, 7.0] and out[2].n_shards == 1
