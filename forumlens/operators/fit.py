@@ -240,11 +240,15 @@ def fit_pairs(pairs: DataFrame, kind: str = "linear", epochs: int = 500, batch:
     """Fit one model per user (and per setting) on next-state pairs.
 
     ``pairs`` needs user_id, comment_id, normalized_posted_time, p, q, s, y and
-    split ('train' / 'val'). ``settings`` (optional list of {setting, kind, lr})
+    split ('train' / 'val'), and optionally split_rank (see ``train_val_split``). ``settings`` (optional list of {setting, kind, lr})
     fans every user out over a small fixed grid (a generator, not a join). Returns one row per user (and setting) with
     averaged parameters and per-epoch losses.
     """
-    idx = sequence.with_index(pairs, "user_id", comment_order(), state_chunk(), "_idx")
+    if "split_rank" in pairs.columns:
+        # shards by the split's md5-order position: no second sequence index needed
+        idx = pairs.withColumn("_idx", F.col("split_rank"))
+    else:
+        idx = sequence.with_index(pairs, "user_id", comment_order(), state_chunk(), "_idx")
     rows = idx.withColumn("shard", F.floor(F.col("_idx") / shard_rows))
     if settings is None:
         rows = rows.withColumn("setting", F.lit(0).cast("long")) \

@@ -66,9 +66,15 @@ def with_index(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
 
 
 def with_neighbours(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
-                    cols: Sequence[str], direction: int = -1, prefix: str = "prev_") -> DataFrame:
+                    cols: Sequence[str], direction: int = -1, prefix: str = "prev_",
+                    order_value: Column | None = None) -> DataFrame:
     """Add ``prefix + col`` holding ``col`` of the previous (direction=-1) or next
-    (direction=+1) row of the same key; NULL at the sequence end."""
+    (direction=+1) row of the same key; NULL at the sequence end.
+
+    ``order_value`` (optional) is one orderable value that sorts like ``order``
+    (e.g. a struct with negated descending parts). With it, the boundary row of
+    each chunk is found by a partial aggregation (``max_by`` / ``min_by``) of the
+    input, so only one row per chunk is shuffled for the carry-over."""
     keys = _keys(keys)
     cols = list(cols)
     c = df.withColumn(CHUNK, chunk)
@@ -79,8 +85,13 @@ def with_neighbours(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
     for col in cols:
         c = c.withColumn(prefix + col, shift(F.col(col), 1).over(inner))
     # boundary row of each chunk: last row (looking back) or first row (looking ahead)
-    edge = (F.col("_pos") == F.col("_cnt")) if direction < 0 else (F.col("_pos") == 1)
-    edges = c.filter(edge).select(*keys, CHUNK, F.struct(*cols).alias("_edge"))
+    if order_value is not None:
+        pick = F.max_by if direction < 0 else F.min_by
+        edges = (df.withColumn(CHUNK, chunk).groupBy(*keys, CHUNK)
+                   .agg(pick(F.struct(*cols), order_value).alias("_edge")))
+    else:
+        edge = (F.col("_pos") == F.col("_cnt")) if direction < 0 else (F.col("_pos") == 1)
+        edges = c.filter(edge).select(*keys, CHUNK, F.struct(*cols).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = edges.select(*keys, CHUNK, shift("_edge", 1).over(across).alias("_carry"))
     needs = (F.col("_pos") == 1) if direction < 0 else (F.col("_pos") == F.col("_cnt"))

@@ -12,6 +12,11 @@ def comment_order() -> list:
     return [F.col("normalized_posted_time").asc(), F.col("comment_id").desc()]
 
 
+def comment_order_value():
+    """One orderable value sorting like ``comment_order``."""
+    return F.struct(F.col("normalized_posted_time"), -F.col("comment_id"))
+
+
 def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:
     """Users that have at least one comment (distinct), by total comments descending."""
     authors = comments.select("user_id").where(F.col("user_id").isNotNull()).distinct()
@@ -59,7 +64,8 @@ def next_state_pairs(vectors: DataFrame, missing_parent=None, chunk_seconds: int
 
     missing = A.zeros(3) if missing_parent is None else missing_parent
     nxt = sequence.with_neighbours(vectors, "user_id", comment_order(), state_chunk(chunk_seconds),
-                                   ["comment_vec"], direction=+1, prefix="next_")
+                                   ["comment_vec"], direction=+1, prefix="next_",
+                                   order_value=comment_order_value())
     return (nxt.where(F.col("next_comment_vec").isNotNull())
                .select("user_id", "comment_id", "normalized_posted_time",
                        F.col("article_vec").alias("p"),
@@ -77,14 +83,16 @@ def split_chunk():
     return F.conv(F.substring(F.md5(F.col("comment_id").cast("string")), 1, 4), 16, 10).cast("int")
 
 
-def train_val_split(rows: DataFrame, ratio_tenths: int = 8) -> DataFrame:
+def train_val_split(rows: DataFrame, ratio_tenths: int = 8, keep_rank: bool = False) -> DataFrame:
     """Exact, repeatable split per user: the first floor(n * ratio) rows in md5 order
-    are ``train``, the rest ``val`` (W08)."""
+    are ``train``, the rest ``val`` (W08). ``keep_rank`` keeps the md5-order
+    position as ``split_rank`` (the fits cut users into shards by it)."""
     ranked = sequence.with_index(rows, "user_id", split_order(), split_chunk(), "_r", total="_n")
     return (ranked
                   .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * ratio_tenths / 10), "train")
                               .otherwise("val"))
-                  .drop("_r", "_n"))
+                  .withColumnRenamed("_r", "split_rank")
+                  .drop("_n", *([] if keep_rank else ["split_rank"])))
 
 
 def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None,
@@ -95,7 +103,8 @@ def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None,
 
     sentinel = A.const(3, 2.0) if sentinel is None else sentinel
     shifted = sequence.with_neighbours(rows, "user_id", comment_order(), state_chunk(chunk_seconds),
-                                       [pred_col], direction=-1, prefix="prev_")
+                                       [pred_col], direction=-1, prefix="prev_",
+                                       order_value=comment_order_value())
     return shifted.withColumn("aligned_pred", F.coalesce(F.col("prev_" + pred_col), sentinel)) \
                   .drop("prev_" + pred_col)
 
@@ -123,7 +132,8 @@ def reply_parent_pairs(blocks: DataFrame, kind_col: str = "kind") -> DataFrame:
     """Replies paired with the parent link directly above them (W10). A deleted
     parent has no link, so its reply stays unpaired (K10)."""
     prev = sequence.with_neighbours(blocks, "section", block_order(), block_chunk(),
-                                    [kind_col, "reply_link"], direction=-1, prefix="prev_")
+                                    [kind_col, "reply_link"], direction=-1, prefix="prev_",
+                                    order_value=F.col("seq"))
     return (prev.where((F.col(kind_col) == "reply") & (F.col("prev_" + kind_col) == "parent_link"))
                 .select("section", F.col("block_id").alias("reply_block_id"),
                         F.col("prev_reply_link").alias("parent_link")))

@@ -7,7 +7,7 @@ from ..functions import arrays as A
 from ..operators import dynamics as Dy
 from ..operators import report as R
 from ..operators import training
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .catalog import register
 from .sqlgen import matvec
 
@@ -156,7 +156,7 @@ err AS (SELECT user_id, split, idx, {_SQERR} AS sq FROM pred)"""
 
 
 def _pairs_with_pred(v):
-    pairs = training.next_state_pairs(v.vectors())
+    pairs = materialize(training.next_state_pairs(v.vectors()))
     return pairs.join(v.weights(), "user_id").withColumn("e", Dy.linear_step("p", "q", "s"))
 
 
@@ -240,8 +240,9 @@ FIT_LR = 0.001
 
 
 def _fit_input(v):
-    pairs = training.next_state_pairs(v.vectors())
-    return training.train_val_split(pairs)
+    # the pairs feed the split's index and count branches: built once
+    pairs = materialize(training.next_state_pairs(v.vectors()))
+    return training.train_val_split(pairs, keep_rank=True)
 
 
 def _fit_summary(fits):

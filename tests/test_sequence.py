@@ -58,3 +58,14 @@ def test_first_n_matches_rank_filter(spark):
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*_order()))).where("rank <= 25")
     assert sorted(map(tuple, got.select("id", "rank").collect())) == \
         sorted(map(tuple, want.select("id", "rank").collect()))
+
+
+def test_neighbours_with_order_value_match(spark):
+    df = _data(spark)
+    w = Window.partitionBy("k").orderBy(*_order())
+    value = F.struct(F.col("t"), -F.col("id"))
+    for direction, fn in ((-1, F.lag), (1, F.lead)):
+        got = sequence.with_neighbours(df, "k", _order(), _chunk(), ["id", "val"], direction, "n_", value)
+        want = df.withColumn("n_id", fn("id").over(w)).withColumn("n_val", fn("val").over(w))
+        cols = ["id", "n_id", "n_val"]
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
