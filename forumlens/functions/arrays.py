@@ -1,7 +1,13 @@
-"""Vector and matrix arithmetic as Spark higher-order column expressions.
+"""Vector and matrix arithmetic as Spark column expressions.
 
 Vectors are ``ARRAY<DOUBLE>``, matrices ``ARRAY<ARRAY<DOUBLE>>`` (row major).
-Sums run left to right (``aggregate``), so results are reproducible.
+Sums run left to right, so results are reproducible.
+
+Most functions take an optional static size ``n`` (or ``rows`` / ``cols``). With
+it the arithmetic is unrolled into element expressions (``v[i]``), which
+whole-stage code generation compiles; without it the generic higher-order
+functions (``transform`` / ``aggregate`` / ``zip_with``) are used, which work
+for any length but are evaluated by the interpreter.
 """
 from __future__ import annotations
 
@@ -25,29 +31,49 @@ def let(expr, fn) -> Column:
     return F.element_at(F.transform(F.array(_c(expr)), fn), 1)
 
 
-def total(v) -> Column:
+def _sum(terms) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _vec(n: int, fn) -> Column:
+    return F.array(*[fn(i) for i in range(n)])
+
+
+def total(v, n: int | None = None) -> Column:
+    if n:
+        return _sum([_c(v)[i] for i in range(n)])
     return F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dot(a, b) -> Column:
+def dot(a, b, n: int | None = None) -> Column:
+    if n:
+        return _sum([_c(a)[i] * _c(b)[i] for i in range(n)])
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def matvec(w, x) -> Column:
-    """W x for a row-major matrix W."""
+def matvec(w, x, rows: int | None = None, cols: int | None = None) -> Column:
+    """W x for a row-major matrix W (rows x cols when given)."""
+    if rows and cols:
+        return _vec(rows, lambda i: _sum([_c(w)[i][j] * _c(x)[j] for j in range(cols)]))
     return let(x, lambda xx: F.transform(_c(w), lambda row: dot(row, xx)))
 
 
-def add(*vs) -> Column:
+def add(*vs, n: int | None = None) -> Column:
+    if n:
+        return _vec(n, lambda i: _sum([_c(v)[i] for v in vs]))
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [_c(v) for v in vs])
 
 
-def sub(a, b) -> Column:
+def sub(a, b, n: int | None = None) -> Column:
+    if n:
+        return _vec(n, lambda i: _c(a)[i] - _c(b)[i])
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
-def scale(v, s) -> Column:
+def scale(v, s, n: int | None = None) -> Column:
     s = _c(s) if isinstance(s, str) else (s if isinstance(s, Column) else F.lit(s))
+    if n:
+        return _vec(n, lambda i: _c(v)[i] * s)
     return F.transform(_c(v), lambda x: x * s)
 
 
@@ -59,7 +85,9 @@ def const(n: int, value: float) -> Column:
     return F.array(*[F.lit(float(value)) for _ in range(n)])
 
 
-def tanh(v) -> Column:
+def tanh(v, n: int | None = None) -> Column:
+    if n:
+        return _vec(n, lambda i: F.tanh(_c(v)[i]))
     return F.transform(_c(v), lambda x: F.tanh(x))
 
 
@@ -73,10 +101,13 @@ def softmax(v) -> Column:
                                  lambda e: F.transform(e, lambda x: x / total(e))))
 
 
-def discretize(v, threshold: float = 0.5) -> Column:
+def discretize(v, threshold: float = 0.5, n: int | None = None) -> Column:
     """-1, 0 or 1 per component at +-threshold (strict)."""
-    return F.transform(_c(v), lambda x: F.when(x > threshold, F.lit(1.0))
-                       .when(x < -threshold, F.lit(-1.0)).otherwise(F.lit(0.0)))
+    def one(x):
+        return F.when(x > threshold, F.lit(1.0)).when(x < -threshold, F.lit(-1.0)).otherwise(F.lit(0.0))
+    if n:
+        return _vec(n, lambda i: one(_c(v)[i]))
+    return F.transform(_c(v), one)
 
 
 def one_hot_argmax(v) -> Column:

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 
-def linear_step(p, q, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b") -> Column:
-    """tanh(W_p p + W_q q + W_s s + b)  (J03)."""
-    return A.tanh(A.add(A.matvec(w_p, p), A.matvec(w_q, q), A.matvec(w_s, s), b))
+def linear_step(p, q, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b", d: int | None = None) -> Column:
+    """tanh(W_p p + W_q q + W_s s + b)  (J03); ``d`` unrolls for a known state size."""
+    return A.tanh(A.add(A.matvec(w_p, p, d, d), A.matvec(w_q, q, d, d), A.matvec(w_s, s, d, d), b, n=d), d)
 
 
-def diff_step(p, q, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b") -> Column:
+def diff_step(p, q, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b", d: int | None = None) -> Column:
     """tanh(W_p (p - s) + W_q (q - s) + W_s s + b)  (J04)."""
-    return A.tanh(A.add(A.matvec(w_p, A.sub(p, s)), A.matvec(w_q, A.sub(q, s)), A.matvec(w_s, s), b))
+    return A.tanh(A.add(A.matvec(w_p, A.sub(p, s, d), d, d), A.matvec(w_q, A.sub(q, s, d), d, d),
+                        A.matvec(w_s, s, d, d), b, n=d), d)
 
 
-def weighted_step(p, p_strength, q, q_strength, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b") -> Column:
+def weighted_step(p, p_strength, q, q_strength, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b",
+                  d: int | None = None) -> Column:
     """tanh((W_p p) a + (W_q q) b + W_s s + bias), strengths a, b scale the parents' pull."""
-    return A.tanh(A.add(A.scale(A.matvec(w_p, p), p_strength), A.scale(A.matvec(w_q, q), q_strength),
-                        A.matvec(w_s, s), b))
+    return A.tanh(A.add(A.scale(A.matvec(w_p, p, d, d), p_strength, d),
+                        A.scale(A.matvec(w_q, q, d, d), q_strength, d),
+                        A.matvec(w_s, s, d, d), b, n=d), d)
 
 
 def network_step(x, layers: list[tuple], out: tuple) -> Column:

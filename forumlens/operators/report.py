@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 
-def squared_error(pred: str, target: str):
+def squared_error(pred: str, target: str, d: int | None = None):
     """Sum over components of (pred - target)^2."""
+    if d:
+        return A._sum([(F.col(pred)[i] - F.col(target)[i]) * (F.col(pred)[i] - F.col(target)[i])
+                       for i in range(d)])
     return A.total(F.zip_with(F.col(pred), F.col(target), lambda a, b: (a - b) * (a - b)))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import dynamics as Dy
+from ..sources.views import STATE_DIM
 from .catalog import register
 from .sqlgen import matvec
 
@@ -87,7 +88,7 @@ def _weighted(v):
     t = Dy.graph_tuples(v.nodes())
     w = (v.weights().withColumn("node_id", F.col("user_id") + 200).drop("user_id")
           .withColumnRenamed("b", "bias"))
-    return t.join(w, "node_id").withColumn("pred", Dy.weighted_step("p", "a", "q", "b", "s", b="bias"))
+    return t.join(w, "node_id").withColumn("pred", Dy.weighted_step("p", "a", "q", "b", "s", b="bias", d=STATE_DIM))
 
 
 @register("step_weighted", views=("nodes_v", "weights_v"), oracle=f"""
@@ -107,7 +108,7 @@ FROM ({_STEP_SQL}) z""")
 def graph_predictions(v):
     """J07 (K8): one-step-ahead prediction from the state at k-1, continuous and discrete."""
     out = _weighted(v).select("node_id", "k", "y", F.col("pred").alias("e"),
-                              A.discretize("pred").alias("d"))
+                              A.discretize("pred", n=STATE_DIM).alias("d"))
     return _flat(out, ["y", "e", "d"])
 
 

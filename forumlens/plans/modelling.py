@@ -8,6 +8,7 @@ from ..operators import dynamics as Dy
 from ..operators import report as R
 from ..operators import training
 from ..session import materialize, scratch_path
+from ..sources.views import STATE_DIM
 from .catalog import register
 from .sqlgen import matvec
 
@@ -60,7 +61,7 @@ SELECT comment_id, round({_LIN[0]}, 6) AS e0, round({_LIN[1]}, 6) AS e1, round({
 FROM {_INPUTS} v JOIN weights_v w ON w.user_id = v.user_id""")
 def step_linear(v):
     """Linear step per comment with the user's weights."""
-    return _flat(_inputs(v).select("comment_id", Dy.linear_step("p", "q", "s").alias("e")), ["e"])
+    return _flat(_inputs(v).select("comment_id", Dy.linear_step("p", "q", "s", d=STATE_DIM).alias("e")), ["e"])
 
 
 @register("step_discrete", views=("vectors_v", "weights_v"), oracle=f"""
@@ -69,7 +70,7 @@ SELECT comment_id,
 FROM {_INPUTS} v JOIN weights_v w ON w.user_id = v.user_id""")
 def step_discrete(v):
     """Linear step discretised to -1, 0, 1 at +-0.5."""
-    return _flat(_inputs(v).select("comment_id", A.discretize(Dy.linear_step("p", "q", "s")).alias("d")), ["d"])
+    return _flat(_inputs(v).select("comment_id", A.discretize(Dy.linear_step("p", "q", "s", d=STATE_DIM), n=STATE_DIM).alias("d")), ["d"])
 
 
 @register("step_diff", views=("vectors_v", "weights_v"), oracle=f"""
@@ -77,7 +78,7 @@ SELECT comment_id, round({_DIFF[0]}, 6) AS e0, round({_DIFF[1]}, 6) AS e1, round
 FROM {_INPUTS} v JOIN weights_v w ON w.user_id = v.user_id""")
 def step_diff(v):
     """Difference step, inputs (p - s) and (q - s)."""
-    return _flat(_inputs(v).select("comment_id", Dy.diff_step("p", "q", "s").alias("e")), ["e"])
+    return _flat(_inputs(v).select("comment_id", Dy.diff_step("p", "q", "s", d=STATE_DIM).alias("e")), ["e"])
 
 
 def _net_sql():
@@ -157,7 +158,7 @@ err AS (SELECT user_id, split, idx, {_SQERR} AS sq FROM pred)"""
 
 def _pairs_with_pred(v):
     pairs = materialize(training.next_state_pairs(v.vectors()))
-    return pairs.join(v.weights(), "user_id").withColumn("e", Dy.linear_step("p", "q", "s"))
+    return pairs.join(v.weights(), "user_id").withColumn("e", Dy.linear_step("p", "q", "s", d=STATE_DIM))
 
 
 @register("evaluation_by_user", views=("vectors_v", "weights_v"), oracle=_EVAL_BASE + """
@@ -166,7 +167,7 @@ FROM err GROUP BY user_id, split""")
 def evaluation_by_user(v):
     """N01 (+E08, E09): mean and summed squared error per user and split."""
     rows = training.train_val_split(_pairs_with_pred(v))
-    return R.errors_by(rows.withColumn("sq", R.squared_error("e", "y")), ["user_id", "split"])
+    return R.errors_by(rows.withColumn("sq", R.squared_error("e", "y", STATE_DIM)), ["user_id", "split"])
 
 
 @register("batch_mean_loss", views=("vectors_v", "weights_v"), oracle=_EVAL_BASE + """
@@ -175,7 +176,7 @@ SELECT user_id, COUNT(*) AS n_batches, round(AVG(batch_loss), 6) AS epoch_loss F
 GROUP BY user_id""")
 def batch_mean_loss(v):
     """Epoch loss as the mean of batch-of-8 mean losses, batches by rank."""
-    rows = _pairs_with_pred(v).withColumn("sq", R.squared_error("e", "y"))
+    rows = _pairs_with_pred(v).withColumn("sq", R.squared_error("e", "y", STATE_DIM))
     idx = training.sequence.with_index(rows, "user_id", training.comment_order(), training.state_chunk(), "idx")
     return R.epoch_loss(idx, "user_id", "idx", 8)
 
@@ -195,7 +196,7 @@ UNION ALL
 SELECT user_id, comment_id, normalized_posted_time, 'predicted' AS series, round(predicted, 6) AS value FROM al""")
 def plot_series(v):
     """Actual and predicted sentiment scalar per user and time, long form."""
-    x = _inputs(v).withColumn("pred", Dy.linear_step("p", "q", "s"))
+    x = _inputs(v).withColumn("pred", Dy.linear_step("p", "q", "s", d=STATE_DIM))
     al = training.aligned_predictions(x.select("user_id", "comment_id", "normalized_posted_time", "s", "pred"),
                                       "pred")
     wide = al.select("user_id", "comment_id", "normalized_posted_time",

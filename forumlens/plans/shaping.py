@@ -7,6 +7,7 @@ from ..functions import arrays as A
 from ..operators import dynamics, maintain, training
 from ..operators import select as S
 from ..session import scratch_path
+from ..sources.views import STATE_DIM
 from .catalog import register
 
 
@@ -229,7 +230,7 @@ def aligned_predictions(v):
     """The linear prediction made at t shown on row t+1; first row [2, 2, 2]."""
     rows = v.vectors().join(v.weights(), "user_id")
     rows = rows.withColumn("pred", dynamics.linear_step(
-        "article_vec", F.coalesce(F.col("parent_vec"), A.zeros(3)), "comment_vec"))
+        "article_vec", F.coalesce(F.col("parent_vec"), A.zeros(3)), "comment_vec", d=STATE_DIM))
     out = training.aligned_predictions(rows.select("user_id", "comment_id", "normalized_posted_time", "pred"),
                                        "pred")
     return _flat(out.select("user_id", "comment_id", "aligned_pred"), ["aligned_pred"])
