@@ -26,11 +26,13 @@ def _null_key():
     return F.col("article_id").isNull() | F.col("user_link").isNull() | F.col("comment_content").isNull()
 
 
-def bucket() -> Column:
+def bucket(buckets: int = BUCKETS) -> Column:
     """Sink partition of a row: a hash of the natural key, or of the id when the key
-    has a NULL. A micro-batch only conflicts with sink rows of its own buckets."""
-    return (F.when(_null_key(), F.pmod(F.xxhash64("comment_id"), F.lit(BUCKETS)))
-             .otherwise(F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS))).cast("int"))
+    has a NULL. A micro-batch only conflicts with sink rows of its own buckets.
+    The bucket count is fixed for the life of a sink; choose it from the expected
+    sink size (files per bucket stay moderate)."""
+    return (F.when(_null_key(), F.pmod(F.xxhash64("comment_id"), F.lit(buckets)))
+             .otherwise(F.pmod(F.xxhash64(*KEY), F.lit(buckets))).cast("int"))
 
 
 def _sink_rows(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
@@ -40,15 +42,16 @@ def _sink_rows(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def insert_batch(spark: SparkSession, batch: DataFrame, sink: str, order: str = "comment_id") -> None:
+def insert_batch(spark: SparkSession, batch: DataFrame, sink: str, order: str = "comment_id",
+                 buckets: int = BUCKETS) -> None:
     """First-write-wins insert of one micro-batch into the sink folder.
 
     The sink is partitioned by ``bucket()``; only the partitions of the buckets the
     batch touches are read (partition pruning), instead of the whole sink for
     every micro-batch, and the anti-joins include the bucket.
     """
-    batch = batch.withColumn("_bucket", bucket())
-    # the batch's bucket numbers (at most BUCKETS small integers) become a static
+    batch = batch.withColumn("_bucket", bucket(buckets))
+    # the batch's bucket numbers (at most ``buckets`` small integers) become a static
     # partition filter, so only those sink partitions are listed and read
     touched = [r[0] for r in batch.select("_bucket").distinct().collect()]
     existing = _sink_rows(spark, sink, batch.schema).where(F.col("_bucket").isin(touched))
@@ -66,11 +69,12 @@ def read_sink(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("_bucket")
 
 
-def run_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: StructType) -> None:
+def run_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: StructType,
+               buckets: int = BUCKETS) -> None:
     """Process every file in ``source`` not yet seen, then stop."""
     stream = spark.readStream.schema(schema).parquet(source)
     q = (stream.writeStream
-               .foreachBatch(lambda df, epoch: insert_batch(spark, df, sink))
+               .foreachBatch(lambda df, epoch: insert_batch(spark, df, sink, buckets=buckets))
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True)
                .start())
