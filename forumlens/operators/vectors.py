@@ -165,3 +165,30 @@ def vectorize_columns(rows: DataFrame, keys: list[str], text_cols: list[str], mo
                 .groupBy(*keys)
                 .agg(*[F.max(F.when(F.col("col") == c, F.col("vec"))).alias(c + "_vec") for c in text_cols]))
     return rows.select(*keys).join(wide, keys, "left")
+
+
+def vectorize_training_rows(rows: DataFrame, articles: DataFrame, comments: DataFrame,
+                            model: dict[str, DataFrame], labels) -> DataFrame:
+    """Training rows (ids only) with article, parent and comment texts as vectors.
+
+    Texts are scored where they live: each referenced article once by article_id,
+    each referenced comment once by comment_id (a comment used as a parent and as
+    a row is scored once), and the vectors are joined back by id. No shuffle
+    carries an article text once per comment.
+    """
+    ids = rows.select("comment_id", "user_id", "article_id", "parent_comment_id")
+    used_articles = ids.select("article_id").distinct()
+    used_comments = (ids.select("comment_id")
+                        .unionByName(ids.select(F.col("parent_comment_id").alias("comment_id"))
+                                        .where(F.col("comment_id").isNotNull()))
+                        .distinct())
+    art = articles.select("article_id", "article_content").join(used_articles, "article_id", "left_semi")
+    com = comments.select("comment_id", "comment_content").join(used_comments, "comment_id", "left_semi")
+    a_vec = score_naive_bayes(art, "article_id", "article_content", model, labels, "article_vec")
+    # comment vectors are looked up twice (as the row and as the parent): written once
+    from ..session import materialize
+    c_vec = materialize(score_naive_bayes(com, "comment_id", "comment_content", model, labels, "vec"))
+    return (ids.join(a_vec, "article_id", "left")
+               .join(c_vec.withColumnRenamed("vec", "comment_vec"), "comment_id", "left")
+               .join(c_vec.select(F.col("comment_id").alias("parent_comment_id"),
+                                  F.col("vec").alias("parent_vec")), "parent_comment_id", "left"))

@@ -113,12 +113,9 @@ LEFT JOIN nb_out p ON p.key = sha256(r.parent_comment_content)
 LEFT JOIN nb_out c ON c.key = sha256(r.comment_content)""")
 def training_vectorized(v):
     """The training table with article, parent and comment texts as sentiment
-    vectors; each distinct text is scored once and joined back by its hash."""
+    vectors; every article and comment is scored once and joined back by id."""
     raw = training.build_training_raw(v.users_v, v.comments_v, v.articles_v, with_step=False)
-    return V.vectorize_columns(raw, ["comment_id", "user_id"],
-                               ["article_content", "parent_comment_content", "comment_content"],
-                               sentiment_model(v), V.SENTIMENT_LABELS) \
-        .transform(lambda d: _flat(_flat(_flat(
-            d.select("comment_id", "user_id", F.col("article_content_vec").alias("a"),
-                     F.col("parent_comment_content_vec").alias("p"), F.col("comment_content_vec").alias("c")),
-            "a", 3, "a"), "p", 3, "p"), "c", 3, "c"))
+    out = V.vectorize_training_rows(raw, v.articles_v, v.comments_v, sentiment_model(v), V.SENTIMENT_LABELS)
+    flat = out.select("comment_id", "user_id", F.col("article_vec").alias("a"),
+                      F.col("parent_vec").alias("p"), F.col("comment_vec").alias("c"))
+    return _flat(_flat(_flat(flat, "a", 3, "a"), "p", 3, "p"), "c", 3, "c")
