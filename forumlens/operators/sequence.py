@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 
 
-DEFAULT_CHUNK_SECONDS = 3600
+DEFAULT_CHUNK_SECONDS = 300
 
 
 def time_chunk(ts_col: str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
