@@ -59,3 +59,15 @@ def test_record_runs_rejects_identical_settings(spark):
     assert got == [(1, 3, 10), (2, 2, 10), (3, 3, 30)]
     newest = maintain.latest_per_group(out.withColumn("g", F.lit(1)), "g", ["created"], ["run_id"]).first()
     assert newest.run_id == 3
+
+
+def test_spread_and_materialize(spark):
+    from forumlens.operators.partitioning import spread
+    from forumlens.session import materialize
+
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 2
+    m = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert sorted(r.x for r in m.collect()) == list(range(0, 20, 2))
