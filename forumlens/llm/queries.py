@@ -1,9 +1,10 @@
 """The registered queries: each applies one operator to its whole table."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from ..sources.tables import read_table
 from .common import documents, prepared
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,7 +24,102 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(files)
 
 
+def span_text(spans):
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, kinds), F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data
+
+    prepared(spark)
+    return span_digest(find_personal_data(documents(spark, sf_dir)), KINDS)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, taken_words
+
+    prepared(spark)
+    return taken_words(mix(documents(spark, sf_dir)))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    prepared(spark)
+    found = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    prepared(spark)
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op6_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph_ann import build_index, nearest
+
+    prepared(spark)
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    prepared(spark)
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import delete_common_blocks
+
+    prepared(spark)
+    docs = documents(spark, sf_dir)
+    return delete_common_blocks(docs).select("doc_id", "lines_deleted", "text")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify_languages
+
+    prepared(spark)
+    docs = documents(spark, sf_dir)
+    found = identify_languages(docs, docs.where(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, find_secrets
+
+    prepared(spark)
+    return span_digest(find_secrets(documents(spark, sf_dir)), KINDS[:3])
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_personal_data": op2_personal_data,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_licenses": op5_licenses,
+    "op6_graph_ann": op6_graph_ann,
+    "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_language": op9_language,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
