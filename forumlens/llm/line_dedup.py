@@ -5,8 +5,9 @@
    only, so a line in very many documents gives one pair per document and never all pairs;
    lines of one document alone, which are most, are dropped before anything is paired.
 2. Each pair is aligned by patience diff over the shared lines: common ends first, then the
-   lines that are unique in both stretches (the rare ones) as anchors, kept in the longest
-   order they agree on, then the stretches between anchors.
+   lines that are unique in both stretches (the rare ones; where there are none, the n-th with
+   the n-th place of a line) as anchors, kept in the longest order they agree on, then the
+   stretches between anchors.
 3. Runs of aligned lines that are neighbours in both documents are common blocks; blocks of
    ``MIN_BLOCK_WORDS`` words or more are deleted from the later document.
 
@@ -43,6 +44,20 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _nth_with_nth(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
+    """Pairs of the n-th places of equal lines, where no line is unique in both stretches."""
+    seen, place = Counter(), {}
+    for j in range(b0, b1):
+        seen[b[j]] += 1
+        place[b[j], seen[b[j]]] = j
+    seen, out = Counter(), []
+    for i in range(a0, a1):
+        seen[a[i]] += 1
+        if (a[i], seen[a[i]]) in place:
+            out.append((i, place[a[i], seen[a[i]]]))
+    return out
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience diff: index pairs of equal lines, rising in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -58,7 +73,8 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         seen_a, seen_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {h: j for j, h in enumerate(b[b0:b1], b0) if seen_b[h] == 1}
-        anchors = _longest_rising([(i, place[h]) for i, h in enumerate(a[a0:a1], a0) if seen_a[h] == 1 and h in place])
+        unique = [(i, place[h]) for i, h in enumerate(a[a0:a1], a0) if seen_a[h] == 1 and h in place]
+        anchors = _longest_rising(unique or _nth_with_nth(a, a0, a1, b, b0, b1))
         if anchors:
             i0, j0 = a0, b0
             for i, j in [*anchors, (a1, b1)]:

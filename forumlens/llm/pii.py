@@ -127,8 +127,8 @@ class Region:
         self.bounds = [b for b in bounds if text[b] & 0xC0 != 0x80] + [len(text)]
         self.count = len(self.bounds) - 1
 
-    def segments(self, fixed: dict[tuple[int, int], int] | None = None):
-        """(first token, end token, features) of the candidates; ``fixed`` ones are always among them."""
+    def segments(self, gold: dict[tuple[int, int], int] | None = None):
+        """(first token, end token, features, kinds) of the candidates; ``gold`` ones are always among them."""
         out = []
         starts = [self.text[b] for b in self.bounds[:-1]]
         for i in range(self.count):
@@ -140,12 +140,12 @@ class Region:
                 if not (48 <= last <= 57 or 65 <= last & 0xDF <= 90) or b - a < 6:
                     continue
                 features = span_features(self.text, a, b)
-                if features:
-                    out.append((i, j, features))
-        if fixed:
-            known = {(i, j) for i, j, _ in out}
-            out += [(i, j, span_features(self.text, self.bounds[i], self.bounds[j]) or ["other"])
-                    for i, j in fixed if (i, j) not in known]
+                kinds = possible_kinds(features, len(only_digits(self.text[a:b]))) if features else []
+                if kinds:
+                    out.append((i, j, features, kinds))
+        for (i, j), kind in (gold or {}).items():
+            if not any((i, j) == s[:2] and kind in s[3] for s in out):
+                out.append((i, j, span_features(self.text, self.bounds[i], self.bounds[j]) or ["other"], [kind]))
         return out
 
 
@@ -210,6 +210,14 @@ def span_features(text: bytes, a: int, b: int) -> list[str] | None:
     return out
 
 
+def possible_kinds(features: list[str], digits: int) -> list[int]:
+    """Kinds that a span may have at all; the weights choose among them."""
+    if "address" in features:
+        return [0]
+    return ([1] if "octets" in features else []) + ([2] if "luhnTrue" in features else []) + (
+        [3] if 7 <= digits <= 15 and "octets" not in features else [])
+
+
 def _log_sum(values) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
@@ -227,8 +235,8 @@ class SemiMarkov:
 
     def _by_end(self, segments):
         ends = defaultdict(list)
-        for i, j, features in segments:
-            for kind in range(len(KINDS)):
+        for i, j, features, kinds in segments:
+            for kind in kinds:
                 ends[j].append((i, kind, features, self.score(kind, features)))
         return ends
 

@@ -27,7 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 4_000
 MIN_LENGTH = 20
 MARGIN = 10.0
-SMOOTHING = 0.5
+SMOOTHING = 50.0  # weight of the smoothing distribution, in counts
+EQUAL_SHARE = (0.02, 0.5)  # of equal chances in it: ordinary, random
 # Symbols of the models: 0 stands for the edge of a string, then the key characters.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -105,12 +106,14 @@ class MarkovRatio:
         import numpy as np
 
         size = len(ALPHABET) + 1
-        models = np.full((2, size, size), SMOOTHING)
+        models = np.zeros((2, size, size))
         for label, pair, n in counts:
             models[label, pair // size, pair % size] += n
-        # Random strings draw characters independently: pairs are smoothed by the single counts.
-        single = models[1].sum(axis=0)
-        models[1] += single / single.sum() * size
+        # Pairs are smoothed by the single counts, and those by equal shares: random strings may
+        # hold any key character, identifiers seldom hold one that the sample never showed.
+        for model, share in zip(models, EQUAL_SHARE):
+            single = model.sum(axis=0) + 1 / size
+            model += SMOOTHING * ((1 - share) * single / single.sum() + share / size)
         models /= models.sum(axis=2, keepdims=True)
         self.ratio = np.log(models[1]) - np.log(models[0])
 
