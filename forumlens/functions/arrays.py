@@ -118,12 +118,3 @@ def one_hot_argmax(v) -> Column:
 
 def concat(*vs) -> Column:
     return F.concat(*[_c(v) for v in vs])
-
-
-def rounded(v, places: int = 6) -> Column:
-    return F.transform(_c(v), lambda x: F.round(x, places))
-
-
-def explode_cells(m) -> Column:
-    """All cells of a matrix as one flat array."""
-    return F.flatten(_c(m))

@@ -67,8 +67,11 @@ def parent_states(nodes: DataFrame) -> DataFrame:
                           F.col("_st").alias("p"), F.col("_sg").alias("a"))
     second = lookup.select(F.col("_pid").alias("_p2"), F.col("_pk").alias("_k2"), "metadata_id",
                            F.col("_st").alias("_q"), F.col("_sg").alias("_b"))
-    out = (rows.join(first, ["_p1", "_k1", "metadata_id"])
-               .join(second, ["_p2", "_k2", "metadata_id"], "left")
+    found = rows.join(first, ["_p1", "_k1", "metadata_id"])
+    # Rows without a second parent match nothing and are not shuffled for it.
+    alone = found.where(F.col("_p2").isNull())
+    out = (found.where(F.col("_p2").isNotNull()).join(second, ["_p2", "_k2", "metadata_id"], "left")
+               .unionByName(alone, allowMissingColumns=True)
                .withColumn("q", F.coalesce("_q", _zeros3()))
                .withColumn("b", F.coalesce("_b", F.lit(0.0))))
     return out.select("node_id", "k", "metadata_id", "state", "p", "a", "q", "b")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from . import sequence
-from .training import comment_order, state_chunk
+from .training import comment_order
 
 PACK_ROWS = 100_000      # rows buffered per task before a pack is fitted
 PACK_GROUPS = 256        # groups fitted together in one vectorised pass
@@ -248,7 +248,7 @@ def fit_pairs(pairs: DataFrame, kind: str = "linear", epochs: int = 500, batch:
         # shards by the split's md5-order position: no second sequence index needed
         idx = pairs.withColumn("_idx", F.col("split_rank"))
     else:
-        idx = sequence.with_index(pairs, "user_id", comment_order(), state_chunk(), "_idx")
+        idx = sequence.with_index(pairs, "user_id", comment_order(), "_idx")
     rows = idx.withColumn("shard", F.floor(F.col("_idx") / shard_rows))
     if settings is None:
         rows = rows.withColumn("setting", F.lit(0).cast("long")) \

@@ -41,14 +41,13 @@ def apply_insert(target: DataFrame, batch: DataFrame, keys: list[str], order: li
     return target.unionByName(insert_first_wins(target, batch, keys, order))
 
 
-def update_matched(target: DataFrame, batch: DataFrame, key: str, cols: list[str],
-                   order: str | None = None) -> DataFrame:
+def update_matched(target: DataFrame, batch: DataFrame, key: str, cols: list[str], order: str) -> DataFrame:
     """Overwrite ``cols`` of matched target rows with the batch values that are
-    present (non-NULL); unmatched batch rows are ignored (B02, D12)."""
-    b = batch.select(key, *cols)
-    if order:
-        b = first_per_key(batch.select(key, order, *cols), [key], [order]).drop(order)
-    renamed = b.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
+    present (non-NULL); unmatched batch rows are ignored (B02, D12). Of batch rows with one
+    key only the first by ``order`` counts, so a target row is never multiplied."""
+    keyed = batch.select(key, F.col(order).alias("_order"), *cols).where(F.col(key).isNotNull())
+    first = first_per_key(keyed, [key], ["_order"])
+    renamed = first.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     joined = target.join(renamed, key, "left")
     for c in cols:
         joined = joined.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 
-def squared_error(pred: str, target: str, d: int | None = None):
+def squared_error(pred, target, d: int | None = None):
     """Sum over components of (pred - target)^2."""
+    p, t = (F.col(c) if isinstance(c, str) else c for c in (pred, target))
     if d:
-        return A._sum([(F.col(pred)[i] - F.col(target)[i]) * (F.col(pred)[i] - F.col(target)[i])
-                       for i in range(d)])
-    return A.total(F.zip_with(F.col(pred), F.col(target), lambda a, b: (a - b) * (a - b)))
+        return A._sum([(p[i] - t[i]) * (p[i] - t[i]) for i in range(d)])
+    return A.total(F.zip_with(p, t, lambda a, b: (a - b) * (a - b)))
 
 
 def errors_by(rows: DataFrame, keys: list[str], dim: int = 3) -> DataFrame:
-    """MSE (mean over rows and components) and SSE per group."""
+    """MSE (mean over rows and components) and SSE per group, and the SSE of the
+    discretised prediction (N01, E08, E09)."""
     return (rows.groupBy(*keys)
-                .agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("sq").alias("_s"))
+                .agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("sq").alias("_s"), F.sum("sq_discrete").alias("_d"))
                 .select(*keys, "n_pairs", F.round(F.col("_s") / (dim * F.col("n_pairs")), 6).alias("mse"),
-                        F.round("_s", 6).alias("sse")))
+                        F.round("_s", 6).alias("sse"), F.round("_d", 6).alias("sse_discrete")))
 
 
 def epoch_loss(rows: DataFrame, key: str, idx: str, batch: int, dim: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sequence
+from .training import left_join_keyed
 
 
 # --- filters -----------------------------------------------------------------
@@ -37,16 +38,18 @@ def keep_keys_with_at_least(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str | None = None) -> DataFrame:
     """SQL ``col NOT IN (SELECT other_col FROM other)`` with its NULL rules (D01):
-    a NULL in ``other`` empties the result and a NULL ``col`` never qualifies.
+    an empty ``other`` keeps every row, a NULL in it empties the result, and a NULL ``col``
+    qualifies only against an empty ``other``.
 
-    Written as a (shuffle or broadcast, chosen by AQE) anti-join plus a scalar
-    NULL check, so it does not depend on the subquery side fitting in memory.
+    Written as a (shuffle or broadcast, chosen by AQE) anti-join plus scalar
+    checks, so it does not depend on the subquery side fitting in memory.
     """
     other_col = other_col or col
     keys = other.select(F.col(other_col).alias(col))
     nulls_in_other = keys.select(F.count_if(F.col(col).isNull())).scalar()
+    others = keys.select(F.count(F.lit(1))).scalar()
     return (df.join(keys.where(F.col(col).isNotNull()), col, "left_anti")
-              .where(F.col(col).isNotNull() & (nulls_in_other == 0)))
+              .where((others == 0) | (F.col(col).isNotNull() & (nulls_in_other == 0))))
 
 
 def latest_per_key(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -66,8 +69,7 @@ def unseen_users(comments: DataFrame, users: DataFrame, limit: int | None = None
 
 def attach_user_id(comments: DataFrame, users: DataFrame) -> DataFrame:
     """Set ``user_id`` from ``users`` by ``user_link`` (D03); unknown links stay NULL."""
-    return (comments.drop("user_id")
-                    .join(users.select("user_link", "user_id"), "user_link", "left"))
+    return left_join_keyed(comments.drop("user_id"), users.select("user_link", "user_id"), "user_link")
 
 
 def articles_read_by(comments: DataFrame, chosen_links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -150,27 +152,37 @@ def best_rank_per_key(ranking: DataFrame, key: str, rank: str = "ranking") -> Da
     return ranking.groupBy(key).agg(F.min(rank).alias("best_ranking"))
 
 
-def listing_page(df: DataFrame, key: str, order: list[Column], chunk: Column,
-                 page: int, size: int = 10) -> DataFrame:
+def listing_page(df: DataFrame, key: str, order: list[Column], page: int, size: int = 10) -> DataFrame:
     """Rows on page ``page`` (1-based, ``size`` rows each) of every key's listing."""
-    first = sequence.first_n_per_key(df, key, order, chunk, page * size, "position")
+    first = sequence.first_n_per_key(df, key, order, page * size, "position")
     return first.where(F.col("position") > (page - 1) * size)
 
 
-def capped(df: DataFrame, key: str, order: list[Column], chunk: Column, n: int) -> DataFrame:
-    """First ceil(n/10)*10 rows per key, as pages of ten load."""
-    cap = -(-n // 10) * 10
-    return sequence.first_n_per_key(df, key, order, chunk, cap, "position")
+PAGE_ROWS = 10   # rows a listing page loads at a time
 
 
-def thread_summary(comments: DataFrame, shown: int = 10) -> DataFrame:
-    """Per parent comment: number of replies, replies shown (capped) and the first
-    reply (D13). One partial aggregation, no per-parent lists."""
-    first = F.min_by("comment_id", F.struct("normalized_posted_time", "comment_id"))
-    return (comments.where(F.col("parent_comment_id").isNotNull())
-                    .groupBy("parent_comment_id")
-                    .agg(F.count(F.lit(1)).alias("reply_count"), first.alias("first_reply_id"))
-                    .withColumn("shown_replies", F.least(F.col("reply_count"), F.lit(shown))))
+def loaded_rows(n: int, pages: bool = False) -> int:
+    """Rows that are loaded to show ``n``: whole pages of ten; a user page (``pages``) starts
+    with one page and loads another for every ten begun."""
+    return PAGE_ROWS * (n // PAGE_ROWS + 1 if pages else -(-n // PAGE_ROWS))
+
+
+def capped(df: DataFrame, key: str, order: list[Column], n: int, pages: bool = False) -> DataFrame:
+    """The rows per key that are loaded to show ``n``."""
+    return sequence.first_n_per_key(df, key, order, loaded_rows(n, pages), "position")
+
+
+def reply_order() -> list[Column]:
+    return [F.col("normalized_posted_time").asc(), F.col("comment_id").asc()]
+
+
+def thread_rows(comments: DataFrame, replies: int = 10) -> DataFrame:
+    """The first replies of every parent comment, oldest first, each with its position and
+    the number of all replies to that parent (D13)."""
+    answers = comments.where(F.col("parent_comment_id").isNotNull())
+    sizes = answers.groupBy("parent_comment_id").agg(F.count(F.lit(1)).alias("reply_count"))
+    shown = sequence.first_n_per_key(answers, "parent_comment_id", reply_order(), replies, "position")
+    return shown.join(sizes, "parent_comment_id")
 
 
 # --- page blocks -------------------------------------------------------------

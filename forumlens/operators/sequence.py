@@ -1,22 +1,21 @@
 """Per-key ordered sequences that stay balanced when one key is huge.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task; if one
-user (or article, or page) holds a third of all rows, that task holds a third of
-the data. Here each key's sequence is cut into *chunks* by a column that is
-monotone in the sort order (a time bucket, a hash prefix, a value bucket), so the
-window runs over ``(key, chunk)`` groups. What crosses a chunk border is carried
-by small per-chunk tables (one row per key and chunk):
-
-* ``with_index``: position in the key's sequence = rows of the key in earlier
-  chunks (running sum over the per-chunk counts) + position inside the chunk.
-* ``with_neighbours``: previous / next row of the same key. Inside a chunk this is
-  ``lag`` / ``lead``; the first (last) row of a chunk takes the last (first) row
-  of the nearest earlier (later) non-empty chunk.
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here the rows
+are first cut into ranges of (key, order) by one range shuffle, sorted and written
+(``ranged``); a range is one task's share, so any key and any burst of one key is split,
+whatever the data look like. Every row has the number of its range and a row number that
+rises along the order, so a window runs over ``(key, range)`` and what crosses a border is
+carried by small tables:
+
+* ``with_index``: rows of the key in earlier ranges + position inside the range.
+* ``with_neighbours``: previous / next row of the same key; at a border it is the last /
+  first row of the adjacent range (one row per range).
 * ``with_carry_forward``: last non-NULL value at or before each row.
 
-The per-chunk tables have as many rows as (key, chunk) pairs; they are joined back
-on ``(key, chunk)``, which is also the partitioning of the windowed rows, so only
-the small side moves (or is broadcast when AQE measures it small).
+Every operator takes plain rows, which it ranges itself, or rows that ``ranged`` returned
+for the same keys and order, so several operators share one range shuffle. The rows
+move twice at most: once to their range, once by (key, range). Rows with a NULL key are
+left out.
 """
 from __future__ import annotations
 
@@ -25,119 +24,101 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
+from ..session import materialize
 
+RANGE, ROW = "_range", "_row"
 
-DEFAULT_CHUNK_SECONDS = 300
 
+def _keys(keys) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
 
-def time_chunk(ts_col: str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
-    """Chunk id for ascending time order: whole ``seconds``-wide buckets."""
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (seconds * 1_000_000))
 
+def ranged(df: DataFrame, keys, order: Sequence[Column]) -> DataFrame:
+    """``df`` written once in ranges of (keys, order), with ``RANGE`` and ``ROW``; ``order``
+    must be a total order within a key."""
+    keys = _keys(keys)
+    by = [*map(F.col, keys), *order]
+    return materialize(df.dropna(subset=keys).repartitionByRange(*by).sortWithinPartitions(*by)
+                       .withColumn(RANGE, F.spark_partition_id())
+                       .withColumn(ROW, F.monotonically_increasing_id()))
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys)
 
+def plain(df: DataFrame) -> DataFrame:
+    """Rows without the range columns."""
+    return df.drop(RANGE, ROW)
 
-def with_index(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
-               name: str = "idx", total: str | None = None) -> DataFrame:
-    """Add the 0-based position of each row in its key's sequence (and, with
-    ``total``, the number of rows of the key, from the same per-chunk counts).
 
-    ``order`` must be a total order within a key; ``chunk`` must not decrease
-    along it.
-    """
+def _prepared(df: DataFrame, keys: list[str], order: Sequence[Column]):
+    if RANGE in df.columns:
+        return df, lambda out: out
+    return ranged(df, keys, order), plain
+
+
+def with_index(df: DataFrame, keys, order: Sequence[Column], name: str = "idx",
+               total: str | None = None) -> DataFrame:
+    """Add the 0-based position of each row in its key's sequence (and, with ``total``, the
+    number of rows of the key)."""
     keys = _keys(keys)
-    c = df.withColumn(CHUNK, chunk)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    c = c.withColumn("_pos", F.row_number().over(inner) - 1)
-    # Chunk sizes come from a partial aggregation of the input: Catalyst prunes this
-    # branch to the key and chunk columns, and only (key, chunk, count) rows are
-    # shuffled. The offsets table has one row per (key, chunk) and is joined back
-    # on the window's own partitioning (or broadcast when AQE measures it small).
-    counts = df.withColumn(CHUNK, chunk).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    rows, finish = _prepared(df, keys, order)
+    inner = Window.partitionBy(*keys, RANGE).orderBy(ROW)
+    counts = rows.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
-    return (c.join(offsets, [*keys, CHUNK])
-             .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
-             .drop("_off", "_pos", CHUNK))
+    offsets = counts.select(*keys, RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
+    return finish(rows.withColumn("_pos", F.row_number().over(inner) - 1)
+                  .join(offsets, [*keys, RANGE])
+                  .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
+                  .drop("_off", "_pos"))
 
 
-def with_neighbours(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
-                    cols: Sequence[str], direction: int = -1, prefix: str = "prev_",
-                    order_value: Column | None = None) -> DataFrame:
+def with_neighbours(df: DataFrame, keys, order: Sequence[Column], cols: Sequence[str],
+                    direction: int = -1, prefix: str = "prev_") -> DataFrame:
     """Add ``prefix + col`` holding ``col`` of the previous (direction=-1) or next
-    (direction=+1) row of the same key; NULL at the sequence end.
-
-    ``order_value`` (optional) is one orderable value that sorts like ``order``
-    (e.g. a struct with negated descending parts). With it, the boundary row of
-    each chunk is found by a partial aggregation (``max_by`` / ``min_by``) of the
-    input, so only one row per chunk is shuffled for the carry-over."""
-    keys = _keys(keys)
-    cols = list(cols)
-    c = df.withColumn(CHUNK, chunk)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    (direction=+1) row of the same key; NULL at the sequence end."""
+    keys, cols = _keys(keys), list(cols)
+    rows, finish = _prepared(df, keys, order)
+    # One row per range: the last (looking back) or first (looking ahead) of the adjacent one.
+    ends = rows.groupBy(RANGE).agg(F.min(ROW).alias("_first"), F.max(ROW).alias("_last"))
+    mine, theirs = ("_first", "_last") if direction < 0 else ("_last", "_first")
     shift = F.lag if direction < 0 else F.lead
-    c = c.withColumn("_pos", F.row_number().over(inner)) \
-         .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK)))
+    borders = ends.select(RANGE, F.col(mine).alias("_at"), shift(theirs).over(Window.orderBy(RANGE)).alias("_edge"))
+    edge = rows.select(F.col(ROW).alias("_edge"), F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                                           *cols).alias("_carry"))
+    carried = borders.join(edge, "_edge").select(RANGE, "_at", "_carry")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col("_carry")[f"_k{i}"] == F.col(k))
+    inner = Window.partitionBy(*keys, RANGE).orderBy(ROW)
+    out = rows
     for col in cols:
-        c = c.withColumn(prefix + col, shift(F.col(col), 1).over(inner))
-    # boundary row of each chunk: last row (looking back) or first row (looking ahead)
-    if order_value is not None:
-        pick = F.max_by if direction < 0 else F.min_by
-        edges = (df.withColumn(CHUNK, chunk).groupBy(*keys, CHUNK)
-                   .agg(pick(F.struct(*cols), order_value).alias("_edge")))
-    else:
-        edge = (F.col("_pos") == F.col("_cnt")) if direction < 0 else (F.col("_pos") == 1)
-        edges = c.filter(edge).select(*keys, CHUNK, F.struct(*cols).alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = edges.select(*keys, CHUNK, shift("_edge", 1).over(across).alias("_carry"))
-    needs = (F.col("_pos") == 1) if direction < 0 else (F.col("_pos") == F.col("_cnt"))
-    out = c.join(carried, [*keys, CHUNK], "left")
+        out = out.withColumn(prefix + col, shift(F.col(col), 1).over(inner))
+    out = out.join(carried, RANGE, "left")
+    crosses = (F.col(ROW) == F.col("_at")) & same
     for col in cols:
-        out = out.withColumn(prefix + col,
-                             F.when(needs, F.col("_carry")[col]).otherwise(F.col(prefix + col)))
-    return out.drop("_pos", "_cnt", "_carry", CHUNK)
+        out = out.withColumn(prefix + col, F.when(crosses, F.col("_carry")[col]).otherwise(F.col(prefix + col)))
+    return finish(out.drop("_at", "_carry"))
 
 
-def with_carry_forward(df: DataFrame, keys, order: Sequence[Column], chunk: Column,
-                       col: str, name: str) -> DataFrame:
+def with_carry_forward(df: DataFrame, keys, order: Sequence[Column], col: str, name: str) -> DataFrame:
     """Add ``name`` = last non-NULL ``col`` at or before each row of the key."""
     keys = _keys(keys)
-    c = df.withColumn(CHUNK, chunk)
-    running = Window.partitionBy(*keys, CHUNK).orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    c = (c.withColumn("_in", F.last(F.col(col), ignorenulls=True).over(running))
-          .withColumn("_pos", F.row_number().over(inner))
-          .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK))))
-    # last non-NULL value per chunk, then carried across earlier chunks
-    per_chunk = c.filter(F.col("_pos") == F.col("_cnt")).select(*keys, CHUNK, F.col("_in").alias("_last"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(*keys, CHUNK, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    return (c.join(carried, [*keys, CHUNK], "left")
-             .withColumn(name, F.coalesce("_in", "_carry"))
-             .drop("_in", "_carry", "_pos", "_cnt", CHUNK))
-
-
-def first_n_per_key(df: DataFrame, keys, order: Sequence[Column], chunk: Column, n: int,
-                    name: str = "rank", salts: int = 64) -> DataFrame:
+    rows, finish = _prepared(df, keys, order)
+    running = (Window.partitionBy(*keys, RANGE).orderBy(ROW)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per_range = rows.groupBy(*keys, RANGE).agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col(ROW))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_range.select(*keys, RANGE, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    return finish(rows.withColumn("_in", F.last(F.col(col), ignorenulls=True).over(running))
+                  .join(carried, [*keys, RANGE])
+                  .withColumn(name, F.coalesce("_in", "_carry"))
+                  .drop("_in", "_carry"))
+
+
+def first_n_per_key(df: DataFrame, keys, order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """Rows whose 1-based rank in their key's order is <= n (rank in ``name``).
 
-    A row's rank is at least its rank inside any subset of its key's rows, so the
-    rows are first cut to the top n of each (key, chunk, salt) group, where the
-    salt is a hash of the row's order values; a hot key is thus pre-filtered by
-    many tasks. Exact ranks are computed on what is left (at most
-    n x chunks x salts rows per key).
+    A rank filter on a window is planned as a partial group limit before the one shuffle: every
+    task sends at most n rows of a key, so a hot key does not meet in one task.
     """
-    keys = _keys(keys)
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(salts))
-    inner = Window.partitionBy(*keys, CHUNK, "_salt").orderBy(*order)
-    pre = (df.withColumn(CHUNK, chunk).withColumn("_salt", salt)
-             .withColumn("_p", F.row_number().over(inner))
-             .filter(F.col("_p") <= n)
-             .drop("_p", "_salt", CHUNK))
-    ranked = with_index(pre, keys, order, chunk, "_idx")
-    return ranked.filter(F.col("_idx") < n).withColumn(name, F.col("_idx") + 1).drop("_idx")
+    place = F.row_number().over(Window.partitionBy(*_keys(keys)).orderBy(*order))
+    return df.withColumn(name, place).where(F.col(name) <= n)

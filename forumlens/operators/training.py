@@ -12,9 +12,10 @@ def comment_order() -> list:
     return [F.col("normalized_posted_time").asc(), F.col("comment_id").desc()]
 
 
-def comment_order_value():
-    """One orderable value sorting like ``comment_order``."""
-    return F.struct(F.col("normalized_posted_time"), -F.col("comment_id"))
+def left_join_keyed(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` in which rows with a NULL key, which match nothing, are not shuffled."""
+    found = rows.where(F.col(key).isNotNull()).join(lookup, key, "left")
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFrame,
-                       chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS, with_step: bool = True) -> DataFrame:
+                       with_step: bool = True) -> DataFrame:
     """One row per comment of a known user, with its article text, parent comment
     text (NULL for top-level comments) and step index in the user's sequence.
 
@@ -39,12 +40,11 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
                  .join(chosen, "user_id", "left_semi")
                  .join(articles.select("article_id"), "article_id", "left_semi"))
     if with_step:
-        c = sequence.with_index(c, "user_id", comment_order(),
-                                sequence.time_chunk("normalized_posted_time", chunk_seconds), "step")
+        c = sequence.with_index(c, "user_id", comment_order(), "step")
     a = articles.select("article_id", "article_content")
     parents = comments.select(F.col("comment_id").alias("parent_comment_id"),
                               F.col("comment_content").alias("parent_comment_content"))
-    rows = c.join(a, "article_id").join(parents, "parent_comment_id", "left")
+    rows = left_join_keyed(c, parents, "parent_comment_id").join(a, "article_id")
     cols = ["user_id", "article_id", "article_content", "parent_comment_id",
             "parent_comment_content", "comment_id", "comment_content", "normalized_posted_time"]
     return rows.select(*cols, *(["step"] if with_step else []))
@@ -52,22 +52,20 @@ def build_training_raw(users: DataFrame, comments: DataFrame, articles: DataFram
 
 # --- sequences of state vectors ---------------------------------------------
 
-def state_chunk(chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS):
-    return sequence.time_chunk("normalized_posted_time", chunk_seconds)
-
-
-def next_state_pairs(vectors: DataFrame, missing_parent=None, chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def next_state_pairs(vectors: DataFrame, missing_parent=None, index: str | None = None) -> DataFrame:
     """Inputs at t (article, parent, own state) with the target state at t+1; the
     last row of each user has no target and is dropped (W02). A missing parent
-    becomes ``missing_parent`` (zeros by default, H05/K6)."""
+    becomes ``missing_parent`` (zeros by default, H05/K6). ``index`` names a column for the
+    position in the user's sequence, taken from the same ranges."""
     from ..functions import arrays as A
 
     missing = A.zeros(3) if missing_parent is None else missing_parent
-    nxt = sequence.with_neighbours(vectors, "user_id", comment_order(), state_chunk(chunk_seconds),
-                                   ["comment_vec"], direction=+1, prefix="next_",
-                                   order_value=comment_order_value())
+    rows = sequence.ranged(vectors, "user_id", comment_order())
+    if index:
+        rows = sequence.with_index(rows, "user_id", comment_order(), index)
+    nxt = sequence.with_neighbours(rows, "user_id", comment_order(), ["comment_vec"], direction=+1, prefix="next_")
     return (nxt.where(F.col("next_comment_vec").isNotNull())
-               .select("user_id", "comment_id", "normalized_posted_time",
+               .select("user_id", "comment_id", "normalized_posted_time", *([index] if index else []),
                        F.col("article_vec").alias("p"),
                        F.coalesce(F.col("parent_vec"), missing).alias("q"),
                        F.col("comment_vec").alias("s"),
@@ -78,16 +76,11 @@ def split_order() -> list:
     return [F.md5(F.col("comment_id").cast("string")).asc(), F.col("comment_id").asc()]
 
 
-def split_chunk():
-    # first four hex digits of the md5: monotone in the md5 order, 65536 chunks per user
-    return F.conv(F.substring(F.md5(F.col("comment_id").cast("string")), 1, 4), 16, 10).cast("int")
-
-
 def train_val_split(rows: DataFrame, ratio_tenths: int = 8, keep_rank: bool = False) -> DataFrame:
     """Exact, repeatable split per user: the first floor(n * ratio) rows in md5 order
     are ``train``, the rest ``val`` (W08). ``keep_rank`` keeps the md5-order
     position as ``split_rank`` (the fits cut users into shards by it)."""
-    ranked = sequence.with_index(rows, "user_id", split_order(), split_chunk(), "_r", total="_n")
+    ranked = sequence.with_index(rows, "user_id", split_order(), "_r", total="_n")
     return (ranked
                   .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * ratio_tenths / 10), "train")
                               .otherwise("val"))
@@ -95,45 +88,33 @@ def train_val_split(rows: DataFrame, ratio_tenths: int = 8, keep_rank: bool = Fa
                   .drop("_n", *([] if keep_rank else ["split_rank"])))
 
 
-def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None,
-                        chunk_seconds: int = sequence.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None) -> DataFrame:
     """Place the prediction made at t on row t+1; the first row of each user gets
     ``sentinel`` ([2, 2, 2] by default) (W04)."""
     from ..functions import arrays as A
 
     sentinel = A.const(3, 2.0) if sentinel is None else sentinel
-    shifted = sequence.with_neighbours(rows, "user_id", comment_order(), state_chunk(chunk_seconds),
-                                       [pred_col], direction=-1, prefix="prev_",
-                                       order_value=comment_order_value())
+    shifted = sequence.with_neighbours(rows, "user_id", comment_order(), [pred_col], direction=-1, prefix="prev_")
     return shifted.withColumn("aligned_pred", F.coalesce(F.col("prev_" + pred_col), sentinel)) \
                   .drop("prev_" + pred_col)
 
 
 # --- user-page blocks ----------------------------------------------------------
 
-BLOCK_CHUNK = 64   # blocks per chunk of a page section
-
-
 def block_order() -> list:
     return [F.col("seq").asc()]
 
 
-def block_chunk():
-    return F.floor(F.col("seq") / BLOCK_CHUNK)
-
-
 def carry_article_forward(blocks: DataFrame) -> DataFrame:
     """Each block gets the article of the nearest header at or above it."""
-    return sequence.with_carry_forward(blocks, "section", block_order(), block_chunk(),
-                                       "article_id", "current_article_id")
+    return sequence.with_carry_forward(blocks, "section", block_order(), "article_id", "current_article_id")
 
 
 def reply_parent_pairs(blocks: DataFrame, kind_col: str = "kind") -> DataFrame:
     """Replies paired with the parent link directly above them (W10). A deleted
     parent has no link, so its reply stays unpaired (K10)."""
-    prev = sequence.with_neighbours(blocks, "section", block_order(), block_chunk(),
-                                    [kind_col, "reply_link"], direction=-1, prefix="prev_",
-                                    order_value=F.col("seq"))
+    prev = sequence.with_neighbours(blocks, "section", block_order(), [kind_col, "reply_link"],
+                                    direction=-1, prefix="prev_")
     return (prev.where((F.col(kind_col) == "reply") & (F.col("prev_" + kind_col) == "parent_link"))
                 .select("section", F.col("block_id").alias("reply_block_id"),
                         F.col("prev_reply_link").alias("parent_link")))

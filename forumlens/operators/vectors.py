@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+from .training import left_join_keyed
+
 # The label orders of the two vector tables.
 SENTIMENT_LABELS = ("positive", "neutral", "negative")
 
@@ -45,31 +48,30 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w, tf): token counts per document (whole texts)."""
-    from .partitioning import spread
-
-    return (spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("w"))
-                .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
+def term_counts(text) -> Column:
+    """array<struct<w, tf>>: the distinct tokens of a text with their counts, by sorting inside the row."""
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i] != F.get(s, i - 1)))
+        return let(first, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))),
+            lambda a, b: F.struct(s[a].alias("w"), (b - a).alias("tf"))))
+    empty = F.array().cast("array<struct<w:string,tf:int>>")
+    return let(F.array_sort(tokens(text)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def fit_naive_bayes(train: DataFrame, text: str, label: str, labels=None) -> dict[str, DataFrame]:
     """Fit the scorer: token counts per class, class priors and normalisers.
 
     Fitting is eager, like any model fit: the (class, token) counts are computed
-    once and checkpointed to the shared checkpoint folder, so every later use reads
+    once and written to the shared checkpoint folder, so every later use reads
     the model instead of re-tokenising the training texts. ``words`` has one row
     per vocabulary token with log(cnt + 1) per label (0 for a class that never saw
     the token), so scoring is a single equi-join on the token.
     """
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(train.sparkSession)
-    from .partitioning import spread
+    from ..session import materialize
 
-    toks = spread(train.select(label, text)).select(F.col(label).alias("label"),
-                                                    F.explode(tokens(text)).alias("w"))
-    counts = toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
+    toks = train.select(F.col(label).alias("label"), F.explode(tokens(text)).alias("w"))
+    counts = materialize(toks.groupBy("label", "w").agg(F.count(F.lit(1)).alias("cnt")))
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
     totals = counts.groupBy("label").agg(F.sum("cnt").alias("t_c"))
     vocab = counts.agg(F.count_distinct("w").alias("v"))
@@ -103,16 +105,12 @@ def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, Dat
     words = model.get("words")
     if words is None:
         words = word_table(model["counts"], labels)
-    from .partitioning import spread
-
-    # tokens are joined to the per-token table as they are (no per-document
-    # pre-count): with a broadcast token table this is map-side, and the sums per
-    # document are combined map-side before their shuffle
-    toks = spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("w"))
+    # tokens are counted inside the row, so a document sends one row per distinct token
+    toks = docs.select(key, F.inline(term_counts(text)))
     sums = (toks.join(words, "w")
                 .groupBy(key)
-                .agg(F.count(F.lit(1)).alias("n_d"),
-                     *[F.sum(F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
+                .agg(F.sum("tf").alias("n_d"),
+                     *[F.sum(F.col("tf") * F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
     cls = model["classes"]
     row = cls.agg(*[F.max(F.when(F.col("label") == x, F.col("prior"))).alias(f"_prior{i}")
                     for i, x in enumerate(labels)],
@@ -146,27 +144,6 @@ def score_with_model(df: DataFrame, text: str, predict, labels, out: str = "vec"
     return df.withColumn(out, _score(F.col(text)))
 
 
-def vectorize_columns(rows: DataFrame, keys: list[str], text_cols: list[str], model: dict[str, DataFrame],
-                      labels) -> DataFrame:
-    """Replace several text columns by vectors.
-
-    The texts are unpivoted into (keys, column, text) rows, the distinct texts are
-    scored once (keyed by SHA-256), and one join plus one aggregation per row key
-    puts the vectors back; a NULL text gives a NULL vector.
-    """
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in text_cols]))
-    long = (rows.select(*keys, cells.alias("x"))
-                .select(*keys, "x.col", "x.text")
-                .where(F.col("text").isNotNull())
-                .withColumn("tkey", F.sha2("text", 256)))
-    distinct = long.select("tkey", "text").dropDuplicates(["tkey"])
-    scored = score_naive_bayes(distinct, "tkey", "text", model, labels, "vec")
-    wide = (long.select(*keys, "col", "tkey").join(scored, "tkey")
-                .groupBy(*keys)
-                .agg(*[F.max(F.when(F.col("col") == c, F.col("vec"))).alias(c + "_vec") for c in text_cols]))
-    return rows.select(*keys).join(wide, keys, "left")
-
-
 def vectorize_training_rows(rows: DataFrame, articles: DataFrame, comments: DataFrame,
                             model: dict[str, DataFrame], labels) -> DataFrame:
     """Training rows (ids only) with article, parent and comment texts as vectors.
@@ -190,5 +167,5 @@ def vectorize_training_rows(rows: DataFrame, articles: DataFrame, comments: Data
     c_vec = materialize(score_naive_bayes(com, "comment_id", "comment_content", model, labels, "vec"))
     return (ids.join(a_vec, "article_id", "left")
                .join(c_vec.withColumnRenamed("vec", "comment_vec"), "comment_id", "left")
-               .join(c_vec.select(F.col("comment_id").alias("parent_comment_id"),
-                                  F.col("vec").alias("parent_vec")), "parent_comment_id", "left"))
+               .transform(left_join_keyed, c_vec.select(F.col("comment_id").alias("parent_comment_id"),
+                                                        F.col("vec").alias("parent_vec")), "parent_comment_id"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import select as S
-from ..operators import sequence
 from .catalog import register
 
 MIN_ACTIVE = 60         # minimum events per active user (C05)
@@ -204,17 +203,17 @@ def comment_page(v):
     c = v.comments_v.where(F.col("article_id").isNotNull()).select(
         "article_id", "comment_id", "normalized_posted_time", "agreements_count")
     newer = S.listing_page(c, "article_id",
-                           [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()],
-                           -sequence.time_chunk("normalized_posted_time"), PAGE)
+                           [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()], PAGE)
     recommended = S.listing_page(c, "article_id",
-                                 [F.col("agreements_count").desc(), F.col("comment_id").asc()],
-                                 -F.col("agreements_count"), PAGE)
+                                 [F.col("agreements_count").desc(), F.col("comment_id").asc()], PAGE)
     cols = ["article_id", "comment_id", F.col("position").cast("bigint").alias("position")]
     return (newer.select(F.lit("newer").alias("listing"), *cols)
                  .unionByName(recommended.select(F.lit("recommended").alias("listing"), *cols)))
 
 
 CAP_N = 25
+REPLY_CAP = 10
+SHOWN_REPLIES = 3
 
 
 @register("capped_comments", views=("comments_v",), oracle=f"""
@@ -226,19 +225,46 @@ def capped_comments(v):
     """The first ceil(n/10)*10 comments per article, newest first."""
     c = v.comments_v.where(F.col("article_id").isNotNull()).select(
         "article_id", "comment_id", "normalized_posted_time")
-    out = S.capped(c, "article_id", [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()],
-                   -sequence.time_chunk("normalized_posted_time"), CAP_N)
+    out = S.capped(c, "article_id", [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()], CAP_N)
     return out.select("article_id", "comment_id", F.col("position").cast("bigint").alias("position"))
 
 
-@register("thread_replies", views=("comments_v",), oracle="""
-SELECT parent_comment_id, COUNT(*) AS reply_count,
-       first(comment_id ORDER BY normalized_posted_time, comment_id) AS first_reply_id,
-       LEAST(COUNT(*), 10) AS shown_replies
-FROM comments_v WHERE parent_comment_id IS NOT NULL GROUP BY parent_comment_id""")
+@register("capped_replies", views=("comments_v",), oracle=f"""
+SELECT parent_comment_id, comment_id, position FROM (
+  SELECT parent_comment_id, comment_id, ROW_NUMBER() OVER (PARTITION BY parent_comment_id
+         ORDER BY normalized_posted_time, comment_id) AS position
+  FROM comments_v WHERE parent_comment_id IS NOT NULL) t WHERE position <= {-(-REPLY_CAP // 10) * 10}""")
+def capped_replies(v):
+    """The replies per comment that are loaded to show REPLY_CAP of them."""
+    c = v.comments_v.where(F.col("parent_comment_id").isNotNull()).select(
+        "parent_comment_id", "comment_id", "normalized_posted_time")
+    out = S.capped(c, "parent_comment_id", S.reply_order(), REPLY_CAP)
+    return out.select("parent_comment_id", "comment_id", F.col("position").cast("bigint").alias("position"))
+
+
+@register("capped_user_page", views=("comments_v",), oracle=f"""
+SELECT user_id, comment_id, position FROM (
+  SELECT user_id, comment_id, ROW_NUMBER() OVER (PARTITION BY user_id
+         ORDER BY normalized_posted_time DESC, comment_id DESC) AS position
+  FROM comments_v) t WHERE position <= {(CAP_N // 10 + 1) * 10}""")
+def capped_user_page(v):
+    """The comments a user page has loaded after CAP_N were asked for, newest first."""
+    c = v.comments_v.select("user_id", "comment_id", "normalized_posted_time")
+    out = S.capped(c, "user_id", [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()], CAP_N,
+                   pages=True)
+    return out.select("user_id", "comment_id", F.col("position").cast("bigint").alias("position"))
+
+
+@register("thread_replies", views=("comments_v",), oracle=f"""
+SELECT parent_comment_id, position, comment_id, user_id, comment_content, reply_count FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY parent_comment_id ORDER BY normalized_posted_time, comment_id) AS position,
+         COUNT(*) OVER (PARTITION BY parent_comment_id) AS reply_count
+  FROM comments_v WHERE parent_comment_id IS NOT NULL) t WHERE position <= {SHOWN_REPLIES}""")
 def thread_replies(v):
-    """Replies per parent comment: count, shown (capped at 10), first reply."""
-    return S.thread_summary(v.comments_v)
+    """The first replies under every parent comment, with the number of all of them."""
+    return S.thread_rows(v.comments_v, SHOWN_REPLIES).select(
+        "parent_comment_id", F.col("position").cast("bigint").alias("position"), "comment_id", "user_id",
+        "comment_content", "reply_count")
 
 
 @register("block_kinds", views=("blocks_v",), oracle="""

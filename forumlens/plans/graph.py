@@ -81,12 +81,12 @@ def _weighted_sql():
 _W = _weighted_sql()
 _STEP_SQL = f"""
 SELECT u.node_id, u.k, u.y0, u.y1, u.y2, {_W[0]} AS e0, {_W[1]} AS e1, {_W[2]} AS e2
-FROM ({_TUPLES_SQL}) u JOIN weights_v w ON w.user_id = u.node_id - 200"""
+FROM ({_TUPLES_SQL}) u JOIN weights_v w ON u.node_id = w.user_id * 2 + 1"""
 
 
 def _weighted(v):
     t = Dy.graph_tuples(v.nodes())
-    w = (v.weights().withColumn("node_id", F.col("user_id") + 200).drop("user_id")
+    w = (v.weights().withColumn("node_id", F.col("user_id") * 2 + 1).drop("user_id")
           .withColumnRenamed("b", "bias"))
     return t.join(w, "node_id").withColumn("pred", Dy.weighted_step("p", "a", "q", "b", "s", b="bias", d=STATE_DIM))
 
@@ -116,7 +116,7 @@ def graph_predictions(v):
 SELECT node_id, k, node_type, p1_id IS NOT NULL AS has_parents, {_r(_X)} FROM nodes_v""")
 def all_nodes(v):
     """Article nodes and user nodes in one table (missing columns NULL)."""
-    n = v.nodes()
+    n = v.graph()
     articles = n.where(F.col("node_type") == "article").select("node_id", "k", "node_type", "state")
     users = n.where(F.col("node_type") == "user").select("node_id", "k", "node_type", "state",
                                                          "parent_ids", "parent_ks")

@@ -7,7 +7,7 @@ from ..functions import arrays as A
 from ..operators import dynamics as Dy
 from ..operators import report as R
 from ..operators import training
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources.views import STATE_DIM
 from .catalog import register
 from .sqlgen import matvec
@@ -145,6 +145,8 @@ SELECT user_id, comment_id, a0, a1, a2, q0, q1, q2, s0, s1, s2,
 FROM {_INPUTS} x"""
 
 _SQERR = " + ".join(f"(e{i} - y{i}) * (e{i} - y{i})" for i in range(3))
+_SQERR_DISCRETE = " + ".join(
+    f"pow(CASE WHEN e{i} > 0.5 THEN 1.0 WHEN e{i} < -0.5 THEN -1.0 ELSE 0.0 END - y{i}, 2)" for i in range(3))
 _EVAL_BASE = f"""
 WITH pairs AS (SELECT * FROM ({_PAIRS_SQL}) t WHERE y0 IS NOT NULL),
 split AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY md5(CAST(comment_id AS STRING)), comment_id) - 1
@@ -153,21 +155,24 @@ split AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY m
 pred AS (SELECT s.user_id, s.split, s.idx, s.y0, s.y1, s.y2,
                 {_LIN[0]} AS e0, {_LIN[1]} AS e1, {_LIN[2]} AS e2
          FROM split s JOIN weights_v w ON w.user_id = s.user_id),
-err AS (SELECT user_id, split, idx, {_SQERR} AS sq FROM pred)"""
+err AS (SELECT user_id, split, idx, {_SQERR} AS sq, {_SQERR_DISCRETE} AS sq_discrete FROM pred)"""
 
 
 def _pairs_with_pred(v):
-    pairs = materialize(training.next_state_pairs(v.vectors()))
-    return pairs.join(v.weights(), "user_id").withColumn("e", Dy.linear_step("p", "q", "s", d=STATE_DIM))
+    return training.next_state_pairs(v.vectors()).join(v.weights(), "user_id").withColumn("e", Dy.linear_step("p", "q", "s", d=STATE_DIM))
 
 
 @register("evaluation_by_user", views=("vectors_v", "weights_v"), oracle=_EVAL_BASE + """
-SELECT user_id, split, COUNT(*) AS n_pairs, round(SUM(sq) / (3 * COUNT(*)), 6) AS mse, round(SUM(sq), 6) AS sse
+SELECT user_id, split, COUNT(*) AS n_pairs, round(SUM(sq) / (3 * COUNT(*)), 6) AS mse, round(SUM(sq), 6) AS sse,
+       round(SUM(sq_discrete), 6) AS sse_discrete
 FROM err GROUP BY user_id, split""")
 def evaluation_by_user(v):
-    """N01 (+E08, E09): mean and summed squared error per user and split."""
-    rows = training.train_val_split(_pairs_with_pred(v))
-    return R.errors_by(rows.withColumn("sq", R.squared_error("e", "y", STATE_DIM)), ["user_id", "split"])
+    """N01 (+E08, E09): mean and summed squared error per user and split, and the summed
+    error of the discretised prediction."""
+    rows = _pairs_with_pred(v).select(
+        "user_id", "comment_id", R.squared_error("e", "y", STATE_DIM).alias("sq"),
+        R.squared_error(A.discretize("e", n=STATE_DIM), "y", STATE_DIM).alias("sq_discrete"))
+    return R.errors_by(training.train_val_split(rows), ["user_id", "split"])
 
 
 @register("batch_mean_loss", views=("vectors_v", "weights_v"), oracle=_EVAL_BASE + """
@@ -176,9 +181,9 @@ SELECT user_id, COUNT(*) AS n_batches, round(AVG(batch_loss), 6) AS epoch_loss F
 GROUP BY user_id""")
 def batch_mean_loss(v):
     """Epoch loss as the mean of batch-of-8 mean losses, batches by rank."""
-    rows = _pairs_with_pred(v).withColumn("sq", R.squared_error("e", "y", STATE_DIM))
-    idx = training.sequence.with_index(rows, "user_id", training.comment_order(), training.state_chunk(), "idx")
-    return R.epoch_loss(idx, "user_id", "idx", 8)
+    pairs = training.next_state_pairs(v.vectors(), index="idx").join(v.weights(), "user_id")
+    rows = pairs.withColumn("e", Dy.linear_step("p", "q", "s", d=STATE_DIM))
+    return R.epoch_loss(rows.withColumn("sq", R.squared_error("e", "y", STATE_DIM)), "user_id", "idx", 8)
 
 
 @register("plot_series", views=("vectors_v", "weights_v"), oracle=f"""
@@ -211,7 +216,7 @@ UNION ALL SELECT node_id, k, 1 AS dim, round(x1, 6) AS value FROM nodes_v WHERE
 UNION ALL SELECT node_id, k, 2 AS dim, round(x2, 6) AS value FROM nodes_v WHERE node_type = 'user'""")
 def graph_state_series(v):
     """Graph states per node, step and dimension (long form)."""
-    n = v.nodes().where(F.col("node_type") == "user")
+    n = v.graph().where(F.col("node_type") == "user")
     return n.select("node_id", "k", F.posexplode("state").alias("dim", "value")) \
             .select("node_id", "k", "dim", F.round("value", 6).alias("value"))
 
@@ -224,7 +229,7 @@ FROM nodes_v WHERE node_type = 'user' GROUP BY node_id""")
 def training_export(v):
     """Nested JSON export (run metadata + per-node step lists), read back and summarised."""
     spark = v.spark
-    n = v.nodes().where(F.col("node_type") == "user")
+    n = v.graph().where(F.col("node_type") == "user")
     path = scratch_path(spark, "export")
     R.export_nested(n, path, metadata={"state_dim": 3, "k_max": None})
     back = R.read_export(spark, path)
@@ -241,9 +246,7 @@ FIT_LR = 0.001
 
 
 def _fit_input(v):
-    # the pairs feed the split's index and count branches: built once
-    pairs = materialize(training.next_state_pairs(v.vectors()))
-    return training.train_val_split(pairs, keep_rank=True)
+    return training.train_val_split(training.next_state_pairs(v.vectors()), keep_rank=True)
 
 
 def _fit_summary(fits):

@@ -60,16 +60,16 @@ SELECT a.article_id, a.article_link, a.article_title,
        COALESCE(d.source, a.article_genre) AS article_genre
 FROM articles_v a LEFT JOIN (
   SELECT 'https://news.example/articles/' || CAST(doc_id AS STRING) AS article_link, text, source
-  FROM documents WHERE doc_id < 400) d ON d.article_link = a.article_link""")
+  FROM documents WHERE doc_id % 3 <> 1) d ON d.article_link = a.article_link""")
 def update_matched(v):
     """Fill articles from later-fetched documents; only present attributes overwrite."""
-    batch = v.documents.where(F.col("doc_id") < 400).select(
-        F.concat(F.lit("https://news.example/articles/"), F.col("doc_id").cast("string")).alias("article_link"),
+    batch = v.documents.where(F.col("doc_id") % 3 != 1).select(
+        "doc_id", F.concat(F.lit("https://news.example/articles/"), F.col("doc_id").cast("string")).alias("article_link"),
         F.col("text").alias("article_content"), F.col("source").alias("article_genre"),
         F.lit(None).cast("string").alias("article_title"))
     target = v.articles_v.select("article_id", "article_link", "article_title", "article_content", "article_genre")
     return maintain.update_matched(target, batch, "article_link",
-                                   ["article_title", "article_content", "article_genre"])
+                                   ["article_title", "article_content", "article_genre"], order="doc_id")
 
 
 @register("latest_run", views=(), oracle="""
@@ -135,7 +135,7 @@ def resolve_parent_ids(v):
     known = v.comments_v.select(F.col("comment_id").alias("parent_comment_id"))
     found = linked.join(known, "parent_comment_id", "left_semi")
     target = v.comments_v.select("comment_id", "parent_comment_id")
-    return maintain.update_matched(target, found, "comment_id", ["parent_comment_id"])
+    return maintain.update_matched(target, found, "comment_id", ["parent_comment_id"], order="parent_comment_id")
 
 
 @register("carry_article_forward", views=("blocks_v",), oracle="""
@@ -186,8 +186,8 @@ FROM vectors_v""")
 def user_step_index(v):
     """Step index per user, oldest first, ties by the larger id first."""
     rows = v.vectors_v.select("user_id", "comment_id", "normalized_posted_time")
-    return training.sequence.with_index(rows, "user_id", training.comment_order(),
-                                        training.state_chunk(), "step").select("user_id", "comment_id", "step")
+    return training.sequence.with_index(rows, "user_id", training.comment_order(), "step").select(
+        "user_id", "comment_id", "step")
 
 
 @register("train_val_split", views=("vectors_v",), oracle="""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library relies on. AQE re-plans joins from runtime sizes (a join
 # side is broadcast only when its measured size is under the threshold), splits
@@ -79,13 +79,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    scratch folder; on a cluster, whose machines share no local folder, that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         current = tempfile.mkdtemp(prefix="forumlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
@@ -102,12 +104,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it from there.
 
-    Used where a DataFrame with shuffles upstream feeds several branches that
-    cannot share an exchange (column pruning makes their plans differ): the work
-    is done once, and a lost executor does not recompute the lineage.
+    Used where several readers need the same rows in the same place, or a DataFrame with
+    shuffles upstream feeds branches that cannot share an exchange: the work is done once,
+    and a lost executor does not recompute the lineage.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

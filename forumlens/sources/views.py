@@ -5,7 +5,12 @@ the input DataFrames bound as ``{name}`` parameters) and DuckDB (used as an
 independent oracle). Only integer and IEEE arithmetic on input columns is used, so
 both engines see identical rows. The views stand in for the crawled tables
 (articles, users, comments, page blocks, texts to normalise, vector tables, step
-graph); every one of them grows with the input tables.
+graph); every one of them reads its whole input tables and grows with them.
+
+An event's article is the square of its id modulo a number a little above the number of
+documents, so articles differ in their comments and some events have an absent article. In the step graph a user's node has one step
+per comment of the user, and an article's node one step per comment on the article; node
+ids are even for articles and odd for users.
 """
 from __future__ import annotations
 
@@ -36,8 +41,22 @@ def _k(d: str) -> str:  # the integer inside events.props ('{"k": 69}')
     return "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 
 
-def _article_id() -> str:
-    return "CASE WHEN event_id % 97 = 5 THEN NULL ELSE event_id % 200 END"
+# Sizes of input tables that views use: name -> SQL over one table. The oracle has them as
+# subqueries, Spark as numbers counted when a view is bound (a subquery in a join key or
+# range key is not evaluated before the exchange that needs it).
+SIZES = {
+    "article_ids": ("SELECT CAST(floor(COUNT(*) * 21 / 20) AS BIGINT) + 1 FROM {documents}", "documents"),
+    "conversation_ids": ("SELECT MAX(conv_id) + 1 FROM {conversations}", "conversations"),
+}
+
+
+def _article_id(d: str) -> str:
+    rest = f"event_id % {_size('article_ids', d)}"
+    return f"CASE WHEN event_id % 97 = 5 THEN NULL ELSE ({rest}) * ({rest}) % {_size('article_ids', d)} END"
+
+
+def _size(name: str, d: str) -> str:
+    return "{" + name + "}" if d == SPARK else f"({SIZES[name][0]})"
 
 
 def _parent_id() -> str:
@@ -45,12 +64,16 @@ def _parent_id() -> str:
             "THEN event_id - 1 - event_id % 13 END")
 
 
-def _user_rank(d: str) -> str:
-    """1-based rank of an event in its user's time order. In Spark the events come
-    pre-ranked (``_rk``) by the skew-safe sequence index instead of a per-user window."""
+def _ranked_events(d: str) -> str:
+    """Events with their article (``_aid``) and their 0-based rank in time order among the
+    events of their user (``_rk``) and of their article (``_ak``). In Spark the events come
+    with these columns from the sequence index instead of windows per user and article."""
     if d == SPARK:
-        return "(_rk + 1)"
-    return "ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+        return "{ranked_events}"
+    return f"""(
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS _rk,
+         CASE WHEN _aid IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY _aid ORDER BY ts, event_id) - 1 END AS _ak
+  FROM (SELECT *, {_article_id(d)} AS _aid FROM {{events}}) a)"""
 
 
 def _user_link(uid: str = "user_id") -> str:
@@ -60,18 +83,19 @@ def _user_link(uid: str = "user_id") -> str:
 def comments_v(d: str) -> str:
     return f"""
 SELECT event_id AS comment_id,
-       {_article_id()} AS article_id,
+       {_article_id(d)} AS article_id,
        {_parent_id()} AS parent_comment_id,
-       user_id,
+       e.user_id,
        'user' || CAST(user_id AS STRING) AS username,
        CASE WHEN event_id % 101 = 7 THEN NULL ELSE {_user_link()} END AS user_link,
        {_ntz("date_trunc('minute', ts)", d)} AS normalized_posted_time,
        ts + INTERVAL 1 HOUR AS scraped_time,
-       'comment ' || CAST(event_id % 500 AS STRING) AS comment_content,
+       t.text AS comment_content,
        CAST(floor(value) AS INT) AS agreements_count,
        {_k(d)} AS acknowledgements_count,
        CAST(event_id % 11 AS INT) AS disagreements_count
-FROM {{events}}"""
+FROM {{events}} e JOIN {{conversations}} t
+  ON t.conv_id = event_id % {_size('conversation_ids', d)} AND t.turn = 0"""
 
 
 def users_v(d: str) -> str:
@@ -97,8 +121,7 @@ SELECT doc_id AS article_id,
        CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(n_chars % 500 AS INT) END AS comment_count_per_hour,
        lang AS article_genre,
        {_plus_minutes(_ts_lit('2024-02-01 00:00:00', d), 'doc_id', d)} AS scraped_time
-FROM {{documents}}
-WHERE doc_id < 200"""
+FROM {{documents}}"""
 
 
 def ranking_v(d: str) -> str:
@@ -116,16 +139,16 @@ def blocks_v(d: str) -> str:
     return f"""
 SELECT event_id AS block_id,
        user_id AS section,
-       CAST({_user_rank(d)} AS BIGINT) AS seq,
+       CAST(_rk + 1 AS BIGINT) AS seq,
        event_type = 'signup' AS has_anchor,
        event_type = 'click' AS has_reply_count,
        event_type IN ('click', 'view') AS has_text,
        event_type = 'purchase' AS has_reply_link,
        event_type IN ('purchase', 'error') AS has_reply_text,
-       CASE WHEN event_type = 'signup' THEN event_id % 200 END AS article_id,
+       CASE WHEN event_type = 'signup' THEN _aid END AS article_id,
        CASE WHEN event_type = 'purchase'
-            THEN 'https://news.example/comments/' || CAST(event_id % 5000 AS STRING) END AS reply_link
-FROM {{events}}"""
+            THEN 'https://news.example/comments/' || CAST(event_id - 1 - event_id % 17 AS STRING) END AS reply_link
+FROM {_ranked_events(d)} e"""
 
 
 def number_text_v(d: str) -> str:
@@ -172,7 +195,7 @@ def vectors_v(d: str) -> str:
 SELECT event_id AS comment_id,
        user_id,
        {_ntz("date_trunc('minute', ts)", d)} AS normalized_posted_time,
-       {_article_id()} AS article_id,
+       {_article_id(d)} AS article_id,
        {_parent_id()} AS parent_comment_id,
        {a} / {ssum} AS s0, {b} / {ssum} AS s1, {c} / {ssum} AS s2,
        (1 + event_id % 5) / {asum} AS a0, (1 + event_id % 7) / {asum} AS a1, (1 + event_id % 9) / {asum} AS a2,
@@ -208,45 +231,37 @@ def weights_v(d: str) -> str:
         "\nFROM (SELECT DISTINCT user_id FROM {events}) u"
 
 
-def _article_steps(d: str) -> str:
-    """Article node rows: doc_id < 200, steps 0-40 (a generator per row, no join)."""
-    if d == SPARK:
-        return ("(SELECT doc_id, kk FROM {documents} LATERAL VIEW explode(sequence(0, 40)) s AS kk "
-                "WHERE doc_id < 200) dd")
-    return "(SELECT doc_id, unnest(range(0, 41)) AS kk FROM {documents} WHERE doc_id < 200) dd"
-
-
 def nodes_v(d: str) -> str:
-    a = "(1 + CAST(floor(value) AS INT) % 17)"
-    b = f"(1 + {_k(d)} % 13)"
-    c = "(1 + event_id % 11)"
+    a = "(1 + CAST(floor(e.value) AS INT) % 17)"
+    b = f"(1 + {_k(d).replace('props', 'e.props')} % 13)"
+    c = "(1 + e.event_id % 11)"
     ssum = f"CAST({a} + {b} + {c} AS DOUBLE)"
-    second = "k > 0 AND event_type IN ('view', 'error') AND user_id > 0"
+    first = "e._rk > 0 AND e._aid IS NOT NULL"
     return f"""
-SELECT CAST(200 + user_id AS BIGINT) AS node_id,
-       CAST(k AS INT) AS k,
+SELECT CAST(e.user_id * 2 + 1 AS BIGINT) AS node_id,
+       CAST(e._rk AS INT) AS k,
        'user' AS node_type,
        1 AS metadata_id,
        {a} / {ssum} AS x0, {b} / {ssum} AS x1, {c} / {ssum} AS x2,
-       CAST((CAST(200 + user_id AS BIGINT) * 3 + k) % 10 AS DOUBLE) / 10 AS strength,
-       CASE WHEN k > 0 THEN CAST(event_id % 200 AS BIGINT) END AS p1_id,
-       CASE WHEN k > 0 THEN CAST(k % 41 AS INT) END AS p1_k,
-       CASE WHEN {second} THEN CAST(200 + user_id - 1 AS BIGINT) END AS p2_id,
-       CASE WHEN {second} THEN CAST(k * 3 % 40 AS INT) END AS p2_k
-FROM (SELECT *, {_user_rank(d)} - 1 AS k
-      FROM {{events}}) e
+       CAST((e.user_id * 6 + 3 + e._rk) % 10 AS DOUBLE) / 10 AS strength,
+       CASE WHEN {first} THEN CAST(e._aid * 2 AS BIGINT) END AS p1_id,
+       CASE WHEN {first} THEN CAST(e._ak AS INT) END AS p1_k,
+       CASE WHEN {first} THEN CAST(r.user_id * 2 + 1 AS BIGINT) END AS p2_id,
+       CASE WHEN {first} THEN CAST(r._rk AS INT) END AS p2_k
+FROM {_ranked_events(d)} e
+LEFT JOIN {_ranked_events(d)} r ON r.event_id = {_parent_id().replace('event_id', 'e.event_id').replace('event_type', 'e.event_type')}
 UNION ALL
-SELECT CAST(doc_id AS BIGINT) AS node_id,
-       CAST(kk AS INT) AS k,
+SELECT CAST(dd.doc_id * 2 AS BIGINT) AS node_id,
+       CAST(e._ak AS INT) AS k,
        'article' AS node_type,
        1 AS metadata_id,
-       CAST(doc_id % 5 - 2 AS DOUBLE) / 2 AS x0,
-       CAST(doc_id % 3 - 1 AS DOUBLE) / 1 AS x1,
-       CAST(doc_id % 7 - 3 AS DOUBLE) / 3 AS x2,
-       CAST((doc_id * 3 + kk) % 10 AS DOUBLE) / 10 AS strength,
+       CAST((dd.doc_id + e._ak) % 5 - 2 AS DOUBLE) / 2 AS x0,
+       CAST((dd.doc_id + e._ak) % 3 - 1 AS DOUBLE) / 1 AS x1,
+       CAST((dd.doc_id + e._ak) % 7 - 3 AS DOUBLE) / 3 AS x2,
+       CAST((dd.doc_id * 6 + e._ak) % 10 AS DOUBLE) / 10 AS strength,
        CAST(NULL AS BIGINT) AS p1_id, CAST(NULL AS INT) AS p1_k,
        CAST(NULL AS BIGINT) AS p2_id, CAST(NULL AS INT) AS p2_k
-FROM {_article_steps(d)}"""
+FROM {_ranked_events(d)} e JOIN {{documents}} dd ON dd.doc_id = e._aid"""
 
 
 def labelled_docs_v(d: str) -> str:
@@ -258,21 +273,18 @@ SELECT dd.doc_id, dd.text,
 FROM {documents} dd JOIN {labels} l ON dd.doc_id = l.doc_id"""
 
 
-# views whose Spark form reads events with a precomputed per-user rank
-RANKED = {"blocks_v", "nodes_v"}
-
 # view name -> (sql builder, dependencies)
 VIEWS = {
-    "comments_v": (comments_v, ("events",)),
+    "comments_v": (comments_v, ("events", "documents", "conversations")),
     "users_v": (users_v, ("events",)),
     "articles_v": (articles_v, ("documents",)),
     "ranking_v": (ranking_v, ("articles_v",)),
-    "blocks_v": (blocks_v, ("events",)),
+    "blocks_v": (blocks_v, ("events", "documents")),
     "number_text_v": (number_text_v, ("events",)),
     "time_text_v": (time_text_v, ("events",)),
-    "vectors_v": (vectors_v, ("events",)),
+    "vectors_v": (vectors_v, ("events", "documents")),
     "weights_v": (weights_v, ("events",)),
-    "nodes_v": (nodes_v, ("events", "documents")),  # article steps come from documents
+    "nodes_v": (nodes_v, ("events", "documents")),
     "labelled_docs_v": (labelled_docs_v, ("documents", "labels")),
 }
 
@@ -324,22 +336,35 @@ class Views:
     def get(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in VIEWS:
-                builder, deps = VIEWS[name]
-                bound = {dep: self.get(dep) for dep in deps}
-                if name in RANKED:
-                    bound["events"] = self.ranked_events()
-                self._cache[name] = self.spark.sql(builder(SPARK), **bound)
+                text = self._with_sizes(VIEWS[name][0](SPARK))
+                deps = [dep for dep in (*VIEWS[name][1], "ranked_events") if "{" + dep + "}" in text]
+                bound = {dep: self.ranked_events() if dep == "ranked_events" else self.get(dep) for dep in deps}
+                self._cache[name] = self.spark.sql(text, **bound)
             else:
                 self._cache[name] = read_table(self.spark, self.sf_dir, name)
         return self._cache[name]
 
+    def _with_sizes(self, text: str) -> str:
+        for size, (query, table) in SIZES.items():
+            if "{" + size + "}" in text:
+                if size not in self._cache:
+                    found = self.spark.sql(query, **{table: self.get(table)}).first()[0]
+                    self._cache[size] = max(1, found or 1)  # empty tables: any number will do
+                text = text.replace("{" + size + "}", str(self._cache[size]))
+        return text
+
     def ranked_events(self) -> DataFrame:
-        if "_ranked_events" not in self._cache:
+        """Events with ``_aid``, ``_rk`` and ``_ak`` (see ``_ranked_events``)."""
+        if "_ranked" not in self._cache:
             from ..operators import sequence
-            ev = self.get("events")
-            self._cache["_ranked_events"] = sequence.with_index(
-                ev, "user_id", [F.col("ts").asc(), F.col("event_id").asc()], sequence.time_chunk("ts"), "_rk")
-        return self._cache["_ranked_events"]
+            order = [F.col("ts").asc(), F.col("event_id").asc()]
+            ev = self.spark.sql(self._with_sizes(f"SELECT *, {_article_id(SPARK)} AS _aid FROM {{events}}"),
+                                events=self.get("events"))
+            by_user = sequence.with_index(ev, "user_id", order, "_rk")
+            on_article = sequence.with_index(by_user, "_aid", order, "_ak")
+            loose = by_user.where(F.col("_aid").isNull())
+            self._cache["_ranked"] = on_article.unionByName(loose, allowMissingColumns=True)
+        return self._cache["_ranked"]
 
     # Array-shaped forms used by the library (the reference's data model).
     def vectors(self) -> DataFrame:
@@ -362,14 +387,15 @@ class Views:
                         mat("ws").alias("w_s"), F.array(*[F.col(f"b_{i}") for i in range(n)]).alias("b"))
 
     def nodes(self) -> DataFrame:
-        """The step graph, materialised once: every graph query looks nodes up
-        several times (parents, previous state, targets)."""
+        """The step graph, written once, for queries that look nodes up several times
+        (parents, previous state, targets)."""
         if "_nodes" not in self._cache:
             from ..session import materialize
-            self._cache["_nodes"] = materialize(self._nodes())
+            self._cache["_nodes"] = materialize(self.graph())
         return self._cache["_nodes"]
 
-    def _nodes(self) -> DataFrame:
+    def graph(self) -> DataFrame:
+        """The step graph as a plan, for queries that read it once."""
         v = self.get("nodes_v")
         return v.select(
             "node_id", "k", "node_type", "metadata_id",

@@ -21,8 +21,15 @@ def test_first_write_wins_and_null_keys(spark):
 def test_update_matched_only_present_attributes(spark):
     target = spark.createDataFrame([("l1", "t1", None), ("l2", "t2", "x")], "k string, title string, body string")
     batch = spark.createDataFrame([("l1", None, "new"), ("l3", "t3", "y")], "k string, title string, body string")
-    out = {r.k: (r.title, r.body) for r in maintain.update_matched(target, batch, "k", ["title", "body"]).collect()}
-    assert out == {"l1": ("t1", "new"), "l2": ("t2", "x")}
+    found = maintain.update_matched(target, batch, "k", ["title", "body"], order="body")
+    assert {r.k: (r.title, r.body) for r in found.collect()} == {"l1": ("t1", "new"), "l2": ("t2", "x")}
+
+
+def test_update_matched_takes_one_row_of_a_repeated_key(spark):
+    target = spark.createDataFrame([("l1", "t1"), (None, "t2")], "k string, title string")
+    batch = spark.createDataFrame([("l1", "b", 2), ("l1", "a", 1), (None, "c", 0)], "k string, title string, n int")
+    found = maintain.update_matched(target, batch, "k", ["title"], order="n")
+    assert sorted(map(str, (r.title for r in found.collect()))) == ["a", "t2"]
 
 
 def test_not_in_is_null_aware(spark):
@@ -32,7 +39,12 @@ def test_not_in_is_null_aware(spark):
     with_null = spark.createDataFrame([("a",), (None,)], "user_link string")
     assert S.not_in(df, "user_link", with_null).count() == 0
     empty = spark.createDataFrame([], "user_link string")
-    assert sorted(r.user_link for r in S.not_in(df, "user_link", empty).collect()) == ["a", "b"]
+    assert sorted(str(r.user_link) for r in S.not_in(df, "user_link", empty).collect()) == ["None", "a", "b"]
+    df.createOrReplaceTempView("asked")
+    for other in (users, with_null, empty):
+        other.createOrReplaceTempView("others")
+        plain = spark.sql("SELECT * FROM asked WHERE user_link NOT IN (SELECT user_link FROM others)")
+        assert sorted(map(str, S.not_in(df, "user_link", other).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_empty_link_set_gives_empty_result(spark):
@@ -61,13 +73,26 @@ def test_record_runs_rejects_identical_settings(spark):
     assert newest.run_id == 3
 
 
-def test_spread_and_materialize(spark):
-    from forumlens.operators.partitioning import spread
+def test_materialize(spark):
     from forumlens.session import materialize
 
-    one = spark.range(1000).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 2
     m = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
     assert sorted(r.x for r in m.collect()) == list(range(0, 20, 2))
+
+
+def test_checkpoint_folder_is_compulsory_on_a_cluster():
+    import pytest
+
+    from forumlens import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
