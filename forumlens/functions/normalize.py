@@ -16,14 +16,14 @@ ASCII = "0123456789.,"
 # Unit suffixes dropped after a number; multipliers for 万 and 千.
 UNITS = ("件", "個", "円", "人", "回", "分", "時間")
 MULTIPLIERS = {"万": 10000, "千": 1000}
+# The word for "just now", the suffix for "ago" and the units before it.
 JUST_NOW = "たった今"
 AGO = "前"
-RELATIVE_UNITS = {"分": "minutes", "時間": "hours", "日": "days"}
+AGO_UNITS = {"分": "minutes", "時間": "hours", "日": "days"}
 
 NUMBER_PATTERN = ("^([0-9][0-9,]*([.][0-9]+)?)(" + "|".join(MULTIPLIERS) + ")?("
                   + "|".join(UNITS) + ")?$")
-RELATIVE_PATTERN = "^([0-9]+)(" + "|".join(RELATIVE_UNITS) + ")" + AGO
-ABSOLUTE_PATTERN = r"^(?:([0-9][0-9][0-9][0-9])/)?([0-9][0-9]?)/([0-9][0-9]?)[(].[)]\s([0-9][0-9]?):([0-9][0-9]?)"
+STAMP_FORMAT = "y/M/d H:m"
 
 
 def _col(c) -> Column:
@@ -47,34 +47,38 @@ def normalize_count(text) -> Column:
              .otherwise(exact))
 
 
-def normalize_time(text, base) -> Column:
-    """Posted-time text -> TIMESTAMP_NTZ cut to the minute, relative to ``base``
-    (the row's scrape time): just now, n minutes/hours/days ago, ``m/d(w) h:mm``
-    (a date later than ``base`` moves back one year) and ``y/m/d(w) h:mm``."""
-    t = _col(text)
-    b = _col(base)
-    minute = lambda ts: F.date_trunc("minute", ts).cast("timestamp_ntz")
-    n = F.regexp_extract(t, RELATIVE_PATTERN, 1).try_cast("int")
-    unit = F.regexp_extract(t, RELATIVE_PATTERN, 2)
-    zero = F.lit(0)
-    ago = (F.when(unit == "分", b - F.make_dt_interval(zero, zero, n, zero))
-            .when(unit == "時間", b - F.make_dt_interval(zero, n, zero, zero))
-            .when(unit == "日", b - F.make_dt_interval(n, zero, zero, zero)))
+def _ago(body: Column, base: Column) -> Column:
+    """``base`` minus a number followed by one of the units; NULL for anything else."""
+    found = F.lit(None).cast("timestamp_ntz")
+    for unit, name in AGO_UNITS.items():
+        n = F.replace(body, F.lit(unit), F.lit("")).try_cast("int")
+        span = {"days": (n, F.lit(0), F.lit(0)), "hours": (F.lit(0), n, F.lit(0)),
+                "minutes": (F.lit(0), F.lit(0), n)}[name]
+        found = F.when(body.endswith(unit) & (n >= 0), base - F.make_dt_interval(*span, F.lit(0))).otherwise(found)
+    return found
+
 
-    def part(i):
-        return F.regexp_extract(t, ABSOLUTE_PATTERN, i)
+def _stamp(day: Column, clock: Column) -> Column:
+    return F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
 
-    has_year = part(1) != ""
-    year = F.when(has_year, part(1).try_cast("int")).otherwise(F.year(b))
-    month, day, hour, mins = (part(i).try_cast("int") for i in (2, 3, 4, 5))
 
-    def stamp(y):
-        return F.try_make_timestamp_ntz(y, month, day, hour, mins, F.lit(0))
+def normalize_time(text, base) -> Column:
+    """Posted-time text -> TIMESTAMP_NTZ cut to the minute, relative to ``base``
+    (the row's scrape time): just now, n minutes/hours/days ago, ``m/d(w) h:mm``
+    (a date later than ``base`` moves back one year) and ``y/m/d(w) h:mm``.
 
-    same_year = stamp(year)
-    absolute = (F.when(part(2) == "", F.lit(None).cast("timestamp_ntz"))
-                 .when(~has_year & (same_year > b), stamp(year - 1))
-                 .otherwise(same_year))
-    return (F.when(t == JUST_NOW, minute(b))
-             .when(F.instr(t, AGO) > 0, minute(ago))
-             .otherwise(absolute))
+    A written date is the part before the bracket, its time the first word after it.
+    """
+    t, b = _col(text), _col(base)
+    day = F.substring_index(t, "(", 1)
+    clock = F.substring_index(F.trim(F.substring_index(t, ")", -1)), " ", 1)
+    in_year = lambda year: _stamp(F.concat_ws("/", year.cast("string"), day), clock)
+    slashes = F.length(day) - F.length(F.replace(day, F.lit("/"), F.lit("")))
+    this_year = in_year(F.year(b))
+    written = (F.when(slashes == 2, _stamp(day, clock))
+                .when((slashes == 1) & (this_year > b), in_year(F.year(b) - 1))
+                .when(slashes == 1, this_year))
+    return F.date_trunc("minute", (
+        F.when(t == JUST_NOW, b)
+         .when(F.instr(t, AGO) > 0, _ago(F.substring_index(t, AGO, 1), b))
+         .when((F.instr(t, "(") > 0) & (F.instr(t, ")") > 0), written))).cast("timestamp_ntz")

@@ -306,36 +306,32 @@ def normalized_counts(v):
     return t.select("id", "number_text", normalize_count("number_text").alias("value"))
 
 
-_ABS = r"'^(?:([0-9][0-9][0-9][0-9])/)?([0-9][0-9]?)/([0-9][0-9]?)[(].[)]\s([0-9][0-9]?):([0-9][0-9]?)'"
-
-_TIME_ORACLE = f"""
+_TIME_ORACLE = """
 WITH p AS (
-  SELECT id, time_text, base_time,
-         TRY_CAST(regexp_extract(time_text, '^([0-9]+)(分|時間|日)前', 1) AS INTEGER) AS n,
-         regexp_extract(time_text, '^([0-9]+)(分|時間|日)前', 2) AS unit,
-         regexp_extract(time_text, {_ABS}, 1) AS y_txt,
-         TRY_CAST(regexp_extract(time_text, {_ABS}, 2) AS INTEGER) AS mo,
-         TRY_CAST(regexp_extract(time_text, {_ABS}, 3) AS INTEGER) AS dd,
-         TRY_CAST(regexp_extract(time_text, {_ABS}, 4) AS INTEGER) AS hh,
-         TRY_CAST(regexp_extract(time_text, {_ABS}, 5) AS INTEGER) AS mi,
-         regexp_extract(time_text, {_ABS}, 2) = '' AS no_abs
+  SELECT id, time_text, base_time, split_part(time_text, '(', 1) AS day,
+         split_part(trim(split_part(time_text, ')', -1)), ' ', 1) AS clock,
+         split_part(time_text, '前', 1) AS body
   FROM time_text_v),
 q AS (
-  SELECT *, CASE WHEN y_txt = '' THEN year(base_time) ELSE CAST(y_txt AS INTEGER) END AS yy FROM p),
-r AS (
-  SELECT *, TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:00', yy, mo, dd, hh, mi) AS TIMESTAMP) AS same_year,
-            TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:00', yy - 1, mo, dd, hh, mi) AS TIMESTAMP) AS prev_year
-  FROM q)
-SELECT id, time_text,
-  CASE WHEN time_text = 'たった今' THEN date_trunc('minute', base_time)
-       WHEN strpos(time_text, '前') > 0 THEN date_trunc('minute',
-            CASE unit WHEN '分' THEN base_time - to_minutes(n)
-                      WHEN '時間' THEN base_time - to_hours(n)
-                      WHEN '日' THEN base_time - to_days(n) END)
-       WHEN no_abs THEN NULL
-       WHEN y_txt = '' AND same_year > base_time THEN prev_year
-       ELSE same_year END AS normalized_time
-FROM r"""
+  SELECT *, len(day) - len(replace(day, '/', '')) AS slashes,
+         TRY_CAST(replace(body, '分', '') AS INTEGER) AS n_minutes,
+         TRY_CAST(replace(body, '時間', '') AS INTEGER) AS n_hours,
+         TRY_CAST(replace(body, '日', '') AS INTEGER) AS n_days,
+         try_strptime(day || ' ' || clock, '%Y/%m/%d %H:%M') AS full_date,
+         try_strptime(year(base_time) || '/' || day || ' ' || clock, '%Y/%m/%d %H:%M') AS same_year,
+         try_strptime((year(base_time) - 1) || '/' || day || ' ' || clock, '%Y/%m/%d %H:%M') AS prev_year
+  FROM p)
+SELECT id, time_text, date_trunc('minute',
+  CASE WHEN time_text = 'たった今' THEN base_time
+       WHEN strpos(time_text, '前') > 0 THEN
+            CASE WHEN suffix(body, '分') AND n_minutes >= 0 THEN base_time - to_minutes(n_minutes)
+                 WHEN suffix(body, '時間') AND n_hours >= 0 THEN base_time - to_hours(n_hours)
+                 WHEN suffix(body, '日') AND n_days >= 0 THEN base_time - to_days(n_days) END
+       WHEN strpos(time_text, '(') = 0 OR strpos(time_text, ')') = 0 THEN NULL
+       WHEN slashes = 2 THEN full_date
+       WHEN slashes = 1 AND same_year > base_time THEN prev_year
+       WHEN slashes = 1 THEN same_year END) AS normalized_time
+FROM q"""
 
 
 @register("normalized_times", views=("time_text_v",), oracle=_TIME_ORACLE)
