@@ -283,58 +283,17 @@ def block_kinds(v):
 
 from ..functions.normalize import normalize_count, normalize_time  # noqa: E402
 from ..operators import quarantine  # noqa: E402
-
-_NUM_ORACLE = """
-CASE WHEN number_text IS NULL THEN NULL
-     WHEN trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')) = '' THEN 0
-     WHEN regexp_extract(trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')),
-          '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 1) = '' THEN NULL
-     ELSE (SELECT CASE WHEN strpos(num, '.') > 0 AND mul = '' THEN NULL
-                       ELSE CAST(floor(TRY_CAST(replace(num, ',', '') AS DECIMAL(24, 6))
-                            * CASE mul WHEN '万' THEN 10000 WHEN '千' THEN 1000 ELSE 1 END) AS BIGINT) END
-           FROM (SELECT regexp_extract(tt, '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 1) AS num,
-                        regexp_extract(tt, '^([0-9][0-9,]*([.][0-9]+)?)(万|千)?(件|個|円|人|回|分|時間)?$', 3) AS mul
-                 FROM (SELECT trim(translate(number_text, '０１２３４５６７８９．，', '0123456789.,')) AS tt) s1) s2)
-END"""
-
+from .normal_sql import NUM_ORACLE, TIME_ORACLE  # noqa: E402
 
 @register("normalized_counts", views=("number_text_v",), oracle=f"""
-SELECT id, number_text, {_NUM_ORACLE} AS value FROM number_text_v""")
+SELECT id, number_text, {NUM_ORACLE} AS value FROM number_text_v""")
 def normalized_counts(v):
     """Count texts to integers."""
     t = v.number_text_v
     return t.select("id", "number_text", normalize_count("number_text").alias("value"))
 
 
-_TIME_ORACLE = """
-WITH p AS (
-  SELECT id, time_text, base_time, split_part(time_text, '(', 1) AS day,
-         split_part(trim(split_part(time_text, ')', -1)), ' ', 1) AS clock,
-         split_part(time_text, '前', 1) AS body
-  FROM time_text_v),
-q AS (
-  SELECT *, len(day) - len(replace(day, '/', '')) AS slashes,
-         TRY_CAST(replace(body, '分', '') AS INTEGER) AS n_minutes,
-         TRY_CAST(replace(body, '時間', '') AS INTEGER) AS n_hours,
-         TRY_CAST(replace(body, '日', '') AS INTEGER) AS n_days,
-         try_strptime(day || ' ' || clock, '%Y/%m/%d %H:%M') AS full_date,
-         try_strptime(year(base_time) || '/' || day || ' ' || clock, '%Y/%m/%d %H:%M') AS same_year,
-         try_strptime((year(base_time) - 1) || '/' || day || ' ' || clock, '%Y/%m/%d %H:%M') AS prev_year
-  FROM p)
-SELECT id, time_text, date_trunc('minute',
-  CASE WHEN time_text = 'たった今' THEN base_time
-       WHEN strpos(time_text, '前') > 0 THEN
-            CASE WHEN suffix(body, '分') AND n_minutes >= 0 THEN base_time - to_minutes(n_minutes)
-                 WHEN suffix(body, '時間') AND n_hours >= 0 THEN base_time - to_hours(n_hours)
-                 WHEN suffix(body, '日') AND n_days >= 0 THEN base_time - to_days(n_days) END
-       WHEN strpos(time_text, '(') = 0 OR strpos(time_text, ')') = 0 THEN NULL
-       WHEN slashes = 2 THEN full_date
-       WHEN slashes = 1 AND same_year > base_time THEN prev_year
-       WHEN slashes = 1 THEN same_year END) AS normalized_time
-FROM q"""
-
-
-@register("normalized_times", views=("time_text_v",), oracle=_TIME_ORACLE)
+@register("normalized_times", views=("time_text_v",), oracle=TIME_ORACLE)
 def normalized_times(v):
     """Posted-time texts to timestamps against each row's base time."""
     t = v.time_text_v
@@ -343,8 +302,8 @@ def normalized_times(v):
 
 @register("quarantine_report", views=("number_text_v", "time_text_v", "comments_v", "articles_v"),
           oracle=f"""
-WITH nums AS (SELECT id, number_text, {_NUM_ORACLE} AS value FROM number_text_v),
-times AS ({_TIME_ORACLE.replace('FROM time_text_v', 'FROM time_text_v')})
+WITH nums AS (SELECT id, number_text, {NUM_ORACLE} AS value FROM number_text_v),
+times AS ({TIME_ORACLE})
 SELECT 'number_text' AS source, id, 'bad_number' AS reason FROM nums WHERE number_text IS NOT NULL AND value IS NULL
 UNION ALL
 SELECT 'time_text' AS source, id, 'bad_time' AS reason FROM times WHERE time_text IS NOT NULL AND normalized_time IS NULL

@@ -9,6 +9,7 @@ from ..operators import select as S
 from ..session import scratch_path
 from ..sources.views import STATE_DIM
 from .catalog import register
+from .normal_sql import NUM_ORACLE, TIME_ORACLE
 
 
 @register("training_raw", views=("comments_v", "users_v", "articles_v"), oracle="""
@@ -262,29 +263,39 @@ def vector_table_roundtrip(v):
     return _flat(back, ["s", "p"]).withColumn("parent_missing", F.col("p0").isNull())
 
 
-@register("stream_ingest_comments", views=("comments_v",), oracle=f"""
-SELECT comment_id, article_id, user_link, comment_content FROM (
+_SCRAPED = """SELECT c.comment_id, c.article_id, c.user_link, c.comment_content, n.number_text AS agreements_text,
+       t.time_text AS posted_text, t.base_time AS scraped_time
+FROM {comments_v} c JOIN {number_text_v} n ON n.id = c.comment_id JOIN {time_text_v} t ON t.id = c.comment_id"""
+
+
+@register("stream_ingest_comments", views=("comments_v", "number_text_v", "time_text_v"), oracle=f"""
+WITH nums AS (SELECT id, number_text, {NUM_ORACLE} AS value FROM number_text_v),
+times AS ({TIME_ORACLE}),
+good AS (SELECT c.comment_id, c.article_id, c.user_link, c.comment_content, n.value AS agreements_count,
+                t.normalized_time AS normalized_posted_time
+         FROM comments_v c JOIN nums n ON n.id = c.comment_id JOIN times t ON t.id = c.comment_id
+         WHERE n.value IS NOT NULL AND t.normalized_time IS NOT NULL)
+SELECT comment_id, article_id, user_link, comment_content, agreements_count, normalized_posted_time FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id, user_link, comment_content ORDER BY comment_id) AS rn
-  FROM comments_v WHERE NOT ({_NK})) t WHERE rn = 1
+  FROM good WHERE NOT ({_NK})) t WHERE rn = 1
 UNION ALL
-SELECT comment_id, article_id, user_link, comment_content FROM comments_v WHERE {_NK}""")
+SELECT comment_id, article_id, user_link, comment_content, agreements_count, normalized_posted_time
+FROM good WHERE {_NK}""")
 def stream_ingest_comments(v):
-    """Comment batches arrive in two waves; the stream runs after each wave
-    and once more with nothing new. The sink must equal one first-write-wins load."""
+    """Scraped comments arrive in two waves; the stream runs after each wave and once more
+    with nothing new. The sink must equal one normalised first-write-wins load."""
     from ..streaming.ingest import read_sink, run_ingest
 
     spark = v.spark
-    c = v.comments_v.select("comment_id", *KEY)
-    top = c.select(F.max("comment_id")).scalar()
+    scraped = spark.sql(_SCRAPED, comments_v=v.comments_v, number_text_v=v.number_text_v, time_text_v=v.time_text_v)
     base = scratch_path(spark, "ingest")
     source, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    first, second = c.where(F.col("comment_id") * 2 < top), c.where(F.col("comment_id") * 2 >= top)
-    first.write.mode("append").parquet(source)
-    run_ingest(spark, source, sink, ckpt, c.schema)
-    second.write.mode("append").parquet(source)
-    run_ingest(spark, source, sink, ckpt, c.schema)
-    run_ingest(spark, source, sink, ckpt, c.schema)   # nothing new: adds nothing
-    return read_sink(spark, sink)
+    top = v.events.agg(F.max("event_id")).first()[0] or 0
+    for wave in (F.col("comment_id") * 2 < top, F.col("comment_id") * 2 >= top):
+        scraped.where(wave).write.mode("append").parquet(source)
+        run_ingest(spark, source, sink, ckpt, scraped.schema)
+    run_ingest(spark, source, sink, ckpt, scraped.schema)   # nothing new: adds nothing
+    return read_sink(spark, sink).select("comment_id", *KEY, "agreements_count", "normalized_posted_time")
 
 
 @register("scan_user_slice", views=("vectors_v",), oracle=f"""

@@ -31,18 +31,44 @@ def test_network_fit_loss_falls():
 def test_stream_rerun_adds_nothing(spark, tmp_path):
     from forumlens.streaming.ingest import read_sink, run_ingest
 
-    schema = "comment_id long, article_id long, user_link string, comment_content string"
-    rows = [(1, 1, "u", "a"), (2, 1, "u", "a"), (3, None, "u", "a"), (4, 2, "v", "b")]
+    import datetime as dt
+
+    schema = ("comment_id long, article_id long, user_link string, comment_content string, agreements_text string, "
+              "posted_text string, scraped_time timestamp_ntz")
+    rest = ("1.2万", "3分前", dt.datetime(2024, 5, 1, 12, 30))
+    rows = [(1, 1, "u", "a", *rest), (2, 1, "u", "a", *rest), (3, None, "u", "a", *rest), (4, 2, "v", "b", *rest),
+            (5, 2, "w", "b", "x", *rest[1:]), (6, 2, "x", "b", rest[0], "2/30(月) 1:00", rest[2])]
     src, sink, ck = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ck")
     df = spark.createDataFrame(rows, schema)
     df.write.parquet(src)
     run_ingest(spark, src, sink, ck, df.schema)
-    once = sorted(r.comment_id for r in read_sink(spark, sink).collect())
+    rows = read_sink(spark, sink).collect()
+    assert {(r.agreements_count, r.normalized_posted_time) for r in rows} == {(12000, dt.datetime(2024, 5, 1, 12, 27))}
+    bad = spark.read.parquet(f"{sink}/quarantine").collect()
+    assert {(r.comment_id, r.reason) for r in bad} == {(5, "bad_number"), (6, "bad_time")}
+    once = sorted(r.comment_id for r in rows)
     run_ingest(spark, src, sink, ck, df.schema)
     twice = sorted(r.comment_id for r in read_sink(spark, sink).collect())
     assert once == twice == [1, 3, 4]
 
 
+def test_a_retried_batch_adds_nothing_and_read_errors_stop(spark, tmp_path):
+    import pytest
+
+    from forumlens.streaming.ingest import Sink, create_sink, insert_batch, read_sink
+
+    schema = ("comment_id long, article_id long, user_link string, comment_content string, agreements_text string, "
+              "posted_text string, scraped_time timestamp_ntz")
+    df = spark.createDataFrame([(k, k * 700, "u", "a", "1", None, None) for k in range(6)] + [(9, None, "u", "a", "1", None, None)], schema)
+    sink = Sink(str(tmp_path / "sink"))
+    with pytest.raises(Exception):
+        insert_batch(spark, df, 0, sink)
+    create_sink(spark, sink)
+    for number in (0, 0, 1, 2):
+        insert_batch(spark, df, number, sink)
+    assert sorted(r.comment_id for r in read_sink(spark, sink.path).collect()) == [0, 1, 2, 3, 4, 5, 9]
+
+
 def test_packed_fit_equals_single_fits():
     from forumlens.operators.fit import fit_packed
 
