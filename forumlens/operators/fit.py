@@ -1,364 +1,221 @@
-"""Per-user model fitting as a partition-wise map job.
-
-Each (user, shard) group is fitted with NumPy mini-batch Adam. Rows are
-hash-partitioned by group and sorted inside each partition; ``mapInPandas`` walks
-a partition in memory-bounded buffers and fits the complete groups of a buffer
-together (``fit_packed``: the same per-group algorithm, with one step's arithmetic
-shared by up to ``PACK_GROUPS`` groups). A user's training pairs are cut into shards of at most
-``shard_rows`` rows (by sequence index), so a user holding a large share of the
-data is spread over many tasks; every shard starts from the same seeded
-initialisation and the shard weights are then averaged (one round of parameter
-averaging), weighted by the shard sizes. A user with no more than ``shard_rows``
-pairs is one shard, i.e. an ordinary per-user fit.
-
-Model kinds (d = state size):
-  linear   y = tanh(W_p p + W_q q + W_s s + b)
-  diff     y = tanh(W_p (p - s) + W_q (q - s) + W_s s + b)
-  network  y = softmax(W_2 relu(W_1 [p|q|s] + b_1) + b_2)
-Loss is the mean squared error over the batch and components.
+"""Per-user model fits as Spark aggregates.
+
+Every epoch is one pass over the training rows: the rows meet their user's parameters, the
+gradient of the squared error is summed per user (partial sums first, so a user with a large
+share of the rows is combined where the rows are), and the parameters take a step of full-batch
+gradient descent. Rows, shards and partitions only change the order of a sum, so the result
+does not depend on them. Parameters and losses of every epoch are written to the shared
+checkpoint folder, which also cuts the lineage.
+
+Kinds whose prediction is tanh(W x) run as column expressions, with x and the rows' targets
+as plain columns:
+  linear    x = [p | q | s | 1]
+  diff      x = [p - s | q - s | s | 1]
+  weighted  x = [a p | b q | s | 1], a and b the strengths of the parents
+The ``network`` kind (ReLU layers, softmax output) sums the gradients of bounded packs of
+rows with NumPy and adds up the packs in Spark.
+
+The parameters start at a fixed rule, so a fit is the same on every run.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 from . import sequence
-from .training import comment_order
-
-PACK_ROWS = 100_000      # rows buffered per task before a pack is fitted
-PACK_GROUPS = 256        # groups fitted together in one vectorised pass
-FIT_SCHEMA = ("user_id long, setting long, shard long, n_train long, n_val long, "
-              "params array<double>, train_loss array<double>, val_loss array<double>")
-
-
-def param_shapes(kind: str, d: int, hidden: int) -> list[tuple[int, ...]]:
-    if kind in ("linear", "diff"):
-        return [(d, d), (d, d), (d, d), (d,)]
-    if kind == "network":
-        return [(hidden, 3 * d), (hidden,), (d, hidden), (d,)]
-    raise ValueError(f"unknown model kind {kind}")
-
-
-def _init(kind, d, hidden, seed):
-    rng = np.random.default_rng(seed)
-    return [rng.standard_normal(s) * (0.5 if kind == "network" else 1.0) for s in param_shapes(kind, d, hidden)]
-
-
-def _forward_backward(kind, params, P, Q, S, Y, want_grad=True):
-    n, d = Y.shape
-    if kind in ("linear", "diff"):
-        Wp, Wq, Ws, b = params
-        A, B = (P - S, Q - S) if kind == "diff" else (P, Q)
-        yhat = np.tanh(A @ Wp.T + B @ Wq.T + S @ Ws.T + b)
-        err = yhat - Y
-        loss = float(np.mean(err ** 2))
-        if not want_grad:
-            return loss, None
-        dz = (2.0 / (n * d)) * err * (1 - yhat ** 2)
-        return loss, [dz.T @ A, dz.T @ B, dz.T @ S, dz.sum(0)]
-    W1, b1, W2, b2 = params
-    X = np.concatenate([P, Q, S], axis=1)
-    hpre = X @ W1.T + b1
-    h = np.maximum(hpre, 0.0)
-    o = h @ W2.T + b2
-    o = o - o.max(axis=1, keepdims=True)
-    e = np.exp(o)
-    yhat = e / e.sum(axis=1, keepdims=True)
-    err = yhat - Y
-    loss = float(np.mean(err ** 2))
-    if not want_grad:
-        return loss, None
-    dy = (2.0 / (n * d)) * err
-    do = yhat * (dy - (dy * yhat).sum(axis=1, keepdims=True))
-    dh = (do @ W2) * (hpre > 0)
-    return loss, [dh.T @ X, dh.sum(0), do.T @ h, do.sum(0)]
-
-
-def fit_arrays(kind, P, Q, S, Y, train_mask, epochs, batch, lr, seed, hidden=8):
-    """Adam on the train rows; returns (params, train loss per epoch, val loss per epoch).
-
-    All parameters live in one flat vector (the matrices are views into it), so an
-    Adam update is a few vector operations.
+
+DIM = 3
+INPUTS = 3 * DIM + 1
+CELLS = [(i, j) for i in range(DIM) for j in range(INPUTS)]
+CELL_NAMES = [f"t_{i}_{j}" for i, j in CELLS]
+
+
+def input_columns(kind: str) -> list[Column]:
+    p, q, s = ([F.col(c)[i] for i in range(DIM)] for c in "pqs")
+    if kind == "diff":
+        p, q = [x - z for x, z in zip(p, s)], [x - z for x, z in zip(q, s)]
+    elif kind == "weighted":
+        p, q = [x * F.col("a") for x in p], [x * F.col("b") for x in q]
+    elif kind != "linear":
+        raise ValueError(f"unknown kind {kind}")
+    return [*p, *q, *s, F.lit(1.0)]
+
+
+def training_rows(pairs: DataFrame, key: str, settings: Sequence[dict]) -> DataFrame:
+    """One row per pair and setting: key, setting, lr, is_train, x0.., y0..; written once."""
+    parts = None
+    for s in settings:
+        part = pairs.select(
+            F.col(key).alias("key"), F.lit(int(s["setting"])).alias("setting"), F.lit(float(s["lr"])).alias("lr"),
+            (F.col("split") == "train").alias("is_train"),
+            *[x.alias(f"x{j}") for j, x in enumerate(input_columns(s["kind"]))],
+            *[F.col("y")[i].alias(f"y{i}") for i in range(DIM)])
+        parts = part if parts is None else parts.unionByName(part)
+    return materialize(parts)
+
+
+def _losses(state: DataFrame, add: bool) -> list[Column]:
+    """Loss lists with this epoch's mean squared errors appended."""
+    if not add:
+        return [F.array().cast("array<double>").alias(c) for c in ("train_loss", "val_loss")]
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / (DIM * F.col(n)))
+    return [F.concat("train_loss", F.array(mean("_train", "n_train"))).alias("train_loss"),
+            F.concat("val_loss", F.array(mean("_val", "n_val"))).alias("val_loss")]
+
+
+def fit_tanh(pairs: DataFrame, epochs: int, key: str = "user_id", kind: str = "linear", lr: float = 0.5,
+             settings: Sequence[dict] | None = None) -> DataFrame:
+    """Fit one model per key and setting. ``pairs``: key, p, q, s, y, split, and a, b for ``weighted``.
+
+    Returns key, setting, n_train, n_val, the cells t_i_j of W (start: zero) and the losses
+    before each epoch's step.
     """
-    d = Y.shape[1]
-    init = _init(kind, d, hidden, seed)
-    theta = np.concatenate([p.ravel() for p in init])
-    views, off = [], 0
-    for p in init:
-        views.append(theta[off:off + p.size].reshape(p.shape))
-        off += p.size
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    rng = np.random.default_rng(seed + 1)
-    tr = np.flatnonzero(train_mask)
-    va = np.flatnonzero(~train_mask)
-    train_hist, val_hist, t = [], [], 0
+    rows = training_rows(pairs, key, settings or [{"setting": 0, "kind": kind, "lr": lr}])
+    state = rows.groupBy("key", "setting", "lr").agg(
+        F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_val"))
+    state = state.select("*", *[F.lit(0.0).alias(c) for c in CELL_NAMES], *_losses(state, False))
     for _ in range(epochs):
-        order = tr[np.argsort(rng.random(len(tr)), kind="stable")]
-        losses = []
-        for start in range(0, len(order), batch):
-            idx = order[start:start + batch]
-            loss, grads = _forward_backward(kind, views, P[idx], Q[idx], S[idx], Y[idx])
-            losses.append(loss)
-            t += 1
-            g = np.concatenate([x.ravel() for x in grads])
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            theta -= lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-        train_hist.append(float(np.mean(losses)) if losses else float("nan"))
-        if len(va):
-            val_hist.append(_forward_backward(kind, views, P[va], Q[va], S[va], Y[va], False)[0])
-        else:
-            val_hist.append(float("nan"))
-    return views, train_hist, val_hist
-
-
-
-def _packed_forward_backward(kind, params, P, Q, S, Y, M, want_grad=True):
-    """Forward / backward for G groups at once. Arrays are (G, b, d); M (G, b) marks
-    real rows. Returns per-group losses (G,) and gradients with a leading G axis."""
-    d = Y.shape[2]
-    cnt = M.sum(1)
-    denom = np.where(cnt > 0, cnt * d, 1.0)
-    if kind in ("linear", "diff"):
-        Wp, Wq, Ws, b = params
-        A, B = (P - S, Q - S) if kind == "diff" else (P, Q)
-        z = (A @ Wp.transpose(0, 2, 1) + B @ Wq.transpose(0, 2, 1)
-             + S @ Ws.transpose(0, 2, 1) + b[:, None, :])
-        yhat = np.tanh(z)
-        err = (yhat - Y) * M[:, :, None]
-        loss = (err ** 2).sum((1, 2)) / denom
-        if not want_grad:
-            return loss, None
-        dz = (2.0 / denom)[:, None, None] * err * (1 - yhat ** 2)
-        dzT = dz.transpose(0, 2, 1)
-        return loss, [dzT @ A, dzT @ B,
-                      dzT @ S, dz.sum(1)]
-    W1, b1, W2, b2 = params
-    X = np.concatenate([P, Q, S], axis=2)
-    hpre = X @ W1.transpose(0, 2, 1) + b1[:, None, :]
-    h = np.maximum(hpre, 0.0)
-    o = h @ W2.transpose(0, 2, 1) + b2[:, None, :]
-    o = o - o.max(axis=2, keepdims=True)
-    e = np.exp(o)
-    yhat = e / e.sum(axis=2, keepdims=True)
-    err = (yhat - Y) * M[:, :, None]
-    loss = (err ** 2).sum((1, 2)) / denom
-    if not want_grad:
-        return loss, None
-    dy = (2.0 / denom)[:, None, None] * err
-    do = yhat * (dy - (dy * yhat).sum(axis=2, keepdims=True))
-    dh = (do @ W2) * (hpre > 0)
-    return loss, [dh.transpose(0, 2, 1) @ X, dh.sum(1), do.transpose(0, 2, 1) @ h, do.sum(1)]
-
-
-def fit_packed(kind, groups, epochs, batch, lrs, seeds, hidden=8):
-    """Fit G independent models at once (same algorithm and seeds as ``fit_arrays``).
-
-    ``groups`` is a list of (P, Q, S, Y, train_mask) per group. Every group keeps its
-    own data, initialisation, shuffling and Adam state; the arithmetic of one step
-    runs for all groups together, so the Python cost of a step is shared. Groups
-    that have no batch left in an epoch simply do not step.
-    """
-    G = len(groups)
-    d = groups[0][3].shape[1]
-    n_tr = np.array([int(g[4].sum()) for g in groups])
-    n_va = np.array([int((~g[4]).sum()) for g in groups])
-    n_max = int((n_tr + n_va).max())
-    data = np.zeros((4, G, n_max, d))
-    for i, (P, Q, S, Y, mask) in enumerate(groups):
-        order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])   # train rows first
-        for a, arr in enumerate((P, Q, S, Y)):
-            data[a, i, :len(order)] = arr[order]
-    inits = [_init(kind, d, hidden, s) for s in seeds]
-    params = [np.stack([init[j] for init in inits]) for j in range(len(inits[0]))]
-    m = [np.zeros_like(p) for p in params]
-    v = [np.zeros_like(p) for p in params]
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    lrs = np.asarray(lrs, dtype=np.float64)
-    rngs = [np.random.default_rng(s + 1) for s in seeds]
-    t = np.zeros(G)
-    gi = np.arange(G)[:, None]
-    rows = np.arange(n_max)[None, :]
-    val_mask = ((rows >= n_tr[:, None]) & (rows < (n_tr + n_va)[:, None])).astype(np.float64)
-    max_tr = int(n_tr.max())
-    steps = -(-max_tr // batch) if max_tr else 0
-    train_hist = np.full((G, epochs), np.nan)
-    val_hist = np.full((G, epochs), np.nan)
-    for ep in range(epochs):
-        keys = np.full((G, max(max_tr, 1)), np.inf)
-        for i in range(G):
-            keys[i, :n_tr[i]] = rngs[i].random(n_tr[i])
-        perm = np.argsort(keys, axis=1, kind="stable")
-        loss_sum = np.zeros(G)
-        n_steps = np.zeros(G)
-        for j in range(steps):
-            pos = j * batch + np.arange(batch)
-            valid = (pos[None, :] < n_tr[:, None])
-            active = valid[:, 0]
-            idx = perm[:, np.minimum(pos, perm.shape[1] - 1)]
-            Mb = valid.astype(np.float64)
-            Pb, Qb, Sb, Yb = data[:, gi, idx]
-            loss, grads = _packed_forward_backward(kind, params, Pb, Qb, Sb, Yb, Mb)
-            loss_sum += np.where(active, loss, 0.0)
-            n_steps += active
-            t += active
-            tt = np.maximum(t, 1)
-            c1, c2 = lrs / (1 - b1 ** tt), 1.0 / (1 - b2 ** tt)
-            every = bool(active.all())
-            for k, g in enumerate(grads):
-                shape = (G,) + (1,) * (g.ndim - 1)
-                if every:   # usual case inside an epoch: plain in-place Adam
-                    m[k] *= b1
-                    m[k] += (1 - b1) * g
-                    v[k] *= b2
-                    v[k] += (1 - b2) * (g * g)
-                    params[k] -= c1.reshape(shape) * m[k] / (np.sqrt(v[k] * c2.reshape(shape)) + eps)
-                    continue
-                act = active.reshape(shape)
-                m[k] = np.where(act, b1 * m[k] + (1 - b1) * g, m[k])
-                v[k] = np.where(act, b2 * v[k] + (1 - b2) * g * g, v[k])
-                step = c1.reshape(shape) * m[k] / (np.sqrt(v[k] * c2.reshape(shape)) + eps)
-                params[k] = params[k] - np.where(act, step, 0.0)
-        train_hist[:, ep] = np.where(n_steps > 0, loss_sum / np.maximum(n_steps, 1), np.nan)
-        vl, _ = _packed_forward_backward(kind, params, data[0], data[1], data[2], data[3], val_mask, False)
-        val_hist[:, ep] = np.where(n_va > 0, vl, np.nan)
-    return [[p[i] for p in params] for i in range(G)], train_hist.tolist(), val_hist.tolist()
-
-
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in col])
-
-
-def fit_pairs(pairs: DataFrame, kind: str = "linear", epochs: int = 500, batch: int = 8,
-              lr: float = 0.001, hidden: int = 8, shard_rows: int = 50_000,
-              settings: list[dict] | None = None) -> DataFrame:
-    """Fit one model per user (and per setting) on next-state pairs.
-
-    ``pairs`` needs user_id, comment_id, normalized_posted_time, p, q, s, y and
-    split ('train' / 'val'), and optionally split_rank (see ``train_val_split``). ``settings`` (optional list of {setting, kind, lr})
-    fans every user out over a small fixed grid (a generator, not a join). Returns one row per user (and setting) with
-    averaged parameters and per-epoch losses.
-    """
-    if "split_rank" in pairs.columns:
-        # shards by the split's md5-order position: no second sequence index needed
-        idx = pairs.withColumn("_idx", F.col("split_rank"))
-    else:
-        idx = sequence.with_index(pairs, "user_id", comment_order(), "_idx")
-    rows = idx.withColumn("shard", F.floor(F.col("_idx") / shard_rows))
-    if settings is None:
-        rows = rows.withColumn("setting", F.lit(0).cast("long")) \
-                   .withColumn("kind", F.lit(kind)).withColumn("lr", F.lit(float(lr)))
-    else:
-        grid = F.array(*[F.struct(F.lit(int(r["setting"])).cast("long").alias("setting"),
-                                   F.lit(str(r["kind"])).alias("kind"), F.lit(float(r["lr"])).alias("lr"))
-                         for r in settings])
-        rows = rows.select("*", F.inline(grid))
-    rows = rows.select("user_id", "setting", "shard", "_idx", "kind", "lr", "p", "q", "s", "y",
-                       (F.col("split") == "train").alias("is_train"))
-
-    keys = ["user_id", "setting", "shard"]
-
-    def fit_groups(pdf: pd.DataFrame):
-        """Fit every complete (user, setting, shard) group of a buffer, packed by kind
-        and by similar size so that a pack's steps are shared evenly."""
-        groups = []
-        for (uid, setting, shard), g in pdf.groupby(keys, sort=False):
-            mask = g.is_train.to_numpy(dtype=bool)
-            groups.append((int(uid), int(setting), int(shard), str(g.kind.iloc[0]), float(g.lr.iloc[0]),
-                           (_stack(g.p), _stack(g.q), _stack(g.s), _stack(g.y), mask)))
-        groups.sort(key=lambda x: (x[3], int(x[5][4].sum())))
-        out = []
-        for start in range(0, len(groups), PACK_GROUPS):
-            pack = groups[start:start + PACK_GROUPS]
-            for kind_name in sorted({x[3] for x in pack}):
-                sub = [x for x in pack if x[3] == kind_name]
-                params, tr, va = fit_packed(kind_name, [x[5] for x in sub], epochs, batch,
-                                            [x[4] for x in sub], [x[0] * 1000 + x[1] for x in sub], hidden)
-                for i, x in enumerate(sub):
-                    mask = x[5][4]
-                    out.append({"user_id": x[0], "setting": x[1], "shard": x[2],
-                                "n_train": int(mask.sum()), "n_val": int((~mask).sum()),
-                                "params": np.concatenate([a.ravel() for a in params[i]]).tolist(),
-                                "train_loss": tr[i], "val_loss": va[i]})
-        return pd.DataFrame(out, columns=["user_id", "setting", "shard", "n_train", "n_val",
-                                          "params", "train_loss", "val_loss"])
-
-    def fit_partition(batches):
-        """Rows arrive sorted by group; a group may span Arrow batches, so complete
-        groups are fitted once ``PACK_ROWS`` rows are buffered and the last (possibly
-        incomplete) group is carried into the next buffer."""
-        buf, n_buf = [], 0
+        state = materialize(_epoch(rows, state))
+    return state.drop("lr").withColumnRenamed("key", key)
+
+
+def _epoch(rows: DataFrame, state: DataFrame) -> DataFrame:
+    met = rows.drop("lr").join(state.select("key", "setting", *CELL_NAMES), ["key", "setting"])
+    out = [F.tanh(sum(F.col(f"t_{i}_{j}") * F.col(f"x{j}") for j in range(INPUTS))) for i in range(DIM)]
+    met = met.select("key", "setting", "is_train", *[F.col(f"x{j}") for j in range(INPUTS)],
+                     *[e.alias(f"e{i}") for i, e in enumerate(out)], *[F.col(f"y{i}") for i in range(DIM)])
+    miss = [F.col(f"e{i}") - F.col(f"y{i}") for i in range(DIM)]
+    slope = [F.when(F.col("is_train"), miss[i] * (1 - F.col(f"e{i}") * F.col(f"e{i}"))).otherwise(0.0).alias(f"d{i}")
+             for i in range(DIM)]
+    met = met.select("key", "setting", "is_train", *[F.col(f"x{j}") for j in range(INPUTS)], *slope,
+                     sum(m * m for m in miss).alias("sq"))
+    sums = met.groupBy("key", "setting").agg(
+        *[F.sum(F.col(f"d{i}") * F.col(f"x{j}")).alias(f"g_{i}_{j}") for i, j in CELLS],
+        F.sum(F.when(F.col("is_train"), F.col("sq"))).alias("_train"),
+        F.sum(F.when(~F.col("is_train"), F.col("sq"))).alias("_val"))
+    step = F.col("lr") * 2 / (DIM * F.greatest(F.col("n_train"), F.lit(1)))
+    return state.join(sums, ["key", "setting"]).select(
+        "key", "setting", "lr", "n_train", "n_val",
+        *[(F.col(f"t_{i}_{j}") - step * F.col(f"g_{i}_{j}")).alias(f"t_{i}_{j}") for i, j in CELLS],
+        *_losses(state, True))
+
+
+def weight_arrays(fits: DataFrame) -> list[Column]:
+    """W_p, W_q, W_s as matrices and the bias as an array."""
+    block = lambda first: F.array(*[F.array(*[F.col(f"t_{i}_{first + j}") for j in range(DIM)]) for i in range(DIM)])
+    return [block(0).alias("w_p"), block(DIM).alias("w_q"), block(2 * DIM).alias("w_s"),
+            F.array(*[F.col(f"t_{i}_{INPUTS - 1}") for i in range(DIM)]).alias("b")]
+
+
+# --- feed-forward network -------------------------------------------------------------
+
+PACK_ROWS = 256  # rows whose gradient is summed at once
+
+
+def layer_shapes(layers: Sequence[int], inputs: int = 3 * DIM, outputs: int = DIM) -> list[tuple[int, int]]:
+    sizes = [inputs, *layers, outputs]
+    return [(n, m + 1) for m, n in zip(sizes, sizes[1:])]  # the last column is the bias
+
+
+def start_weights(layers: Sequence[int]):
+    """Fixed start: golden-ratio points spread over (-1, 1), scaled by each layer's inputs."""
+    import numpy as np
+
+    parts, at = [], 0
+    for n, m in layer_shapes(layers):
+        points = ((np.arange(at, at + n * m) + 1) * 0.6180339887498949) % 1.0
+        parts.append((2 * points - 1) / np.sqrt(m))
+        at += n * m
+    return np.concatenate(parts)
+
+
+def network_gradient(weights, x, y, train, layers: Sequence[int]):
+    """Sums over rows: gradient of the training rows' squared error, train and validation error."""
+    import numpy as np
+
+    mats, at = [], 0
+    for n, m in layer_shapes(layers):
+        mats.append(weights[at:at + n * m].reshape(n, m))
+        at += n * m
+    one = np.ones((len(x), 1))
+    inputs = [np.hstack([x, one])]
+    for w in mats[:-1]:
+        inputs.append(np.hstack([np.maximum(inputs[-1] @ w.T, 0.0), one]))
+    out = inputs[-1] @ mats[-1].T
+    out = np.exp(out - out.max(axis=1, keepdims=True))
+    out /= out.sum(axis=1, keepdims=True)
+    miss = out - y
+    sq = (miss ** 2).sum(axis=1)
+    back = 2 * miss * train[:, None]
+    back = out * (back - (back * out).sum(axis=1, keepdims=True))
+    grads = []
+    for w, inp in zip(mats[::-1], inputs[::-1]):
+        grads.append((back.T @ inp).ravel())
+        back = (back @ w)[:, :-1] * (inp[:, :-1] > 0)
+    return np.concatenate(grads[::-1]), sq[train].sum(), sq[~train].sum()
+
+
+def _pack_gradients(layers: tuple[int, ...]):
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
         for pdf in batches:
-            buf.append(pdf)
-            n_buf += len(pdf)
-            if n_buf >= PACK_ROWS:
-                allrows = pd.concat(buf, ignore_index=True)
-                last = tuple(allrows.iloc[-1][keys])
-                tail = (allrows.user_id == last[0]) & (allrows.setting == last[1]) & (allrows.shard == last[2])
-                if (~tail).any():
-                    yield fit_groups(allrows[~tail])
-                buf, n_buf = [allrows[tail]], int(tail.sum())
-        if n_buf:
-            yield fit_groups(pd.concat(buf, ignore_index=True))
-
-    # The fits are CPU-bound and their input is small, so AQE would coalesce the
-    # shuffle into a few tasks; an explicit repartition to twice the cluster's cores
-    # keeps every core busy with many groups per task (good packing) while a lost
-    # task redoes only a small share. Rows are sorted by group inside each
-    # partition and fitted in memory-bounded packs.
-    spark = pairs.sparkSession
-    n = 2 * spark.sparkContext.defaultParallelism
-    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "_idx")
-    fitted = rows.drop("_idx").mapInPandas(fit_partition, FIT_SCHEMA)
-    # one row per (user, setting, shard): written once to the shared checkpoint
-    # folder, so the fit is neither repeated by the averaging below nor lost with an executor
-    checkpoint_dir(pairs.sparkSession)
-    return average_shards(fitted.checkpoint(eager=True))
-
-
-def average_shards(fitted: DataFrame) -> DataFrame:
-    """Size-weighted average of parameters and losses over the shards of a user.
-
-    Cells are exploded and summed by (user, setting, position), a partial
-    aggregation, so a user with many shards is combined map-side; the arrays are
-    then rebuilt from at most (#parameters + #epochs) cells per user.
-    """
-    w = F.col("n_train").cast("double")
-    keys = ["user_id", "setting"]
-    shards = fitted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shards"))
-    tagged = fitted.join(shards, keys)
-    # almost every user is one shard: passed through without exploding its arrays
-    single = tagged.where(F.col("n_shards") == 1).select(
-        *keys, "n_train", "n_val", "n_shards", "params", "train_loss", "val_loss")
-    fitted = tagged.where(F.col("n_shards") > 1).drop("n_shards")
-    sizes = fitted.groupBy(*keys).agg(F.sum("n_train").alias("n_train"), F.sum("n_val").alias("n_val"),
-                                      F.count(F.lit(1)).alias("n_shards"))
-
-    def mean_array(col, name):
-        cells = (fitted.select(*keys, w.alias("_w"), F.posexplode(col).alias("_pos", "_x"))
-                       .groupBy(*keys, "_pos")
-                       .agg((F.sum(F.col("_x") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1.0))).alias("_m")))
-        return (cells.groupBy(*keys)
-                     .agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_c"))
-                     .select(*keys, F.transform("_c", lambda c: c["_m"]).alias(name)))
-
-    multi = (sizes.join(mean_array("params", "params"), keys)
-                  .join(mean_array("train_loss", "train_loss"), keys)
-                  .join(mean_array("val_loss", "val_loss"), keys))
-    return single.unionByName(multi)
-
-
-def save_run(fits: DataFrame, path: str, run_id: str) -> None:
-    """Run artefacts (B07): weights per user and loss per (user, epoch), Parquet
-    partitioned by run id."""
-    fits.select("user_id", "setting", "params", F.lit(run_id).alias("run_id")) \
-        .write.mode("append").partitionBy("run_id").parquet(f"{path}/weights")
-    (fits.select("user_id", "setting", F.lit(run_id).alias("run_id"),
-                 F.posexplode(F.arrays_zip("train_loss", "val_loss")).alias("epoch", "l"))
-         .select("user_id", "setting", "run_id", "epoch", "l.train_loss", "l.val_loss")
-         .write.mode("append").partitionBy("run_id").parquet(f"{path}/losses"))
+            out = []
+            for key, pack, weights in zip(pdf["key"], pdf["pack"], pdf["weights"]):
+                x = np.array([[*r["p"], *r["q"], *r["s"]] for r in pack])
+                y = np.array([list(r["y"]) for r in pack])
+                train = np.array([r["is_train"] for r in pack], dtype=bool)
+                grad, on_train, on_val = network_gradient(np.asarray(weights), x, y, train, layers)
+                out.append((key, grad, on_train, on_val))
+            yield pd.DataFrame(out, columns=["key", "grad", "on_train", "on_val"])
+    return run
+
+
+def fit_network(pairs: DataFrame, epochs: int, layers: Sequence[int] = (8,), lr: float = 0.5,
+                key: str = "user_id", pack_rows: int = PACK_ROWS) -> DataFrame:
+    """Fit a network per key. Returns key, n_train, n_val, weights array<double> (layer by layer,
+    rows with their bias last), train_loss and val_loss before each epoch's step."""
+    layers = tuple(int(n) for n in layers)
+    order = [F.col("normalized_posted_time").asc(), F.col("comment_id").desc()]
+    rows = sequence.with_index(pairs, key, order, "_place")
+    packs = materialize(
+        rows.groupBy(F.col(key).alias("key"), F.floor(F.col("_place") / pack_rows).alias("_pack"))
+        .agg(F.collect_list(F.struct("p", "q", "s", "y", (F.col("split") == "train").alias("is_train"))).alias("pack")))
+    state = pairs.groupBy(F.col(key).alias("key")).agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") != "train").alias("n_val"))
+    state = state.select("*", F.array(*map(F.lit, start_weights(layers).tolist())).alias("weights"),
+                         *_losses(state, False))
+    kind = state.schema["key"].dataType.simpleString()
+    step = F.lit(float(lr)) / (DIM * F.greatest(F.col("n_train"), F.lit(1)))
+    for _ in range(epochs):
+        sums = materialize(
+            packs.join(state.select("key", "weights"), "key").select("key", "pack", "weights")
+            .mapInPandas(_pack_gradients(layers), f"key {kind}, grad array<double>, on_train double, on_val double"))
+        cells = (sums.select("key", F.posexplode("grad").alias("at", "g")).groupBy("key", "at").agg(F.sum("g").alias("g"))
+                 .groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda c: c["g"]).alias("grad")))
+        errors = sums.groupBy("key").agg(F.sum("on_train").alias("_train"), F.sum("on_val").alias("_val"))
+        state = materialize(state.join(cells, "key").join(errors, "key").select(
+            "key", "n_train", "n_val",
+            F.zip_with("weights", "grad", lambda w, g: w - step * g).alias("weights"), *_losses(state, True)))
+    return state.withColumnRenamed("key", key)
+
+
+# --- run artefacts --------------------------------------------------------------------
+
+def save_run(fits: DataFrame, path: str, run_id: str, key: str = "user_id") -> None:
+    """Run artefacts (B07): parameters per key and losses per (key, epoch), by run."""
+    ids = [key, *(c for c in ("setting",) if c in fits.columns)]
+    params = [c for c in fits.columns if c not in (*ids, "train_loss", "val_loss")]
+    fits.select(*ids, *params).write.mode("overwrite").parquet(f"{path}/weights/run_id={run_id}")
+    losses = F.posexplode(F.arrays_zip("train_loss", "val_loss")).alias("epoch", "l")
+    (fits.select(*ids, losses).select(*ids, "epoch", "l.train_loss", "l.val_loss")
+     .write.mode("overwrite").parquet(f"{path}/losses/run_id={run_id}"))
+
+
+def read_run(spark, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """(weights, losses) of a run."""
+    return tuple(spark.read.parquet(f"{path}/{part}/run_id={run_id}") for part in ("weights", "losses"))

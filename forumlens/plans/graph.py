@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import dynamics as Dy
+from ..operators import fit as Fit
 from ..sources.views import STATE_DIM
 from .catalog import register
+from .fit_sql import fit_ctes
 from .sqlgen import matvec
 
 _X = ["x0", "x1", "x2"]
@@ -131,43 +133,50 @@ def all_nodes(v):
 
 _CELLS = [f"{m}_{i}_{j}" for m in ("wp", "wq", "ws") for i in range(3) for j in range(3)] + \
          [f"b_{i}" for i in range(3)]
-
-
-def _est(v):
-    """Estimates to compare: the weights of the next user id (a shifted copy)."""
-    w = v.weights()
-    return w.select((F.col("user_id") - 1).alias("user_id"),
-                    *[F.col(c).alias(c + "_est") for c in ("w_p", "w_q", "w_s", "b")])
+FIT_EPOCHS = 3
+FIT_LR = 0.5
+# Estimates of the step graph's weights, under the names of the true ones.
+_EST = ", ".join(f"t_{i}_{3 * m + j} AS {name}_{i}_{j}" for m, name in enumerate(("wp", "wq", "ws"))
+                 for i in range(3) for j in range(3)) + ", " + ", ".join(f"t_{i}_9 AS b_{i}" for i in range(3))
+_EST_SQL = f"""WITH {fit_ctes('f', f"SELECT *, k % 5 <> 4 AS is_train FROM ({_TUPLES_SQL}) tt", 'node_id', 'weighted',
+                             FIT_LR, FIT_EPOCHS)},
+est AS (SELECT key AS node_id, 1 AS metadata_id, {_EST} FROM f_{FIT_EPOCHS})
+"""
 
 
 def _true_vs_est(v):
-    """D11 (K9): estimates joined to the true parameters on (node, run)."""
-    t = v.weights().withColumn("metadata_id", F.lit(1))
-    e = _est(v).withColumn("metadata_id", F.lit(1))
-    return e.join(t.dropDuplicates(["user_id", "metadata_id"]), ["user_id", "metadata_id"])
-
-
-@register("params_true_vs_est", views=("weights_v",), oracle="""
-SELECT e.user_id, t.b_0 AS b_true0, t.b_1 AS b_true1, t.b_2 AS b_true2,
-       e.b_0 AS b_est0, e.b_1 AS b_est1, e.b_2 AS b_est2, t.wp_1_2 AS wp_true_1_2, e.wp_1_2 AS wp_est_1_2
-FROM (SELECT user_id - 1 AS uid, * FROM weights_v) e JOIN weights_v t ON t.user_id = e.uid""".replace(
-    "SELECT e.user_id", "SELECT e.uid AS user_id"))
+    """D11 (K9): weights fitted on the step graph's tuples with strengths, stored beside the
+    true parameters by (node, run)."""
+    tuples = Dy.graph_tuples(v.nodes()).withColumn(
+        "split", F.when(F.col("k") % 5 != 4, "train").otherwise("val"))
+    fits = Fit.fit_tanh(tuples, FIT_EPOCHS, key="node_id", kind="weighted", lr=FIT_LR)
+    est = fits.select("node_id", F.lit(1).alias("metadata_id"),
+                      *[c.alias(n) for c, n in zip(Fit.weight_arrays(fits), ("w_p_est", "w_q_est", "w_s_est", "b_est"))])
+    true = (v.weights().withColumn("metadata_id", F.lit(1))
+            .withColumn("node_id", (F.col("user_id") * 2 + 1).cast("long")))
+    return est.join(true, ["node_id", "metadata_id"])
+
+
+@register("params_true_vs_est", views=("nodes_v", "weights_v"), oracle=_EST_SQL + """
+SELECT t.user_id, t.b_0 AS b_true0, t.b_1 AS b_true1, t.b_2 AS b_true2, round(e.b_0, 6) AS b_est0,
+       round(e.b_1, 6) AS b_est1, round(e.b_2, 6) AS b_est2, t.wp_1_2 AS wp_true_1_2, round(e.wp_1_2, 6) AS wp_est_1_2
+FROM est e JOIN weights_v t ON e.node_id = t.user_id * 2 + 1""")
 def params_true_vs_est(v):
-    """True parameters back-filled next to the estimates."""
+    """True parameters next to the estimates."""
     j = _true_vs_est(v)
     return j.select("user_id",
                     *[F.col("b")[i].alias(f"b_true{i}") for i in range(3)],
-                    *[F.col("b_est")[i].alias(f"b_est{i}") for i in range(3)],
-                    F.col("w_p")[1][2].alias("wp_true_1_2"), F.col("w_p_est")[1][2].alias("wp_est_1_2"))
+                    *[F.round(F.col("b_est")[i], 6).alias(f"b_est{i}") for i in range(3)],
+                    F.col("w_p")[1][2].alias("wp_true_1_2"), F.round(F.col("w_p_est")[1][2], 6).alias("wp_est_1_2"))
 
 
 _ABS = [f"abs(e.{c} - t.{c})" for c in _CELLS]
 
 
-@register("param_error", views=("weights_v",), oracle=f"""
-SELECT e.uid AS user_id, round(greatest({', '.join(_ABS)}), 6) AS max_abs_error,
+@register("param_error", views=("nodes_v", "weights_v"), oracle=_EST_SQL + f"""
+SELECT t.user_id, round(greatest({', '.join(_ABS)}), 6) AS max_abs_error,
        round(({' + '.join(_ABS)}) / {len(_CELLS)}, 6) AS mean_abs_error
-FROM (SELECT user_id - 1 AS uid, * FROM weights_v) e JOIN weights_v t ON t.user_id = e.uid""")
+FROM est e JOIN weights_v t ON e.node_id = t.user_id * 2 + 1""")
 def param_error(v):
     """Largest and mean absolute difference over all parameter cells."""
     j = _true_vs_est(v)

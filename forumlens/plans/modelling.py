@@ -236,53 +236,88 @@ def training_export(v):
     return _flat(R.summarise_export(back), ["first", "last"])
 
 
-# --- fits (grouped-map, rows-only checks) ----------------------------------------
+# --- fits -------------------------------------------------------------------------
 
 from ..operators import fit as Fit  # noqa: E402
+from .fit_sql import fit_ctes  # noqa: E402
 
-FIT_EPOCHS = 500   # reference setting for the real-data fits
-FIT_BATCH = 8
-FIT_LR = 0.001
+FIT_EPOCHS = 4
+FIT_LR = 0.5
+LAYERS = (8,)
+
+_FIT_PAIRS = f"""
+pairs AS (SELECT * FROM ({_PAIRS_SQL}) t WHERE y0 IS NOT NULL),
+fit_input AS (SELECT user_id, a0 AS p0, a1 AS p1, a2 AS p2, q0, q1, q2, s0, s1, s2, y0, y1, y2,
+  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY md5(CAST(comment_id AS STRING)), comment_id) - 1
+    < floor(COUNT(*) OVER (PARTITION BY user_id) * 8 / 10) AS is_train
+  FROM pairs)"""
 
 
 def _fit_input(v):
-    return training.train_val_split(training.next_state_pairs(v.vectors()), keep_rank=True)
+    return training.train_val_split(training.next_state_pairs(v.vectors()))
 
 
-def _fit_summary(fits):
-    return fits.select("user_id", "setting", "n_train", "n_val", "n_shards",
+def _fit_summary(fits, key="user_id"):
+    return fits.select(key, "setting", "n_train", "n_val",
                        F.round(F.col("train_loss")[0], 6).alias("first_train_loss"),
                        F.round(F.element_at("train_loss", -1), 6).alias("last_train_loss"),
                        F.round(F.element_at("val_loss", -1), 6).alias("last_val_loss"),
-                       F.size("params").alias("n_params"))
+                       *[F.round(c, 6).alias(c) for c in Fit.CELL_NAMES])
+
+
+def _fit_summary_sql(name, setting=0, key="user_id"):
+    return f"""SELECT key AS {key}, {setting} AS setting, n_train, n_val, round(train_loss[1], 6) AS first_train_loss,
+       round(train_loss[-1], 6) AS last_train_loss, round(val_loss[-1], 6) AS last_val_loss,
+       {_r(Fit.CELL_NAMES)} FROM {name}_{FIT_EPOCHS}"""
+
+
+def _fit_sql(kind):
+    return f"WITH {_FIT_PAIRS}, {fit_ctes('f', 'SELECT * FROM fit_input', 'user_id', kind, FIT_LR, FIT_EPOCHS)}\n"
 
 
-@register("fit_linear_users")
+@register("fit_linear_users", views=("vectors_v",), oracle=_fit_sql("linear") + _fit_summary_sql("f"))
 def fit_linear_users(v):
-    """M01 (+B07): one linear model per user; weights and per-epoch losses are kept
-    as run artefacts under the checkpoint folder."""
-    fits = Fit.fit_pairs(_fit_input(v), "linear", FIT_EPOCHS, FIT_BATCH, FIT_LR)
-    Fit.save_run(fits, scratch_path(v.spark, "runs"), "linear")
-    return _fit_summary(fits)
+    """One linear model per user."""
+    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, kind="linear", lr=FIT_LR))
 
 
-@register("fit_diff_users")
+@register("fit_diff_users", views=("vectors_v",), oracle=_fit_sql("diff") + _fit_summary_sql("f"))
 def fit_diff_users(v):
     """The difference model per user."""
-    return _fit_summary(Fit.fit_pairs(_fit_input(v), "diff", FIT_EPOCHS, FIT_BATCH, FIT_LR))
+    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, kind="diff", lr=FIT_LR))
+
+
+@register("run_history", views=("vectors_v",), oracle=_fit_sql("linear") + f"""
+SELECT key AS user_id, epoch, round(train_loss[epoch + 1], 6) AS train_loss, round(val_loss[epoch + 1], 6) AS val_loss,
+       round(t_0_0, 6) AS last_weight
+FROM f_{FIT_EPOCHS}, (SELECT CAST(unnest(range({FIT_EPOCHS})) AS INTEGER) AS epoch) n""")
+def run_history(v):
+    """A run's losses per user and epoch and its weights, stored by run and read back."""
+    path = scratch_path(v.spark, "runs")
+    Fit.save_run(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, kind="linear", lr=FIT_LR), path, "linear")
+    weights, losses = Fit.read_run(v.spark, path, "linear")
+    return (losses.join(weights.select("user_id", F.round("t_0_0", 6).alias("last_weight")), "user_id")
+            .select("user_id", "epoch", F.round("train_loss", 6).alias("train_loss"),
+                    F.round("val_loss", 6).alias("val_loss"), "last_weight"))
 
 
 @register("fit_network_users")
 def fit_network_users(v):
-    """The feed-forward model per user (one hidden layer of 8)."""
-    return _fit_summary(Fit.fit_pairs(_fit_input(v), "network", FIT_EPOCHS, FIT_BATCH, FIT_LR, hidden=8))
+    """The feed-forward model per user; its layer sizes are a list."""
+    fits = Fit.fit_network(_fit_input(v), FIT_EPOCHS, LAYERS, FIT_LR)
+    return fits.select("user_id", "n_train", "n_val", F.round(F.col("train_loss")[0], 6).alias("first_train_loss"),
+                       F.round(F.element_at("train_loss", -1), 6).alias("last_train_loss"),
+                       F.round(F.element_at("val_loss", -1), 6).alias("last_val_loss"),
+                       F.size("weights").alias("n_params"))
 
 
 GRID = [{"setting": i, "kind": k, "lr": lr}
-        for i, (k, lr) in enumerate((k, lr) for k in ("linear", "diff") for lr in (0.001, 0.01))]
+        for i, (k, lr) in enumerate((k, lr) for k in ("linear", "diff") for lr in (0.1, 0.5))]
 
 
-@register("fit_grid")
+@register("fit_grid", views=("vectors_v",), oracle=f"WITH {_FIT_PAIRS}, " + ", ".join(
+    fit_ctes(f"f{s['setting']}x", "SELECT * FROM fit_input", "user_id", s["kind"], s["lr"], FIT_EPOCHS) for s in GRID)
+    + "\n" + " UNION ALL ".join(_fit_summary_sql(f"f{s['setting']}x", s["setting"]) for s in GRID))
 def fit_grid(v):
-    """Settings grid (kind x learning rate) x users, fitted in parallel."""
-    return _fit_summary(Fit.fit_pairs(_fit_input(v), epochs=100, batch=FIT_BATCH, settings=GRID))
+    """Settings grid (kind x learning rate) x users, fitted together."""
+    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, settings=GRID))

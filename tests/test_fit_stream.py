@@ -1,31 +1,105 @@
-"""Fits recover structure from data made with known weights; the stream is idempotent."""
+"""Fits against plain gradient descent; the stream is idempotent."""
 import numpy as np
-
-from forumlens.operators.fit import fit_arrays
-
-
-def test_linear_fit_learns_known_weights():
-    rng = np.random.default_rng(3)
-    n, d = 400, 3
-    P, Q, S = (rng.dirichlet(np.ones(d), n) for _ in range(3))
-    Wp, Wq, Ws = (rng.normal(0, 0.8, (d, d)) for _ in range(3))
-    b = rng.normal(0, 0.2, d)
-    Y = np.tanh(P @ Wp.T + Q @ Wq.T + S @ Ws.T + b)
-    mask = np.arange(n) < 320
-    params, train, val = fit_arrays("linear", P, Q, S, Y, mask, epochs=150, batch=8, lr=0.01, seed=1)
-    assert train[-1] < train[0] * 0.2
-    baseline = float(np.mean((Y[~mask] - Y[mask].mean(0)) ** 2))
-    assert val[-1] < baseline
-
-
-def test_network_fit_loss_falls():
-    rng = np.random.default_rng(4)
-    n = 200
-    P, Q, S = (rng.dirichlet(np.ones(3), n) for _ in range(3))
-    Y = np.roll(S, 1, axis=1)
-    mask = np.arange(n) < 160
-    _, train, _ = fit_arrays("network", P, Q, S, Y, mask, epochs=80, batch=8, lr=0.01, seed=2)
-    assert train[-1] < train[0]
+import pytest
+
+from forumlens.operators import fit
+
+
+def _pairs(spark, sizes, seed=3):
+    """Rows per user of a linear model with known weights."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for user, n in sizes.items():
+        P, Q, S = (rng.dirichlet(np.ones(3), n) for _ in range(3))
+        W = rng.normal(0, 0.8, (3, 10))
+        Y = np.tanh(np.hstack([P, Q, S, np.ones((n, 1))]) @ W.T)
+        for k in range(n):
+            rows.append((user, k, *(x[k].tolist() for x in (P, Q, S, Y)), float(rng.random()), float(rng.random()),
+                         "train" if k % 5 else "val"))
+    return spark.createDataFrame(rows, "user_id long, comment_id long, p array<double>, q array<double>, s array<double>, "
+                                       "y array<double>, a double, b double, split string")
+
+
+def _plain_fit(rows, kind, epochs, lr):
+    """Full-batch gradient descent in NumPy."""
+    P, Q, S, Y = (np.array([getattr(r, c) for r in rows]) for c in "pqsy")
+    a, b = (np.array([[getattr(r, c)] for r in rows]) for c in "ab")
+    if kind == "diff":
+        P, Q = P - S, Q - S
+    elif kind == "weighted":
+        P, Q = P * a, Q * b
+    X = np.hstack([P, Q, S, np.ones((len(rows), 1))])
+    train = np.array([r.split == "train" for r in rows])
+    W, losses = np.zeros((3, 10)), []
+    for _ in range(epochs):
+        E = np.tanh(X @ W.T)
+        losses.append((float(((E - Y)[train] ** 2).mean()), float(((E - Y)[~train] ** 2).mean())))
+        D = (E - Y)[train] * (1 - E[train] ** 2)
+        W = W - lr * 2 / (3 * train.sum()) * D.T @ X[train]
+    return W, losses
+
+
+@pytest.mark.parametrize("kind", ["linear", "diff", "weighted"])
+def test_fit_equals_plain_gradient_descent(spark, kind):
+    pairs = _pairs(spark, {1: 40, 2: 7, 3: 300})
+    rows = pairs.collect()
+    got = {r.user_id: r for r in fit.fit_tanh(pairs.repartition(5), 4, kind=kind, lr=0.7).collect()}
+    assert got.keys() == {1, 2, 3}
+    for user, r in got.items():
+        W, losses = _plain_fit([x for x in rows if x.user_id == user], kind, 4, 0.7)
+        assert np.allclose([[r[f"t_{i}_{j}"] for j in range(10)] for i in range(3)], W)
+        assert np.allclose(r.train_loss, [x for x, _ in losses]) and np.allclose(r.val_loss, [x for _, x in losses])
+
+
+def test_fit_learns(spark):
+    pairs = _pairs(spark, {1: 200})
+    r = fit.fit_tanh(pairs, 25, lr=1.5).first()
+    assert r.train_loss[-1] < 0.3 * r.train_loss[0] and r.val_loss[-1] < r.val_loss[0]
+
+
+def test_settings_are_fitted_side_by_side(spark):
+    pairs = _pairs(spark, {1: 30, 2: 20})
+    grid = [{"setting": 5, "kind": "linear", "lr": 0.2}, {"setting": 6, "kind": "diff", "lr": 0.9}]
+    got = {(r.user_id, r.setting): r.t_0_0 for r in fit.fit_tanh(pairs, 2, settings=grid).collect()}
+    for g in grid:
+        alone = fit.fit_tanh(pairs, 2, kind=g["kind"], lr=g["lr"]).collect()
+        assert {(r.user_id, g["setting"]): r.t_0_0 for r in alone}.items() <= got.items()
+
+
+def test_network_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    layers = (5, 4)
+    x, y = rng.random((6, 9)), rng.dirichlet(np.ones(3), 6)
+    train = np.array([True, True, False, True, True, False])
+    w = fit.start_weights(layers)
+    grad, on_train, on_val = fit.network_gradient(w, x, y, train, layers)
+    for k in range(0, len(w), 7):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        slope = (fit.network_gradient(up, x, y, train, layers)[1] - fit.network_gradient(down, x, y, train, layers)[1]) / 2e-6
+        assert grad[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_network_fit_does_not_depend_on_packs(spark):
+    pairs = _pairs(spark, {1: 60, 2: 9}).selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS normalized_posted_time")
+    one, many = ({r.user_id: r for r in fit.fit_network(pairs, 3, (6, 4), 1.0, pack_rows=n).collect()} for n in (1000, 7))
+    for user in (1, 2):
+        assert np.allclose(one[user].weights, many[user].weights)
+        assert np.allclose(one[user].train_loss, many[user].train_loss)
+        assert one[user].train_loss[-1] < one[user].train_loss[0]
+        assert len(one[user].weights) == 6 * 10 + 4 * 7 + 3 * 5
+
+
+def test_run_artefacts_are_read_back(spark, tmp_path):
+    fits = fit.fit_tanh(_pairs(spark, {1: 30, 2: 20}), 3)
+    for run in ("a", "b"):
+        fit.save_run(fits, str(tmp_path), run)
+    weights, losses = fit.read_run(spark, str(tmp_path), "a")
+    want = {r.user_id: r for r in fits.collect()}
+    assert {r.user_id: r.t_2_9 for r in weights.collect()} == {u: r.t_2_9 for u, r in want.items()}
+    assert {(r.user_id, r.epoch): r.train_loss for r in losses.collect()} == {
+        (u, e): x for u, r in want.items() for e, x in enumerate(r.train_loss)}
 
 
 def test_stream_rerun_adds_nothing(spark, tmp_path):
@@ -53,8 +127,6 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
 
 
 def test_a_retried_batch_adds_nothing_and_read_errors_stop(spark, tmp_path):
-    import pytest
-
     from forumlens.streaming.ingest import Sink, create_sink, insert_batch, read_sink
 
     schema = ("comment_id long, article_id long, user_link string, comment_content string, agreements_text string, "
@@ -67,49 +139,3 @@ def test_a_retried_batch_adds_nothing_and_read_errors_stop(spark, tmp_path):
     for number in (0, 0, 1, 2):
         insert_batch(spark, df, number, sink)
     assert sorted(r.comment_id for r in read_sink(spark, sink.path).collect()) == [0, 1, 2, 3, 4, 5, 9]
-
-
-def test_packed_fit_equals_single_fits():
-    from forumlens.operators.fit import fit_packed
-
-    rng = np.random.default_rng(0)
-    groups = []
-    for n in (55, 40, 61, 3, 12):
-        P, Q, S, Y = (rng.random((n, 3)) for _ in range(4))
-        groups.append((P, Q, S, Y, rng.random(n) < 0.8))
-    seeds = [11, 12, 13, 14, 15]
-    for kind in ("linear", "diff", "network"):
-        packed, tr, va = fit_packed(kind, groups, 20, 8, [0.01] * 5, seeds)
-        for i, g in enumerate(groups):
-            single, tr1, va1 = fit_arrays(kind, *g, 20, 8, 0.01, seeds[i])
-            assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(single, packed[i]))
-            assert np.allclose(tr1, tr[i], equal_nan=True) and np.allclose(va1, va[i], equal_nan=True)
-
-
-def test_spark_fit_rows(spark):
-    """The distributed fit gives one row per user with falling training loss."""
-    from pyspark.sql import functions as F
-
-    from forumlens.operators import fit, training
-    from forumlens.sources.views import Views
-
-    v = Views(spark, "/root/testdata/sf0.001")
-    pairs = training.train_val_split(training.next_state_pairs(v.vectors()))
-    out = fit.fit_pairs(pairs, "linear", epochs=30, batch=8, lr=0.01).collect()
-    assert len(out) == pairs.select(F.count_distinct("user_id")).first()[0]
-    assert all(r.train_loss[-1] < r.train_loss[0] for r in out)
-    assert all(len(r.params) == 30 for r in out)
-
-
-def test_shard_averaging(spark):
-    from forumlens.operators.fit import average_shards
-
-    schema = ("user_id long, setting long, shard long, n_train long, n_val long, "
-              "params array<double>, train_loss array<double>, val_loss array<double>")
-    rows = [(1, 0, 0, 3, 1, [1.0, 2.0], [4.0], [1.0]),
-            (1, 0, 1, 1, 1, [5.0, 6.0], [8.0], [3.0]),
-            (2, 0, 0, 2, 0, [7.0, 7.0], [1.0], [2.0])]
-    out = {r.user_id: r for r in average_shards(spark.createDataFrame(rows, schema)).collect()}
-    assert out[1].n_shards == 2 and out[1].n_train == 4
-    assert out[1].params == [2.0, 3.0] and out[1].train_loss == [5.0] and out[1].val_loss == [1.5]
-    assert out[2].params == [7.0, 7.0] and out[2].n_shards == 1
