@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import dynamics, maintain, training
 from ..operators import select as S
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.views import STATE_DIM
 from .catalog import register
 from .normal_sql import NUM_ORACLE, TIME_ORACLE
@@ -83,6 +83,36 @@ def latest_run(v):
     return maintain.latest_per_group(v.events, "event_type", ["ts", "event_id"], ["event_id", "ts"])
 
 
+_RUN_SETTINGS = ["state_dim", "k_max", "kind"]
+_RUNS = """SELECT event_id, 2 + event_id % 4 AS state_dim, CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 30 ELSE 50 END AS k_max,
+       event_type AS kind, ts AS created FROM {events}"""
+
+
+@register("run_registry", oracle=f"""
+WITH runs AS ({_RUNS.replace('{events}', 'events')}),
+firsts AS (SELECT * FROM (SELECT *, event_id * 5 >= (SELECT MAX(event_id) FROM events) AS later,
+             ROW_NUMBER() OVER (PARTITION BY state_dim, k_max, kind ORDER BY event_id) AS rn FROM runs) t WHERE rn = 1)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY later, created, state_dim, k_max, kind) AS BIGINT) AS run_id,
+       state_dim, k_max, kind, created,
+       ROW_NUMBER() OVER (ORDER BY later DESC, created DESC, state_dim DESC, k_max DESC, kind DESC) = 1 AS newest
+FROM firsts""")
+def run_registry(v):
+    """Runs recorded in two waves; settings that are recorded already are rejected, and
+    the newest run is marked."""
+    runs = v.spark.sql(_RUNS, events=v.events)
+    top = v.events.agg(F.max("event_id")).first()[0] or 0
+    wave = F.col("event_id") * 5 >= top
+    empty = runs.select(F.lit(0).cast("long").alias("run_id"), *_RUN_SETTINGS, "created").limit(0)
+    recorded = empty
+    for part in (runs.where(~wave), runs.where(wave)):
+        first = maintain.first_per_key(part, _RUN_SETTINGS, ["event_id"])
+        recorded = maintain.record_runs(recorded, first.withColumn("run_id", F.lit(None).cast("long"))
+                                        .select(*empty.columns), _RUN_SETTINGS)
+    recorded = materialize(recorded)
+    newest = recorded.select(F.max("run_id")).scalar()
+    return recorded.withColumn("newest", F.col("run_id") == newest)
+
+
 @register("merged_comment_sources", views=("comments_v",), oracle=f"""
 WITH src AS (
   SELECT 0 AS prio, 'article_page' AS origin, comment_id, article_id, user_link, comment_content

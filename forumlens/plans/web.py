@@ -81,6 +81,23 @@ def frontier_urls(v):
     return P.frontier(v.pages)
 
 
+_BASES = ", ".join(f"('{b}')" for b in P.RANKING_BASES)
+
+
+@register("ranking_frontier", views=("articles_v",), oracle=f"""
+SELECT 'ranking' AS kind, base || CASE WHEN genre = '' THEN '' ELSE '/' || genre END AS target_url
+FROM (VALUES {_BASES}) b(base), (SELECT '' AS genre UNION SELECT article_genre FROM articles_v
+                                 WHERE article_genre IS NOT NULL AND article_genre <> '') g
+UNION ALL SELECT 'comments' AS kind, article_link || '{P.COMMENT_SUFFIX}' AS target_url
+FROM articles_v WHERE article_content IS NOT NULL""")
+def ranking_frontier(v):
+    """Ranking pages by base and genre, and the comment pages of fetched articles."""
+    ranking = P.ranking_targets(v.articles_v, "article_genre")
+    comments = P.comment_targets(v.articles_v.where(F.col("article_content").isNotNull()))
+    return (ranking.select(F.lit("ranking").alias("kind"), "target_url")
+            .unionByName(comments.select(F.lit("comments").alias("kind"), "target_url")))
+
+
 @register("archive_names", oracle=f"""
 SELECT page_id, title,
        regexp_replace(coalesce(title, '{P.DEFAULT_TITLE}'), '{_q(P.FORBIDDEN_FILENAME)}', '', 'g') || '.html' AS file_name

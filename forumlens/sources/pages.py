@@ -115,6 +115,25 @@ def frontier(pages: DataFrame, pages_per_url: int = 3, orders=VALID_ORDERS) -> D
                        with_page_params(F.col("url"), F.col("page"), F.col("order")).alias("target_url"))
 
 
+# The ranking pages of the site and the suffix of an article's comment pages.
+RANKING_BASES = ("https://news.example/ranking/comment", "https://news.example/ranking/access/news")
+COMMENT_SUFFIX = "/comments"
+
+
+def ranking_targets(genres: DataFrame, genre: str, bases=RANKING_BASES) -> DataFrame:
+    """Ranking pages to crawl: every base on its own and with every genre (A05). ``genres`` has
+    one row per genre; the bases are a generator over a fixed array per row."""
+    overall = genres.sparkSession.createDataFrame([("",)], "genre string")
+    named = genres.select(F.col(genre).alias("genre")).where("genre IS NOT NULL AND genre <> ''").distinct()
+    rows = overall.union(named).select("genre", F.explode(F.array(*map(F.lit, bases))).alias("base"))
+    return rows.select("genre", F.concat_ws("/", "base", F.nullif("genre", F.lit(""))).alias("target_url"))
+
+
+def comment_targets(articles: DataFrame) -> DataFrame:
+    """First comment page of every article."""
+    return articles.select("article_id", F.concat("article_link", F.lit(COMMENT_SUFFIX)).alias("target_url"))
+
+
 def archive_name(title: Column) -> Column:
     """File name for a saved page: the title without forbidden characters, or the
     default when there is no title (B09)."""

@@ -28,3 +28,13 @@ def test_frontier_parameters(spark):
     got = {(r.page_id, r.page, r.order): r.target_url for r in P.frontier(df, 1).collect()}
     assert got[(1, 1, "newer")] == "http://a.example/x?page=1&ref=z&order=newer#top"
     assert got[(2, 1, "recommended")] == "https://b.example/y?order=recommended&page=1"
+
+
+def test_ranking_and_comment_targets(spark):
+    from forumlens.sources.pages import comment_targets, ranking_targets
+
+    genres = spark.createDataFrame([("sports",), ("sports",), (None,), ("",)], "g string")
+    got = sorted(r.target_url for r in ranking_targets(genres, "g", ("u/a", "u/b")).collect())
+    assert got == ["u/a", "u/a/sports", "u/b", "u/b/sports"]
+    articles = spark.createDataFrame([(1, "u/x"), (2, None)], "article_id long, article_link string")
+    assert [r.target_url for r in comment_targets(articles).orderBy("article_id").collect()] == ["u/x/comments", None]
