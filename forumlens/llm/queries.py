@@ -122,4 +122,50 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _op4_sql() -> str:
+    from .licenses import LOWER, UPPER
+
+    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH item AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS k
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM item WHERE len(w) > 0) t),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM documents),
+gram AS (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS k
+         FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s
+               FROM doc JOIN (SELECT DISTINCT n FROM win) l ON len(w) >= n) t),
+hit AS (SELECT r, s, n, item_id FROM gram JOIN win USING (n, k)),
+covered AS (SELECT r, COUNT(DISTINCT p) AS n_hit
+            FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hit) a) b GROUP BY r),
+found AS (SELECT r, COUNT(DISTINCT item_id) AS n_items,
+                 sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items
+          FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
+
+
+def _op5_sql() -> str:
+    from .licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
+
+    words = f"string_split(trim(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    quoted = ", ".join("('{}', '{}')".format(n, b.replace("'", "''")) for n, b in TEMPLATES)
+    return f"""
+WITH template AS (SELECT license, body, {grams} AS g FROM (SELECT *, {words} AS w FROM (VALUES {quoted}) t(license, body)) t),
+line AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+unit AS (SELECT r, doc_id, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS body FROM line
+         UNION ALL SELECT r, doc_id, -1 AS line, text AS body FROM line WHERE len(lines) > 1),
+passage AS (SELECT r, doc_id, line, {grams} AS g FROM (SELECT r, doc_id, line, {words} AS w FROM unit) u),
+common AS (SELECT p.r, p.doc_id, p.line, len(p.g) AS n, t.license, t.body, len(t.g) AS m, COUNT(*) AS c
+           FROM (SELECT r, doc_id, line, g, unnest(g) AS gram FROM passage) p
+           JOIN (SELECT license, body, g, unnest(g) AS gram FROM template) t USING (gram)
+           GROUP BY ALL),
+scored AS (SELECT r, doc_id, line, license, 2 * c / (n + m) AS dice FROM common WHERE 2 * c / (n + m) >= {THRESHOLD})
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice FROM (
+  SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, license) AS rn FROM scored) s WHERE rn = 1"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _op4_sql(), "op5_licenses": _op5_sql()}
