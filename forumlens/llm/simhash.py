@@ -209,9 +209,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     linked = linked.join(lowest, "component").select("fp", "component", "lowest")
-    named = (distinct.join(linked, "fp", "left")
-             .select("fp", F.coalesce("component", "fp").alias("class"),
-                     F.coalesce("lowest", "first").alias("component_id")))
+    # Written, so that the last join alone stands above its shuffles and a very common
+    # fingerprint's rows can be split.
+    named = written(distinct.join(linked, "fp", "left")
+                    .select("fp", F.coalesce("component", "fp").alias("class"),
+                            F.coalesce("lowest", "first").alias("component_id")), "fingerprint-names")
     return prints.join(named, "fp").select(F.col("key").alias(key), *extra, "fp", "class", "component_id")
 
 
