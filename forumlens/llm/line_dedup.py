@@ -150,8 +150,11 @@ def shared_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         .select("key", "hash", "line", F.xxhash64("body").alias("h"),
                 F.size(F.split("body", "[ \t]+")).alias("words")).distinct(), "lines")
     doc = F.struct("key", "hash")
-    shared = (rows.groupBy("h").agg(F.min(doc).alias("owner"), F.max(doc).alias("last"))
-              .where("owner <> last OR (owner.key IS NULL) <> (last.key IS NULL)").select("h", "owner"))
+    # Written, so that the join alone stands above its shuffles and a very common line's rows
+    # can be split.
+    shared = written(rows.groupBy("h").agg(F.min(doc).alias("owner"), F.max(doc).alias("last"))
+                     .where("owner <> last OR (owner.key IS NULL) <> (last.key IS NULL)").select("h", "owner"),
+                     "shared-line-owners")
     return rows.join(shared, "h")
 
 
