@@ -230,8 +230,10 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
     prepared(vectors.sparkSession)
     rows = vector_rows(vectors, key, column)
     shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    tasks = shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]  # a shard is minutes of work: a task each
     dealt = (rows.join(shards, "dim")
-             .select("dim", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), "vec_id", "vector"))
+             .select("dim", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), "vec_id", "vector")
+             .repartition(2 * tasks, "dim", "shard"))
     kind = rows.schema["vector"].dataType.simpleString()
     built = dealt.groupBy("dim", "shard").applyInArrow(
         _build(degree, beam, alpha),
