@@ -124,9 +124,10 @@ QUERIES = {
 }
 
 
-def _op4_sql() -> str:
-    from .licenses import LOWER, UPPER
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
+def _op4_sql() -> str:
     words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 WITH item AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -148,7 +149,7 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
 
 
 def _op5_sql() -> str:
-    from .licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
+    from .licenses import TEMPLATES, THRESHOLD
 
     words = f"string_split(trim(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
