@@ -22,7 +22,7 @@ HEADLINE = [
     "training_raw",            # D07 flagship: users x comments x articles x parents + step index
     "unseen_users",            # D01 NOT IN over the latest comment per user
     "natural_key_lookup",      # D08 natural key -> first id
-    "comment_page",            # F04 per-article listing pages, skew-safe ranks
+    "comment_page",            # F04 per-article listing pages
     "normalized_counts",       # H01
     "normalized_times",        # H02
     "insert_first_wins",       # B01
@@ -36,7 +36,13 @@ HEADLINE = [
     "page_fields",             # A03
     "frontier_urls",           # A05
     "stream_ingest_comments",  # S01
+    "capped_comments",         # W07
+    "carry_article_forward",   # W06
+    "train_val_split",         # W08
+    "category_vectors",        # T02
     "fit_linear_users",        # M01
+    "fit_network_users",       # M02
+    "fit_grid",                # M03
 ]
 
 
