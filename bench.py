@@ -1,7 +1,7 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is built and fully executed (``noop`` sink, no collect) once as a
-warm-up and then three times; the median wall time is reported, and the shuffle
+warm-up and then $BENCH_RUNS times (1 by default); the median is reported, and the shuffle
 bytes written by the first timed run are read from Spark's event log (written to
 a fresh scratch folder). Prints one JSON line.
 """
@@ -74,7 +74,7 @@ def shuffle_bytes(event_dir: str, groups: list[str]) -> dict[str, int]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
 
     from forumlens.plans.catalog import load_all
