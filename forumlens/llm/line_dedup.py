@@ -1,10 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-1. The hash of every line that is not blank is linked to the earliest document that has it.
-   A document that shares lines with earlier ones is paired with each of their first holders
-   only, so a line in very many documents gives one pair per document and never all pairs;
-   lines of one document alone, which are most, are dropped before anything is paired.
-2. Each pair is aligned by patience diff over the shared lines: common ends first, then the
+1. Runs: from every line that is not blank the shortest run of neighbouring lines of
+   ``MIN_BLOCK_WORDS`` words or more that starts there, and the shortest that ends there. Every
+   line of a common block lies in such a run within the block. The hash of a run is linked to
+   the earliest document that has the run, whatever older documents have of its lines alone. A
+   document is paired with the first holders of its runs only, over the lines of these runs, so
+   a run in very many documents gives one pair per document and never all pairs; runs of one
+   document alone, which are most, are dropped before anything is paired.
+2. Each pair is aligned by patience diff over these lines: common ends first, then the
    lines that are unique in both stretches (the rare ones; where there are none, the n-th with
    the n-th place of a line) as anchors, kept in the longest order they agree on, then the
    stretches between anchors.
@@ -86,7 +89,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def common_blocks(pairs, first, later, words, least: int) -> list[int]:
     """Line numbers of the later document in blocks of ``least`` words or more.
 
-    ``first`` and ``later``: the line numbers of both documents' shared lines.
+    ``first`` and ``later``: the numbers of both documents' aligned lines.
     """
     out, block = [], []
     for n, (i, j) in enumerate(pairs):
@@ -98,24 +101,66 @@ def common_blocks(pairs, first, later, words, least: int) -> list[int]:
     return out
 
 
+def _lines(runs) -> tuple[list[int], list[int], list[int]]:
+    """Numbers, hashes and words of the lines of a document's runs, by number."""
+    of = {run["line"] + n: x for run in runs for n, x in enumerate(zip(run["h"], run["words"]))}
+    numbers = sorted(of)
+    return numbers, [of[n][0] for n in numbers], [of[n][1] for n in numbers]
+
+
 def _align_pairs(least: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = []
-            for lines, owned in zip(batch.column("lines").to_pylist(), batch.column("owned").to_pylist()):
-                lines.sort(key=lambda x: x["line"])
-                owned.sort(key=lambda x: x["line"])
-                pairs = align([x["h"] for x in owned], [x["h"] for x in lines])
-                found.append(common_blocks(pairs, [x["line"] for x in owned], [x["line"] for x in lines],
-                                           [x["words"] for x in lines], least))
+            for later, owned in zip(batch.column("later").to_pylist(), batch.column("owned").to_pylist()):
+                numbers, hashes, words = _lines(later)
+                first, of_first, _ = _lines(owned)
+                found.append(common_blocks(align(of_first, hashes), first, numbers, words, least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("hash"), pa.array(found, pa.list_(pa.int32()))],
                 names=["key", "hash", "deleted"])
     return run
 
 
+def _runs(least: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("lines")
+            flat = lists.flatten()
+            h = flat.field("h").to_numpy(zero_copy_only=False)
+            words = flat.field("words").to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            ends = np.cumsum(sizes)
+            here, total = np.arange(len(h)), np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+            # Shortest runs from a line on, and up to a line.
+            stop = np.maximum(np.searchsorted(total, total[:-1] + least), here + 1)
+            start = np.minimum(np.searchsorted(total, total[1:] - least, side="right") - 1, here)
+            on, up = stop <= ends[doc], start >= (ends - sizes)[doc]
+            bounds = np.unique(np.stack([np.concatenate([here[on], start[up]]),
+                                         np.concatenate([stop[on], here[up] + 1])], axis=1), axis=0)
+            start, size = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
+            hashes, mixed = h.astype(np.uint64), np.zeros(len(start), np.uint64)
+            for n in range(size.max(initial=0)):
+                more = size > n
+                mixed[more] = mixed[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[start[more] + n]
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            member = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+            held, offsets = pa.array(doc[start]), pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(held), batch.column("hash").take(held), pa.array(mixed.view(np.int64)),
+                 pa.array(start - (ends - sizes)[doc[start]], pa.int32()),
+                 pa.ListArray.from_arrays(offsets, pa.array(h[member], pa.int64())),
+                 pa.ListArray.from_arrays(offsets, pa.array(words[member], pa.int32()))],
+                names=["key", "hash", "run", "line", "h", "words"])
+    return run
+
+
 def _cut(kept: list[str], text: str):
     def run(batches):
         import pyarrow as pa
@@ -141,34 +186,35 @@ def _cut(kept: list[str], text: str):
     return run
 
 
-def shared_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, hash, line, h, words, owner: the lines that several documents have."""
+def shared_runs(docs: DataFrame, key: str, text: str, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """key, hash, run, line, h, words, owner: the runs that several documents have."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
-    rows = written(
-        docs.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.posexplode(lines).alias("line", "body"))
-        .select("key", "hash", "line", F.xxhash64("body").alias("h"),
-                F.size(F.split("body", "[ \t]+")).alias("words")).distinct(), "lines")
+    of_lines = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, "[ \t]+")).alias("words")))
+    split = (docs.where(F.col(text).isNotNull())
+             .select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), of_lines.alias("lines")))
+    kind = split.schema["key"].dataType.simpleString()
+    rows = written(split.mapInArrow(
+        _runs(least), f"key {kind}, hash long, run long, line int, h array<long>, words array<int>"), "runs")
     doc = F.struct("key", "hash")
-    # Written, so that the join alone stands above its shuffles and a very common line's rows
+    # Written, so that the join alone stands above its shuffles and a very common run's rows
     # can be split.
-    shared = written(rows.groupBy("h").agg(F.min(doc).alias("owner"), F.max(doc).alias("last"))
-                     .where("owner <> last OR (owner.key IS NULL) <> (last.key IS NULL)").select("h", "owner"),
-                     "shared-line-owners")
-    return rows.join(shared, "h")
+    shared = written(rows.groupBy("run").agg(F.min(doc).alias("owner"), F.max(doc).alias("last"))
+                     .where("owner <> last OR (owner.key IS NULL) <> (last.key IS NULL)").select("run", "owner"),
+                     "shared-run-owners")
+    return rows.join(shared, "run")
 
 
 def delete_common_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text",
                          min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """All columns of ``docs``, ``text`` without the common blocks, and lines_deleted int."""
     prepared(docs.sparkSession)
-    rows = written(shared_lines(docs, key, text), "shared-lines")
-    line = F.struct("line", "h", "words")
+    rows = written(shared_runs(docs, key, text, min_block_words), "shared-runs")
+    runs = F.collect_set(F.struct("line", "h", "words"))  # a set: repeated rows are one document
     own = F.struct("key", "hash")
-    owned = rows.where(own.eqNullSafe(F.col("owner"))).groupBy("owner").agg(F.collect_list(line).alias("owned"))
-    later = rows.where(~own.eqNullSafe(F.col("owner"))).groupBy("key", "hash", "owner").agg(F.collect_list(line).alias("lines"))
+    owned = rows.where(own.eqNullSafe(F.col("owner"))).groupBy("owner").agg(runs.alias("owned"))
+    later = rows.where(~own.eqNullSafe(F.col("owner"))).groupBy("key", "hash", "owner").agg(runs.alias("later"))
     pairs = (later.join(owned.withColumnRenamed("owner", "__owner"), F.col("owner").eqNullSafe(F.col("__owner")))
-             .select("key", "hash", "lines", "owned"))
+             .select("key", "hash", "later", "owned"))
     kind = rows.schema["key"].dataType.simpleString()
     cut = (pairs.mapInArrow(_align_pairs(min_block_words), f"key {kind}, hash long, deleted array<int>")
            .where(F.size("deleted") > 0).groupBy("key", "hash")

@@ -53,6 +53,41 @@ def test_block_is_found_through_its_first_holder(spark, docs):
     assert got[0] == rows[0][1] and all(got[k] == f"own words of document number {k}" for k in range(1, 40))
 
 
+def test_copy_whose_lines_have_different_first_holders(spark, docs):
+    short = [f"line {k} here" for k in range(5)]
+    rows = [(k, f"own text {k}\n{x}\nend {k}") for k, x in enumerate(short)]
+    copied = "\n".join(short)
+    rows += [(6, copied), (7, copied), (8, f"other\n{A}\nother end"), (9, f"{A}\nx\n{B}"), (10, f"{A}\nx\n{B}"),
+             (11, f"{short[0]}\n{short[1]}\n\n{A}\nx"), (12, short[3])]
+    got = texts(delete_common_blocks(docs(rows).repartition(4)))
+    assert all(got[k] == body for k, body in rows if k < 7)
+    assert got[7] == "" and got[8] == rows[7][1]
+    assert got[9] == f"x\n{B}" and got[10] == ""
+    assert got[11] == "" and got[12] == short[3]
+
+
+def plain_runs(lines, least=5):
+    """Every stretch of lines of ``least`` words or more."""
+    words = [len(x.split()) for x in lines]
+    return [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(words[a:b]) >= least]
+
+
+def test_every_block_of_a_copy_goes(spark, docs):
+    rng = random.Random(5)
+    pool = [" ".join([f"w{k}"] * rng.randint(1, 7)) for k in range(60)]
+    rows, copies = [], {}
+    for k in range(60):  # stretches of the pool in its order, so that all alignments agree
+        a = rng.randrange(50)
+        lines = pool[a:a + rng.randint(1, 10)]
+        copies[k] = lines
+        rows.append((k, "\n".join(lines)))
+    got = texts(delete_common_blocks(docs(rows).repartition(3)))
+    for k, lines in copies.items():
+        before = {tuple(x[a:b]) for j in range(k) for x in [copies[j]] for a, b in plain_runs(x)}
+        gone = {n for a, b in plain_runs(lines) if tuple(lines[a:b]) in before for n in range(a, b)}
+        assert got[k] == "\n".join(x for n, x in enumerate(lines) if n not in gone)
+
+
 def test_copies_ties_and_other_columns(spark, docs):
     rows = [(1, f"{A}\n{B}", "en", "s", 7), (1, f"{A}\n{B}", "en", "s", 7), (2, f"{A}\n{B}", "de", "t", 8), (None, f"{A}\nz")]
     table = docs(rows).withColumnRenamed("n_chars", "owner").withColumnRenamed("source", "lines")
