@@ -261,8 +261,11 @@ def _search(k: int, beam: int):
         edges = number[np.array([x + [-1] * (width - len(x)) for x in lists], dtype=np.int64)]
         entry = int(number[index["entry"].to_numpy(zero_copy_only=False).argmax()])
         graph = Graph(vectors[firsts], edges, entry)
-        # Rows of a node by id; more than k + 1 of them can't be among the k nearest.
+        # Ids of a node, each once; more than k + 1 of them can't be among the k nearest, of which
+        # the query's own is not one.
         order = np.lexsort((ids, same))
+        again = (np.diff(same[order]) == 0) & (np.diff(ids[order]) == 0)
+        order = order[np.concatenate([[True], ~again])]
         starts = np.searchsorted(same[order], firsts)
         ends = np.minimum(np.searchsorted(same[order], firsts, side="right"), starts + k + 1)
         points, asked = _matrix(queries["vector"], dim), queries["vec_id"].to_numpy()

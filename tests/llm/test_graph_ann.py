@@ -75,6 +75,15 @@ def test_repeated_and_unusable_vectors(spark):
     assert {q: [v for _, v in f] for q, f in got.items()} == {q: [v for _, v in f] for q, f in want.items()}
 
 
+def test_repeated_rows_do_not_hide_other_ids(spark):
+    rng = random.Random(3)
+    spread = [(k, [2 + rng.random() for _ in range(4)]) for k in range(30)]
+    rows = spread + [(100, [1.0] * 4)] * 20 + [(101, [1.0] * 4)] * 20 + [(k, [1.0] * 4) for k in range(102, 105)]
+    table = vectors(spark, rows)
+    got = results(nearest(build_index(table), table.where("vec_id IN (100, 104)").distinct(), k=3))
+    assert got == {100: [(0.0, 101), (0.0, 102), (0.0, 103)], 104: [(0.0, 100), (0.0, 101), (0.0, 102)]}
+
+
 def test_empty_and_tiny(spark):
     table = vectors(spark, [])
     assert nearest(build_index(table), table).collect() == []
