@@ -1,10 +1,13 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and identifiers.
 
 Base spans are the matches of three fixed patterns (assignments, access keys, hexadecimal
-strings). Every other run of ``MIN_LENGTH`` or more key characters that mixes letters and
-digits is scored by the log-likelihood ratio of two first-order character Markov models, one
-of random strings and one of ordinary identifiers; a run whose ratio exceeds ``MARGIN`` nats
-is a span of kind ``random``.
+strings). The runs of key characters beside them are cut at base spans, and strings in them are
+scored by the log-likelihood ratio of two first-order character Markov models, one of random
+strings and one of ordinary identifiers. Candidates start and end at an end of the stretch or
+at a separator (``SEPARATORS``, which random strings may hold, too), have ``MIN_LENGTH`` or more
+characters and mix letters and digits; the one of the highest ratio is a span of kind
+``random`` if its ratio exceeds ``MARGIN`` nats, and what is left on both sides of it is
+searched likewise.
 
 Both models are trained from labelled samples: the values in base spans are random, all other
 words of identifier characters are ordinary, both taken from a bounded sample of the texts and
@@ -37,6 +40,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 WORD = re.compile(rb"[A-Za-z0-9_-]{4,}")
+SEPARATORS = b"/=_-"
 HINTS = (b"passw", b"secret", b"token", b"api")
 
 
@@ -121,6 +125,30 @@ class MarkovRatio:
         ids = symbols(value)
         return float(self.ratio[ids[:-1], ids[1:]].sum())
 
+    def best(self, value: bytes) -> tuple[float, int, int] | None:
+        """Score, start and end of the best candidate in a stretch; linear in its length."""
+        import numpy as np
+
+        ids, codes, size = symbols(value), np.frombuffer(value, np.uint8), len(value)
+        before = np.concatenate([[0.0], np.cumsum(self.ratio[ids[:-1], ids[1:]])])
+        cuts = np.flatnonzero(np.isin(codes, np.frombuffer(SEPARATORS, np.uint8)))
+        starts = np.concatenate([[0], cuts[cuts < size - 1] + 1])
+        ends = np.concatenate([cuts[cuts > 0], [size]])
+        opened = self.ratio[0, ids[starts + 1]] - before[starts + 1]
+        closed = before[ends] + self.ratio[ids[ends], 0]
+        # A start must leave room for the least length, a digit and a letter before the end.
+        digit = (codes >= 48) & (codes <= 57)
+        letter = (codes | 32 >= 97) & (codes | 32 <= 122)
+        latest = ends - MIN_LENGTH
+        for of in (digit, letter):
+            latest = np.minimum(latest, np.maximum.accumulate(np.where(of, np.arange(size), -1))[ends - 1])
+        count = np.searchsorted(starts, latest, side="right")
+        scores = np.where(count > 0, closed + np.maximum.accumulate(opened)[count - 1], -np.inf)
+        n = int(scores.argmax())
+        if not count[n]:
+            return None
+        return float(scores[n]), int(starts[opened[:count[n]].argmax()]), int(ends[n])
+
 
 def fit_models(docs: DataFrame, key: str = "doc_id", text: str = "text",
                sample_docs: int = SAMPLE_DOCS) -> MarkovRatio:
@@ -133,18 +161,32 @@ def fit_models(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return MarkovRatio([tuple(r) for r in counts.collect()])  # two labels x pairs of symbols at most
 
 
-def added_spans(text: bytes, base, model: MarkovRatio, margin: float = MARGIN) -> list[tuple[int, int, int]]:
+def stretches(text: bytes, base) -> list[tuple[int, int]]:
+    """Runs of key characters without the base spans in them, and without separators at the cuts."""
     taken = sorted((a, b) for _, a, b in base)
     out = []
     for m in RUN.finditer(text):
-        value, (a, b) = m.group(), m.span()
-        if not re.search(rb"[0-9]", value) or not re.search(rb"[A-Za-z]", value):
-            continue
-        if any(x < b and a < y for x, y in taken):
-            continue
-        if model.score(value) > margin:
-            out.append((3, a, b))
-    return out
+        at, end = m.span()
+        for x, y in taken:
+            if x < end and at < y:
+                out.append((at, at + len(text[at:x].rstrip(SEPARATORS))) if at < x else (at, at))
+                at = y
+                at = min(at, end) + len(text[at:end]) - len(text[at:end].lstrip(SEPARATORS))
+        out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= MIN_LENGTH]
+
+
+def added_spans(text: bytes, base, model: MarkovRatio, margin: float = MARGIN) -> list[tuple[int, int, int]]:
+    todo, out = stretches(text, base), []
+    while todo:
+        a, b = todo.pop()
+        best = model.best(text[a:b]) if b - a >= MIN_LENGTH else None
+        if best and best[0] > margin:
+            x, y = a + best[1], a + best[2]
+            out.append((3, x, y))
+            todo.append((a, a + len(text[a:x].rstrip(SEPARATORS))))
+            todo.append((b - len(text[y:b].lstrip(SEPARATORS)), b))
+    return sorted(out)
 
 
 def _find(model: MarkovRatio):
