@@ -177,14 +177,18 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """``docs`` with whole documents repeated: a row for each time its first word is in the mix."""
     found = mix(docs, key, text, source, **settings)
     starts = taken_parts(found).where("first = 0").groupBy("__row").agg(F.count(F.lit(1)).alias("n"))
-    copies = written(found.sizes.join(starts, "__row").groupBy("key", "text_hash")
-                     .agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("rows")), "mix-copies")
+    copies = written(found.sizes.join(starts, "__row", "left").groupBy("key", "text_hash", "source")
+                     .agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0"), "mix-copies")
     rows = docs.withColumn("__hash", F.xxhash64(text))
-    same = rows[key].eqNullSafe(copies["key"]) & (rows["__hash"] == copies["text_hash"])
-    alone = rows.join(copies.where("rows = 1").select("key", "text_hash", "copies"), same)
+    same = (rows[key].eqNullSafe(copies["key"]) & (rows["__hash"] == copies["text_hash"])
+            & rows[source].eqNullSafe(copies["source"]))
+    alone = rows.join(copies.where("rows = 1").select("key", "text_hash", "source", "copies"), same)
     chosen = alone.select(*(rows[c] for c in docs.columns), "copies")
     repeated = copies.where("rows > 1")
     if not repeated.isEmpty():
-        several = rows.join(repeated.select("key", "text_hash", "copies"), same)
-        chosen = chosen.union(several.dropDuplicates([key, "__hash"]).select(*(rows[c] for c in docs.columns), "copies"))
+        once = rows.dropDuplicates([key, "__hash", source])
+        again = (once[key].eqNullSafe(repeated["key"]) & (once["__hash"] == repeated["text_hash"])
+                 & once[source].eqNullSafe(repeated["source"]))
+        several = once.join(repeated.select("key", "text_hash", "source", "copies"), again)
+        chosen = chosen.union(several.select(*(once[c] for c in docs.columns), "copies"))
     return chosen.withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)

@@ -100,3 +100,16 @@ def test_empty(spark, docs):
 def test_clashing_columns(spark, docs):
     rows = docs(ROWS[:50]).withColumnRenamed("n_chars", "size").withColumnRenamed("lang", "slot")
     assert taken_words(mix(rows)).count() == 50 and mixed_documents(rows).columns == rows.columns
+
+
+def test_repeated_rows_come_as_often_as_they_start(spark, docs):
+    one, two = "a b c d e f", "g h i j k l"
+    rows = docs([(1, one, "en", "s"), (1, one, "en", "s"), (2, two, "en", "t")])  # s: 6 of its 12 words
+    got = [(r.doc_id, r.source) for r in mixed_documents(rows).collect()]
+    assert sorted(got) == [(1, "s"), (2, "t"), (2, "t")]
+    rows = docs([(1, one, "en", "s"), (1, one, "en", "t"), (1, one, "en", "t"), (None, two, "en", None), (None, two, "en", None)])
+    found = mix(rows)
+    starts = taken_parts(found).where("first = 0").join(found.sizes, "__row").groupBy("key", "source").count()
+    want = {(r.key, r.source): r["count"] for r in starts.collect()}
+    got = mixed_documents(rows).groupBy("doc_id", "source").count()
+    assert {(r.doc_id, r.source): r["count"] for r in got.collect()} == want and len(want) == 3
