@@ -5,7 +5,8 @@ is a graph built by inserting its vectors in a fixed shuffled order: a greedy se
 shard's central vector proposes neighbours, and robust pruning keeps a neighbour only if no
 kept one is ``ALPHA`` times nearer to it than the new vector is, so long and diverse edges
 survive; reverse edges are added and pruned alike. A query is a beam search of every shard;
-the shards' nearest are merged and scored on the original vectors in double precision.
+the shards' nearest are merged. Distances are in double precision; vectors whose squares would
+leave its range are scaled by a power of two first.
 
 Equal vectors of a shard share one node, so a vector that very many rows repeat neither
 fills neighbour lists nor hides others; every row is in the index and can be returned.
@@ -47,7 +48,7 @@ class Graph:
     def __init__(self, vectors, neighbours=None, entry: int | None = None, degree: int = DEGREE):
         import numpy as np
 
-        self.vectors = np.ascontiguousarray(vectors, dtype=np.float32)
+        self.vectors = np.ascontiguousarray(vectors, dtype=np.float64)
         self.norms = (self.vectors ** 2).sum(axis=1)
         if entry is None:
             entry = int(((self.vectors - self.vectors.mean(axis=0)) ** 2).sum(axis=1).argmin())
@@ -58,7 +59,7 @@ class Graph:
         """Per query the ``beam`` best nodes found, nearest first, and their squared distances."""
         import numpy as np
 
-        queries = queries.astype(np.float32)
+        queries = queries.astype(np.float64)
         count, nodes = len(queries), len(self.vectors)
         beam = min(beam, nodes)
         row = np.arange(count)[:, None]
@@ -66,7 +67,7 @@ class Graph:
         seen = np.zeros((count, nodes + 1), dtype=bool)  # the last column takes the pads
         seen[:, nodes] = True
         ids = np.full((count, beam), nodes, dtype=np.int64)
-        far = np.full((count, beam), np.inf, dtype=np.float32)
+        far = np.full((count, beam), np.inf)
         done = np.ones((count, beam), dtype=bool)
         ids[:, 0], done[:, 0], seen[:, self.entry] = self.entry, False, True
         far[:, 0] = distances(self.vectors, self.norms, ids[:, :1], queries, norms)[:, 0]
@@ -90,7 +91,7 @@ class Graph:
             got = distances(self.vectors, self.norms, np.where(live, near, 0), queries, norms)
             got[~live] = np.inf
             ids = np.concatenate([ids, near], axis=1)
-            far = np.concatenate([far, got.astype(np.float32)], axis=1)
+            far = np.concatenate([far, got], axis=1)
             done = np.concatenate([done, ~live], axis=1)
             best = np.argpartition(far, beam - 1, axis=1)[:, :beam]
             ids, far, done = (np.take_along_axis(x, best, axis=1) for x in (ids, far, done))
@@ -191,6 +192,14 @@ def _matrix(column, dim: int):
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def scale(*matrices) -> float:
+    """A power of two that brings the squares of the components within double precision, 1 if they are."""
+    import numpy as np
+
+    largest = max(float(np.abs(m).max(initial=0.0)) for m in matrices)
+    return 1.0 if 1e-100 < largest < 1e100 else float(np.ldexp(1.0, min(1000, -int(np.frexp(largest)[1]))))
+
+
 def _build(degree: int, beam: int, alpha: float):
     def run(table):
         import numpy as np
@@ -200,7 +209,7 @@ def _build(degree: int, beam: int, alpha: float):
         dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
         vectors = _matrix(table["vector"], dim) + 0.0  # -0.0 counts as 0.0
         _, first, same = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-        graph = Graph(vectors[first], degree=degree).build(beam, alpha, seed=shard)
+        graph = Graph(vectors[first] * scale(vectors), degree=degree).build(beam, alpha, seed=shard)
         # Numbers of graph nodes become numbers of rows.
         rows = np.append(first, -1)[graph.neighbours]
         own = np.full(len(vectors), -1)
@@ -260,6 +269,9 @@ def _search(k: int, beam: int):
         width = max(1, max(map(len, lists)))
         edges = number[np.array([x + [-1] * (width - len(x)) for x in lists], dtype=np.int64)]
         entry = int(number[index["entry"].to_numpy(zero_copy_only=False).argmax()])
+        points, asked = _matrix(queries["vector"], dim), queries["vec_id"].to_numpy()
+        unit = scale(vectors, points)
+        vectors, points = vectors * unit, points * unit
         graph = Graph(vectors[firsts], edges, entry)
         # Ids of a node, each once; more than k + 1 of them can't be among the k nearest, of which
         # the query's own is not one.
@@ -268,13 +280,12 @@ def _search(k: int, beam: int):
         order = order[np.concatenate([[True], ~again])]
         starts = np.searchsorted(same[order], firsts)
         ends = np.minimum(np.searchsorted(same[order], firsts, side="right"), starts + k + 1)
-        points, asked = _matrix(queries["vector"], dim), queries["vec_id"].to_numpy()
         out = []
         for a in range(0, len(points), BATCH):
             found, _ = graph.search(points[a:a + BATCH], max(beam, k + 1))
             for q, nodes in zip(range(a, a + BATCH), found):
                 nodes = nodes[nodes < len(firsts)]
-                score = np.sqrt(((vectors[firsts[nodes]] - points[q]) ** 2).sum(axis=1))
+                score = np.sqrt(((vectors[firsts[nodes]] - points[q]) ** 2).sum(axis=1)) / unit
                 got = [(s, int(ids[r])) for s, n in zip(score.tolist(), nodes) for r in order[starts[n]:ends[n]]
                        if ids[r] != asked[q]]
                 out.extend((int(asked[q]), v, s) for s, v in sorted(set(got))[:k])

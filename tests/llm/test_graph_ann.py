@@ -84,6 +84,17 @@ def test_repeated_rows_do_not_hide_other_ids(spark):
     assert got == {100: [(0.0, 101), (0.0, 102), (0.0, 103)], 104: [(0.0, 100), (0.0, 101), (0.0, 102)]}
 
 
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(4)
+    for kind, sizes in (("float", (1e-25, 1.0, 1e30)), ("double", (1e200,)), ("double", (1e-200,))):
+        points = np.concatenate([size * rng.normal(size=(40, 4)) for size in sizes]).astype(kind + ("32" if kind == "float" else ""))
+        rows = [(k, x.tolist()) for k, x in enumerate(points)]
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got, want = results(nearest(build_index(table), table, k=5)), plain(rows, rows, k=5)
+        assert {q: [v for _, v in f] for q, f in got.items()} == {q: [v for _, v in f] for q, f in want.items()}
+        assert all(math.isclose(s, t) for q in want for (s, _), (t, _) in zip(got[q], want[q]))
+
+
 def test_empty_and_tiny(spark):
     table = vectors(spark, [])
     assert nearest(build_index(table), table).collect() == []
