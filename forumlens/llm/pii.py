@@ -3,7 +3,7 @@
 Base spans are the matches of four fixed patterns with their checks (e-mail, IPv4, payment
 card with Luhn, international phone number). A semi-Markov CRF then reads the text around
 every digit, ``@`` or written-out ``(at)``: it scores whole candidate segments of at most
-``MAX_TOKENS`` tokens by features of the whole span (digit count, separators, Luhn, octets,
+``MAX_TOKENS`` tokens, blanks not counted, by features of the whole span (digit count, separators, Luhn, octets,
 domain shape, words before it, what it cuts off at its ends), and a bounded-length dynamic
 program chooses boundaries and kinds together. Base spans are fixed segments of that program;
 segments that it adds (a phone number without ``+``, ``name (at) host dot org``) join them.
@@ -41,6 +41,9 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(rb"[0-9][0-9 ().+-]*|@|[\[(] ?at ?[\])]", re.I)
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[ \t]+|.", re.S)
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# What follows the edge of a region within a written-out host.
+HOST_REST = re.compile(rb"(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]+)+", re.I)
+WORD_BYTES = LOCAL | frozenset(range(0x80, 0x100))
 CUES = {b"tel": "phone", b"phone": "phone", b"call": "phone", b"fax": "phone", b"mobile": "phone",
         b"mail": "email", b"email": "email", b"contact": "email", b"card": "card", b"visa": "card",
         b"credit": "card", b"ip": "ip", b"host": "ip", b"addr": "ip", b"address": "ip", b"server": "ip"}
@@ -98,7 +101,10 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def regions(text: bytes):
-    """Stretches of text around triggers, cut at line ends; overlapping ones are one."""
+    """Stretches of text around triggers, cut at line ends; overlapping ones are one.
+
+    An edge within a word or an address moves to its end.
+    """
     start = end = -1
     for m in TRIGGER.finditer(text):
         if len(m.group()) < 3 and m.group() != b"@":
@@ -107,6 +113,14 @@ def regions(text: bytes):
         a = max(low, text.rfind(b"\n", low, m.start()) + 1)
         stop = text.find(b"\n", m.end(), high)
         b = stop if stop >= 0 else high
+        while a > max(end, 0) and text[a - 1] in WORD_BYTES:
+            a -= 1
+        if b > end:
+            while b < len(text) and text[b] in WORD_BYTES:
+                b += 1
+            if not m.group()[:1].isdigit():
+                rests = (HOST_REST.match(text, k) for k in range(max(m.end(), b - 8), b + 1))
+                b = max([b, *(rest.end() for rest in rests if rest)])
         if a <= end:
             end = max(b, end)
             continue
@@ -134,7 +148,11 @@ class Region:
         for i in range(self.count):
             if not (48 <= starts[i] <= 57 or starts[i] in b"+(" or 65 <= starts[i] & 0xDF <= 90):
                 continue
-            for j in range(i + 1, min(self.count, i + MAX_TOKENS) + 1):
+            size = 0
+            for j in range(i + 1, self.count + 1):
+                size += starts[j - 1] not in b" \t"
+                if size > MAX_TOKENS:
+                    break
                 a, b = self.bounds[i], self.bounds[j]
                 last = self.text[b - 1]
                 if not (48 <= last <= 57 or 65 <= last & 0xDF <= 90) or b - a < 6:
@@ -202,7 +220,7 @@ def span_features(text: bytes, a: int, b: int) -> list[str] | None:
     out.append(f"cut-right{bool(re.match(inner, after))}")
     if re.match(rb"[@.+%_-]", before) and before != b".":
         out.append("joined-left")
-    if re.match(rb"[.@-][A-Za-z0-9]", text[b:b + 2]):
+    if re.match(rb"[.@-][A-Za-z0-9]", text[b:b + 2]) or ats and HOST_REST.match(text, b):
         out.append("joined-right")
     for word in re.findall(rb"[a-z]+", text[max(0, a - 24):a].lower()):
         if word in CUES:

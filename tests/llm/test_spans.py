@@ -98,6 +98,16 @@ def test_personal_added_spans(crf, text, found):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == found
 
 
+@pytest.mark.parametrize("found", [
+    "jane (at) example dot co dot uk", "first.middle.last (at) example dot com",
+    f"{'long' * 12}.name (at) example dot org", f"jane (at) {'host' * 12} dot example dot com",
+    "jane (at) department dot of dot the dot example dot com",
+])
+def test_long_written_out_addresses(crf, found):
+    raw = f"please write {found} today".encode()
+    assert [raw[a:b].decode() for _, a, b in pii.added_spans(raw, pii.base_spans(raw), crf)] == [found]
+
+
 def test_semi_markov_gradient_is_that_of_the_likelihood(crf):
     region = pii.Region(b"tel 555-123-4567 or 10.1.2.3 now")
     segments = region.segments()
