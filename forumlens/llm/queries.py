@@ -110,6 +110,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(documents(spark, sf_dir)), KINDS[:3])
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    prepared(spark)
+    found = search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    prepared(spark)
+    drawn = resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_personal_data": op2_personal_data,
@@ -121,6 +137,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
@@ -169,4 +187,55 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice FROM (
   SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, license) AS rn FROM scored) s WHERE rn = 1"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _op4_sql(), "op5_licenses": _op5_sql()}
+def _words_sql(column: str) -> str:
+    return f"regexp_extract_all(translate({column}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _op12_sql() -> str:
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
+posting AS (SELECT r, term, COUNT(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc) t GROUP BY r, term),
+sizes AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM doc WHERE len(w) > 0),
+total AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS words FROM sizes),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * COUNT(*) + 1)::DOUBLE)) AS BIGINT) AS w
+           FROM posting, total GROUP BY term, docs),
+item AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_words_sql("text")}) AS w FROM benchmark),
+scored AS (SELECT i, r, doc_id, CAST(SUM(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+           FROM (SELECT i, unnest(w) AS term FROM item) q JOIN weight USING (term) JOIN posting USING (term)
+                JOIN sizes USING (r), total
+           GROUP BY i, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) s
+     JOIN item USING (i) WHERE rank <= 10"""
+
+
+def _op13_sql() -> str:
+    return f"""
+WITH tbl AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_words_sql("text")}, []) AS w FROM documents),
+doc_word AS (SELECT r, word, COUNT(*) AS n FROM (SELECT r, unnest(w) AS word FROM doc) t GROUP BY r, word),
+item_word AS (SELECT word, COUNT(*) AS n FROM (SELECT unnest({_words_sql("text")}) AS word FROM benchmark) t GROUP BY word),
+word AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM doc_word UNION SELECT word FROM item_word) u),
+bucket AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+             lambda x, b: xor(x // 256, t[xor(x % 256, b) + 1]))) % 10000 AS bucket FROM word, tbl),
+source AS (SELECT bucket, SUM(n) AS s FROM doc_word JOIN bucket USING (word) GROUP BY bucket),
+target AS (SELECT bucket, SUM(n) AS t FROM item_word JOIN bucket USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(SUM(s), 0) FROM source) + 10000))::DOUBLE
+           / ((coalesce(s, 0) + 1) * ((SELECT coalesce(SUM(t), 0) FROM target) + 10000))::DOUBLE)) AS BIGINT) AS gain
+         FROM (SELECT range AS bucket FROM range(10000)) b LEFT JOIN source USING (bucket) LEFT JOIN target USING (bucket)),
+weight AS (SELECT r, CAST(SUM(n * gain) AS BIGINT) AS weight FROM doc_word JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+               + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+           FROM doc LEFT JOIN weight USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20),
+size AS (SELECT 10 * COUNT(*) // 100 AS k FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (r), size"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _op4_sql(), "op5_licenses": _op5_sql(),
+                              "op12_ranked_search": _op12_sql(), "op13_importance_resampling": _op13_sql()}
