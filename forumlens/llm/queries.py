@@ -110,6 +110,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(documents(spark, sf_dir)), KINDS[:3])
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_texts
+
+    prepared(spark)
+    return score_texts(documents(spark, sf_dir)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked_search import search
 
@@ -137,6 +145,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
+    "op11_suffix_tree": op11_suffix_tree,
     "op12_ranked_search": op12_ranked_search,
     "op13_importance_resampling": op13_importance_resampling,
 }

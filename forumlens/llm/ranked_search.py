@@ -7,7 +7,8 @@
    task. In it a term's posting list is cut into blocks of similar documents: documents are
    dealt to the nearest of evenly drawn centres, by the inner product of signed
    projections of their impacts, and neighbours in that order share a block. A block stores
-   the largest impact of each term among its documents, its summary.
+   the largest impact of each term among its documents, its summary, for the terms that a query
+   which searches the list holds.
 3. Terms are taken by falling bound (weight times largest impact in the shard). For the queries that
    hold the term, a block's bound is the product of its summary with the query's weights over this and
    all later terms: a document with an earlier term was met in that term's list. Blocks
@@ -149,9 +150,10 @@ class Shard:
 
 
 class PostingBlocks:
-    """A term's posting list in blocks of similar documents, with their summaries."""
+    """A term's posting list in blocks of similar documents, with their summaries over the terms
+    ``asked`` (True: some query that searches the list holds it)."""
 
-    def __init__(self, shard: Shard, docs):
+    def __init__(self, shard: Shard, docs, asked):
         import numpy as np
 
         centres = -(-len(docs) // BLOCK_DOCS)
@@ -164,8 +166,9 @@ class PostingBlocks:
             docs = docs[np.argsort(nearest, kind="stable")]
         self.docs = docs
         block, terms, impacts = shard.entries(docs)
-        block //= BLOCK_DOCS
-        order = np.lexsort((block, terms))
+        held = np.flatnonzero(asked[terms])
+        block, terms, impacts = block[held] // BLOCK_DOCS, terms[held], impacts[held]
+        order = np.argsort(terms * centres + block)
         block, terms, impacts = block[order], terms[order], impacts[order]
         first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (terms[1:] != terms[:-1])]))
         self.size, self.block, self.terms = centres, block[first], terms[first]
@@ -230,11 +233,15 @@ def search_shard(shard: Shard, queries: list, weights, k: int, thresholds) -> li
         for at, term in enumerate(terms.tolist()):
             holders.setdefault(term, []).append((number, terms[at:], int(rest[at])))
     own = np.zeros(len(weights), dtype=np.int64)
+    held = np.zeros(len(weights), dtype=bool)
     for term in wanted.tolist():
         asked = [h for h in holders.get(term, ()) if h[2] >= best[h[0]].threshold]
         if not asked:
             continue
-        blocks = PostingBlocks(shard, shard.postings(term)[0])
+        coordinates = np.concatenate([h[1] for h in asked])
+        held[coordinates] = True
+        blocks = PostingBlocks(shard, shard.postings(term)[0], held)
+        held[coordinates] = False
         for number, terms, _ in asked:
             found, query = best[number], queries[number]
             bounds = blocks.bounds(terms, weights)

@@ -78,7 +78,7 @@ def test_summaries_are_largest_impacts_and_bound_the_scores():
     shard = Shard(None, sizes * 3, starts, terms, rng.integers(1, 5, len(terms)), 300, int(sizes.sum()) * 3)
     weights = rng.integers(0, 9000, 20)
     for term in range(20):
-        blocks = PostingBlocks(shard, shard.postings(term)[0])
+        blocks = PostingBlocks(shard, shard.postings(term)[0], np.ones(20, bool))
         bounds = blocks.bounds(np.arange(20), weights)
         members = [blocks.members(np.array([b])) for b in range(blocks.size)]
         assert sorted(np.concatenate(members)) == sorted(shard.postings(term)[0])
