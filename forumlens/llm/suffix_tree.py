@@ -14,10 +14,11 @@ occurrences to become a state, as a word seen once tells no distribution. How it
    with the chunk's vocabulary of 64-bit word hashes, bucketed by chunk.
 2. For each context length, a chunk sends its distinct grams with their occurrences in training texts
    to buckets of the hash; a bucket sums them and returns the totals to the chunks that asked. Only
-   grams whose context occurs ``min_count`` times are sent on. A gram comes once from a chunk,
-   so a frequent one is no hot key.
+   grams whose context occurs ``min_count`` times are sent on, and none that ends with a gram of
+   which this is the only place. A gram comes once from a chunk, so a frequent one is no hot key.
 3. The divergence of a context is a sum over its occurrences, so chunks send partial sums and get back
-   whether it is retained. Scores are then worked out inside the chunk.
+   whether it is retained. Scores are then worked out inside the chunk. Every exchange is written
+   before the next, and its shuffle files are freed.
 
 Nothing is gathered by the driver but two numbers, the training tokens and distinct words. Hashes
 travel as byte planes of their sorted differences, which shuffle files compress.
@@ -264,37 +265,40 @@ def work(row: dict, returned: dict, step: int, model: Model):
     train = np.repeat(~np.array(row["held"], dtype=bool), sizes)
     first = np.zeros(len(ids), dtype=bool)
     first[starts] = True
-    requests, counts, chance, known, base = [], None, None, None, None
-    gram, retained, before = words[ids], None, None
+    requests, gram, retained = [], words[ids], None
     for k in range(model.max_context + 1):
         # gram: hash of the k + 1 words up to a token; live: its first k words may be a state.
         if k == 0:
-            live, at = np.ones(len(ids), dtype=bool), None
+            live, asked = np.ones(len(ids), dtype=bool), slice(None)
+            single = np.zeros(len(ids), dtype=bool)
             keys, which = distinct(words)
             which = which[ids]
         else:
             before = keys, place
             n = _before(counts)
             live = ~first & (n >= model.min_count)
-            at = np.flatnonzero(live)
+            # The only place of a gram, in a training text, is the only one of a longer gram that ends with it.
+            single |= (counts == 1) & ~elsewhere
+            asked = np.flatnonzero(live & ~single)
             gram = joined(_before(gram), words[ids])
-            keys, which = distinct(gram[at])
+            keys, which = distinct(gram[asked])
         if step == k:
-            mine = train if at is None else train[at]
-            requests.append((f"c{k}", keys, np.bincount(which[mine], minlength=len(keys)).astype("<u4")))
+            mine = train[asked]
+            held = np.bincount(which[~mine], minlength=len(keys)) > 0
+            requests.append((f"c{k}", keys, (2 * np.bincount(which[mine], minlength=len(keys)) + held).astype("<u4")))
             break
-        totals = returned[f"c{k}"].astype(np.int64)
-        counts = np.zeros(len(ids), dtype=np.int64)
-        counts[live] = totals[which]
-        # The place of every token's gram among the keys (tokens that are not live have none).
+        totals = returned[f"c{k}"].astype(np.int64)[which]
+        counts, elsewhere = np.where(live & single, 1, 0), np.zeros(len(ids), dtype=bool)
+        counts[asked], elsewhere[asked] = totals >> 1, (totals & 1).astype(bool)
+        # The place of every token's gram among the keys (-1: none).
         place = np.full(len(ids), -1, dtype=np.int64)
-        place[live] = which
+        place[asked] = which
         if k == 0:
             chance = base = model.root(counts)
             known = counts > 0
             continue
         # Contexts whose suffix is a state (the root is one) and their share of the divergence.
-        at = at if retained is None else at[retained[at]]
+        at = np.flatnonzero(live if retained is None else live & retained)
         contexts, which = before[0], before[1][at - 1]
         used = np.zeros(len(contexts), dtype=bool)
         used[which] = True
@@ -303,7 +307,7 @@ def work(row: dict, returned: dict, step: int, model: Model):
             mine = train[at]
             seen, weight = at[mine], model.strength * chance[at[mine]]
             gain = np.log((counts[seen] - 1 + weight) * model.strength / ((n[seen] - 1 + model.strength) * weight))
-            requests.append((f"s{k}", states, np.bincount(which[mine], gain, len(states))))
+            requests.append((f"s{k}", states, np.bincount(which[mine], gain, len(states)).astype("<f4")))
             continue
         retained = np.zeros(len(ids), dtype=bool)
         retained[at] = returned[f"s{k}"][which].astype(bool)
@@ -359,10 +363,14 @@ def _totals(divergence: float):
         asked = sorted(rows.to_pylist(), key=lambda r: r["chunk"])  # sums of doubles in the same order on every run
         kind = asked[0]["kind"]
         hashes = [np.cumsum(unpack(r["hashes"], "<u8")) for r in asked]
-        amounts = np.concatenate([unpack(r["amounts"], "<u4" if kind[0] == "c" else "<f8") for r in asked])
+        amounts = np.concatenate([unpack(r["amounts"], "<u4" if kind[0] == "c" else "<f4") for r in asked])
         keys, which = distinct(np.concatenate(hashes))
-        sums = np.bincount(which, amounts, len(keys))
-        answer = sums.astype("<u8") if kind[0] == "c" else (sums >= divergence).astype("u1")
+        if kind[0] == "c":  # twice the occurrences in training texts, plus one if there are others
+            sums = np.bincount(which, amounts >> 1, len(keys)).astype("<u8")
+            answer = 2 * sums + (np.bincount(which, amounts & 1, len(keys)) > 0).astype("<u8")
+        else:
+            sums = np.bincount(which, amounts, len(keys))
+            answer = (sums >= divergence).astype("u1")
         cuts = np.cumsum([len(h) for h in hashes])[:-1]
         n_words = [int((sums > 0).sum())] + [0] * (len(asked) - 1)
         return pa.table([pa.array([r["chunk"] for r in asked], pa.int64()), pa.array([kind] * len(asked), pa.string()),
@@ -384,6 +392,17 @@ def _scores(model: Model, schema):
     return run
 
 
+def _exchanged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written; its plan runs this once, so its shuffle files go with it."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def token_chunks(rows: DataFrame, name: str, chunk_tokens: int) -> DataFrame:
     """Texts (key, __held, __text) as a table of chunks, bucketed by chunk into as many buckets as a shuffle
     has partitions, so that no join with it moves it."""
@@ -408,6 +427,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held=N
     """
     import uuid
 
+    if min_count < 2:
+        raise ValueError("a context of one occurrence tells no distribution")
     spark = prepared(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), (held_out(key) if held is None else held).alias("__held"),
                        text_bytes(text).alias("__text"))
@@ -424,14 +445,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held=N
                 asked = groups.applyInArrow(_requests(step, model, bits), REQUEST)
             else:
                 asked = groups.cogroup(returned.groupBy("chunk")).applyInArrow(_requests(step, model, bits), REQUEST)
-            answers = written(asked.groupBy("kind", "bucket").applyInArrow(_totals(divergence), RETURN), "suffix-tree-counts")
+            answers = _exchanged(asked.groupBy("kind", "bucket").applyInArrow(_totals(divergence), RETURN), "suffix-tree-counts")
             if step == 0:
                 model.words = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
             returned = answers if returned is None else returned.union(answers)
         schema = T.StructType([rows.schema["key"], *(T.StructField(n, t) for n, t in (
             ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()),
             ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
-        scored = written(chunks.groupBy("chunk").cogroup(returned.groupBy("chunk"))
+        scored = _exchanged(chunks.groupBy("chunk").cogroup(returned.groupBy("chunk"))
                          .applyInArrow(_scores(model, schema), schema), "suffix-tree-scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
