@@ -14,8 +14,8 @@ occurrences to become a state, as a word seen once tells no distribution. How it
    with the chunk's vocabulary of 64-bit word hashes, bucketed by chunk.
 2. For each context length, a chunk sends its distinct grams with their occurrences in training texts
    to buckets of the hash; a bucket sums them and returns the totals to the chunks that asked. Only
-   grams whose context occurs ``min_count`` times are sent on, and none that ends with a gram of
-   which this is the only place. A gram comes once from a chunk, so a frequent one is no hot key.
+   grams whose context may be a state are sent, and none that ends with a gram of which this is
+   the only place. A gram comes once from a chunk, so a frequent one is no hot key.
 3. The divergence of a context is a sum over its occurrences, so chunks send partial sums and get back
    whether it is retained. Scores are then worked out inside the chunk. Every exchange is written
    before the next, and its shuffle files are freed.
@@ -44,7 +44,7 @@ MIN_COUNT = 3
 DIVERGENCE = 4.0
 STRENGTH = 50.0
 SMOOTHING = 0.1
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000  # tokens of all texts to one bucket of gram hashes
 PIECE_BYTES = 1 << 20
 BASE, INVERSE = 0x2545F4914F6CDD1B, pow(0x2545F4914F6CDD1B, -1, 1 << 64)
@@ -175,7 +175,7 @@ def distinct(values):
         order = np.argsort(values)
         ordered = values[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    which = np.empty(len(values), dtype=np.int64)
+    which = np.empty(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
     which[order] = np.cumsum(new) - 1
     return ordered[new], which
 
@@ -247,8 +247,8 @@ class Model:
 
     @property
     def steps(self) -> int:
-        """Exchanges: counts of step 0, 1, ... with the states of the step before, then the last states."""
-        return self.max_context + 2 if self.max_context else 1
+        """Exchanges: the counts of words, then the counts and the states of each context length."""
+        return 2 * self.max_context + 1
 
     def root(self, counts):
         return (counts + SMOOTHING) / (self.tokens + SMOOTHING * (self.words + 1))
@@ -277,12 +277,14 @@ def work(row: dict, returned: dict, step: int, model: Model):
             before = keys, place
             n = _before(counts)
             live = ~first & (n >= model.min_count)
+            if k == model.max_context and k > 1:
+                live &= retained  # else these grams are still asked for as contexts
             # The only place of a gram, in a training text, is the only one of a longer gram that ends with it.
             single |= (counts == 1) & ~elsewhere
             asked = np.flatnonzero(live & ~single)
             gram = joined(_before(gram), words[ids])
             keys, which = distinct(gram[asked])
-        if step == k:
+        if step == max(0, 2 * k - 1):
             mine = train[asked]
             held = np.bincount(which[~mine], minlength=len(keys)) > 0
             requests.append((f"c{k}", keys, (2 * np.bincount(which[mine], minlength=len(keys)) + held).astype("<u4")))
@@ -291,7 +293,7 @@ def work(row: dict, returned: dict, step: int, model: Model):
         counts, elsewhere = np.where(live & single, 1, 0), np.zeros(len(ids), dtype=bool)
         counts[asked], elsewhere[asked] = totals >> 1, (totals & 1).astype(bool)
         # The place of every token's gram among the keys (-1: none).
-        place = np.full(len(ids), -1, dtype=np.int64)
+        place = np.full(len(ids), -1, dtype=which.dtype)
         place[asked] = which
         if k == 0:
             chance = base = model.root(counts)
@@ -303,12 +305,12 @@ def work(row: dict, returned: dict, step: int, model: Model):
         used = np.zeros(len(contexts), dtype=bool)
         used[which] = True
         states, which = contexts[used], (np.cumsum(used) - 1)[which]
-        if step == k + 1:
+        if step == 2 * k:
             mine = train[at]
             seen, weight = at[mine], model.strength * chance[at[mine]]
             gain = np.log((counts[seen] - 1 + weight) * model.strength / ((n[seen] - 1 + model.strength) * weight))
             requests.append((f"s{k}", states, np.bincount(which[mine], gain, len(states)).astype("<f4")))
-            continue
+            break
         retained = np.zeros(len(ids), dtype=bool)
         retained[at] = returned[f"s{k}"][which].astype(bool)
         longer = (counts + model.strength * chance) / (n + model.strength)
