@@ -286,9 +286,12 @@ def _search(k: int, beam: int):
             for q, nodes in zip(range(a, a + BATCH), found):
                 nodes = nodes[nodes < len(firsts)]
                 score = np.sqrt(((vectors[firsts[nodes]] - points[q]) ** 2).sum(axis=1)) / unit
-                got = [(s, int(ids[r])) for s, n in zip(score.tolist(), nodes) for r in order[starts[n]:ends[n]]
-                       if ids[r] != asked[q]]
-                out.extend((int(asked[q]), v, s) for s, v in sorted(set(got))[:k])
+                got: dict[int, float] = {}  # an id's smallest score: several vectors may have one id
+                for s, n in zip(score.tolist(), nodes):
+                    for v in ids[order[starts[n]:ends[n]]].tolist():
+                        if v != asked[q] and s < got.get(v, np.inf):
+                            got[v] = s
+                out.extend((int(asked[q]), v, s) for s, v in sorted((s, v) for v, s in got.items())[:k])
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()),
                          "vec_id": pa.array([o[1] for o in out], pa.int64()),
                          "score": pa.array([o[2] for o in out], pa.float64())})
@@ -308,7 +311,8 @@ def nearest(index: DataFrame, queries: DataFrame, key: str = "vec_id", column: s
                      F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "vector"))
     nodes = index.join(blocks, "dim").select(*INDEX_FIELDS, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     found = (nodes.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block"))
-             .applyInArrow(_search(k, beam), "query_id long, vec_id long, score double").distinct())
+             .applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+             .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

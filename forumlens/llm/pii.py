@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -141,19 +143,30 @@ class Region:
         self.bounds = [b for b in bounds if text[b] & 0xC0 != 0x80] + [len(text)]
         self.count = len(self.bounds) - 1
 
-    def segments(self, gold: dict[tuple[int, int], int] | None = None):
-        """(first token, end token, features, kinds) of the candidates; ``gold`` ones are always among them."""
+    def segments(self, gold: dict[tuple[int, int], int] | None = None, taken: bytearray | None = None):
+        """(first token, end token, features, kinds) of the candidates; ``gold`` ones are always among
+        them, and none that holds a ``taken`` token."""
         out = []
         starts = [self.text[b] for b in self.bounds[:-1]]
+        signs = [m.span() for m in AT_SIGN.finditer(self.text)]
+        sign_starts = [a for a, _ in signs]
+        tokens = [self.text[a:b] for a, b in zip(self.bounds, self.bounds[1:])]
+        digits = list(accumulate(chain([0], (len(t) if t[:1].isdigit() else 0 for t in tokens))))
+        words = list(accumulate(chain([0], (t.strip(b"0123456789 ().+-") != b"" for t in tokens))))
+        covered = list(accumulate(chain([0], taken or bytes(self.count))))
         for i in range(self.count):
             if not (48 <= starts[i] <= 57 or starts[i] in b"+(" or 65 <= starts[i] & 0xDF <= 90):
                 continue
-            size = 0
+            size, sign = 0, bisect_left(sign_starts, self.bounds[i])
+            reach = signs[sign][1] if sign < len(signs) else len(self.text) + 1
             for j in range(i + 1, self.count + 1):
                 size += starts[j - 1] not in b" \t"
-                if size > MAX_TOKENS:
+                if size > MAX_TOKENS or covered[j] > covered[i]:
                     break
                 a, b = self.bounds[i], self.bounds[j]
+                # Without an at-sign, no span of other than 4 to 19 digits and their separators has a kind.
+                if b < reach and (words[j] > words[i] or not 4 <= digits[j] - digits[i] <= 19):
+                    continue
                 last = self.text[b - 1]
                 if not (48 <= last <= 57 or 65 <= last & 0xDF <= 90) or b - a < 6:
                     continue
@@ -167,6 +180,7 @@ class Region:
         return out
 
 
+AT_SIGN = re.compile(rb"[\[(] ?at ?[\])]|@", re.I)
 AT = re.compile(rb" ?[\[(] ?at ?[\])] ?| ?@ ?", re.I)
 DOT = re.compile(rb" ?[\[(] ?dot ?[\])] ?| dot |\.", re.I)
 NAME = re.compile(rb"[A-Za-z0-9_%+.-]+\Z")
@@ -292,10 +306,7 @@ class SemiMarkov:
 
     def decode(self, region: Region, segments, fixed: dict[tuple[int, int], int], margin: float = MARGIN):
         """Best segmentation that holds the ``fixed`` segments: (kind, start, end) in bytes."""
-        taken = [False] * region.count
-        for i, j in fixed:
-            for t in range(i, j):
-                taken[t] = True
+        taken = _covered(region, fixed)
         ends = defaultdict(list)
         for i, j, kind, s in ((i, j, kind, s) for j, rows in self._by_end(segments).items() for i, kind, _, s in rows):
             if s > margin and not any(taken[i:j]):
@@ -319,32 +330,53 @@ class SemiMarkov:
 
 def _aligned(region: Region, spans) -> dict[tuple[int, int], int]:
     """The spans as token ranges, widened to whole tokens."""
-    out = {}
+    out, taken = {}, bytearray(region.count)
     for kind, a, b in spans:
-        i = max(k for k in range(region.count) if region.bounds[k] <= a)
-        j = min(k for k in range(1, region.count + 1) if region.bounds[k] >= b)
-        if not any(i < y and x < j for x, y in out):
+        i = bisect_right(region.bounds, a, 0, region.count) - 1
+        j = bisect_left(region.bounds, b, 1, region.count)
+        if not any(taken[i:j]):
             out[i, j] = kind
+            taken[i:j] = b"\1" * (j - i)
     return out
 
 
+class Overlaps:
+    """Finds the spans that touch a stretch; the spans may overlap each other."""
+
+    def __init__(self, spans):
+        self.spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [s for _, s, _ in self.spans]
+        self.reach = list(accumulate((e for _, _, e in self.spans), max))
+
+    def of(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        low, high = bisect_right(self.reach, a), bisect_left(self.starts, b)
+        return [s for s in self.spans[low:high] if s[2] > a]
+
+
+def _covered(region: Region, fixed) -> bytearray:
+    """1 for every token inside a fixed segment."""
+    taken = bytearray(region.count)
+    for i, j in fixed:
+        taken[i:j] = b"\1" * (j - i)
+    return taken
+
+
 def added_spans(text: bytes, base, model: SemiMarkov) -> list[tuple[int, int, int]]:
     if not model.weights:
         return []
-    out = []
+    out, overlaps = [], Overlaps(base)
     for a, b in regions(text):
         # A base span over the edge widens the region to its own end.
-        inside = [(k, s, e) for k, s, e in base if s < b and e > a]
+        inside = overlaps.of(a, b)
         a, b = min([a, *(s for _, s, _ in inside)]), max([b, *(e for _, _, e in inside)])
         region = Region(text[a:b])
         fixed = _aligned(region, [(k, s - a, e - a) for k, s, e in inside])
-        segments = [s for s in region.segments() if not any(s[0] < y and x < s[1] for x, y in fixed)]
+        segments = region.segments(taken=_covered(region, fixed))
         if segments:
             out += [(k, s + a, e + a) for k, s, e in model.decode(region, segments, fixed)]
-    taken = sorted((s, e) for _, s, e in base)
     clean = []
     for k, s, e in sorted(out, key=lambda x: x[1]):
-        if (not clean or s >= clean[-1][2]) and not any(x < e and s < y for x, y in taken):
+        if (not clean or s >= clean[-1][2]) and not overlaps.of(s, e):
             clean.append((k, s, e))
     return clean
 

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import prepared, text_bytes
-from .pii import SPANS, code_points, span_array
+from .pii import SPANS, Overlaps, code_points, span_array
 
 KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 4_000
@@ -163,12 +163,11 @@ def fit_models(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def stretches(text: bytes, base) -> list[tuple[int, int]]:
     """Runs of key characters without the base spans in them, and without separators at the cuts."""
-    taken = sorted((a, b) for _, a, b in base)
-    out = []
+    out, overlaps = [], Overlaps(base)
     for m in RUN.finditer(text):
         at, end = m.span()
-        for x, y in taken:
-            if x < end and at < y:
+        for _, x, y in overlaps.of(at, end):
+            if at < y:
                 out.append((at, at + len(text[at:x].rstrip(SEPARATORS))) if at < x else (at, at))
                 at = y
                 at = min(at, end) + len(text[at:end]) - len(text[at:end].lstrip(SEPARATORS))

@@ -109,3 +109,14 @@ def test_pruning_keeps_diverse_edges():
     graph = Graph(line, entry=0, degree=3)
     kept = graph.prune(np.array([0]), np.array([[1, 2, 3, 4]]), 1.2)
     assert [k for k in kept[0].tolist() if k >= 0] == [1, 4]
+
+
+def test_an_id_with_two_vectors_comes_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.normal(size=(60, 4)).astype(np.float32))]
+    near = [(5, [v + 0.01 * n for v in rows[0][1]]) for n in range(1, 4)] + [(0, rows[7][1])]
+    table = vectors(spark, rows + near)
+    got = results(nearest(build_index(table, shard=20), table.where("vec_id = 0")))
+    # The query id has two rows; both ask, and each id keeps its smallest score of either.
+    ids = [v for _, v in got[0]]
+    assert len(ids) == len(set(ids)) == 10 and ids[0] in (5, 7) and 0 not in ids
