@@ -3,8 +3,8 @@
 Every epoch is one pass over the training rows: the rows meet their user's parameters, the
 gradient of the squared error is summed per user (partial sums first, so a user with a large
 share of the rows is combined where the rows are), and the parameters take a step of full-batch
-gradient descent. Rows, shards and partitions only change the order of a sum, so the result
-does not depend on them. Parameters and losses of every epoch are written to the shared
+gradient descent. Rows, shards and partitions only change the order of a sum of doubles, that is its
+last bits. ``second_order`` fits the tanh kinds in far fewer passes. Parameters and losses of every epoch are written to the shared
 checkpoint folder, which also cuts the lineage.
 
 Kinds whose prediction is tanh(W x) run as column expressions, with x and the rows' targets

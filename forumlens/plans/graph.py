@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import dynamics as Dy
 from ..operators import fit as Fit
+from ..operators import second_order as Newton
 from ..sources.views import STATE_DIM
 from .catalog import register
-from .fit_sql import fit_ctes
+from .fit_sql import second_order_ctes
 from .sqlgen import matvec
 
 _X = ["x0", "x1", "x2"]
@@ -133,14 +134,13 @@ def all_nodes(v):
 
 _CELLS = [f"{m}_{i}_{j}" for m in ("wp", "wq", "ws") for i in range(3) for j in range(3)] + \
          [f"b_{i}" for i in range(3)]
-FIT_EPOCHS = 3
-FIT_LR = 0.5
+FIT_PASSES = Newton.PASSES
 # Estimates of the step graph's weights, under the names of the true ones.
 _EST = ", ".join(f"t_{i}_{3 * m + j} AS {name}_{i}_{j}" for m, name in enumerate(("wp", "wq", "ws"))
                  for i in range(3) for j in range(3)) + ", " + ", ".join(f"t_{i}_9 AS b_{i}" for i in range(3))
-_EST_SQL = f"""WITH {fit_ctes('f', f"SELECT *, k % 5 <> 4 AS is_train FROM ({_TUPLES_SQL}) tt", 'node_id', 'weighted',
-                             FIT_LR, FIT_EPOCHS)},
-est AS (SELECT key AS node_id, 1 AS metadata_id, {_EST} FROM f_{FIT_EPOCHS})
+_EST_SQL = f"""WITH {second_order_ctes('f', f"SELECT *, k % 5 <> 4 AS is_train FROM ({_TUPLES_SQL}) tt", 'node_id',
+                                      'weighted', FIT_PASSES)},
+est AS (SELECT key AS node_id, 1 AS metadata_id, {_EST} FROM f_fit)
 """
 
 
@@ -149,7 +149,7 @@ def _true_vs_est(v):
     true parameters by (node, run)."""
     tuples = Dy.graph_tuples(v.nodes()).withColumn(
         "split", F.when(F.col("k") % 5 != 4, "train").otherwise("val"))
-    fits = Fit.fit_tanh(tuples, FIT_EPOCHS, key="node_id", kind="weighted", lr=FIT_LR)
+    fits = Newton.fit_least_squares(tuples, FIT_PASSES, key="node_id", kind="weighted")
     est = fits.select("node_id", F.lit(1).alias("metadata_id"),
                       *[c.alias(n) for c, n in zip(Fit.weight_arrays(fits), ("w_p_est", "w_q_est", "w_s_est", "b_est"))])
     true = (v.weights().withColumn("metadata_id", F.lit(1))
@@ -158,24 +158,24 @@ def _true_vs_est(v):
 
 
 @register("params_true_vs_est", views=("nodes_v", "weights_v"), oracle=_EST_SQL + """
-SELECT t.user_id, t.b_0 AS b_true0, t.b_1 AS b_true1, t.b_2 AS b_true2, round(e.b_0, 6) AS b_est0,
-       round(e.b_1, 6) AS b_est1, round(e.b_2, 6) AS b_est2, t.wp_1_2 AS wp_true_1_2, round(e.wp_1_2, 6) AS wp_est_1_2
+SELECT t.user_id, t.b_0 AS b_true0, t.b_1 AS b_true1, t.b_2 AS b_true2, round(e.b_0, 4) AS b_est0,
+       round(e.b_1, 4) AS b_est1, round(e.b_2, 4) AS b_est2, t.wp_1_2 AS wp_true_1_2, round(e.wp_1_2, 4) AS wp_est_1_2
 FROM est e JOIN weights_v t ON e.node_id = t.user_id * 2 + 1""")
 def params_true_vs_est(v):
     """True parameters next to the estimates."""
     j = _true_vs_est(v)
     return j.select("user_id",
                     *[F.col("b")[i].alias(f"b_true{i}") for i in range(3)],
-                    *[F.round(F.col("b_est")[i], 6).alias(f"b_est{i}") for i in range(3)],
-                    F.col("w_p")[1][2].alias("wp_true_1_2"), F.round(F.col("w_p_est")[1][2], 6).alias("wp_est_1_2"))
+                    *[F.round(F.col("b_est")[i], 4).alias(f"b_est{i}") for i in range(3)],
+                    F.col("w_p")[1][2].alias("wp_true_1_2"), F.round(F.col("w_p_est")[1][2], 4).alias("wp_est_1_2"))
 
 
 _ABS = [f"abs(e.{c} - t.{c})" for c in _CELLS]
 
 
 @register("param_error", views=("nodes_v", "weights_v"), oracle=_EST_SQL + f"""
-SELECT t.user_id, round(greatest({', '.join(_ABS)}), 6) AS max_abs_error,
-       round(({' + '.join(_ABS)}) / {len(_CELLS)}, 6) AS mean_abs_error
+SELECT t.user_id, round(greatest({', '.join(_ABS)}), 4) AS max_abs_error,
+       round(({' + '.join(_ABS)}) / {len(_CELLS)}, 4) AS mean_abs_error
 FROM est e JOIN weights_v t ON e.node_id = t.user_id * 2 + 1""")
 def param_error(v):
     """Largest and mean absolute difference over all parameter cells."""
@@ -183,8 +183,8 @@ def param_error(v):
     true_cells = F.concat(F.flatten("w_p"), F.flatten("w_q"), F.flatten("w_s"), F.col("b"))
     est_cells = F.concat(F.flatten("w_p_est"), F.flatten("w_q_est"), F.flatten("w_s_est"), F.col("b_est"))
     diff = F.zip_with(est_cells, true_cells, lambda x, y: F.abs(x - y))
-    return j.select("user_id", F.round(F.array_max(diff), 6).alias("max_abs_error"),
-                    F.round(A.total(diff) / len(_CELLS), 6).alias("mean_abs_error"))
+    return j.select("user_id", F.round(F.array_max(diff), 4).alias("max_abs_error"),
+                    F.round(A.total(diff) / len(_CELLS), 4).alias("mean_abs_error"))
 
 
 _TUPLES_LEAD_SQL = f"""

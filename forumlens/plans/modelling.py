@@ -239,8 +239,10 @@ def training_export(v):
 # --- fits -------------------------------------------------------------------------
 
 from ..operators import fit as Fit  # noqa: E402
-from .fit_sql import fit_ctes  # noqa: E402
+from ..operators import second_order as Newton  # noqa: E402
+from .fit_sql import fit_ctes, second_order_ctes  # noqa: E402
 
+FIT_PASSES = Newton.PASSES
 FIT_EPOCHS = 4
 FIT_LR = 0.5
 LAYERS = (8,)
@@ -262,29 +264,33 @@ def _fit_summary(fits, key="user_id"):
                        F.round(F.col("train_loss")[0], 6).alias("first_train_loss"),
                        F.round(F.element_at("train_loss", -1), 6).alias("last_train_loss"),
                        F.round(F.element_at("val_loss", -1), 6).alias("last_val_loss"),
-                       *[F.round(c, 6).alias(c) for c in Fit.CELL_NAMES])
+                       *[F.round(c, 4).alias(c) for c in Fit.CELL_NAMES])
 
 
 def _fit_summary_sql(name, setting=0, key="user_id"):
     return f"""SELECT key AS {key}, {setting} AS setting, n_train, n_val, round(train_loss[1], 6) AS first_train_loss,
        round(train_loss[-1], 6) AS last_train_loss, round(val_loss[-1], 6) AS last_val_loss,
-       {_r(Fit.CELL_NAMES)} FROM {name}_{FIT_EPOCHS}"""
+       {", ".join(f"round({c}, 4) AS {c}" for c in Fit.CELL_NAMES)} FROM {name}_fit"""
 
 
 def _fit_sql(kind):
     return f"WITH {_FIT_PAIRS}, {fit_ctes('f', 'SELECT * FROM fit_input', 'user_id', kind, FIT_LR, FIT_EPOCHS)}\n"
 
 
-@register("fit_linear_users", views=("vectors_v",), oracle=_fit_sql("linear") + _fit_summary_sql("f"))
+def _second_order_sql(kind):
+    return f"WITH {_FIT_PAIRS}, {second_order_ctes('f', 'SELECT * FROM fit_input', 'user_id', kind, FIT_PASSES)}\n"
+
+
+@register("fit_linear_users", views=("vectors_v",), oracle=_second_order_sql("linear") + _fit_summary_sql("f"))
 def fit_linear_users(v):
     """One linear model per user."""
-    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, kind="linear", lr=FIT_LR))
+    return _fit_summary(Newton.fit_least_squares(_fit_input(v), FIT_PASSES, kind="linear"))
 
 
-@register("fit_diff_users", views=("vectors_v",), oracle=_fit_sql("diff") + _fit_summary_sql("f"))
+@register("fit_diff_users", views=("vectors_v",), oracle=_second_order_sql("diff") + _fit_summary_sql("f"))
 def fit_diff_users(v):
     """The difference model per user."""
-    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, kind="diff", lr=FIT_LR))
+    return _fit_summary(Newton.fit_least_squares(_fit_input(v), FIT_PASSES, kind="diff"))
 
 
 @register("run_history", views=("vectors_v",), oracle=_fit_sql("linear") + f"""
@@ -311,13 +317,13 @@ def fit_network_users(v):
                        F.size("weights").alias("n_params"))
 
 
-GRID = [{"setting": i, "kind": k, "lr": lr}
-        for i, (k, lr) in enumerate((k, lr) for k in ("linear", "diff") for lr in (0.1, 0.5))]
+GRID = [{"setting": i, "kind": k, "ridge": ridge}
+        for i, (k, ridge) in enumerate((k, ridge) for k in ("linear", "diff") for ridge in (1e-4, 1e-2))]
 
 
 @register("fit_grid", views=("vectors_v",), oracle=f"WITH {_FIT_PAIRS}, " + ", ".join(
-    fit_ctes(f"f{s['setting']}x", "SELECT * FROM fit_input", "user_id", s["kind"], s["lr"], FIT_EPOCHS) for s in GRID)
+    second_order_ctes(f"f{s['setting']}x", "SELECT * FROM fit_input", "user_id", s["kind"], FIT_PASSES, s["ridge"]) for s in GRID)
     + "\n" + " UNION ALL ".join(_fit_summary_sql(f"f{s['setting']}x", s["setting"]) for s in GRID))
 def fit_grid(v):
-    """Settings grid (kind x learning rate) x users, fitted together."""
-    return _fit_summary(Fit.fit_tanh(_fit_input(v), FIT_EPOCHS, settings=GRID))
+    """Settings grid (kind x ridge) x users, fitted together."""
+    return _fit_summary(Newton.fit_least_squares(_fit_input(v), FIT_PASSES, settings=GRID))

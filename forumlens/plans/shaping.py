@@ -152,12 +152,13 @@ def reply_parent_pairs(v):
 
 
 @register("resolve_parent_ids", views=("blocks_v", "comments_v"), oracle=f"""
-WITH pairs AS ({_PAIRS_SQL}),
-found AS (SELECT p.reply_block_id AS comment_id, c.comment_id AS new_parent
-          FROM pairs p JOIN comments_v c
-            ON c.comment_id = TRY_CAST(regexp_extract(p.parent_link, '/comments/([0-9]+)$', 1) AS BIGINT))
+WITH known AS MATERIALIZED (SELECT comment_id, parent_comment_id FROM comments_v),
+links AS MATERIALIZED (SELECT reply_block_id, TRY_CAST(regexp_extract(parent_link, '/comments/([0-9]+)$', 1) AS BIGINT) AS parent
+                       FROM ({_PAIRS_SQL}) p),
+found AS MATERIALIZED (SELECT l.reply_block_id AS comment_id, l.parent AS new_parent
+                       FROM links l SEMI JOIN known c ON c.comment_id = l.parent)
 SELECT c.comment_id, COALESCE(f.new_parent, c.parent_comment_id) AS parent_comment_id
-FROM comments_v c LEFT JOIN found f ON f.comment_id = c.comment_id""")
+FROM known c LEFT JOIN found f ON f.comment_id = c.comment_id""")
 def resolve_parent_ids(v):
     """Parent comment ids found later on user pages, set by comment id."""
     pairs = training.reply_parent_pairs(v.blocks_v.withColumn("kind", S.block_kind()))
