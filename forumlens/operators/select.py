@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sequence
+from .key_index import HIGH, LOW, key_hashes
 from .training import left_join_keyed
 
 
@@ -85,10 +86,12 @@ def articles_read_by(comments: DataFrame, chosen_links: DataFrame, articles: Dat
 def first_id_per_key(df: DataFrame, keys: list[str], id_col: str = "comment_id",
                      name: str = "key_comment_id") -> DataFrame:
     """Natural key -> surrogate id, first (lowest) match (D08). Keys with a NULL
-    never match, as with SQL equality."""
-    firsts = df.groupBy(*keys).agg(F.min(id_col).alias(name))
-    cond = [df[k] == firsts[k] for k in keys]
-    return df.join(firsts, cond, "left").select(df[id_col], firsts[name])
+    never match, as with SQL equality. Keys are told apart by their 128-bit hash, so no text is shuffled."""
+    hashed = df.select(id_col, *key_hashes(keys))
+    known = hashed.where(F.col(HIGH).isNotNull())
+    firsts = known.groupBy(HIGH, LOW).agg(F.min(id_col).alias(name))
+    return known.join(firsts, [HIGH, LOW]).select(id_col, name).unionByName(
+        hashed.where(F.col(HIGH).isNull()).select(id_col, F.lit(None).cast(df.schema[id_col].dataType).alias(name)))
 
 
 # --- aggregations ------------------------------------------------------------

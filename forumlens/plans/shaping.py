@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import dynamics, maintain, training
+from ..operators import dynamics, key_index, maintain, training
 from ..operators import select as S
 from ..session import materialize, scratch_path
 from ..sources.views import STATE_DIM
@@ -55,6 +55,36 @@ def insert_first_wins(v):
     return maintain.apply_insert(target, batch, KEY, ["comment_id"])
 
 
+@register("insert_through_index", views=("comments_v",), oracle=f"""
+WITH tgt AS (SELECT * FROM comments_v WHERE {_HALF}),
+bat AS (SELECT * FROM comments_v WHERE NOT ({_HALF})),
+kd AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id, user_link, comment_content
+                                                   ORDER BY comment_id) AS rn
+                      FROM bat WHERE NOT ({_NK})) t WHERE rn = 1),
+fresh AS (SELECT * FROM kd WHERE NOT EXISTS (
+            SELECT 1 FROM tgt WHERE tgt.article_id = kd.article_id AND tgt.user_link = kd.user_link
+                              AND tgt.comment_content = kd.comment_content)
+          UNION ALL SELECT *, 0 AS rn FROM bat WHERE {_NK}),
+top AS (SELECT MAX(comment_id) AS id, MAX(normalized_posted_time) - INTERVAL 1 HOUR AS since FROM comments_v)
+SELECT comment_id, article_id, user_link, comment_content FROM tgt
+UNION ALL SELECT comment_id, article_id, user_link, comment_content FROM fresh
+UNION ALL SELECT comment_id + top.id + 1 AS comment_id, article_id, user_link, comment_content
+FROM comments_v, top WHERE normalized_posted_time >= top.since AND ({_NK})""")
+def insert_through_index(v):
+    """B01 on a stored table: the second half of comments inserted, then the last hour sent again
+    under new ids; only the row groups that may hold a key are read for the second batch."""
+    c = v.comments_v.select("comment_id", *KEY, "normalized_posted_time")
+    top, last = c.agg(F.max("comment_id"), F.max("normalized_posted_time")).first()
+    path = scratch_path(v.spark, "comments")
+    rows = c.drop("normalized_posted_time")
+    key_index.append_rows(rows.where(F.col("comment_id") * 2 < top), path, KEY)
+    key_index.insert(v.spark, path, rows.where(F.col("comment_id") * 2 >= top), KEY, ["comment_id"])
+    again = (c.where(F.col("normalized_posted_time") >= F.lit(last) - F.expr("INTERVAL 1 HOUR"))
+             .drop("normalized_posted_time").withColumn("comment_id", F.col("comment_id") + (top + 1)))
+    key_index.insert(v.spark, path, again, KEY, ["comment_id"])
+    return key_index.read_rows(v.spark, path)
+
+
 @register("update_matched", views=("articles_v",), oracle="""
 SELECT a.article_id, a.article_link, a.article_title,
        COALESCE(d.text, a.article_content) AS article_content,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import training
 from ..operators import vectors as V
+from ..operators import word_vectors as W
 from .catalog import register
 
 CATEGORY_LABELS = ("de", "en", "es", "fr")
@@ -87,6 +88,17 @@ def category_vectors(v):
     return _flat(out, "v", 4, "v")
 
 
+# A label set as a caller would give it: names with a few words that describe them.
+LANGUAGES = {"de": ("der", "und", "mit"), "en": ("the", "and", "that"), "es": ("los", "el", "por"), "fr": ("les", "et", "pour")}
+
+
+@register("zero_shot_vectors")
+def zero_shot_vectors(v):
+    """T01/T02 without labelled texts: probabilities over a label set given at call time."""
+    out = W.score_zero_shot(v.documents.select("doc_id", "text"), "doc_id", "text", LANGUAGES, out="v")
+    return _flat(out, "v", len(LANGUAGES), "v")
+
+
 _RAW_SQL = """
 SELECT c.user_id, c.article_id, a.article_content, c.parent_comment_id,
        p.comment_content AS parent_comment_content, c.comment_id, c.comment_content

@@ -17,7 +17,7 @@ def duck():
 
 def test_every_query_has_an_oracle_or_tests_of_its_own():
     rows_only = set(QUERIES) - set(ORACLE) - set(E.LLM_QUERIES)
-    assert rows_only == {"fit_network_users"}
+    assert rows_only == {"fit_network_users", "zero_shot_vectors"}
     assert set(ORACLE) <= set(QUERIES)
 
 
