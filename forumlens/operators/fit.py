@@ -13,7 +13,8 @@ as plain columns:
   diff      x = [p - s | q - s | s | 1]
   weighted  x = [a p | b q | s | 1], a and b the strengths of the parents
 The ``network`` kind (ReLU layers, softmax output) sums the gradients of bounded packs of
-rows with NumPy and adds up the packs in Spark.
+rows with NumPy; a task adds up its packs of a key, so a key sends one vector per task, and these are
+added in Spark.
 
 The parameters start at a fixed rule, so a fit is the same on every run.
 """
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize
 from . import sequence
@@ -113,6 +115,7 @@ def weight_arrays(fits: DataFrame) -> list[Column]:
 # --- feed-forward network -------------------------------------------------------------
 
 PACK_ROWS = 256  # rows whose gradient is summed at once
+SALTS = 32
 
 
 def layer_shapes(layers: Sequence[int], inputs: int = 3 * DIM, outputs: int = DIM) -> list[tuple[int, int]]:
@@ -158,20 +161,52 @@ def network_gradient(weights, x, y, train, layers: Sequence[int]):
     return np.concatenate(grads[::-1]), sq[train].sum(), sq[~train].sum()
 
 
-def _pack_gradients(layers: tuple[int, ...]):
+def _task_gradients(layers: tuple[int, ...], kind):
+    """One row per key and run of its packs in a task: the sums over all of them."""
     def run(batches):
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for key, pack, weights in zip(pdf["key"], pdf["pack"], pdf["weights"]):
+        import pyarrow as pa
+
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALTS
+        names = ["key", "salt", "grad", "on_train", "on_val"]
+
+        def row(key, grad, on_train, on_val):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key], kind), pa.array([salt], pa.int32()), pa.array([grad], pa.list_(pa.float64())),
+                 pa.array([on_train], pa.float64()), pa.array([on_val], pa.float64())], names=names)
+        current = None
+        for batch in batches:
+            keys, packs, weights = (batch.column(c) for c in ("key", "pack", "weights"))
+            for n in range(batch.num_rows):
+                pack = packs[n].as_py()
                 x = np.array([[*r["p"], *r["q"], *r["s"]] for r in pack])
                 y = np.array([list(r["y"]) for r in pack])
                 train = np.array([r["is_train"] for r in pack], dtype=bool)
-                grad, on_train, on_val = network_gradient(np.asarray(weights), x, y, train, layers)
-                out.append((key, grad, on_train, on_val))
-            yield pd.DataFrame(out, columns=["key", "grad", "on_train", "on_val"])
+                key = keys[n].as_py()
+                new = network_gradient(weights[n].values.to_numpy(), x, y, train, layers)
+                if current and current[0] == key:
+                    current = (key, *(a + b for a, b in zip(current[1:], new)))
+                else:
+                    if current:
+                        yield row(*current)
+                    current = (key, *new)
+        if current:
+            yield row(*current)
+    return run
+
+
+def _added(names: list[str]):
+    """The sum of the gradients and errors of a group, under its first keys."""
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        grad = np.sum([np.asarray(g.values) for g in table["grad"]], axis=0)
+        sums = [pa.array([sum(table[c].to_pylist())], pa.float64()) for c in ("on_train", "on_val")]
+        return pa.table([*(table[c].slice(0, 1).combine_chunks() for c in names), pa.array([grad], pa.list_(pa.float64())), *sums],
+                        [*names, "grad", "on_train", "on_val"])
     return run
 
 
@@ -184,21 +219,23 @@ def fit_network(pairs: DataFrame, epochs: int, layers: Sequence[int] = (8,), lr:
     rows = sequence.with_index(pairs, key, order, "_place")
     packs = materialize(
         rows.groupBy(F.col(key).alias("key"), F.floor(F.col("_place") / pack_rows).alias("_pack"))
-        .agg(F.collect_list(F.struct("p", "q", "s", "y", (F.col("split") == "train").alias("is_train"))).alias("pack")))
+        .agg(F.collect_list(F.struct("p", "q", "s", "y", (F.col("split") == "train").alias("is_train"))).alias("pack"))
+        .sortWithinPartitions("key"))
     state = pairs.groupBy(F.col(key).alias("key")).agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") != "train").alias("n_val"))
-    state = state.select("*", F.array(*map(F.lit, start_weights(layers).tolist())).alias("weights"),
-                         *_losses(state, False))
-    kind = state.schema["key"].dataType.simpleString()
+    start = pairs.sparkSession.createDataFrame([(1, start_weights(layers).tolist())], "_one int, weights array<double>")
+    state = state.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one").drop("_one").select("*", *_losses(state, False))
+    kind = state.schema["key"].dataType
+    name, sums_schema = kind.simpleString(), "grad array<double>, on_train double, on_val double"
     step = F.lit(float(lr)) / (DIM * F.greatest(F.col("n_train"), F.lit(1)))
     for _ in range(epochs):
-        sums = materialize(
-            packs.join(state.select("key", "weights"), "key").select("key", "pack", "weights")
-            .mapInPandas(_pack_gradients(layers), f"key {kind}, grad array<double>, on_train double, on_val double"))
-        cells = (sums.select("key", F.posexplode("grad").alias("at", "g")).groupBy("key", "at").agg(F.sum("g").alias("g"))
-                 .groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda c: c["g"]).alias("grad")))
-        errors = sums.groupBy("key").agg(F.sum("on_train").alias("_train"), F.sum("on_val").alias("_val"))
-        state = materialize(state.join(cells, "key").join(errors, "key").select(
+        met = packs.join(state.select("key", "weights"), "key").select("key", "pack", "weights")
+        parts = met.mapInArrow(_task_gradients(layers, to_arrow_type(kind)), f"key {name}, salt int, {sums_schema}")
+        # A key of very many tasks is added up in two steps, so that no task holds all its gradients.
+        parts = parts.groupBy("key", "salt").applyInArrow(_added(["key", "salt"]), f"key {name}, salt int, {sums_schema}")
+        sums = parts.groupBy("key").applyInArrow(_added(["key"]), f"key {name}, {sums_schema}")
+        sums = sums.withColumnsRenamed({"on_train": "_train", "on_val": "_val"})
+        state = materialize(state.join(sums, "key").select(
             "key", "n_train", "n_val",
             F.zip_with("weights", "grad", lambda w, g: w - step * g).alias("weights"), *_losses(state, True)))
     return state.withColumnRenamed("key", key)

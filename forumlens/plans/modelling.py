@@ -245,7 +245,7 @@ from .fit_sql import fit_ctes, second_order_ctes  # noqa: E402
 FIT_PASSES = Newton.PASSES
 FIT_EPOCHS = 4
 FIT_LR = 0.5
-LAYERS = (8,)
+LAYERS = (128, 128)
 
 _FIT_PAIRS = f"""
 pairs AS (SELECT * FROM ({_PAIRS_SQL}) t WHERE y0 IS NOT NULL),

@@ -22,6 +22,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Rows handed to Python at once are bounded by bytes, whatever the length of their texts and vectors.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 

@@ -93,6 +93,40 @@ def test_network_fit_does_not_depend_on_packs(spark):
         assert len(one[user].weights) == 6 * 10 + 4 * 7 + 3 * 5
 
 
+def test_wide_network_is_full_batch_descent(spark):
+    """Layers of the full size, a user of many packs, against NumPy over all its rows."""
+    pairs = _pairs(spark, {1: 90, 2: 11}).selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS normalized_posted_time")
+    rows, layers = pairs.collect(), (128, 128)
+    got = {r.user_id: r for r in fit.fit_network(pairs.repartition(6), 3, layers, 0.5, pack_rows=4).collect()}
+    for user, r in got.items():
+        own = [x for x in rows if x.user_id == user]
+        x, y = np.array([[*x.p, *x.q, *x.s] for x in own]), np.array([x.y for x in own])
+        train = np.array([x.split == "train" for x in own])
+        w = fit.start_weights(layers)
+        for _ in range(3):
+            w = w - 0.5 / (3 * train.sum()) * fit.network_gradient(w, x, y, train, layers)[0]
+        assert len(r.weights) == 128 * 10 + 128 * 129 + 3 * 129 and np.allclose(r.weights, w)
+
+
+def test_a_task_sends_one_vector_per_key(spark):
+    import pyarrow as pa
+
+    pack = [{"p": [0.1] * 3, "q": [0.2] * 3, "s": [0.3] * 3, "y": [1.0, 0.0, 0.0], "is_train": True}]
+    w = fit.start_weights((4,)).tolist()
+    batch = pa.RecordBatch.from_pylist([{"key": k, "pack": pack, "weights": w} for k in (1, 1, 1, 2, 2)])
+    from pyspark import TaskContext
+
+    task = TaskContext._getOrCreate()
+    task._partitionId = 0
+    try:
+        out = list(fit._task_gradients((4,), pa.int64())([batch, batch.slice(3)]))
+    finally:
+        TaskContext._setTaskContext(None)
+    assert [b["key"][0].as_py() for b in out] == [1, 2]
+    one = fit.network_gradient(np.array(w), np.array([[0.1] * 3 + [0.2] * 3 + [0.3] * 3]), np.array([[1.0, 0, 0]]), np.array([True]), (4,))[0]
+    assert np.allclose(out[0]["grad"][0].as_py(), 3 * one) and np.allclose(out[1]["grad"][0].as_py(), 4 * one)
+
+
 def test_run_artefacts_are_read_back(spark, tmp_path):
     fits = fit.fit_tanh(_pairs(spark, {1: 30, 2: 20}), 3)
     for run in ("a", "b"):
