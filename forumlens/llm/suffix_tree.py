@@ -21,10 +21,11 @@ occurrences to become a state, as a word seen once tells no distribution. How it
    before the next, and its shuffle files are freed.
 
 Nothing is gathered by the driver but two numbers, the training tokens and distinct words. Hashes
-travel as byte planes of their sorted differences, which shuffle files compress.
+travel as compressed byte planes of their sorted differences.
 
-Grams are told apart by 64-bit hashes: among n distinct ones two share a hash with odds of about
-n * n / 2 ** 65.
+Words are told apart by 64-bit hashes: among n distinct ones any two share a hash with odds of about
+n * n / 2 ** 65. Grams of several words are told apart by 56 bits: a gram shares its hash, and so its
+counts, with another one with odds of n / 2 ** 56.
 
 Cases: a NULL text is empty; a text's end counts as a token, so an empty text has one; a NULL key is
 learned from and not held out; repeated rows count and are scored row by row; other columns are
@@ -44,9 +45,10 @@ MIN_COUNT = 3
 DIVERGENCE = 4.0
 STRENGTH = 50.0
 SMOOTHING = 0.1
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1_000_000  # tokens of all texts to one bucket of gram hashes
 PIECE_BYTES = 1 << 20
+GRAM_BITS = 0xFFFFFFFFFFFFFF00  # of a gram of several words the upper 56 bits count
 BASE, INVERSE = 0x2545F4914F6CDD1B, pow(0x2545F4914F6CDD1B, -1, 1 << 64)
 
 
@@ -146,18 +148,25 @@ def text_hashes(texts: list[bytes]):
 
 # --- arrays as byte planes ------------------------------------------------------------
 
+@lru_cache(maxsize=1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values) -> bytes:
-    """Little-endian numbers, all lowest bytes first."""
+    """Little-endian numbers, all lowest bytes first, compressed."""
     import numpy as np
 
     values = np.ascontiguousarray(values)
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return _codec()[0].compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: str):
     import numpy as np
 
-    size = np.dtype(kind).itemsize
+    size, data = np.dtype(kind).itemsize, _codec()[1].decompress(data)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
@@ -282,7 +291,7 @@ def work(row: dict, returned: dict, step: int, model: Model):
             # The only place of a gram, in a training text, is the only one of a longer gram that ends with it.
             single |= (counts == 1) & ~elsewhere
             asked = np.flatnonzero(live & ~single)
-            gram = joined(_before(gram), words[ids])
+            gram = joined(_before(gram), words[ids]) & np.uint64(GRAM_BITS)
             keys, which = distinct(gram[asked])
         if step == max(0, 2 * k - 1):
             mine = train[asked]
