@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .training import spread_join
 
 
 def linear_step(p, q, s, w_p="w_p", w_q="w_q", w_s="w_s", b="b", d: int | None = None) -> Column:
@@ -68,10 +69,7 @@ def parent_states(nodes: DataFrame) -> DataFrame:
     second = lookup.select(F.col("_pid").alias("_p2"), F.col("_pk").alias("_k2"), "metadata_id",
                            F.col("_st").alias("_q"), F.col("_sg").alias("_b"))
     found = rows.join(first, ["_p1", "_k1", "metadata_id"])
-    # Rows without a second parent match nothing and are not shuffled for it.
-    alone = found.where(F.col("_p2").isNull())
-    out = (found.where(F.col("_p2").isNotNull()).join(second, ["_p2", "_k2", "metadata_id"], "left")
-               .unionByName(alone, allowMissingColumns=True)
+    out = (spread_join(found, second, ["_p2", "_k2", "metadata_id"], ["node_id", "k"])
                .withColumn("q", F.coalesce("_q", _zeros3()))
                .withColumn("b", F.coalesce("_b", F.lit(0.0))))
     return out.select("node_id", "k", "metadata_id", "state", "p", "a", "q", "b")

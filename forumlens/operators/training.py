@@ -12,10 +12,24 @@ def comment_order() -> list:
     return [F.col("normalized_posted_time").asc(), F.col("comment_id").desc()]
 
 
+SPREAD = "_spread"
+SPREAD_TASKS = 1 << 16
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which rows with a NULL in the first key, which match nothing, are dealt to
+    the tasks by the hash of ``by`` instead of meeting in one. ``rows`` are worked out once."""
+    known = F.col(keys[0]).isNotNull()
+    left = rows.withColumn(SPREAD, F.when(known, F.lit(0)).otherwise(
+        1 + F.pmod(F.xxhash64(*by), F.lit(SPREAD_TASKS)).cast("int")))
+    right = lookup.withColumn(SPREAD, F.when(known, F.lit(0)).otherwise(F.lit(-1)))
+    return left.join(right, [*keys, SPREAD], "left").drop(SPREAD)
+
+
 def left_join_keyed(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key`` in which rows with a NULL key, which match nothing, are not shuffled."""
-    found = rows.where(F.col(key).isNotNull()).join(lookup, key, "left")
-    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    """Left join on ``key``; NULL keys, which match nothing, spread by the row's numbers."""
+    numbers = [c for c, kind in rows.dtypes if kind in ("bigint", "int") and c != key]
+    return spread_join(rows, lookup, [key], numbers or rows.columns)
 
 
 def commenting_users(users: DataFrame, comments: DataFrame) -> DataFrame:

@@ -96,3 +96,16 @@ def test_checkpoint_folder_is_compulsory_on_a_cluster():
         conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_null_keys_are_spread_and_match_nothing(spark):
+    from forumlens.operators.training import left_join_keyed
+
+    rows = spark.createDataFrame([(k, None if k % 3 else k % 7, f"t{k}") for k in range(300)], "id long, key long, text string")
+    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(4)] + [(None, "none")], "key long, value string")
+    got = left_join_keyed(rows, lookup, "key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(lookup, "key", "left").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
+    named = left_join_keyed(rows.drop("id"), lookup, "key")  # no number to spread by
+    assert named.count() == 300
