@@ -359,6 +359,26 @@ def stream_ingest_comments(v):
     return read_sink(spark, sink).select("comment_id", *KEY, "agreements_count", "normalized_posted_time")
 
 
+@register("stream_late_parents", views=("comments_v",), oracle="""
+SELECT c.comment_id, p.comment_id AS parent_comment_id
+FROM comments_v c LEFT JOIN (SELECT comment_id FROM comments_v WHERE article_id IS NOT NULL) p
+  ON p.comment_id = c.parent_comment_id""")
+def stream_late_parents(v):
+    """S01 + D12: all replies are scraped before the comments that reply to nothing; each waits in the state
+    store for its parent. After both waves the links equal one join over all comments; a comment
+    without an article (K20) is no parent."""
+    from ..streaming import late_parents
+
+    spark = v.spark
+    scraped = v.comments_v.select("comment_id", "parent_comment_id", F.col("article_id").isNotNull().alias("usable"),
+                                  F.col("scraped_time").cast("timestamp").alias("scraped_time"))
+    base = scratch_path(spark, "late-parents")
+    for wave in (F.col("parent_comment_id").isNotNull(), F.col("parent_comment_id").isNull()):
+        scraped.where(wave).write.mode("append").parquet(f"{base}/source")
+        late_parents.run(spark, f"{base}/source", f"{base}/sink")
+    return late_parents.read_threads(spark, f"{base}/sink")
+
+
 @register("scan_user_slice", views=("vectors_v",), oracle=f"""
 SELECT comment_id, user_id, normalized_posted_time, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2
 FROM vectors_v
