@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import parts
 from ..operators import select as S
+from ..session import scratch_path
 from .catalog import register
 
 MIN_ACTIVE = 60         # minimum events per active user (C05)
 TOP = 10                # size of top-n reports
+PARTS = 16              # parts of the stored tables of counters (B03, E06)
 MIN_TOTAL = 50          # minimum stored comment total (F01)
 
 
@@ -152,6 +155,49 @@ def article_comment_counters(v):
     return S.comment_counters(v.articles_v, v.comments_v)
 
 
+def _in_three_batches(v, rows, key, sums):
+    """Sums per ``key`` kept on a stored table while comments come in three batches in the order of their ids."""
+    path = scratch_path(v.spark, "sums")
+    parts.create_sums(v.spark, path, f"{key} bigint", sums)
+    top = v.events.agg(F.max("event_id")).first()[0] or 0
+    for number in range(3):
+        third = F.floor(F.col("comment_id") * 3 / (top + 1)) == number
+        parts.add_sums(rows.where(third).drop("comment_id"), path, [key], sums, number, PARTS)
+    return parts.read(v.spark, path).where(F.col(key).isNotNull())
+
+
+@register("counters_by_deltas", views=("comments_v", "articles_v"), oracle="""
+SELECT a.article_id,
+       CAST(COALESCE(c.with_reply, 0) AS BIGINT) AS total_comment_count_with_reply,
+       CAST(COALESCE(c.without_reply, 0) AS BIGINT) AS total_comment_count_without_reply
+FROM articles_v a LEFT JOIN (
+  SELECT article_id, COUNT(*) AS with_reply,
+         COUNT(*) FILTER (WHERE parent_comment_id IS NULL) AS without_reply
+  FROM comments_v GROUP BY article_id) c ON c.article_id = a.article_id""")
+def counters_by_deltas(v):
+    """B03 as scraped: three batches of comments added to stored counters equal one full count."""
+    rows = v.comments_v.select("comment_id", "article_id", F.lit(1).alias("with_reply"),
+                               F.col("parent_comment_id").isNull().cast("int").alias("without_reply"))
+    kept = _in_three_batches(v, rows, "article_id", ["with_reply", "without_reply"])
+    return (v.articles_v.select("article_id").join(kept, "article_id", "left")
+            .select("article_id", F.coalesce("with_reply", F.lit(0)).cast("bigint").alias("total_comment_count_with_reply"),
+                    F.coalesce("without_reply", F.lit(0)).cast("bigint").alias("total_comment_count_without_reply")))
+
+
+@register("reaction_totals_by_deltas", views=("comments_v",), oracle="""
+SELECT user_id, COUNT(*) AS comment_count,
+       CAST(COALESCE(SUM(agreements_count), 0) AS BIGINT) AS agreements,
+       CAST(COALESCE(SUM(acknowledgements_count), 0) AS BIGINT) AS acknowledgements,
+       CAST(COALESCE(SUM(disagreements_count), 0) AS BIGINT) AS disagreements
+FROM comments_v WHERE user_id IS NOT NULL GROUP BY user_id""")
+def reaction_totals_by_deltas(v):
+    """E06 as scraped: reaction totals per user kept while three batches of comments arrive."""
+    sums = ["comment_count", "agreements", "acknowledgements", "disagreements"]
+    rows = v.comments_v.select("comment_id", "user_id", F.lit(1).alias("comment_count"),
+                               *[F.col(f"{c}_count").alias(c) for c in sums[1:]])
+    return _in_three_batches(v, rows, "user_id", sums)
+
+
 @register("top_commenters", views=("users_v",), oracle=f"""
 SELECT user_id, user_link, total_comment_count FROM users_v
 WHERE total_comment_count >= {MIN_TOTAL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import dynamics, key_index, maintain, training
+from ..operators import dynamics, key_index, maintain, parts, training
 from ..operators import select as S
 from ..session import materialize, scratch_path
 from ..sources.views import STATE_DIM
@@ -85,24 +85,44 @@ def insert_through_index(v):
     return key_index.read_rows(v.spark, path)
 
 
-@register("update_matched", views=("articles_v",), oracle="""
+_UPDATED = """
 SELECT a.article_id, a.article_link, a.article_title,
        COALESCE(d.text, a.article_content) AS article_content,
        COALESCE(d.source, a.article_genre) AS article_genre
 FROM articles_v a LEFT JOIN (
   SELECT 'https://news.example/articles/' || CAST(doc_id AS STRING) AS article_link, text, source
-  FROM documents WHERE doc_id % 3 <> 1) d ON d.article_link = a.article_link""")
-def update_matched(v):
-    """Fill articles from later-fetched documents; only present attributes overwrite."""
+  FROM documents WHERE doc_id % 3 <> 1) d ON d.article_link = a.article_link"""
+_ARTICLE_PARTS = 16
+
+
+def _articles_and_fetched(v):
     batch = v.documents.where(F.col("doc_id") % 3 != 1).select(
         "doc_id", F.concat(F.lit("https://news.example/articles/"), F.col("doc_id").cast("string")).alias("article_link"),
         F.col("text").alias("article_content"), F.col("source").alias("article_genre"),
         F.lit(None).cast("string").alias("article_title"))
     target = v.articles_v.select("article_id", "article_link", "article_title", "article_content", "article_genre")
+    return target, batch
+
+
+@register("update_matched", views=("articles_v",), oracle=_UPDATED)
+def update_matched(v):
+    """Fill articles from later-fetched documents; only present attributes overwrite."""
+    target, batch = _articles_and_fetched(v)
     return maintain.update_matched(target, batch, "article_link",
                                    ["article_title", "article_content", "article_genre"], order="doc_id")
 
 
+@register("update_stored_parts", views=("articles_v",), oracle=_UPDATED)
+def update_stored_parts(v):
+    """B02 on a stored table: only the parts that hold a fetched article are read and replaced."""
+    target, batch = _articles_and_fetched(v)
+    path = scratch_path(v.spark, "articles")
+    parts.write(target, path, ["article_link"], _ARTICLE_PARTS)
+    parts.update(batch, path, scratch_path(v.spark, "fetched"), "article_link",
+                 ["article_title", "article_content", "article_genre"], "doc_id", _ARTICLE_PARTS)
+    return parts.read(v.spark, path).select(*target.columns)
+
+
 @register("latest_run", views=(), oracle="""
 SELECT event_type, event_id, ts FROM (
   SELECT event_type, event_id, ts,
