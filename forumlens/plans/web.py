@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import pages as P
+from ..sources import selectors
 from .catalog import register
 
 
@@ -38,25 +39,49 @@ _FIELDS_SQL = ", ".join(f"{_field_sql(pats, name.endswith('_link'))} AS {name}"
                         for name, pats in P.PAGE_FIELDS.items())
 
 
-@register("page_fields", oracle=f"""
-SELECT page_id, {_FIELDS_SQL} FROM (SELECT page_id, {_clean_sql()} AS c FROM pages) t""")
+_PAGE_FIELDS = f"""
+SELECT page_id, {_FIELDS_SQL} FROM (SELECT page_id, {_clean_sql()} AS c FROM pages) t"""
+
+
+@register("page_fields", oracle=_PAGE_FIELDS)
 def page_fields(v):
     """Title (title tag, then h1), language, article lead paragraph, first link."""
     return P.extract_fields(v.pages)
 
 
-@register("page_links", oracle=f"""
+# The same fields as paths on the page's structure.
+FIELD_PATHS = {"title": ["//title", "//h1"], "lang": ["//html/@lang"], "lead": ["//article//p"],
+               "first_link": ["//body//a/@href"]}
+LINK_PATHS = {"href": ["/@href"], "text": [""]}    # of the link itself
+
+
+@register("page_fields_by_path", oracle=_PAGE_FIELDS)
+def page_fields_by_path(v):
+    """A03 by selector paths: title, language, lead paragraph and first link of every page."""
+    return selectors.fields_by_path(v.pages, FIELD_PATHS)
+
+
+_PAGE_LINKS = f"""
 WITH s AS (SELECT page_id, regexp_extract({_clean_sql()}, '{_q(P.NAV)}', 1) AS sec FROM pages),
 l AS (SELECT page_id, regexp_extract_all(sec, '{_q(P.ANCHOR)}', 1) AS hrefs,
              regexp_extract_all(sec, '{_q(P.ANCHOR)}', 2) AS texts FROM s)
 SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS position, unnest(hrefs) AS href,
        {_unescape_sql(_strip_sql('unnest(texts)'))} AS text
-FROM l""")
+FROM l"""
+
+
+@register("page_links", oracle=_PAGE_LINKS)
 def page_links(v):
     """Navigation links of every page as rows with their position."""
     return P.section_links(v.pages)
 
 
+@register("page_links_by_path", oracle=_PAGE_LINKS)
+def page_links_by_path(v):
+    """A04 by selector paths: navigation links of every page as rows with their position."""
+    return selectors.items_by_path(v.pages, "//nav//a", LINK_PATHS)
+
+
 _SET = """CASE WHEN len(list_filter(ps, lambda x: split_part(x, '=', 1) = '{k}')) > 0
      THEN list_transform(ps, lambda x: CASE WHEN split_part(x, '=', 1) = '{k}' THEN '{k}=' || {v} ELSE x END)
      ELSE list_append(ps, '{k}=' || {v}) END"""
