@@ -2,9 +2,10 @@
 into one per-user, time-ordered table (one row per comment)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import sequence
 
 # Sequence order used everywhere: oldest first, ties by the larger comment id first.
@@ -93,13 +94,64 @@ def split_order() -> list:
 def train_val_split(rows: DataFrame, ratio_tenths: int = 8, keep_rank: bool = False) -> DataFrame:
     """Exact, repeatable split per user: the first floor(n * ratio) rows in md5 order
     are ``train``, the rest ``val`` (W08). ``keep_rank`` keeps the md5-order
-    position as ``split_rank`` (the fits cut users into shards by it)."""
-    ranked = sequence.with_index(rows, "user_id", split_order(), "_r", total="_n")
-    return (ranked
-                  .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * ratio_tenths / 10), "train")
-                              .otherwise("val"))
-                  .withColumnRenamed("_r", "split_rank")
-                  .drop("_n", *([] if keep_rank else ["split_rank"])))
+    position as ``split_rank`` (the fits cut users into shards by it), for which all rows are put in order;
+    without it the split is found by selection."""
+    if not keep_rank:
+        return split_by_selection(rows, ratio_tenths)
+    ranked = sequence.with_index(rows, "user_id", split_order(), "split_rank", total="_n")
+    first = F.col("split_rank") < F.floor(F.col("_n") * ratio_tenths / 10)
+    return ranked.withColumn("split", F.when(first, "train").otherwise("val")).drop("_n")
+
+
+DIGITS = "0123456789abcdef"
+MOST_ORDERED = 1_000_000    # rows of one user that are put in order in one task
+
+
+def split_by_selection(rows: DataFrame, ratio_tenths: int = 8, most: int = MOST_ORDERED) -> DataFrame:
+    """The split of ``train_val_split`` without ordering all rows.
+
+    Counts per user and hash digit tell in which of 16 buckets a user's first ``val`` row lies; this is
+    repeated inside the bucket, digit by digit, until no user's bucket has more than ``most`` rows. Only those are
+    ordered, and the first ``val`` row of each user, one row, is joined to all rows. Rows without a user are left
+    out; a comment id is unique within a user, and rows that repeat one fall on the same side."""
+    kept = rows.where(F.col("user_id").isNotNull())
+    if not 0 <= ratio_tenths < 10:
+        raise ValueError("ratio_tenths must be 0 to 9")
+    hashed = kept.select("user_id", "comment_id", split_order_hash().alias("_h"))
+    cuts, digits = None, 0
+    while cuts is None or (digits < 32 and (cuts.agg(F.max("_n")).first()[0] or 0) > most):
+        cuts, digits = materialize(_narrowed(_inside(hashed, cuts, digits), digits, ratio_tenths)), digits + 1
+    order = Window.partitionBy("user_id").orderBy("_h", "comment_id")
+    firsts = (_inside(hashed, cuts, digits).withColumn("_r", F.row_number().over(order) - 1).where("_r = _left")
+              .select("user_id", F.struct("_h", "comment_id").alias("_first")))
+    train = F.struct(split_order_hash().alias("_h"), "comment_id") < F.col("_first")
+    return (kept.join(firsts, "user_id")
+            .select(*rows.columns, F.when(train, "train").otherwise("val").alias("split")))
+
+
+def split_order_hash() -> F.Column:
+    return F.md5(F.coalesce(F.col("comment_id").cast("string"), F.lit("")))
+
+
+def _inside(hashed: DataFrame, cuts: DataFrame | None, digits: int) -> DataFrame:
+    """Rows of their user's bucket, with its digits and the place of the first ``val`` row in it."""
+    if cuts is None:
+        return hashed.select("*", F.lit("").alias("_p"), F.lit(None).cast("bigint").alias("_left"))
+    return hashed.withColumn("_p", F.substring("_h", 1, digits)).join(cuts.drop("_n"), ["user_id", "_p"])
+
+
+def _narrowed(inside: DataFrame, digits: int, ratio_tenths: int) -> DataFrame:
+    """The 16th part of each user's bucket that holds the first ``val`` row."""
+    counts = [F.count_if(F.substring("_h", digits + 1, 1) == d).alias(f"_{d}") for d in DIGITS]
+    sums = inside.groupBy("user_id", "_p", "_left").agg(F.count(F.lit(1)).alias("_all"), *counts)
+    left = F.coalesce(F.col("_left"), F.floor(F.col("_all") * ratio_tenths / 10))
+    before, buckets = F.lit(0), []
+    for d in DIGITS:
+        n = F.col(f"_{d}")
+        buckets.append(F.when((before <= left) & (left < before + n), F.struct(
+            F.concat("_p", F.lit(d)).alias("_p"), (left - before).cast("bigint").alias("_left"), n.alias("_n"))))
+        before = before + n
+    return sums.select("user_id", F.coalesce(*buckets).alias("_b")).select("user_id", "_b.*")
 
 
 def aligned_predictions(rows: DataFrame, pred_col: str, sentinel=None) -> DataFrame:

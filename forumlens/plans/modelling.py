@@ -7,7 +7,7 @@ from ..functions import arrays as A
 from ..operators import dynamics as Dy
 from ..operators import report as R
 from ..operators import training
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.views import STATE_DIM
 from .catalog import register
 from .sqlgen import matvec
@@ -172,7 +172,7 @@ def evaluation_by_user(v):
     rows = _pairs_with_pred(v).select(
         "user_id", "comment_id", R.squared_error("e", "y", STATE_DIM).alias("sq"),
         R.squared_error(A.discretize("e", n=STATE_DIM), "y", STATE_DIM).alias("sq_discrete"))
-    return R.errors_by(training.train_val_split(rows), ["user_id", "split"])
+    return R.errors_by(training.train_val_split(materialize(rows)), ["user_id", "split"])
 
 
 @register("batch_mean_loss", views=("vectors_v", "weights_v"), oracle=_EVAL_BASE + """
@@ -256,7 +256,7 @@ fit_input AS (SELECT user_id, a0 AS p0, a1 AS p1, a2 AS p2, q0, q1, q2, s0, s1,
 
 
 def _fit_input(v):
-    return training.train_val_split(training.next_state_pairs(v.vectors()))
+    return training.train_val_split(materialize(training.next_state_pairs(v.vectors())))
 
 
 def _fit_summary(fits, key="user_id"):
