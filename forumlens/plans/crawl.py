@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parts
+from ..operators import listing, parts
 from ..operators import select as S
 from ..session import scratch_path
 from .catalog import register
@@ -234,7 +234,7 @@ def best_ranked_articles(v):
 PAGE = 2
 
 
-@register("comment_page", views=("comments_v",), oracle=f"""
+_COMMENT_PAGE = f"""
 SELECT 'newer' AS listing, article_id, comment_id, position FROM (
   SELECT article_id, comment_id, ROW_NUMBER() OVER (PARTITION BY article_id
          ORDER BY normalized_posted_time DESC, comment_id DESC) AS position
@@ -243,7 +243,10 @@ UNION ALL
 SELECT 'recommended' AS listing, article_id, comment_id, position FROM (
   SELECT article_id, comment_id, ROW_NUMBER() OVER (PARTITION BY article_id
          ORDER BY agreements_count DESC, comment_id) AS position
-  FROM comments_v WHERE article_id IS NOT NULL) t WHERE position > {(PAGE - 1) * 10} AND position <= {PAGE * 10}""")
+  FROM comments_v WHERE article_id IS NOT NULL) t WHERE position > {(PAGE - 1) * 10} AND position <= {PAGE * 10}"""
+
+
+@register("comment_page", views=("comments_v",), oracle=_COMMENT_PAGE)
 def comment_page(v):
     """page 2 of every article's comment listing in both orders."""
     c = v.comments_v.where(F.col("article_id").isNotNull()).select(
@@ -257,6 +260,21 @@ def comment_page(v):
                  .unionByName(recommended.select(F.lit("recommended").alias("listing"), *cols)))
 
 
+@register("comment_page_stored", views=("comments_v",), oracle=_COMMENT_PAGE)
+def comment_page_stored(v):
+    """F04 on stored listings: both orders are written once by page, and page 2 is read from them."""
+    c = v.comments_v.select("article_id", "comment_id", "normalized_posted_time", "agreements_count")
+    orders = {"newer": [F.col("normalized_posted_time").desc(), F.col("comment_id").desc()],
+              "recommended": [F.col("agreements_count").desc(), F.col("comment_id").asc()]}
+    pages = []
+    for name, order in orders.items():
+        path = scratch_path(v.spark, "listing")
+        listing.store(c, path, "article_id", order)
+        pages.append(listing.read_pages(v.spark, path, PAGE).select(
+            F.lit(name).alias("listing"), "article_id", "comment_id", "position"))
+    return pages[0].unionByName(pages[1])
+
+
 CAP_N = 25
 REPLY_CAP = 10
 SHOWN_REPLIES = 3
