@@ -9,10 +9,12 @@ so that a part is some hundred MB. Two kinds of change:
   which keys the table holds, is worked out from keys and row addresses; texts are read only
   for the rows that change and for the parts that hold them.
 
-Parts are replaced by a dynamic partition overwrite: lost tasks write again, and parts that a batch does not hit
-keep their files. A driver lost in the middle of the commit may leave some parts replaced and
-others not: every row of ``add_sums`` has the number of the last batch of its part, so a retry adds a
-batch only where it is missing, and an update may be repeated as it is.
+Parts are replaced by a dynamic partition overwrite: lost tasks and executors are worked out again before anything is
+replaced, and parts that a batch does not hit keep their files. A driver lost during the commit may leave some
+parts replaced and others not: every row of ``add_sums`` has the number of the last batch of its part, so
+a retry adds a batch only where it is missing, and an update may be repeated as it is. The commit is not
+atomic: for the part being moved at that moment, the old folder may be gone and the new one still in
+the job's ``.spark-staging`` folder. Move it from there before a retry, which would take the part as empty.
 """
 from __future__ import annotations
 
