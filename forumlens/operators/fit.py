@@ -12,9 +12,10 @@ as plain columns:
   linear    x = [p | q | s | 1]
   diff      x = [p - s | q - s | s | 1]
   weighted  x = [a p | b q | s | 1], a and b the strengths of the parents
-The ``network`` kind (ReLU layers, softmax output) sums the gradients of bounded packs of
-rows with NumPy; a task adds up its packs of a key, so a key sends one vector per task, and these are
-added in Spark.
+The ``network`` kind (ReLU layers, softmax output) sums gradients with NumPy. A key of at most
+``local_fit.LOCAL_ROWS`` rows is fitted in the task that gets its rows, so its weights, which are larger than
+its rows, are never moved. Of a larger key the gradients of bounded packs of rows are summed; a task adds up
+its packs of a key, so a key sends one vector per task, and these are added in Spark.
 
 The parameters start at a fixed rule, so a fit is the same on every run.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize
-from . import sequence
+from . import local_fit, sequence
 
 DIM = 3
 INPUTS = 3 * DIM + 1
@@ -181,9 +182,11 @@ def _task_gradients(layers: tuple[int, ...], kind):
             keys, packs, weights = (batch.column(c) for c in ("key", "pack", "weights"))
             for n in range(batch.num_rows):
                 pack = packs[n].as_py()
-                x = np.array([[*r["p"], *r["q"], *r["s"]] for r in pack])
-                y = np.array([list(r["y"]) for r in pack])
+                x = np.array([[*r["p"], *r["q"], *r["s"]] for r in pack], dtype=float)
+                y = np.array([list(r["y"]) for r in pack], dtype=float)
                 train = np.array([r["is_train"] for r in pack], dtype=bool)
+                known = ~(np.isnan(x).any(axis=1) | np.isnan(y).any(axis=1))  # others add nothing
+                x, y, train = x[known], y[known], train[known]
                 key = keys[n].as_py()
                 new = network_gradient(weights[n].values.to_numpy(), x, y, train, layers)
                 if current and current[0] == key:
@@ -210,11 +213,50 @@ def _added(names: list[str]):
     return run
 
 
+def _fit_key(epochs: int, layers: tuple[int, ...], lr: float):
+    """All epochs over the rows of one key."""
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        columns, known = local_fit.numbers(table, local_fit.vector_columns(DIM))
+        train, val = local_fit.sides(table)
+        n_train, n_val = int(train.sum()), int(val.sum())
+        known &= train | val
+        x, y, on = columns[:3 * DIM, known].T, columns[3 * DIM:, known].T, train[known]
+        weights, losses = start_weights(layers), ([], [])
+        for _ in range(epochs):
+            grad, *sums = network_gradient(weights, x, y, on, layers)
+            weights = weights - lr / (DIM * max(n_train, 1)) * grad
+            for kept, total, n in zip(losses, sums, (n_train, n_val)):
+                kept.append(float(total) / (DIM * n) if n else None)
+        doubles = pa.list_(pa.float64())
+        return pa.table([table["key"].slice(0, 1), pa.array([n_train], pa.int64()), pa.array([n_val], pa.int64()),
+                         pa.array([weights], doubles), *(pa.array([kept], doubles) for kept in losses)],
+                        ["key", "n_train", "n_val", "weights", "train_loss", "val_loss"])
+    return run
+
+
 def fit_network(pairs: DataFrame, epochs: int, layers: Sequence[int] = (8,), lr: float = 0.5,
-                key: str = "user_id", pack_rows: int = PACK_ROWS) -> DataFrame:
+                key: str = "user_id", pack_rows: int = PACK_ROWS, most: int = local_fit.LOCAL_ROWS) -> DataFrame:
     """Fit a network per key. Returns key, n_train, n_val, weights array<double> (layer by layer,
-    rows with their bias last), train_loss and val_loss before each epoch's step."""
+    rows with their bias last), train_loss and val_loss before each epoch's step. Keys of more than ``most`` rows are
+    fitted by sums over all tasks. The result is a plan: written by who needs it twice."""
     layers = tuple(int(n) for n in layers)
+    order = ("normalized_posted_time", "comment_id")
+    rows, _, large = local_fit.split_by_size(pairs, key, DIM, order, most)
+    name = rows.schema["key"].dataType.simpleString()
+    fits = rows.select("key", "is_train", *local_fit.vector_columns(DIM)).groupBy("key").applyInArrow(
+        _fit_key(epochs, layers, float(lr)),
+        f"key {name}, n_train long, n_val long, weights array<double>, train_loss array<double>, val_loss array<double>")
+    fits = fits.withColumnRenamed("key", key)
+    if large is not None:
+        fits = fits.unionByName(_fit_network_by_passes(local_fit.vectors(large, key, DIM, order), epochs, layers, lr, key, pack_rows))
+    return fits
+
+
+def _fit_network_by_passes(pairs: DataFrame, epochs: int, layers: tuple[int, ...], lr: float, key: str, pack_rows: int) -> DataFrame:
+    """``fit_network`` with every epoch as sums over all tasks."""
     order = [F.col("normalized_posted_time").asc(), F.col("comment_id").desc()]
     rows = sequence.with_index(pairs, key, order, "_place")
     packs = materialize(

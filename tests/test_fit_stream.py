@@ -2,6 +2,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from forumlens.operators import fit
 
 
@@ -175,3 +177,25 @@ def test_a_retried_batch_adds_nothing_and_read_errors_stop(spark, tmp_path):
     for number in (0, 0, 1, 2):
         insert_batch(spark, df, number, sink)
     assert sorted(r.comment_id for r in read_sink(spark, sink.path).collect()) == [0, 1, 2, 3, 4, 5, 9]
+
+
+def test_network_fits_agree_whether_local_or_not(spark):
+    pairs = _pairs(spark, {1: 60, 2: 9, 3: 1}).selectExpr(
+        "*", "timestamp_ntz'2024-01-01 00:00:00' AS normalized_posted_time").withColumn(
+        "p", F.when(F.col("comment_id") == 5, F.array(F.lit(None).cast("double"), F.lit(0.5), F.lit(0.5))).otherwise(F.col("p")))
+    fits = [{r.user_id: r for r in fit.fit_network(pairs, 3, (6, 4), 1.0, most=most).collect()} for most in (0, 20, 1000)]
+    for got in fits[1:]:
+        assert got.keys() == fits[0].keys() == {1, 2, 3}
+        for user, r in got.items():
+            want = fits[0][user]
+            assert (r.n_train, r.n_val) == (want.n_train, want.n_val) and np.allclose(r.weights, want.weights)
+            for c in ("train_loss", "val_loss"):
+                assert [x is None for x in r[c]] == [x is None for x in want[c]]
+                assert np.allclose([x or 0 for x in r[c]], [x or 0 for x in want[c]])
+
+
+def test_a_network_s_weights_are_not_shuffled(spark):
+    """Before, the plan joined every user's weights and gradients, once per epoch."""
+    pairs = _pairs(spark, {1: 20, 2: 9}).selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS normalized_posted_time")
+    plan = fit.fit_network(pairs, 3, (6, 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 1
