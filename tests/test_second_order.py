@@ -82,3 +82,32 @@ def test_damped_step_solves_the_system():
     step = so.damped_step(half, g, add)
     for m, x, y, a in zip(full, step, g, add):
         assert np.allclose((m + a * np.eye(10)) @ x, y)
+
+
+@pytest.mark.parametrize("kind", ["linear", "diff", "weighted"])
+def test_local_and_distributed_fits_agree(spark, kind):
+    """Keys of at most ``most`` rows in one task, the larger one by aggregations; NULLs add nothing to a sum."""
+    pairs = _pairs(spark, {1: 40, 2: 7, 3: 90}).selectExpr(
+        "user_id", "comment_id", "IF(comment_id = 3, array(NULL, 0.5D, 0.5D), p) AS p", "q", "s",
+        "IF(comment_id = 4, array(0.1D, NULL, 0.2D), y) AS y", "a", "b", "split")
+    pairs = pairs.unionByName(pairs.where("user_id = 1").selectExpr("CAST(NULL AS BIGINT) AS user_id", *pairs.columns[1:]))
+    fits = [{r.user_id: r for r in so.fit_least_squares(pairs, 5, kind=kind, most=most).collect()} for most in (0, 50, 1000)]
+    for got in fits[1:]:
+        assert got.keys() == fits[0].keys() == {1, 2, 3}
+        for user, r in got.items():
+            want = fits[0][user]
+            assert (r.n_train, r.n_val) == (want.n_train, want.n_val)
+            assert np.allclose([r[f"t_{i}_{j}"] for i, j in CELLS], [want[f"t_{i}_{j}"] for i, j in CELLS], rtol=1e-7, atol=1e-8)
+            assert np.allclose(r.train_loss, want.train_loss) and np.allclose(r.val_loss, want.val_loss)
+
+
+def _jobs(spark, passes: int, pairs) -> int:
+    spark.sparkContext.setJobGroup(f"fit-{passes}", "")
+    so.fit_least_squares(pairs, passes).collect()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{passes}"))
+
+
+def test_more_passes_move_no_more_rows(spark):
+    """Every pass of a distributed fit has jobs of its own; a local one runs all passes in one."""
+    pairs = _pairs(spark, {1: 20, 2: 9})
+    assert _jobs(spark, 9, pairs) <= _jobs(spark, 2, pairs) + 1
