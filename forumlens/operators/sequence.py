@@ -77,14 +77,12 @@ def with_neighbours(df: DataFrame, keys, order: Sequence[Column], cols: Sequence
     (direction=+1) row of the same key; NULL at the sequence end."""
     keys, cols = _keys(keys), list(cols)
     rows, finish = _prepared(df, keys, order)
-    # One row per range: the last (looking back) or first (looking ahead) of the adjacent one.
-    ends = rows.groupBy(RANGE).agg(F.min(ROW).alias("_first"), F.max(ROW).alias("_last"))
-    mine, theirs = ("_first", "_last") if direction < 0 else ("_last", "_first")
-    shift = F.lag if direction < 0 else F.lead
-    borders = ends.select(RANGE, F.col(mine).alias("_at"), shift(theirs).over(Window.orderBy(RANGE)).alias("_edge"))
-    edge = rows.select(F.col(ROW).alias("_edge"), F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                                                           *cols).alias("_carry"))
-    carried = borders.join(edge, "_edge").select(RANGE, "_at", "_carry")
+    # One row per range: the last (looking back) or first (looking ahead) of the adjacent one. Written, so that
+    # it is known to be small and the rows are joined with it where they are.
+    carry = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *cols)
+    at, edge, shift = (F.min, F.max_by, F.lag) if direction < 0 else (F.max, F.min_by, F.lead)
+    ends = materialize(rows.groupBy(RANGE).agg(at(ROW).alias("_at"), edge(carry, ROW).alias("_edge")))
+    carried = ends.select(RANGE, "_at", shift("_edge").over(Window.orderBy(RANGE)).alias("_carry"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & (F.col("_carry")[f"_k{i}"] == F.col(k))

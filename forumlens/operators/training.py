@@ -75,6 +75,7 @@ def next_state_pairs(vectors: DataFrame, missing_parent=None, index: str | None
     from ..functions import arrays as A
 
     missing = A.zeros(3) if missing_parent is None else missing_parent
+    vectors = vectors.select("user_id", "comment_id", "normalized_posted_time", "article_vec", "parent_vec", "comment_vec")
     rows = sequence.ranged(vectors, "user_id", comment_order())
     if index:
         rows = sequence.with_index(rows, "user_id", comment_order(), index)
