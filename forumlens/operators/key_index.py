@@ -12,6 +12,7 @@ hash with odds of about n * n / 2 ** 129.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +46,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str],
-               literal_keys: int = LITERAL_KEYS) -> DataFrame:
-    """Stored keys and hashes that may equal one of ``wanted`` (with hash columns): all the equal ones are among them."""
-    stored = spark.read.parquet(path).select(HIGH, LOW, *keys)
+               literal_keys: int = LITERAL_KEYS, more: Sequence[str] = ()) -> DataFrame:
+    """Stored keys, hashes and columns ``more`` that may equal one of ``wanted`` (with hash columns): all the equal ones
+    are among them."""
+    stored = spark.read.parquet(path).select(HIGH, LOW, *keys, *more)
     asked = wanted.where(F.col(HIGH).isNotNull()).select(HIGH).distinct()
     few = [r[0] for r in asked.limit(literal_keys + 1).collect()]  # ``literal_keys`` numbers
     if len(few) > literal_keys:

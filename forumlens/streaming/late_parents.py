@@ -13,14 +13,16 @@ run one after the other, each over what is new to it:
 A batch arrives at the latest ``scraped_time`` seen so far, so arrival never runs backwards, no
 row is late for the watermark, and a stored row stays in the state only until the next arrival.
 Every batch also hands on one row without ids, so time passes for both sides of the join when nothing waits.
-Replies of one parent are spread over ``salts`` keys. Folders are numbered by batch and a retry
+Replies of one parent are spread over ``SALTS`` keys. The (parent, salt) pairs at which replies wait are kept in a
+second key index, and a stored row is handed to the join only at its pairs, so the state holds no more
+rows than replies that wait. A number ``salts`` instead hands every stored row to each of so many keys. Folders are numbered by batch and a retry
 overwrites its own; ids indexed twice by a retry change nothing.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import key_index
@@ -28,6 +30,8 @@ from ..operators import key_index
 SCRAPED = "comment_id long, parent_comment_id long, usable boolean, scraped_time timestamp"
 ROW = "comment_id long, parent_comment_id long, usable boolean, seen timestamp, _batch long"
 REPLY = "comment_id long, parent_comment_id long, seen timestamp, _batch long"
+WANTED = "comment_id long, salt int"
+PARENT = "comment_id long, salt int, seen timestamp, _batch long"
 ID = ["comment_id"]
 WAIT = "30 days"
 SLACK = "1 minute"     # keeps rows of the newest arrival on the near side of the watermark
@@ -49,11 +53,13 @@ class Threads:
 
 def create(spark: SparkSession, sink: Threads) -> None:
     """Empty tables, once: afterwards a read error is an error."""
-    for name, schema in (("rows", ROW), ("waiting", REPLY), ("links", REPLY), ("late", REPLY), ("missing", REPLY)):
+    for name, schema in (("rows", ROW), ("waiting", REPLY), ("parents", PARENT), ("links", REPLY), ("late", REPLY),
+                         ("missing", REPLY)):
         (spark.createDataFrame([], schema).drop("_batch").write.mode("ignore")
          .parquet(f"{sink.folder(name)}/_batch=-1"))
-    if not _exists(spark, sink.folder("ids")):
-        key_index.append_rows(spark.createDataFrame([], "comment_id long"), sink.folder("ids"), ID)
+    for name, schema in (("ids", "comment_id long"), ("wanted", WANTED)):
+        if not _exists(spark, sink.folder(name)):
+            key_index.append_rows(spark.createDataFrame([], schema), sink.folder(name), ID)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -72,6 +78,19 @@ def _by_index(spark: SparkSession, replies: DataFrame, sink: Threads, how: str)
     return replies.join(held, replies["parent_comment_id"] == held["_id"], how)
 
 
+def _salt(salts: int) -> Column:
+    return F.pmod(F.xxhash64("comment_id"), F.lit(salts)).cast("int")
+
+
+def _wanted(spark: SparkSession, rows: DataFrame, sink: Threads) -> DataFrame:
+    """Usable rows for which replies wait, once for each salt of such replies."""
+    usable = rows.where("usable AND comment_id IS NOT NULL").select("comment_id", "seen")
+    asked = usable.select("comment_id", *key_index.key_hashes(ID))
+    held = key_index.candidates(spark, sink.folder("wanted"), asked, ID, more=["salt"]).select(
+        F.col("comment_id").alias("_id"), "salt")
+    return usable.join(held, usable["comment_id"] == held["_id"]).select("comment_id", "salt", "seen").distinct()
+
+
 def store_batch(spark: SparkSession, batch: DataFrame, number: int, sink: Threads) -> None:
     """Store one micro-batch, link the replies whose parent is known, hand on the others."""
     earlier = (spark.read.schema(REPLY).parquet(sink.folder("waiting")).where(F.col("_batch") < number)
@@ -86,18 +105,27 @@ def store_batch(spark: SparkSession, batch: DataFrame, number: int, sink: Thread
     _write(_by_index(spark, replies, sink, "left_semi"), sink, "links", number)
     tick = arrival.select(F.lit(None).cast("long").alias("comment_id"),
                           F.lit(None).cast("long").alias("parent_comment_id"), "seen")
+    # Asked before this batch's own pairs are added: its replies are linked to its rows by the index.
+    # The time row of this side has an id, as a NULL would be dropped before the watermark, at a salt no reply has.
+    time = tick.select(F.lit(0).cast("long").alias("comment_id"), F.lit(-1).alias("salt"), "seen")
+    _write(_wanted(spark, rows, sink).unionByName(time), sink, "parents", number)
     _write(_by_index(spark, replies, sink, "left_anti").unionByName(tick), sink, "waiting", number)
+    waiting = spark.read.schema(REPLY).parquet(f"{sink.folder('waiting')}/_batch={number}").where("comment_id IS NOT NULL")
+    key_index.append_rows(waiting.select(F.col("parent_comment_id").alias("comment_id"), _salt(SALTS).alias("salt")).distinct(),
+                          sink.folder("wanted"), ID)
 
 
-def waiting_pairs(spark: SparkSession, sink: Threads, wait: str = WAIT, salts: int = SALTS) -> DataFrame:
+def waiting_pairs(spark: SparkSession, sink: Threads, wait: str = WAIT, salts: int | None = None) -> DataFrame:
     """Streaming join: waiting replies with ``found``, the parent that came, or NULL once the wait is over."""
     waiting = (spark.readStream.schema(REPLY).parquet(sink.folder("waiting")).drop("_batch")
-               .withWatermark("seen", SLACK)
-               .withColumn("salt", F.pmod(F.xxhash64("comment_id"), F.lit(salts)).cast("int")))
-    parents = (spark.readStream.schema(ROW).parquet(sink.folder("rows")).where("usable")
-               .select(F.col("comment_id").alias("found"), F.col("seen").alias("found_seen"))
-               .withWatermark("found_seen", SLACK)
-               .withColumn("found_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+               .withWatermark("seen", SLACK).withColumn("salt", _salt(salts or SALTS)))
+    if salts is None:
+        parents = spark.readStream.schema(PARENT).parquet(sink.folder("parents")).withColumnRenamed("salt", "found_salt")
+    else:
+        parents = (spark.readStream.schema(ROW).parquet(sink.folder("rows")).where("usable")
+                   .withColumn("found_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    parents = (parents.select(F.col("comment_id").alias("found"), "found_salt", F.col("seen").alias("found_seen"))
+               .withWatermark("found_seen", SLACK))
     return waiting.join(parents, (F.col("parent_comment_id") == F.col("found")) & (F.col("salt") == F.col("found_salt"))
                         & (F.col("found_seen") >= F.col("seen"))
                         & (F.col("found_seen") <= F.col("seen") + F.expr(f"INTERVAL {wait}")), "left_outer"
@@ -116,7 +144,7 @@ def settle_batch(spark: SparkSession, pairs: DataFrame, number: int, sink: Threa
         pairs.unpersist()
 
 
-def run(spark: SparkSession, source: str, path: str, wait: str = WAIT, salts: int = SALTS,
+def run(spark: SparkSession, source: str, path: str, wait: str = WAIT, salts: int | None = None,
         files_per_trigger: int = 100) -> list[dict]:
     """Process every file in ``source`` not yet seen, then stop. Returns the progress of the waiting stream."""
     sink = Threads(path)

@@ -95,3 +95,29 @@ def test_one_parent_of_most_replies(spark, salts):
     L.run(spark, source, sink, salts=salts)
     got = _threads(spark, sink)
     assert sum(p == 5000 for p in got.values()) == 666 and got[3] is None
+
+
+def test_only_parents_that_replies_wait_for_enter_the_state(spark):
+    """By default a stored row meets its waiting replies at their salts only; before, each went to all of them."""
+    source, sink = scratch_path(spark, "late-source"), scratch_path(spark, "late")
+    replies = [(k, 5000 if k % 3 else 6000 + k, True) for k in range(200)]
+    _send(spark, source, replies, 0)
+    first = L.run(spark, source, sink)
+    assert _state(first)[-1] == 200 + 2     # the replies, a tick on either side
+    _send(spark, source, [(5000, None, True), (6000, None, True), (6003, None, False)]
+          + [(k, None, True) for k in range(7000, 7300)], 1)
+    second = L.run(spark, source, sink)
+    assert max(_state(second)) <= 200 + 4 + L.SALTS + 1
+    got = _threads(spark, sink)
+    assert sum(p == 5000 for p in got.values()) == 133 and got[0] == 6000 and got[3] is None
+    late = spark.read.schema(L.REPLY).parquet(f"{sink}/late").where("comment_id IS NOT NULL")
+    assert late.count() == 134 and late.select("comment_id").distinct().count() == 134
+
+
+def test_the_wait_ends_when_no_stored_row_is_waited_for(spark):
+    source, sink = scratch_path(spark, "late-source"), scratch_path(spark, "late")
+    for day, wave in [(0, [(1, 100, True)]), (8, [(9, None, True)]), (9, [(10, None, True)]), (10, [(100, None, True)])]:
+        _send(spark, source, wave, day)
+        progress = L.run(spark, source, sink, wait="5 days")
+    assert _missing(spark, sink) == [1] and _threads(spark, sink) == {1: None, 9: None, 10: None, 100: None}
+    assert _state(progress)[-1] == 3 + 2     # a tick an arrival of the last 5 days, the last parent and its tick
