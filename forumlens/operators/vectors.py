@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from .training import left_join_keyed
+from .word_chunks import TOKEN_SPLIT, word_sums
 
 # The label orders of the two vector tables.
 SENTIMENT_LABELS = ("positive", "neutral", "negative")
@@ -40,25 +40,11 @@ def in_label_order(labels_col: str, scores_col: str, order) -> Column:
 # and joined, so there is no vocabulary x class product. Probabilities are the
 # softmax of the scores, in the given label order.
 
-TOKEN_SPLIT = "[^0-9a-zà-ɏ]+"
-
-
 def tokens(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
 
 
-def term_counts(text) -> Column:
-    """array<struct<w, tf>>: the distinct tokens of a text with their counts, by sorting inside the row."""
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i] != F.get(s, i - 1)))
-        return let(first, lambda at: F.zip_with(
-            at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))),
-            lambda a, b: F.struct(s[a].alias("w"), (b - a).alias("tf"))))
-    empty = F.array().cast("array<struct<w:string,tf:int>>")
-    return let(F.array_sort(tokens(text)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
-
-
 def fit_naive_bayes(train: DataFrame, text: str, label: str, labels=None) -> dict[str, DataFrame]:
     """Fit the scorer: token counts per class, class priors and normalisers.
 
@@ -98,19 +84,14 @@ def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, Dat
                       labels, out: str = "vec") -> DataFrame:
     """Probability vector over ``labels`` per row of ``docs``; NULL text -> NULL vector.
 
-    One join of the documents' token counts with the per-token table and one
-    aggregation per document; the per-class constants come as one broadcast row.
+    The words of each chunk of documents are joined with the per-token table and summed per
+    document; the per-class constants come as one broadcast row.
     """
     labels = list(labels)
     words = model.get("words")
     if words is None:
         words = word_table(model["counts"], labels)
-    # tokens are counted inside the row, so a document sends one row per distinct token
-    toks = docs.select(key, F.inline(term_counts(text)))
-    sums = (toks.join(words, "w")
-                .groupBy(key)
-                .agg(F.sum("tf").alias("n_d"),
-                     *[F.sum(F.col("tf") * F.col("lw")[i]).alias(f"_p{i}") for i in range(len(labels))]))
+    sums = word_sums(docs, key, text, words.select("w", F.col("lw").alias("v")), len(labels))
     cls = model["classes"]
     row = cls.agg(*[F.max(F.when(F.col("label") == x, F.col("prior"))).alias(f"_prior{i}")
                     for i, x in enumerate(labels)],
@@ -118,8 +99,8 @@ def score_naive_bayes(docs: DataFrame, key: str, text: str, model: dict[str, Dat
                     for i, x in enumerate(labels)]).withColumn("_one", F.lit(1))
     present = (docs.where(F.col(text).isNotNull()).select(key).join(sums, key, "left")
                    .withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one"))
-    n_d = F.coalesce(F.col("n_d"), F.lit(0))
-    scores = F.array(*[F.col(f"_prior{i}") - n_d * F.col(f"_norm{i}") + F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
+    n_d = F.coalesce(F.col("n"), F.lit(0))
+    scores = F.array(*[F.col(f"_prior{i}") - n_d * F.col(f"_norm{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0))
                        for i in range(len(labels))])
     from ..functions.arrays import softmax
     probs = present.select(key, scores.alias("_scores")).select(key, softmax("_scores").alias(out))
@@ -153,7 +134,8 @@ def vectorize_training_rows(rows: DataFrame, articles: DataFrame, comments: Data
     a row is scored once), and the vectors are joined back by id. No shuffle
     carries an article text once per comment.
     """
-    ids = rows.select("comment_id", "user_id", "article_id", "parent_comment_id")
+    from ..session import materialize
+    ids = materialize(rows.select("comment_id", "user_id", "article_id", "parent_comment_id"))  # read four times
     used_articles = ids.select("article_id").distinct()
     used_comments = (ids.select("comment_id")
                         .unionByName(ids.select(F.col("parent_comment_id").alias("comment_id"))
@@ -163,7 +145,6 @@ def vectorize_training_rows(rows: DataFrame, articles: DataFrame, comments: Data
     com = comments.select("comment_id", "comment_content").join(used_comments, "comment_id", "left_semi")
     a_vec = score_naive_bayes(art, "article_id", "article_content", model, labels, "article_vec")
     # comment vectors are looked up twice (as the row and as the parent): written once
-    from ..session import materialize
     c_vec = materialize(score_naive_bayes(com, "comment_id", "comment_content", model, labels, "vec"))
     return (ids.join(a_vec, "article_id", "left")
                .join(c_vec.withColumnRenamed("vec", "comment_vec"), "comment_id", "left")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import softmax
 from ..session import materialize
-from .vectors import term_counts, tokens
+from . import word_chunks
 
 CONTEXTS = 400
 WINDOW = 2
@@ -33,24 +33,13 @@ SHARPNESS = 20.0
 
 def frequent_words(texts: DataFrame, text: str, n: int) -> list[str]:
     """The ``n`` most frequent words, ties in code-point order."""
-    counted = texts.select(F.inline(term_counts(text))).groupBy("w").agg(F.sum("tf").alias("n"))
+    counted = word_chunks.word_counts(texts, text)
     return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(n).collect()]
 
 
 def cooccurrences(texts: DataFrame, text: str, contexts: Sequence[str], window: int = WINDOW) -> DataFrame:
     """w, c (number of the context word), n: how often they stand within ``window`` tokens."""
-    words = texts.select(tokens(text).alias("t")).where(F.size("t") > 1)
-    pairs = None
-    for gap in range(1, window + 1):
-        near = words.select(F.explode(F.arrays_zip(
-            F.expr(f"slice(t, 1, greatest(size(t) - {gap}, 0))").alias("a"),
-            F.expr(f"slice(t, {gap + 1}, greatest(size(t) - {gap}, 0))").alias("b"))).alias("p"))
-        for one, other in (("a", "b"), ("b", "a")):
-            side = near.select(F.col(f"p.{one}").alias("w"), F.col(f"p.{other}").alias("x"))
-            pairs = side if pairs is None else pairs.union(side)
-    numbers = texts.sparkSession.createDataFrame([(c, n) for n, c in enumerate(contexts)], "x string, c int")
-    # The context words are at most as many as the parameter says.
-    return pairs.join(F.broadcast(numbers), "x").groupBy("w", "c").agg(F.count(F.lit(1)).alias("n"))
+    return word_chunks.beside_contexts(texts, text, contexts, window)
 
 
 def information(counts: DataFrame) -> DataFrame:
@@ -156,8 +145,7 @@ def score_zero_shot(docs: DataFrame, key: str, text: str, labels: Mapping[str, S
     rows = information(cooccurrences(corpus, text, frequent, window))
     directions = leading_directions(rows, max(1, len(frequent)), dims, turns)
     likeness = rows.mapInArrow(_cosines(directions, label_vectors(rows, directions, labels)), "w string, cos array<double>")
-    sums = (docs.select(key, F.inline(term_counts(text))).join(likeness, "w").groupBy(key)
-            .agg(F.sum("tf").alias("_n"), *[F.sum(F.col("tf") * F.col("cos")[i]).alias(f"_c{i}") for i in range(len(labels))]))
-    mean = F.array(*[F.coalesce(sharpness * F.col(f"_c{i}") / F.col("_n"), F.lit(0.0)) for i in range(len(labels))])
+    sums = word_chunks.word_sums(docs, key, text, likeness.select("w", F.col("cos").alias("v")), len(labels))
+    mean = F.array(*[F.coalesce(sharpness * F.col(f"s{i}") / F.col("n"), F.lit(0.0)) for i in range(len(labels))])
     known = docs.where(F.col(text).isNotNull()).select(key).join(sums, key, "left").select(key, mean.alias("_l"))
     return docs.select(key).join(known.select(key, softmax("_l").alias(out)), key, "left")

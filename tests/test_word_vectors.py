@@ -87,3 +87,41 @@ def test_accuracy_without_labels(spark):
 
 def test_empty_corpus(spark):
     assert W.score_zero_shot(_frame(spark, TEXTS).limit(0), "k", "text", {"a": ("x",)}).collect() == []
+
+
+def test_words_by_chunk_are_those_of_each_text(spark, monkeypatch):
+    """Counts, neighbours and sums per chunk against plain Python over the tokens of Spark."""
+    from collections import Counter
+
+    from forumlens.operators import vectors, word_chunks
+
+    rows = [(1, "The cat, the CAT ran. İstanbul Straße ÉTÉ"), (2, ""), (3, None), (4, "..."), (5, "cat 12 " * 40),
+            (5, "ran cat"), (None, "the cat"), (6, "ωΣ ran Kelvin")]
+    docs = spark.createDataFrame(rows, "k long, t string")
+    tokens = [(r.k, r.w) for r in docs.select("k", vectors.tokens("t").alias("w")).collect() if r.w is not None]
+    want = Counter(w for _, ws in tokens for w in ws)
+    assert {r.w: r.n for r in word_chunks.word_counts(docs, "t").collect()} == want
+    near = Counter()
+    for _, ws in tokens:
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - 2), min(len(ws), i + 3)):
+                if j != i and ws[j] in ("cat", "ran"):
+                    near[w, ("cat", "ran").index(ws[j])] += 1
+    got = word_chunks.beside_contexts(docs, "t", ["cat", "ran"], 2).collect()
+    assert {(r.w, r.c): r.n for r in got} == near
+    table = spark.createDataFrame([("cat", [1.0, 0.5]), ("ran", [2.0, -1.0]), ("none", [9.0, 9.0])], "w string, v array<double>")
+    sums = {r.k: (r.n, r.s0, r.s1) for r in word_chunks.word_sums(docs, "k", "t", table, 2).collect()}
+    assert sums == {1: (3, 4.0, 0.0), 5: (42, 43.0, 19.5), None: (1, 1.0, 0.5), 6: (1, 2.0, -1.0)}
+
+
+def test_pieces_hold_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    from forumlens.operators import word_chunks
+
+    monkeypatch.setattr(word_chunks, "CHUNK_BYTES", 10)
+    texts = ["a" * n for n in (3, 0, 4, 25, 10, 1, 9, 9, 2, 0)]
+    batches = [pa.RecordBatch.from_pylist([{"_t": t} for t in part]) for part in (texts[:4], texts[4:5], texts[5:])]
+    got = [p["_t"].to_pylist() for p in word_chunks.pieces(batches)]
+    assert [t for p in got for t in p] == texts
+    assert all(len(p) == 1 or sum(map(len, p)) <= 10 for p in got) and len(got) < len(texts)
