@@ -36,7 +36,7 @@ LETTERS = "a-zªµºß-öø-ſ"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = " \t\n\v\f\r\x85\xa0"
 PIECES = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+    f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACES}{LETTERS}{NUMBERS}]+")
 SIMPLE = re.compile("[\0-įı-ſ]*")
 
 
@@ -67,9 +67,10 @@ class TextEncoder:
     """The library's ids of a text as little-endian 32-bit bytes.
 
     The vocabulary drops white space, and no piece spans it, so a text's ids are
-    those of its blank-separated words in a row. Repeated words come from a memo; a
-    new word's pieces go through the library's BPE model, or, where the word holds
-    characters outside U+017F or a special token, through its full pipeline.
+    those of its lower-case pieces in a row, which come from a memo or, if new, from
+    the library's BPE model. A text with characters outside U+017F or a special
+    token is taken by its blank-separated words, also from a memo; those of its words
+    that hold such characters go through the library's full pipeline.
     """
 
     def __init__(self, path: str):
@@ -85,17 +86,23 @@ class TextEncoder:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def _piece(self, piece: str) -> bytes:
-        shown = "".join(map(self.alphabet.__getitem__, piece.encode()))
+        # Visible ASCII characters stand for themselves in the byte alphabet.
+        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
         return self._pack(t.id for t in self.model.tokenize(shown))
 
+    def _simple(self, text: str) -> bytes | None:
+        if "<|" in text or not (text.isascii() or SIMPLE.fullmatch(text)):
+            return None
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        found = self._simple(text)
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if found is None else found
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        found = self._simple(text.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, text.split())) if found is None else found
 
 
 @lru_cache(maxsize=2)

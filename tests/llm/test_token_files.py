@@ -8,7 +8,7 @@ import pytest
 from llm_tables import docs  # noqa: F401
 
 from forumlens.llm.queries import vocabulary_path
-from forumlens.llm.token_files import encoder, token_digest, tokens_of, write_token_files
+from forumlens.llm.token_files import TextEncoder, encoder, token_digest, tokens_of, write_token_files
 
 TEXTS = [
     None, "", "   \n\t ", "Hello, world's best!", "ÀÉÎ straße ªº µm ² ¼ 12345", "don't we'll I'M you'Re",
@@ -75,3 +75,14 @@ def test_file_format(spark, docs, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     files = write_token_files(docs([]), str(tmp_path / "t"), vocabulary_path())
     assert token_digest(files).collect() == []
+
+
+def test_case_and_punctuation_make_no_new_pieces(library):
+    enc = TextEncoder(vocabulary_path())
+    words = ["alpha", "beta", "gamma's", "straße"]
+    forms = [f(w) + end for w in words for f in (str.lower, str.upper, str.title) for end in ("", ".", ",", "!", ")", "?\"")]
+    text = " \n".join(forms)
+    assert np.frombuffer(enc.encode(text.encode()), "<u4").tolist() == ids_of(library, text)
+    assert not enc.words and len(enc.pieces) < len(forms) / 3  # the memo of a text holds pieces, not all forms of its words
+    mixed = text + " 中文 <|endoftext|>"
+    assert np.frombuffer(enc.encode(mixed.encode()), "<u4").tolist() == ids_of(library, mixed)
