@@ -14,11 +14,13 @@ occurrences to become a state, as a word seen once tells no distribution. How it
    with the chunk's vocabulary of 64-bit word hashes, bucketed by chunk.
 2. For each context length, a chunk sends its distinct grams with their occurrences in training texts
    to buckets of the hash; a bucket sums them and returns the totals to the chunks that asked. Only
-   grams whose context may be a state are sent, and none that ends with a gram of which this is
-   the only place. A gram comes once from a chunk, so a frequent one is no hot key.
+   grams whose context may be a state are sent, and none that begins or ends with a gram that this
+   chunk alone has. A gram comes once from a chunk, so a frequent one is no hot key. Pairs and longer
+   grams but the longest go in two halves of the hashes, so that half is on disk at a time.
 3. The divergence of a context is a sum over its occurrences, so chunks send partial sums and get back
-   whether it is retained. Scores are then worked out inside the chunk. Every exchange is written
-   before the next, and its shuffle files are freed.
+   whether it is retained; a context goes by its rank in its bucket, returned with its count. Scores are
+   then worked out inside the chunk. Answers move once, to a table bucketed as the chunks are, and the
+   shuffle files of an exchange are freed after it.
 
 Nothing is gathered by the driver but two numbers, the training tokens and distinct words. Hashes
 travel as compressed byte planes of their sorted differences.
@@ -254,18 +256,27 @@ class Model:
         self.divergence, self.strength = divergence, strength
         self.tokens = self.words = 0
 
-    @property
-    def steps(self) -> int:
-        """Exchanges: the counts of words, then the counts and the states of each context length."""
-        return 2 * self.max_context + 1
+    def step(self, number: int) -> dict:
+        """What an exchange asks for, kind -> half of the hashes (None: all): counts of grams, "c", and
+        divergences of contexts, "s", by length. Large ones go in halves, so that half is on disk at a time."""
+        steps = [{"c0": None}]
+        for k in range(1, self.max_context + 1):
+            last = {f"s{k - 1}": None} if k > 1 else {}
+            if k == self.max_context and k > 1:
+                steps += [last, {f"c{k}": None}]
+            else:
+                steps += [last | {f"c{k}": 0}, {f"c{k}": 1}]
+        if self.max_context:
+            steps.append({f"s{self.max_context}": None})
+        return steps[number] if number < len(steps) else {}
 
     def root(self, counts):
         return (counts + SMOOTHING) / (self.tokens + SMOOTHING * (self.words + 1))
 
 
 def work(row: dict, returned: dict, step: int, model: Model):
-    """What a chunk asks of the buckets in a step, as (kind, sorted hashes, values); after the last
-    step ``(tokens, known, base score, score)`` of its texts."""
+    """What a chunk asks of the buckets in a step, as (kind, sorted hashes, what a bucket knows them by, values);
+    after the last step ``(tokens, known, base score, score)`` of its texts."""
     import numpy as np
 
     words, ids = unpack(row["words"], "<u8"), unpack(row["ids"], "<u4")
@@ -274,7 +285,7 @@ def work(row: dict, returned: dict, step: int, model: Model):
     train = np.repeat(~np.array(row["held"], dtype=bool), sizes)
     first = np.zeros(len(ids), dtype=bool)
     first[starts] = True
-    requests, gram, retained = [], words[ids], None
+    wanted, requests, gram, retained = model.step(step), [], words[ids], None
     for k in range(model.max_context + 1):
         # gram: hash of the k + 1 words up to a token; live: its first k words may be a state.
         if k == 0:
@@ -282,25 +293,37 @@ def work(row: dict, returned: dict, step: int, model: Model):
             single = np.zeros(len(ids), dtype=bool)
             keys, which = distinct(words)
             which = which[ids]
+            own = np.zeros(len(keys), dtype=bool)
         else:
-            before = keys, place
+            before = keys, place, own, sums
             n = _before(counts)
             live = ~first & (n >= model.min_count)
             if k == model.max_context and k > 1:
                 live &= retained  # else these grams are still asked for as contexts
-            # The only place of a gram, in a training text, is the only one of a longer gram that ends with it.
-            single |= (counts == 1) & ~elsewhere
+            # The only place of a gram is the only one of a longer gram that ends with it.
+            single |= lone
             asked = np.flatnonzero(live & ~single)
             gram = joined(_before(gram), words[ids]) & np.uint64(GRAM_BITS)
             keys, which = distinct(gram[asked])
-        if step == max(0, 2 * k - 1):
-            mine = train[asked]
-            held = np.bincount(which[~mine], minlength=len(keys)) > 0
-            requests.append((f"c{k}", keys, (2 * np.bincount(which[mine], minlength=len(keys)) + held).astype("<u4")))
+            # A gram that begins or ends with one that only this chunk has is counted here.
+            own = np.zeros(len(keys), dtype=bool)
+            own[which] = (inside | _before(inside))[asked]
+        sums = np.bincount(which[train[asked]], minlength=len(keys))
+        if f"c{k}" in wanted:
+            asks, half = ~own, wanted[f"c{k}"]
+            if half is not None:
+                asks &= keys >> np.uint64(63) == half
+            requests.append((f"c{k}", keys[asks], keys[asks], sums[asks].astype("<u4")))
             break
-        totals = returned[f"c{k}"].astype(np.int64)[which]
-        counts, elsewhere = np.where(live & single, 1, 0), np.zeros(len(ids), dtype=bool)
-        counts[asked], elsewhere[asked] = totals >> 1, (totals & 1).astype(bool)
+        totals = returned[f"c{k}"].astype(np.int64)
+        sums[~own] = totals >> 1
+        own[~own] = (totals & 1) == 0
+        counts = np.where(live & single, train, 0)
+        counts[asked] = sums[which]
+        # inside: the gram is in this chunk only; lone: at this place only.
+        inside, lone = live & single, np.zeros(len(ids), dtype=bool)
+        inside[asked] = own[which]
+        lone[asked] = (own & (np.bincount(which, minlength=len(keys)) == 1))[which]
         # The place of every token's gram among the keys (-1: none).
         place = np.full(len(ids), -1, dtype=which.dtype)
         place[asked] = which
@@ -310,28 +333,40 @@ def work(row: dict, returned: dict, step: int, model: Model):
             continue
         # Contexts whose suffix is a state (the root is one) and their share of the divergence.
         at = np.flatnonzero(live if retained is None else live & retained)
-        contexts, which = before[0], before[1][at - 1]
+        contexts, which, own_before, sums_before = before[0], before[1][at - 1], *before[2:]
         used = np.zeros(len(contexts), dtype=bool)
         used[which] = True
-        states, which = contexts[used], (np.cumsum(used) - 1)[which]
-        if step == 2 * k:
-            mine = train[at]
-            seen, weight = at[mine], model.strength * chance[at[mine]]
-            gain = np.log((counts[seen] - 1 + weight) * model.strength / ((n[seen] - 1 + model.strength) * weight))
-            requests.append((f"s{k}", states, np.bincount(which[mine], gain, len(states)).astype("<f4")))
+        which, local, total = (np.cumsum(used) - 1)[which], own_before[used], sums_before[used]
+        # Next to a word seen once every occurrence gains log(c - 1 + weight) - log(weight): nothing for one seen
+        # once. The context's gain reaches the divergence where these reach its need.
+        need = model.divergence + total * np.log1p((total - 1) / model.strength)
+        local |= need <= 0
+        # The shares of contexts that other chunks have as well are sent, in their step; the others are summed here.
+        mine = train[at] & (local[which] ^ (f"s{k}" in wanted)) & (counts[at] > 1)
+        seen, weight = at[mine], model.strength * chance[at[mine]]
+        shares = np.bincount(which[mine], np.log1p((counts[seen] - 1) / weight), len(need))
+        if f"s{k}" in wanted:
+            ranks = np.zeros(len(contexts), dtype="<u4")
+            ranks[~own_before & (sums_before >= model.min_count)] = returned["ranks"]
+            requests.append((f"s{k}", contexts[used][~local], ranks[used][~local], (shares / need)[~local].astype("<f4")))
+            if f"c{k + 1}" in wanted:  # with no need of the states
+                continue
             break
+        state = shares >= need
+        state[~local] = returned[f"s{k}"].astype(bool)
         retained = np.zeros(len(ids), dtype=bool)
-        retained[at] = returned[f"s{k}"][which].astype(bool)
+        retained[at] = state[which]
         longer = (counts + model.strength * chance) / (n + model.strength)
         chance = np.where(retained, longer, chance)
-    if step < model.steps:
+    if wanted:
         return requests
     logs = [np.add.reduceat(np.log10(p), starts) for p in (base, chance)]
     return sizes, np.add.reduceat(known.astype(np.int64), starts), *logs
 
 
-REQUEST = "kind string, bucket int, chunk long, hashes binary, amounts binary"
-RETURN = "chunk long, kind string, bucket int, amounts binary, n_words long"
+LAST = 1 << 20  # a step after all exchanges
+REQUEST = "kind string, bucket int, chunk long, names binary, amounts binary"
+RETURN = "chunk long, kind string, bucket int, amounts binary, ranks binary, n_words long"
 
 
 def _requests(step: int, model: Model, bits: int):
@@ -341,53 +376,67 @@ def _requests(step: int, model: Model, bits: int):
 
         row = rows.to_pylist()[0]
         out = []
-        for kind, hashes, amounts in work(row, _arrays(returned), step, model):
+        for kind, hashes, names, amounts in work(row, _arrays(returned, model.step(step)), step, model):
             cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             for bucket, (low, high) in enumerate(zip(cuts.tolist(), cuts.tolist()[1:])):
                 if low < high:
-                    mine = hashes[low:high]
+                    mine = names[low:high]
                     deltas = np.concatenate([mine[:1], mine[1:] - mine[:-1]])
                     out.append((kind, bucket, row["chunk"], pack(deltas), pack(amounts[low:high])))
         columns = zip(*out) if out else [[]] * 5
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "bucket", "chunk", "hashes", "amounts"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "bucket", "chunk", "names", "amounts"])
     return run if step else lambda rows: run(rows, None)
 
 
-def _arrays(returned) -> dict:
-    """kind -> what all buckets returned, in order of the hash."""
+def _arrays(returned, wanted: dict) -> dict:
+    """kind -> what all buckets returned, in order of the hash; ranks: those of the contexts wanted."""
     import numpy as np
 
     found: dict[str, list] = {}
     if returned is not None:
-        for row in sorted(returned.select(["kind", "bucket", "amounts"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"])):
-            found.setdefault(row["kind"], []).append(unpack(row["amounts"], "<u8" if row["kind"][0] == "c" else "u1"))
-    empty = {f"{c}{k}": np.empty(0, np.int64) for c in "cs" for k in range(10)}
+        columns = ["kind", "bucket", "amounts", "ranks"]
+        for row in sorted(returned.select(columns).to_pylist(), key=lambda r: (r["kind"], r["bucket"])):
+            kind = row["kind"]
+            found.setdefault(kind, []).append(unpack(row["amounts"], "<u8" if kind[0] == "c" else "u1"))
+            if kind[0] == "c" and f"s{int(kind[1:]) + 1}" in wanted:
+                found.setdefault("ranks", []).append(np.cumsum(unpack(row["ranks"], "<u4"), dtype="<u4"))
+    empty = {f"{c}{k}": np.empty(0, np.int64) for c in "cs" for k in range(10)} | {"ranks": np.empty(0, np.uint32)}
     return empty | {kind: np.concatenate(parts) for kind, parts in found.items()}
 
 
-def _totals(divergence: float):
+def _totals(model: Model):
     def run(rows):
         import numpy as np
         import pyarrow as pa
 
         asked = sorted(rows.to_pylist(), key=lambda r: r["chunk"])  # sums of doubles in the same order on every run
         kind = asked[0]["kind"]
-        hashes = [np.cumsum(unpack(r["hashes"], "<u8")) for r in asked]
-        amounts = np.concatenate([unpack(r["amounts"], "<u4" if kind[0] == "c" else "<f4") for r in asked])
-        keys, which = distinct(np.concatenate(hashes))
-        if kind[0] == "c":  # twice the occurrences in training texts, plus one if there are others
-            sums = np.bincount(which, amounts >> 1, len(keys)).astype("<u8")
-            answer = 2 * sums + (np.bincount(which, amounts & 1, len(keys)) > 0).astype("<u8")
+        counted = kind[0] == "c"
+        names = [np.cumsum(unpack(r["names"], "<u8" if counted else "<u4")) for r in asked]
+        amounts = np.concatenate([unpack(r["amounts"], "<u4" if counted else "<f4") for r in asked])
+        cuts = np.cumsum([len(n) for n in names])[:-1]
+        ranks = [b""] * len(asked)
+        if counted:  # twice the occurrences in training texts, plus one if several chunks have the gram
+            keys, which = distinct(np.concatenate(names))
+            sums = np.bincount(which, amounts, len(keys)).astype("<u8")
+            shared = np.bincount(which, minlength=len(keys)) > 1
+            answer = 2 * sums + shared.astype("<u8")
+            if kind != f"c{model.max_context}":  # shared contexts are asked for again, by their rank among all here
+                context = shared & (sums >= model.min_count)
+                rank = np.cumsum(context, dtype="<u4")
+                mine = (rank[w[context[w]]] for w in np.split(which, cuts))
+                ranks = [pack(np.diff(m, prepend=m.dtype.type(0))) for m in mine]
         else:
-            sums = np.bincount(which, amounts, len(keys))
-            answer = (sums >= divergence).astype("u1")
-        cuts = np.cumsum([len(h) for h in hashes])[:-1]
+            which = np.concatenate(names)
+            sums = np.bincount(which, amounts)
+            answer = (sums >= 1).astype("u1")
         n_words = [int((sums > 0).sum())] + [0] * (len(asked) - 1)
         return pa.table([pa.array([r["chunk"] for r in asked], pa.int64()), pa.array([kind] * len(asked), pa.string()),
                          pa.array([r["bucket"] for r in asked], pa.int32()),
                          pa.array([pack(answer[w]) for w in np.split(which, cuts)], pa.binary()),
-                         pa.array(n_words, pa.int64())], ["chunk", "kind", "bucket", "amounts", "n_words"])
+                         pa.array(ranks, pa.binary()), pa.array(n_words, pa.int64())],
+                        ["chunk", "kind", "bucket", "amounts", "ranks", "n_words"])
     return run
 
 
@@ -396,27 +445,30 @@ def _scores(model: Model, schema):
         import pyarrow as pa
 
         row = rows.to_pylist()[0]
-        sizes, known, base, score = work(row, _arrays(returned), model.steps, model)
+        sizes, known, base, score = work(row, _arrays(returned, {}), LAST, model)
         return pa.table([rows["keys"].combine_chunks().flatten(), pa.array(row["held"], pa.bool_()), pa.array(sizes, pa.int64()),
                          pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
                         schema.names)
     return run
 
 
-def _exchanged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written; its plan runs this once, so its shuffle files go with it."""
-    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _returned(answers: DataFrame, name: str, buckets: int) -> DataFrame:
+    """All answers so far, with these added: they move to their chunk's bucket once, and no later step
+    moves them. The plan runs this once, so its shuffle files go with it."""
+    spark = answers.sparkSession
+    conf, setting = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(setting, "false")
     conf.set(setting, "true")
     try:
-        return written(df, name)
+        (answers.repartition(buckets, "chunk").write.mode("append").bucketBy(buckets, "chunk")
+         .option("compression", "zstd").saveAsTable(name))
     finally:
         conf.set(setting, before)
+    return spark.table(name)
 
 
-def token_chunks(rows: DataFrame, name: str, chunk_tokens: int) -> DataFrame:
-    """Texts (key, __held, __text) as a table of chunks, bucketed by chunk into as many buckets as a shuffle
-    has partitions, so that no join with it moves it."""
+def token_chunks(rows: DataFrame, name: str, chunk_tokens: int, buckets: int) -> DataFrame:
+    """Texts (key, __held, __text) as a table of chunks, bucketed by chunk, so that no join with it moves it."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = rows.sparkSession
@@ -424,7 +476,7 @@ def token_chunks(rows: DataFrame, name: str, chunk_tokens: int) -> DataFrame:
     schema = (f"chunk long, keys array<{key_type.simpleString()}>, held array<boolean>, sizes array<long>, "
               "words binary, ids binary, n long, n_train long")
     chunks = rows.mapInArrow(_chunks(to_arrow_type(key_type), chunk_tokens), schema)
-    (chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    (chunks.write.bucketBy(buckets, "chunk")
      .option("compression", "zstd").saveAsTable(name))
     return spark.table(name)
 
@@ -444,28 +496,32 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held=N
     rows = docs.select(F.col(key).alias("key"), (held_out(key) if held is None else held).alias("__held"),
                        text_bytes(text).alias("__text"))
     model = Model(max_context, min_count, divergence, strength)
-    name = f"suffix_tree_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"suffix_tree_{part}_{uuid.uuid4().hex}" for part in ("chunks", "returned")]
     try:
-        chunks = token_chunks(rows, name, chunk_tokens)
+        chunks = token_chunks(rows, names[0], chunk_tokens, buckets)
         total, model.tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
         bits = max(4, (total // bucket_tokens).bit_length())
         returned = None
-        for step in range(model.steps):
+        step = 0
+        while model.step(step):
             groups = chunks.groupBy("chunk")
             if returned is None:
                 asked = groups.applyInArrow(_requests(step, model, bits), REQUEST)
             else:
                 asked = groups.cogroup(returned.groupBy("chunk")).applyInArrow(_requests(step, model, bits), REQUEST)
-            answers = _exchanged(asked.groupBy("kind", "bucket").applyInArrow(_totals(divergence), RETURN), "suffix-tree-counts")
+            answers = asked.groupBy("kind", "bucket").applyInArrow(_totals(model), RETURN)
+            returned = _returned(answers, names[1], buckets)
             if step == 0:
-                model.words = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-            returned = answers if returned is None else returned.union(answers)
+                model.words = returned.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+            step += 1
         schema = T.StructType([rows.schema["key"], *(T.StructField(n, t) for n, t in (
             ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()),
             ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
-        scored = _exchanged(chunks.groupBy("chunk").cogroup(returned.groupBy("chunk"))
+        scored = written(chunks.groupBy("chunk").cogroup(returned.groupBy("chunk"))
                          .applyInArrow(_scores(model, schema), schema), "suffix-tree-scores")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known",
                          F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -153,3 +153,52 @@ def test_planes_and_distinct():
         keys, which = distinct(values)
         want = np.unique(values, return_inverse=True)
         assert keys.tolist() == want[0].tolist() and which.tolist() == want[1].tolist()
+
+
+def test_exchanges_are_small_and_move_once(spark, docs, monkeypatch):
+    """No exchange asks for more than half of the word pairs, and no step moves what earlier ones returned."""
+    plans = []
+    work, returned = S.work, S._returned
+    rows = corpus(11)
+
+    texts = [t for _, t in rows]
+    hashes, sizes = text_hashes([(t or "").encode() for t in texts])
+    words, ids = distinct(hashes)
+    row = {"words": pack(words), "ids": pack(ids.astype("<u4")), "sizes": sizes.tolist(), "held": [held(k) for k, _ in rows]}
+    model = S.Model(3, 3, 2.0, 20.0)
+    model.tokens, model.words = len(ids), len(words)
+    counts = np.bincount(ids[~np.repeat(row["held"], sizes)], minlength=len(words))
+    back = {"c0": 2 * counts + 1, "ranks": np.empty(0, np.uint32)}
+    halves = []
+    for step in range(1, 3):
+        (kind, found, names, amounts), = work(row, back, step, model)
+        assert kind == "c1" and len(found) == len(names) == len(amounts)
+        halves.append(found)
+    assert (halves[0] >> np.uint64(63) == 0).all() and (halves[1] >> np.uint64(63) == 1).all()
+    assert len(halves[0]) and len(halves[1]) and max(map(len, halves)) < 0.7 * sum(map(len, halves))
+
+    def seen(answers, name, buckets):
+        plans.append(answers._jdf.queryExecution().executedPlan().toString())
+        return returned(answers, name, buckets)
+    monkeypatch.setattr(S, "_returned", seen)
+    got = score_texts(docs(rows).repartition(3), min_count=3, divergence=2.0, strength=20.0, chunk_tokens=150, bucket_tokens=100)
+    want, _ = plain(rows, 3, 3, 2.0, 20.0)
+    same(rows_of(got), want)
+    # One exchange to the buckets of the hashes in each: neither chunks nor answers are dealt out anew.
+    assert len(plans) == 8 and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+
+
+def test_grams_of_one_chunk_are_counted_there():
+    text = b"p q r p q s p q r p q s"
+    hashes, sizes = text_hashes([text] * 2)
+    words, ids = distinct(hashes)
+    row = {"words": pack(words), "ids": pack(ids.astype("<u4")), "sizes": sizes.tolist(), "held": [False, False]}
+    model = S.Model(3, 2, 0.1, 5.0)
+    model.tokens, model.words = len(ids), len(words)
+    nobody_else = {"c0": 2 * np.bincount(ids), **{f"{c}{k}": np.empty(0, np.int64) for c in "cs" for k in range(1, 4)},
+                   "ranks": np.empty(0, np.uint32)}
+    for step in range(1, 8):
+        assert all(not len(asked) for _, asked, _, _ in S.work(row, nobody_else, step, model))
+    want, _ = plain([(None, text.decode())] * 2, 3, 2, 0.1, 5.0)
+    got = S.work(row, nobody_else, S.LAST, model)
+    assert all(isclose(a, w[6], rel_tol=1e-9) for a, w in zip(got[3], want))
