@@ -50,6 +50,7 @@ SMOOTHING = 0.1
 CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1_000_000  # tokens of all texts to one bucket of gram hashes
 PIECE_BYTES = 1 << 20
+BLOCK = 1 << 15  # hashes worked on at a time: they fit a core's cache
 GRAM_BITS = 0xFFFFFFFFFFFFFF00  # of a gram of several words the upper 56 bits count
 BASE, INVERSE = 0x2545F4914F6CDD1B, pow(0x2545F4914F6CDD1B, -1, 1 << 64)
 
@@ -64,16 +65,25 @@ def held_out(key: str = "doc_id"):
 def mixed(a):
     import numpy as np
 
-    a = (a ^ (a >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    a = (a ^ (a >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return a ^ (a >> np.uint64(32))
+    moved = a >> np.uint64(32)
+    out = a ^ moved
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= np.right_shift(out, np.uint64(29), out=moved)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= np.right_shift(out, np.uint64(32), out=moved)
+    return out
 
 
 def joined(a, b):
     """Hash of the gram ``a`` followed by the word ``b``."""
     import numpy as np
 
-    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    out = np.empty(len(a), dtype=np.uint64)
+    for at in range(0, len(a), BLOCK):
+        block = a[at:at + BLOCK] * np.uint64(0x9E3779B97F4A7C15)
+        block += b[at:at + BLOCK]
+        out[at:at + BLOCK] = mixed(block)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -161,34 +171,56 @@ def pack(values) -> bytes:
     """Little-endian numbers, all lowest bytes first, compressed."""
     import numpy as np
 
-    values = np.ascontiguousarray(values)
-    return _codec()[0].compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+    size = values.dtype.itemsize
+    values = np.ascontiguousarray(values).view(f"<u{size}")
+    planes = np.empty((size, len(values)), dtype=np.uint8)
+    for place, plane in enumerate(planes):  # plane by plane: much faster than one transposed copy
+        np.right_shift(values, values.dtype.type(8 * place), out=plane, casting="unsafe")
+    return _codec()[0].compress(planes)
 
 
 def unpack(data: bytes, kind: str):
     import numpy as np
 
     size, data = np.dtype(kind).itemsize, _codec()[1].decompress(data)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    values = np.empty((planes.shape[1], size), dtype=np.uint8)
+    for place, plane in enumerate(planes):
+        values[:, place] = plane
+    return values.view(kind).ravel()
 
 
-def distinct(values):
-    """(the distinct hashes in order, the place of each value among them)."""
+def grouped(values):
+    """(the distinct hashes in order, the place of each value among them, how often each occurs)."""
     import numpy as np
 
     if not len(values):
-        return values, np.empty(0, np.int64)
+        return values, np.empty(0, np.int32), np.empty(0, np.int64)
     # Sorting plain numbers is much faster than sorting places: the low bits give way to the place.
     low = np.uint64((1 << (len(values) - 1).bit_length()) - 1)
-    order = (np.sort((values & ~low) | np.arange(len(values), dtype=np.uint64)) & low).astype(np.int64)
+    order = values & ~low
+    order |= np.arange(len(values), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
     ordered = values[order]
     if (ordered[1:] < ordered[:-1]).any():  # hashes that differ in the low bits only
         order = np.argsort(values)
         ordered = values[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    which = np.empty(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
-    which[order] = np.cumsum(new) - 1
-    return ordered[new], which
+    new = np.empty(len(values), dtype=bool)
+    new[0] = False
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    kind = np.int32 if len(values) < 1 << 31 else np.int64
+    which = np.empty(len(values), dtype=kind)
+    which[order] = np.cumsum(new, dtype=kind)
+    new[0] = True
+    starts = np.flatnonzero(new)
+    return ordered[starts], which, np.diff(starts, append=len(values))
+
+
+def distinct(values):
+    """(the distinct hashes in order, the place of each value among them)."""
+    return grouped(values)[:2]
 
 
 # --- chunks ---------------------------------------------------------------------------
@@ -241,13 +273,6 @@ def _chunks(key_type, size: int):
     return run
 
 
-def _before(values, empty=0):
-    """Every token's value of the token before it."""
-    import numpy as np
-
-    return np.concatenate([np.full(1, empty, dtype=values.dtype), values[:-1]])
-
-
 class Model:
     """Settings, and the training tokens and distinct words once they are known."""
 
@@ -279,89 +304,115 @@ def work(row: dict, returned: dict, step: int, model: Model):
     after the last step ``(tokens, known, base score, score)`` of its texts."""
     import numpy as np
 
-    words, ids = unpack(row["words"], "<u8"), unpack(row["ids"], "<u4")
+    words, ids = unpack(row["words"], "<u8"), unpack(row["ids"], "<u4").astype(np.int64)
     sizes = np.array(row["sizes"], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     train = np.repeat(~np.array(row["held"], dtype=bool), sizes)
-    first = np.zeros(len(ids), dtype=bool)
-    first[starts] = True
-    wanted, requests, gram, retained = model.step(step), [], words[ids], None
-    for k in range(model.max_context + 1):
-        # gram: hash of the k + 1 words up to a token; live: its first k words may be a state.
-        if k == 0:
-            live, asked = np.ones(len(ids), dtype=bool), slice(None)
-            single = np.zeros(len(ids), dtype=bool)
-            keys, which = distinct(words)
-            which = which[ids]
-            own = np.zeros(len(keys), dtype=bool)
+    follows = np.ones(len(ids), dtype=bool)  # the next token is of the same text
+    follows[starts + sizes - 1] = False
+    wanted, requests, order = model.step(step), [], np.argsort(words)
+    if "c0" in wanted:
+        sums = np.bincount(ids[train], minlength=len(words))
+        return [("c0", words[order], words[order], sums[order].astype("<u4"))]
+    totals = returned["c0"].astype(np.int64)
+    sums, own = np.empty(len(words), np.int64), np.empty(len(words), dtype=bool)
+    sums[order], own[order] = totals >> 1, (totals & 1) == 0
+    # inside: the gram that ends at a token is in this chunk only; single: at this place only, as then all longer
+    # ones that end there are. All are looked up at once.
+    lone, frequent = own & (np.bincount(ids, minlength=len(words)) == 1), sums >= model.min_count
+    marks = (own + 2 * lone + 4 * frequent).astype(np.uint8)[ids]
+    inside, single = (marks & 1).astype(bool), (marks & 2).astype(bool)
+    hashes = tokens = words[ids]
+    keys, which, asked, counts = words, ids, None, None
+    known, retained, root = sums > 0, None, model.root(sums)
+    # Grams but the longest are counted with no need of the states.
+    states = not wanted or f"c{model.max_context}" in wanted or any(kind[0] == "s" for kind in wanted)
+    chance = root[ids] if states else None
+    for k in range(1, model.max_context + 1):
+        # live: tokens after k words that may be a state; a count of min_count has none that is single.
+        if k == 1:
+            after = np.flatnonzero((marks & 4).astype(bool) & follows)
+            live = after + 1
         else:
-            before = keys, place, own, sums
-            n = _before(counts)
-            live = ~first & (n >= model.min_count)
-            if k == model.max_context and k > 1:
-                live &= retained  # else these grams are still asked for as contexts
-            # The only place of a gram is the only one of a longer gram that ends with it.
-            single |= lone
-            asked = np.flatnonzero(live & ~single)
-            gram = joined(_before(gram), words[ids]) & np.uint64(GRAM_BITS)
-            keys, which = distinct(gram[asked])
-            # A gram that begins or ends with one that only this chunk has is counted here.
-            own = np.zeros(len(keys), dtype=bool)
-            own[which] = (inside | _before(inside))[asked]
-        sums = np.bincount(which[train[asked]], minlength=len(keys))
+            after = np.flatnonzero((counts >= model.min_count) & follows[asked])
+            live = asked[after] + 1
+        context = which[after]
+        if k == model.max_context and k > 1:  # else these grams are still asked for as contexts
+            kept = np.flatnonzero(retained[live])
+            after, live, context = after[kept], live[kept], context[kept]
+        before, alone = (keys, own, sums), single[live]
+        several = np.flatnonzero(~alone)
+        asked = live[several]
+        # A gram that begins or ends with one that only this chunk has is counted here.
+        inside[1:] |= inside[:-1].copy()
+        edge = inside[asked]
+        hashes = joined(hashes[after[several]], tokens[asked])
+        hashes &= np.uint64(GRAM_BITS)
         if f"c{k}" in wanted:
-            asks, half = ~own, wanted[f"c{k}"]
+            asks, half = ~edge, wanted[f"c{k}"]
             if half is not None:
-                asks &= keys >> np.uint64(63) == half
-            requests.append((f"c{k}", keys[asks], keys[asks], sums[asks].astype("<u4")))
+                asks &= hashes >> np.uint64(63) == half
+            keys, which, sums = grouped(hashes[asks])
+            sums -= np.bincount(which[~train[asked[asks]]], minlength=len(keys))
+            requests.append((f"c{k}", keys, keys, sums.astype("<u4")))
             break
-        totals = returned[f"c{k}"].astype(np.int64)
-        sums[~own] = totals >> 1
-        own[~own] = (totals & 1) == 0
-        counts = np.where(live & single, train, 0)
-        counts[asked] = sums[which]
-        # inside: the gram is in this chunk only; lone: at this place only.
-        inside, lone = live & single, np.zeros(len(ids), dtype=bool)
-        inside[asked] = own[which]
-        lone[asked] = (own & (np.bincount(which, minlength=len(keys)) == 1))[which]
-        # The place of every token's gram among the keys (-1: none).
-        place = np.full(len(ids), -1, dtype=which.dtype)
-        place[asked] = which
-        if k == 0:
-            chance = base = model.root(counts)
-            known = counts > 0
+        keys, which, places = grouped(hashes)
+        own = np.zeros(len(keys), dtype=bool)
+        own[which[edge]] = True
+        sums = places - np.bincount(which[~train[asked]], minlength=len(keys))
+        totals, others = returned[f"c{k}"].astype(np.int64), np.flatnonzero(~own)
+        sums[others], own[others] = totals >> 1, (totals & 1) == 0
+        found = sums * 4 + own * 2 + (own & (places == 1))  # looked up once, in few bytes
+        found = found.astype(np.int32 if found.max(initial=0) < 1 << 31 else np.int64)[which]
+        counts, all_counts = found >> 2, train[live].astype(found.dtype)
+        all_counts[several] = counts
+        if k < model.max_context:
+            inside = np.zeros(len(ids), dtype=bool)
+            inside[live[alone]] = True
+            inside[asked] = found & 2
+            single[asked[(found & 1) > 0]] = True
+        if not states:
             continue
         # Contexts whose suffix is a state (the root is one) and their share of the divergence.
-        at = np.flatnonzero(live if retained is None else live & retained)
-        contexts, which, own_before, sums_before = before[0], before[1][at - 1], *before[2:]
+        contexts, own_before, sums_before = before
+        at, seen = live, all_counts
+        if retained is not None and k < model.max_context:
+            kept = np.flatnonzero(retained[live])
+            at, seen, context = at[kept], seen[kept], context[kept]
+        by_hash = (lambda mask: order[mask[order]]) if k == 1 else np.flatnonzero
         used = np.zeros(len(contexts), dtype=bool)
-        used[which] = True
-        which, local, total = (np.cumsum(used) - 1)[which], own_before[used], sums_before[used]
+        used[context] = True
         # Next to a word seen once every occurrence gains log(c - 1 + weight) - log(weight): nothing for one seen
         # once. The context's gain reaches the divergence where these reach its need.
-        need = model.divergence + total * np.log1p((total - 1) / model.strength)
-        local |= need <= 0
+        need, total = np.ones(len(contexts)), sums_before[used]
+        need[used] = model.divergence + total * np.log1p((total - 1) / model.strength)
+        local = own_before | (need <= 0)
+        others = by_hash(used & ~local)
         # The shares of contexts that other chunks have as well are sent, in their step; the others are summed here.
-        mine = train[at] & (local[which] ^ (f"s{k}" in wanted)) & (counts[at] > 1)
-        seen, weight = at[mine], model.strength * chance[at[mine]]
-        shares = np.bincount(which[mine], np.log1p((counts[seen] - 1) / weight), len(need))
+        repeated = np.flatnonzero(train[at] & (seen > 1))
+        mine = repeated[local[context[repeated]] ^ (f"s{k}" in wanted)]
+        gains = np.log1p((seen[mine] - 1) / (model.strength * chance[at[mine]]))
+        shares = np.bincount(context[mine], gains, len(contexts))
         if f"s{k}" in wanted:
             ranks = np.zeros(len(contexts), dtype="<u4")
-            ranks[~own_before & (sums_before >= model.min_count)] = returned["ranks"]
-            requests.append((f"s{k}", contexts[used][~local], ranks[used][~local], (shares / need)[~local].astype("<f4")))
-            if f"c{k + 1}" in wanted:  # with no need of the states
+            ranks[by_hash(~own_before & (sums_before >= model.min_count))] = returned["ranks"]
+            requests.append((f"s{k}", contexts[others], ranks[others], (shares[others] / need[others]).astype("<f4")))
+            if f"c{k + 1}" in wanted:
                 continue
             break
         state = shares >= need
-        state[~local] = returned[f"s{k}"].astype(bool)
+        state[others] = returned[f"s{k}"].astype(bool)
+        kept = state[context]
         retained = np.zeros(len(ids), dtype=bool)
-        retained[at] = state[which]
-        longer = (counts + model.strength * chance) / (n + model.strength)
-        chance = np.where(retained, longer, chance)
+        retained[at] = kept
+        # Only the scores need the chance of what is seen once: a longer gram is seen no more often.
+        kept = repeated[kept[repeated]] if wanted else np.flatnonzero(kept)
+        at, n = at[kept], sums_before[context[kept]]
+        chance[at] = (seen[kept] + model.strength * chance[at]) / (n + model.strength)
     if wanted:
         return requests
-    logs = [np.add.reduceat(np.log10(p), starts) for p in (base, chance)]
-    return sizes, np.add.reduceat(known.astype(np.int64), starts), *logs
+    logs = [np.add.reduceat(p, starts) for p in (np.log10(root)[ids], np.log10(chance))]
+    return sizes, np.add.reduceat(known[ids].astype(np.int64), starts), *logs
 
 
 LAST = 1 << 20  # a step after all exchanges

@@ -202,3 +202,29 @@ def test_grams_of_one_chunk_are_counted_there():
     want, _ = plain([(None, text.decode())] * 2, 3, 2, 0.1, 5.0)
     got = S.work(row, nobody_else, S.LAST, model)
     assert all(isclose(a, w[6], rel_tol=1e-9) for a, w in zip(got[3], want))
+
+
+def test_only_grams_that_may_count_are_hashed_and_sorted(monkeypatch):
+    """Each step has all shorter grams again, so it hashes those whose context may be a state, and sorts its half."""
+    rng = random.Random(12)
+    text = " ".join(rng.choice("abc") if rng.random() < 0.3 else f"w{rng.randrange(1500)}" for _ in range(6000))
+    hashes, sizes = text_hashes([text.encode()] * 2)
+    words, ids = distinct(hashes)
+    counts = np.bincount(ids)
+    row = {"words": pack(words), "ids": pack(ids.astype("<u4")), "sizes": sizes.tolist(), "held": [False, False]}
+    model = S.Model(3, 12, 4.0, 50.0)
+    model.tokens, model.words = len(ids), len(words)
+    shared = {"c0": 2 * counts + 1, "ranks": np.empty(0, np.uint32)}
+    hashed, sorted_, joined = [], [], S.joined
+    monkeypatch.setattr(S, "joined", lambda a, b: hashed.append(len(a)) or joined(a, b))
+    for name in ("distinct", "grouped"):
+        one = getattr(S, name, None)
+        monkeypatch.setattr(S, name, lambda values, one=one: sorted_.append(len(values)) or one(values), raising=False)
+    parts = [S.work(row, shared, step, model)[0] for step in (1, 2)]
+    frequent = int((counts[ids] >= 12).sum())  # the words that may be a context
+    assert max(hashed) <= frequent < 0.7 * len(ids)
+    assert sum(sorted_) <= frequent  # both halves together, each hash once
+    words = tokens(text)
+    pairs, count = Counter(2 * [*zip(words, words[1:])]), Counter(2 * words)
+    want = sorted(c for (word, _), c in pairs.items() if count[word] >= 12)
+    assert sorted(int(c) for _, _, _, amounts in parts for c in amounts) == want
