@@ -18,17 +18,23 @@ ignored unless listed in ``keep``; an empty input writes an empty, readable tabl
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators.word_chunks import pieces
 from .common import prepared, text_bytes
 
 RESERVED = ("part", "part_start", "n_tokens", "tokens")
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 MEMO_WORDS = 300_000
+CHUNK_BYTES = 2 << 20  # of texts encoded at once; the arrays over a chunk take some 25 times as much
+ROW_BYTES = 64  # what a row counts in a chunk besides its text, so that rows without text are bounded too
 
 # Fixed values of the vocabulary file's format: its pre-tokenizer pattern for lower-case
 # text within U+0000..U+017F, and the byte alphabet of byte-level BPE.
@@ -40,10 +46,21 @@ PIECES = re.compile(
 SIMPLE = re.compile("[\0-įı-ſ]*")
 
 
-def _byte_alphabet() -> list[str]:
+# Kinds of bytes by bits: two neighbours without a common bit never stand in one piece, nor do two
+# digits. Apostrophes (they begin contractions) and bytes beyond ASCII share a bit with every kind, so a
+# word is not cut beside them.
+BLANKS = b" \t\n\v\f\r"
+LETTER, DIGIT, SIGN, ANY = 1, 2 | 8, 4, 1 | 2 | 4
+KINDS = bytes(0 if b in BLANKS else ANY if b > 127 or b == 39 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit()
+              else SIGN for b in range(256))
+WORDS = bytes(0 if b in BLANKS else ANY for b in range(256))
+LOWER = bytes(range(256)).lower()
+
+
+def _byte_alphabet() -> str:
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
 class Memo(dict):
@@ -71,6 +88,10 @@ class TextEncoder:
     the library's BPE model. A text with characters outside U+017F or a special
     token is taken by its blank-separated words, also from a memo; those of its words
     that hold such characters go through the library's full pipeline.
+
+    ``encode_all`` takes many texts at once: Arrow numbers the words of all of them, cut
+    further where only ASCII shows the end of a piece, so that each different one is
+    looked up once, and its ids are copied to wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -83,27 +104,60 @@ class TextEncoder:
 
     @staticmethod
     def _pack(ids) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        ids = array("i", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         # Visible ASCII characters stand for themselves in the byte alphabet.
-        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return self._pack(t.id for t in self.model.tokenize(shown))
+        shown = piece if piece.isascii() and piece.isprintable() else charmap_decode(piece.encode(), "strict", self.alphabet)[0]
+        return self._pack([t.id for t in self.model.tokenize(shown)])
 
-    def _simple(self, text: str) -> bytes | None:
+    def _simple(self, text: str, ids_of) -> bytes | None:
         if "<|" in text or not (text.isascii() or SIMPLE.fullmatch(text)):
             return None
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(ids_of, PIECES.findall(text.lower())))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        found = self._simple(text)
+        if text.isalpha() and (text.isascii() or SIMPLE.fullmatch(text)):  # one piece
+            return self._piece(text.lower())
+        found = self._simple(text, self._piece)
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if found is None else found
 
     def encode(self, text: bytes) -> bytes:
-        found = self._simple(text.decode("utf-8", "replace"))
+        found = self._simple(text.decode("utf-8", "replace"), self.pieces.__getitem__)
         return b"".join(map(self.words.__getitem__, text.split())) if found is None else found
 
+    def encode_all(self, texts: list[bytes]):
+        """The ids of all texts in a row, and how many each text has."""
+        import numpy as np
+        import pyarrow as pa
+
+        # Special tokens are told from their case and hold signs: their texts are cut at blanks only.
+        whole = [b"<|" in t for t in texts]
+        kind = np.frombuffer(b"".join(t.translate(WORDS if w else KINDS) for t, w in zip(texts, whole)), np.uint8)
+        shown = b"".join(t.translate(None if w else LOWER, BLANKS) for t, w in zip(texts, whole))
+        if not shown:
+            return np.empty(0, "<i4"), np.zeros(len(texts), np.int64)
+        bounds = np.cumsum([0, *map(len, texts)])
+        both, inside = kind[1:] & kind[:-1], kind != 0
+        cut = np.ones(len(kind) + 1, dtype=bool)
+        cut[1:-1] = (both == 0) | (both == DIGIT)
+        cut[bounds] = True
+        starts = np.flatnonzero(cut[:-1] & inside)
+        ends = np.flatnonzero(cut[1:] & inside) + 1
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        words = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(shown)]).dictionary_encode()
+        found = list(map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        _, places, data = ids.buffers()
+        places = np.frombuffer(places, np.int64, len(ids) + 1) // 4
+        return (np.frombuffer(data, "<i4", places[-1]),
+                np.diff(places[np.searchsorted(starts, bounds)]))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
@@ -120,17 +174,16 @@ def _encode_rows(path: str, end_id: int, kept: list[str]):
         from pyspark import TaskContext
 
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            rows = [enc.encode(t) + end for t in batch.column("__text").to_pylist()]
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+        for chunk in pieces(batches, "__text", ROW_BYTES, CHUNK_BYTES):
+            ids, sizes = enc.encode_all(chunk["__text"].to_pylist())
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
             ends = np.cumsum(sizes)
-            ids = np.frombuffer(b"".join(rows), dtype="<i4")
             tokens = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept),
-                 pa.array(np.full(len(rows), part), pa.int32()),
+                [*(chunk[c].chunk(0) for c in kept),
+                 pa.array(np.full(len(sizes), part), pa.int32()),
                  pa.array(before + ends - sizes, pa.int64()),
                  pa.array(sizes, pa.int64()), tokens], names=[*kept, *RESERVED])
             before += int(sizes.sum())

@@ -23,25 +23,26 @@ def lower_texts(docs: DataFrame, text, *more: Column) -> DataFrame:
     return docs.select(*more, F.lower(F.col(text) if isinstance(text, str) else text).alias("_t")).where(F.col("_t").isNotNull())
 
 
-def pieces(batches):
-    """Parts of Arrow batches with at most ``CHUNK_BYTES`` of texts, batches of few texts put together."""
+def pieces(batches, text: str = "_t", row_bytes: int = 0, most: int | None = None):
+    """Parts of Arrow batches with at most ``most`` (``CHUNK_BYTES``) of texts, batches of few texts put together.
+    A row counts its text and ``row_bytes``."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    held, size = [], 0
+    held, size, most = [], 0, most or CHUNK_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = pc.cumulative_sum(pc.binary_length(batch.column("_t")).cast(pa.int64())).to_numpy()
+        ends = pc.cumulative_sum(pc.add(pc.binary_length(batch.column(text)).cast(pa.int64()), row_bytes)).to_numpy()
         at = 0
         while at < batch.num_rows:
             used = int(ends[at - 1]) if at else 0
-            stop = max(at + (not held), int(ends.searchsorted(used + CHUNK_BYTES - size, side="right")))
+            stop = max(at + (not held), int(ends.searchsorted(used + most - size, side="right")))
             if stop > at:
                 held.append(batch.slice(at, stop - at))
                 size += int(ends[stop - 1]) - used
                 at = stop
-            if at < batch.num_rows or size >= CHUNK_BYTES:
+            if at < batch.num_rows or size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
